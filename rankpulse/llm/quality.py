@@ -1,12 +1,12 @@
 """Quality rules under weak supervision.
 
 Rules vote good (1) or bad (-1) or abstain (0) on text statistics. Expectation-maximisation over the counts of vote patterns
-estimates each rule's accuracy on good and on bad documents and the share of good ones; a document's posterior probability of being
-good decides. Patterns number at most 3 ** rules, whatever the size of the corpus, so only they reach the driver.
+estimates how often each rule votes on good and on bad documents, which gives its accuracy; a document's posterior probability of being good decides. Each rule votes one way, so patterns number at most 2 ** rules, whatever the size of the corpus, so only they reach the driver.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ ENDS = tuple(".!?…\"”»)")
 
 STATS = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_lines long, n_end_lines long, n_letter_words long, n_distinct_words long, n_capitals long"
+    "n_lines long, n_end_lines long, n_letter_words long, n_symbol_words long, n_capital_words long, n_distinct_words long, n_capitals long"
 )
 
 
@@ -37,6 +37,8 @@ def _statistics(column: pa.Array) -> list[tuple]:
         names, codes, starts = words.dictionary, words.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         lengths = pc.utf8_length(names).to_numpy().astype(np.int64)
         letters = pc.match_substring_regex(names, r"\p{L}").to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(names, f"[{re.escape(SYMBOLS)}]").to_numpy(zero_copy_only=False)
+        shouted = pc.match_substring_regex(names, r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$").to_numpy(zero_copy_only=False)
         many = len(names)
         for i, text in enumerate(part.to_pylist()):
             own = codes[starts[i] : starts[i + 1]]
@@ -58,7 +60,8 @@ def _statistics(column: pa.Array) -> list[tuple]:
             out.append(
                 (
                     n, int(lengths[own].sum()), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), covered,
-                    len(lines), sum(x.rstrip(SPACES).endswith(ENDS) for x in lines), int(letters[own].sum()), len(np.unique(own)),
+                    len(lines), sum(x.rstrip(SPACES).endswith(ENDS) for x in lines), int(letters[own].sum()),
+                    int(marked[own].sum()), int(shouted[own].sum()), len(np.unique(own)),
                     int(((raw >= 65) & (raw <= 90)).sum()),
                 )
             )
@@ -87,31 +90,35 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad where `bad` holds, else good where `good` holds, else abstains. Both are SQL over the statistics."""
+    """Votes `vote` (1 good, -1 bad) where `holds`, SQL over the statistics, is true; else it abstains."""
 
     name: str
-    bad: str
-    good: str
+    vote: int
+    holds: str
 
-    def vote(self) -> Column:
-        return F.expr(f"cast(case when {self.bad} then -1 when {self.good} then 1 else 0 end as int)")
+    def column(self) -> Column:
+        return F.expr(f"cast(case when {self.holds} then {self.vote} else 0 end as int)")
 
 
 RULES = (
-    Rule("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
-    Rule("same_lines", "n_lines >= 3 and 10 * n_dup_lines > 4 * n_lines", "10 * n_dup_lines <= n_lines"),
-    Rule("same_words", "10 * n_repeat_words > 4 * n_words", "10 * n_repeat_words <= n_words"),
-    Rule("letters", "10 * n_letter_words < 7 * n_words", "10 * n_letter_words >= 9 * n_words"),
-    Rule("capitals", "10 * n_capitals > 3 * word_chars", "10 * n_capitals <= word_chars"),
-    Rule("variety", "n_words between 50 and 2000 and 10 * n_distinct_words < 3 * n_words", "n_words between 50 and 2000 and 10 * n_distinct_words >= 5 * n_words"),
-    Rule("word_length", "2 * word_chars < 5 * n_words or word_chars > 12 * n_words", "2 * word_chars >= 7 * n_words and word_chars <= 9 * n_words"),
-    Rule("sentences", "n_lines >= 3 and 10 * n_end_lines < 3 * n_lines", "10 * n_end_lines >= 8 * n_lines"),
+    Rule("symbols", -1, "10 * n_symbols > n_words"),
+    Rule("marked_words", -1, "20 * n_symbol_words > n_words"),
+    Rule("same_lines", -1, "n_lines >= 3 and 10 * n_dup_lines > 4 * n_lines"),
+    Rule("same_words", -1, "10 * n_repeat_words > 4 * n_words"),
+    Rule("variety", -1, "n_words between 50 and 5000 and 10 * n_distinct_words < 3 * n_words"),
+    Rule("letters", -1, "10 * n_letter_words < 8 * n_words"),
+    Rule("capitals", -1, "10 * n_capitals > 3 * word_chars"),
+    Rule("shouting", -1, "10 * n_capital_words > 4 * n_words"),
+    Rule("word_length", -1, "2 * word_chars < 5 * n_words or word_chars > 12 * n_words"),
+    Rule("no_sentences", -1, "n_lines >= 3 and 10 * n_end_lines < 3 * n_lines"),
+    Rule("prose", 1, "100 * n_letter_words >= 90 * n_words and 50 * n_symbol_words <= n_words and 10 * n_end_lines >= 8 * n_lines and 10 * n_capitals <= 2 * word_chars"),
+    Rule("usual_words", 1, "2 * word_chars >= 7 * n_words and word_chars <= 9 * n_words and (n_words > 5000 or 10 * n_distinct_words >= 4 * n_words)"),
 )
 
 
 @dataclass(frozen=True)
 class Model:
-    """good: share of good documents; on_good[j], on_bad[j]: how often rule j, when it votes, votes as such a document is."""
+    """good: share of good documents; on_good[j], on_bad[j]: how often rule j votes on a document of either kind."""
 
     good: float
     on_good: tuple[float, ...]
@@ -119,28 +126,34 @@ class Model:
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """P(good) of each row of votes."""
-        a, b = np.array(self.on_good), np.array(self.on_bad)
-        up, down = np.log(a) - np.log(1 - b), np.log(1 - a) - np.log(b)
-        odds = np.log(self.good) - np.log(1 - self.good) + (votes > 0) @ up + (votes < 0) @ down
+        g, b = np.array(self.on_good), np.array(self.on_bad)
+        cast = votes != 0
+        odds = np.log(self.good) - np.log(1 - self.good) + cast @ (np.log(g) - np.log(b)) + ~cast @ (np.log(1 - g) - np.log(1 - b))
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
+    def accuracy(self, signs: np.ndarray) -> np.ndarray:
+        """How often each rule is right when it votes."""
+        g, b = self.good * np.array(self.on_good), (1 - self.good) * np.array(self.on_bad)
+        return np.where(signs > 0, g, b) / (g + b)
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = 20.0) -> Model:
-    """Expectation-maximisation over distinct vote patterns and their counts.
 
-    Accuracies start at 0.85 and keep a prior there of `strength` votes; they stay in 0.55..0.999 and the share of good documents
-    in 0.5..0.99, so that the two classes keep their meaning. Without votes this prior is the model.
+def fit(votes: np.ndarray, counts: np.ndarray, signs: np.ndarray, rounds: int = 200, strength: float = 20.0) -> Model:
+    """Expectation-maximisation over distinct vote patterns and their counts; signs: which way each rule votes.
+
+    It starts from rules that vote rightly more often than not, keeps a prior there of `strength` documents, and holds rates to
+    bounds that keep the two classes' meaning: a bad vote falls on a tenth of good documents at most, a good vote on half of them at
+    least. Without documents this prior is the model.
     """
-    k = votes.shape[1]
-    model = Model(0.85, (0.85,) * k, (0.85,) * k)
-    counts = counts.astype(float)
+    first = Model(0.85, tuple(np.where(signs > 0, 0.85, 0.01)), tuple(np.where(signs > 0, 0.3, 0.3)))
+    least_good, most_good = np.where(signs > 0, 0.5, 1e-4), np.where(signs > 0, 0.999, 0.1)
+    model, cast = first, votes != 0
     for _ in range(rounds):
-        g = model.posterior(votes) * counts
-        b = counts - g
-        good = float(np.clip((g.sum() + 0.85 * strength) / (counts.sum() + strength), 0.5, 0.99))
-        on_good = (g @ (votes > 0) + 0.85 * strength) / (g @ (votes != 0) + strength)
-        on_bad = (b @ (votes < 0) + 0.85 * strength) / (b @ (votes != 0) + strength)
-        new = Model(good, tuple(np.clip(on_good, 0.55, 0.999)), tuple(np.clip(on_bad, 0.55, 0.999)))
+        p = model.posterior(votes)
+        g, b = counts * p, counts * (1 - p)
+        on_good = np.clip((g @ cast + strength * np.array(first.on_good)) / (g.sum() + strength), least_good, most_good)
+        on_bad = np.clip((b @ cast + strength * np.array(first.on_bad)) / (b.sum() + strength), 0.02, 0.95)
+        good = float(np.clip((g.sum() + strength * first.good) / (counts.sum() + strength), 0.5, 0.99))
+        new = Model(good, tuple(on_good), tuple(on_bad))
         change = max(abs(x - y) for x, y in zip((new.good, *new.on_good, *new.on_bad), (model.good, *model.on_good, *model.on_bad), strict=True))
         model = new
         if change < 1e-9:
@@ -148,17 +161,17 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: floa
     return model
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base statistics, base_failed, p_good and kept of every row.
 
     base_failed: under 50 words, or over half of the words in repeated three-word windows. kept: not base_failed and p_good >=
     threshold. A null or empty text has no words and fails; null ids and repeated rows keep a row each; an empty table gives none.
     """
     votes = [f"vote_{r.name}" for r in rules]
-    stats = stored(text_statistics(docs, id_col, text_col).withColumns({v: r.vote() for v, r in zip(votes, rules, strict=True)}), "quality")
-    patterns = stats.groupBy(*votes).count().toPandas()  # at most 3 ** rules rows
+    stats = stored(text_statistics(docs, id_col, text_col).withColumns({v: r.column() for v, r in zip(votes, rules, strict=True)}), "quality")
+    patterns = stats.groupBy(*votes).count().toPandas()  # at most 2 ** rules rows
     seen = patterns[votes].to_numpy(dtype=np.int64).reshape(-1, len(rules))
-    patterns["p_good"] = fit(seen, patterns["count"].to_numpy()).posterior(seen)
+    patterns["p_good"] = fit(seen, patterns["count"].to_numpy(), np.array([r.vote for r in rules])).posterior(seen)
     schema = ", ".join([*(f"{v} int" for v in votes), "p_good double"])
     told = docs.sparkSession.createDataFrame(list(patterns[[*votes, "p_good"]].itertuples(index=False, name=None)), schema)
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")

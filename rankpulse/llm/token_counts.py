@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoders
-from .common import arrow_map, work_dir
+from .common import arrow_map, stored, work_dir
 
 CACHE_SCHEMA = "text_digest binary, version_digest string, n_tokens long"
 
@@ -51,7 +51,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         return one
 
     arrow_map(distinct.select("text_digest", "text"), CACHE_SCHEMA, start).write.mode("append").parquet(cache)
-    counts = _read(spark, cache, version)
+    counts = stored(_read(spark, cache, version), "token-counts")  # so that the join below may split a hot digest
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_digest"))
     return sizes.join(counts, "text_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
