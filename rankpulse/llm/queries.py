@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, language, packing, quality, token_counts, token_files, top_k
+from . import byte_bpe, chat, language, near_dup, packing, quality, token_counts, token_files, top_k
 from .common import crc32_mod, table, work_dir
 
 
@@ -73,9 +73,36 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+OP10_SQL = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), s as materialized (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w
+    else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from w
+), c as materialized (
+  select min(doc_id) as cid, len(any_value(s)) as n, any_value(s) as s from s where len(s) > 0 group by list_sort(s)
+), x as materialized (select cid, n, unnest(s) as t from c),
+l as materialized (
+  select a.cid as a, b.cid as b from x a join x b on a.t = b.t and a.cid < b.cid and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)
+  group by a.cid, b.cid, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e as materialized (select a, b from l union select b, a from l),
+r as (select cid as a, cid as b from c union select r.a, e.b from r join e on r.b = e.a),
+k as (select a as cid, min(b) as component_id from r group by a),
+d as (select s.doc_id, len(s.s) as n_shingles, min(s.doc_id) over (partition by list_sort(s.s)) as cid from s)
+select doc_id, cast(n_shingles as bigint) as n_shingles,
+  case when n_shingles = 0 then doc_id else component_id end as component_id,
+  doc_id = case when n_shingles = 0 then doc_id else component_id end as kept
+from d left join k using (cid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_token_files, op5_language, op6_chat, op7_token_counts, op8_top_k, op9_quality)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_token_files, op5_language, op6_chat, op7_token_counts, op8_top_k, op9_quality, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_top_k": OP8_SQL}
+    return {"op8_top_k": OP8_SQL, "op10_near_dup": OP10_SQL}
