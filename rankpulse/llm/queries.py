@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, language, near_dup, packing, quality, token_counts, token_files, top_k
+from . import byte_bpe, chat, katz, language, near_dup, packing, quality, token_counts, token_files, top_k
 from .common import crc32_mod, table, work_dir
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.expr(crc32_mod("doc_id", 7) + " = 2"), F.lit(False))
+    return katz.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -101,7 +106,7 @@ from d left join k using (cid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_token_files, op5_language, op6_chat, op7_token_counts, op8_top_k, op9_quality, op10_near_dup)}
+    return {f.__name__: f for f in (op1_katz, op2_byte_bpe, op3_packing, op4_token_files, op5_language, op6_chat, op7_token_counts, op8_top_k, op9_quality, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
