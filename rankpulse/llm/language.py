@@ -174,3 +174,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         return one
 
     return arrow_map(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "doc_id long, lang_pred string, score double, ambiguous boolean", start)
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose language is undetermined or ambiguous; no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        grams = Grams()
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = held.value.predict([x or "" for x in batch.column(text_col).to_pylist()], grams)
+            return batch.filter(pa.array([lang != UNDETERMINED and not ambiguous for lang, _, ambiguous in found]))
+
+        return one
+
+    return arrow_map(docs, docs.schema, start)

@@ -300,6 +300,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one document of each component: the first row that Spark reads."""
+    numbered = docs.withColumn("near_dup_row", F.monotonically_increasing_id())
+    gone = stored(near_duplicates(numbered, words, percent, "near_dup_row", text_col).where("not kept").select(F.col("doc_id").alias("near_dup_row")), "near-dup-gone")
+    return numbered.join(_small(gone, gone.count()), "near_dup_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _verified(pairs: DataFrame, active: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs that are links: by estimate, then on the full sets."""
     likely = stored(_likely(pairs, active, percent / 100), "near-dup-likely")

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import encoders
 from .common import arrow_map, stored
@@ -161,21 +162,49 @@ def fit(votes: np.ndarray, counts: np.ndarray, signs: np.ndarray, rounds: int =
     return model
 
 
+def _told(spark: SparkSession, stats: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """p_good of each pattern of votes in stats: at most 2 ** rules rows."""
+    votes = [f"vote_{r.name}" for r in rules]
+    patterns = stats.groupBy(*votes).count().toPandas()
+    seen = patterns[votes].to_numpy(dtype=np.int64).reshape(-1, len(rules))
+    patterns["p_good"] = fit(seen, patterns["count"].to_numpy(), np.array([r.vote for r in rules])).posterior(seen)
+    schema = ", ".join([*(f"{v} int" for v in votes), "p_good double"])
+    return spark.createDataFrame(list(patterns[[*votes, "p_good"]].itertuples(index=False, name=None)), schema)
+
+
+FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base statistics, base_failed, p_good and kept of every row.
 
     base_failed: under 50 words, or over half of the words in repeated three-word windows. kept: not base_failed and p_good >=
     threshold. A null or empty text has no words and fails; null ids and repeated rows keep a row each; an empty table gives none.
     """
-    votes = [f"vote_{r.name}" for r in rules]
-    stats = stored(text_statistics(docs, id_col, text_col).withColumns({v: r.column() for v, r in zip(votes, rules, strict=True)}), "quality")
-    patterns = stats.groupBy(*votes).count().toPandas()  # at most 2 ** rules rows
-    seen = patterns[votes].to_numpy(dtype=np.int64).reshape(-1, len(rules))
-    patterns["p_good"] = fit(seen, patterns["count"].to_numpy(), np.array([r.vote for r in rules])).posterior(seen)
-    schema = ", ".join([*(f"{v} int" for v in votes), "p_good double"])
-    told = docs.sparkSession.createDataFrame(list(patterns[[*votes, "p_good"]].itertuples(index=False, name=None)), schema)
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    return stats.join(F.broadcast(told), votes).select(
+    votes = {f"vote_{r.name}": r.column() for r in rules}
+    stats = stored(text_statistics(docs, id_col, text_col).withColumns(votes), "quality")
+    told = _told(docs.sparkSession, stats, rules)
+    failed = F.expr(FAILED)
+    return stats.join(F.broadcast(told), list(votes)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "p_good",
         (~failed & (F.col("p_good") >= threshold)).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.1, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows that judge() would not keep. Statistics are taken twice, so that no text is shuffled."""
+    votes = {f"vote_{r.name}": r.column() for r in rules}
+    told = _told(docs.sparkSession, text_statistics(docs.withColumn("doc_id", F.lit(0)), text_col=text_col).withColumns(votes), rules)
+    names = [x.split()[0] for x in STATS.split(", ")][1:]
+
+    def start():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = np.array(_statistics(batch.column("d").field(text_col)), dtype=np.int64).reshape(-1, len(names))
+            return pa.record_batch([batch.column("d"), *(pa.array(rows[:, k]) for k in range(rows.shape[1]))], ["d", *names])
+
+        return one
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))  # so that no column of docs clashes
+    schema = T.StructType([*whole.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+    judged = arrow_map(whole, schema, start).withColumns(votes).join(F.broadcast(told), list(votes))
+    return judged.where(~F.expr(FAILED) & (F.col("p_good") >= threshold)).select("d.*")
