@@ -90,7 +90,7 @@ def freshness(body: Column, year: int) -> Column:
     """The first time mark of the ordered list; else a month; else a sign of an earlier year; else none."""
     b, out = F.coalesce(body, F.lit("")), None
     for mark, label in P.FRESH_MARKS:
-        out = (out or F).when(b.contains(mark), label)
+        out = (F if out is None else out).when(b.contains(mark), label)
     month, old = F.regexp_extract(b, "([0-9]+)月", 1), F.regexp_extract(b, r"(?:^|[^0-9])([0-9]{4})\s*年", 1)
     return out.when(month != "", F.concat(month, F.lit("月"))).when(b.contains("去年"), "去年或更早").when(F.try_to_number(old, F.lit("9999")) < year, "去年或更早").otherwise("未标注")
 
@@ -242,7 +242,7 @@ def downloads_number(text: Column) -> Column:
 
 def tag_summary(tags: Column, n: int = 3) -> Column:
     """The first n tags, whichever way they are parted."""
-    said = F.array_join(F.slice(F.filter(F.transform(F.split(tags, r"[,|]"), F.trim), lambda x: x != ""), 1, n), "、")
+    said = F.array_join(F.slice(F.filter(F.transform(F.split(tags, r"[,|]"), lambda x: F.trim(x)), lambda x: x != ""), 1, n), "、")
     return F.when(F.coalesce(said, F.lit("")) == "", "新游").otherwise(F.concat(said, F.lit("游戏")))
 
 
