@@ -27,6 +27,6 @@ def query(sql: str | None = None, *decimals: str):
     return add
 
 
-from . import chart_queries, news_queries, scalar_queries  # noqa: E402
+from . import chart_queries, news_queries, report_queries, scalar_queries, stream_queries  # noqa: E402
 
-ALL = (chart_queries, scalar_queries, news_queries)
+ALL = (chart_queries, scalar_queries, news_queries, report_queries, stream_queries)
