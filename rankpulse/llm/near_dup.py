@@ -6,14 +6,16 @@ register, the same for all documents. Bands of registers give candidates; the re
 what is far off; what is left is confirmed on the full sets.
 
 Documents with equal sets are one class from the start, and only classes are compared. In each bucket of a band the classes meet
-the most central ones first; only pairs that those links leave in different components meet each other after that, so a large group
-of near copies costs rows in proportion to its size, and no link that joins components is lost.
+the most central ones first. Those that such links leave in different components are compared with each other after that, in blocks
+and in memory: by registers, which gives clusters of components that may be linked, then by full sets within the clusters. Only a spanning forest
+of links leaves a task, so a large group of near copies costs rows in proportion to its size, and no link that joins components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ MARGIN = 0.15
 LEADERS = 3
 #: Rows of tables that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Members of a cluster that a task compares with each other, or with as many others.
+BLOCK = 4096
 #: Parts that the classes which meet one leader are dealt to.
 SALT = 16
 _NONE = -(2**63)
@@ -111,15 +115,18 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return _mix((rows * _WEIGHTS).sum(2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of rows of registers, less the share of equal registers that chance gives sets of these sizes."""
-    equal = (a == b).mean(1)
-    # two unrelated buckets' least values fall into one cell: their leading zeros and ten mantissa bits agree
-    n, m = (np.maximum(1.0, s / REGISTERS)[:, None] for s in (size_a, size_b))
-    z = np.arange(0, 24)[None, :]
-    lo, hi = 2.0 ** -(z + 1), 2.0**-z
-    share = lambda k: (1 - lo) ** k - (1 - hi).clip(0) ** k  # noqa: E731  of least values of k with z leading zeros
-    chance = (share(n) * share(m)).sum(1) / 1024
+def _shares(sizes: np.ndarray) -> np.ndarray:
+    """For sets of these sizes: how often a bucket's least value has 0, 1, 2 .. leading zeros."""
+    n, z = np.maximum(1.0, sizes / REGISTERS)[:, None], np.arange(0, 24)[None, :]
+    return (1 - 2.0 ** -(z + 1)) ** n - (1 - 2.0**-z).clip(0) ** n
+
+
+def estimate(a: np.ndarray, b: np.ndarray, shares_a: np.ndarray, shares_b: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of rows of registers, less the share of equal registers that chance gives sets of these _shares().
+
+    By chance two unrelated least values fall into one cell: their leading zeros and their ten mantissa bits agree.
+    """
+    equal, chance = (a == b).mean(1), (shares_a * shares_b).sum(1) / 1024
     return ((equal - chance) / (1 - chance)).clip(0)
 
 
@@ -185,7 +192,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     def start():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b")]
-            j = estimate(*regs, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            j = estimate(*regs, *(_shares(batch.column(c).to_numpy()) for c in ("n_a", "n_b")))
             return batch.select(["a", "b"]).filter(pa.array(j >= threshold - MARGIN))
 
         return one
@@ -240,6 +247,94 @@ def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, words: int, i
     return arrow_map(found, "cid long, shingles binary", start).dropDuplicates(["cid"])
 
 
+class _Near:
+    """Members with registers: which of others may be linked to member i by their estimates."""
+
+    def __init__(self, threshold: float, data: list[bytes], sizes: np.ndarray, split: int):
+        self.threshold, self.sizes, self.shares = threshold, sizes, _shares(sizes)
+        self.regs = np.frombuffer(b"".join(data), np.uint16).reshape(len(data), REGISTERS)
+
+    def hits(self, i: int, others: np.ndarray) -> np.ndarray:
+        n, m = self.sizes[i], self.sizes[others]
+        others = others[np.minimum(m, n) >= self.threshold * np.maximum(m, n)]
+        return others[estimate(self.regs[i][None, :], self.regs[others], self.shares[i : i + 1], self.shares[others]) >= self.threshold - MARGIN]
+
+
+class _Linked:
+    """Members with sets: which of others are linked to member i, by products of the sets' incidence over hashes that two hold."""
+
+    def __init__(self, percent: int, data: list[bytes], _: np.ndarray, split: int):
+        sets = [np.frombuffer(d, np.uint64) for d in data]
+        self.percent, self.sizes = percent, np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        often = count[column] > 1
+        place = np.cumsum(count > 1) - 1
+        owner, column, width = owner[often], place[column[often]], int((count > 1).sum())
+        self.first = split if split < len(sets) else 0  # the right side begins here
+        self.common = np.zeros((split, len(sets) - self.first), np.float32)
+        for at in range(0, width, 1024):  # a slice of the hashes at a time
+            inside = (column >= at) & (column < at + 1024)
+            part = np.zeros((len(sets), min(1024, width - at)), np.float32)
+            part[owner[inside], column[inside] - at] = 1
+            self.common += part[:split] @ part[self.first :].T
+
+    def hits(self, i: int, others: np.ndarray) -> np.ndarray:
+        c = np.rint(self.common[i, others - self.first]).astype(np.int64)
+        return others[100 * c >= self.percent * (self.sizes[i] + self.sizes[others] - c)]
+
+
+def _compared(members: DataFrame, make, of_labels: bool = False) -> DataFrame:
+    """(a, b) that join labels of members (cluster, cid, label, n_shingles, data) of one cluster: a spanning forest of hits.
+
+    A cluster is cut into blocks of BLOCK members; a task compares the members of one block, or those of one with those of another,
+    in memory, so no pair becomes a row but the forest's: fewer than the labels that meet there. What the forest joins already isn't
+    compared again. make(data, sizes, split) gives hits(i, others). a and b are cids, or labels if of_labels.
+    """
+    of = Window.partitionBy("cluster")
+    cut = members.withColumn("block", F.floor((F.row_number().over(of.orderBy("cid")) - 1) / BLOCK)).withColumn("blocks", F.max("block").over(of))
+    several = cut.where("blocks > 0").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
+    each = several.unionByName(cut.where("blocks = 0").withColumn("other", F.lit(0).cast("long")))
+    dealt = each.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label", "n_shingles", "data")
+    rows = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "cid")
+    names = ("cluster", "i", "j", "block", "cid", "label", "n_shingles", "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, found = None, [], []
+
+        def close() -> None:
+            if len(held) < 2:
+                return
+            blocks, cids, labels, sizes, data = (list(x) for x in zip(*held, strict=True))
+            split = blocks.count(blocks[0])
+            nodes, roots = labels if of_labels else cids, np.array(labels)
+            if (roots == roots[0]).all():
+                return
+            test = make(data, np.array(sizes), split)
+            for i in range(split):
+                others = np.arange(split if split < len(held) else i + 1, len(held))
+                others = others[roots[others] != roots[i]]
+                for k in test.hits(i, others).tolist() if len(others) else ():
+                    if roots[k] != roots[i]:
+                        found.append((nodes[i], nodes[k]))
+                        roots[roots == roots[k]] = roots[i]
+
+        for batch in batches:
+            for cluster, i, j, *member in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (cluster, i, j) != current:
+                    close()
+                    current, held = (cluster, i, j), []
+                held.append(member)
+            if len(found) > 10_000:
+                yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                found = []
+        close()
+        if found:
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of each node of an edge: label is the least node of its component. Labels spread and jump until none changes."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "near-dup-edges")
@@ -281,15 +376,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = _verified(tried, active, classes, docs, words, percent, id_col, text_col)
     labels = components(links)
 
-    # then those that are still apart
+    # then those that are still apart: by estimates into clusters, whose sets are compared exactly
     apart = shared.where(f"size > {LEADERS}").select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
     mixed = stored(apart.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key)).where("low <> high").select("key", "cid", "label"), "near-dup-apart")
-    left = mixed.select("key", F.col("cid").alias("a"), F.col("label").alias("la"))
-    right = mixed.select("key", F.col("cid").alias("b"), F.col("label").alias("lb"))
-    rest = left.join(right, "key").where("a < b and la <> lb").select("a", "b").distinct()
-    told = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(told, ["a", "b"], "left_anti"), "near-dup-pairs")
-    more = _verified(rest, active, classes, docs, words, percent, id_col, text_col)
+    near = stored(_compared(mixed.join(active, "cid").select(F.col("key").alias("cluster"), "cid", "label", "n_shingles", F.col("regs").alias("data")), partial(_Near, threshold), of_labels=True).distinct(), "near-dup-near")
+    clusters = components(near).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    told = stored(clusters.join(mixed.select("cid", "label").distinct(), "label"), "near-dup-clusters")
+    sets = stored(_sets_of(told.select("cid"), classes, docs, words, id_col, text_col), "near-dup-sets")
+    more = stored(_compared(told.join(sets, "cid").select("cluster", "cid", "label", F.lit(0).cast("long").alias("n_shingles"), F.col("shingles").alias("data")), partial(_Linked, percent)), "near-dup-links")
     labels = components(links.union(more))
 
     known = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("digest", "rep", F.coalesce("label", "cid").alias("label"))
