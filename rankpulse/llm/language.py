@@ -26,7 +26,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n rows of +1 and -1, no two alike: all splits in two for up to 5 languages, else the best of many random codes."""
     if n <= 5:
         columns = [[1, *(1 if k >> j & 1 else -1 for j in range(n - 1))] for k in range(max(0, 2 ** (n - 1) - 1))]
-        return np.array(columns, dtype=np.int64).reshape(-1, n).T
+        return np.array(columns, dtype=np.int64).reshape(len(columns), n).T
     bits = max(15, int(np.ceil(10 * np.log2(n))))
     random, best, most = np.random.default_rng(seed), None, -1
     for _ in range(50):
