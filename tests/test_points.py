@@ -90,7 +90,7 @@ def test_read_rankings(spark, tmp_path):
 
 
 def test_diverse_choice(spark):
-    rows = [(dt.date(2024, 1, 1), f"u{i}", f"《g{i % 4}》h", "pg" if i == 9 else f"s{i % 2}", 100 - i) for i in range(10)]
+    rows = [(dt.date(2024, 1, 1), f"u{i}", f"《g{i % 5}》h", "pg" if i == 9 else f"s{i % 2}", 100 - i) for i in range(10)]
     df = spark.createDataFrame(rows, "date date, url string, headline string, source string, score int")
     got = scoring.select_diverse(df, ("pg",)).collect()
     assert len(got) == 7 and any(r["source"] == "pg" for r in got) and max(sum(r["source"] == s for r in got) for s in ("s0", "s1")) <= 3
