@@ -336,17 +336,29 @@ def _compared(members: DataFrame, make, of_labels: bool = False) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of each node of an edge: label is the least node of its component. Labels spread and jump until none changes."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "near-dup-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "near-dup-labels")
+    """(node, label) of each node of an edge: label is the least node of its component.
+
+    Every node points to its least neighbour; pointers jump until each reaches the root of its tree; edges are drawn between the roots
+    and the same is done with what is left of them, which is little after the first round.
+    """
+    ends = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    rest, labels = stored(ends(edges), "near-dup-edges"), None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = stored(spread.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("above", "label")).alias("label")), "near-dup-labels")
-        changed = new.where("old <> label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        near = rest.union(rest.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
+        step = stored(near, "near-dup-labels")
+        while True:
+            up = step.select(F.col("node").alias("label"), F.col("label").alias("above"))
+            jumped = stored(step.join(up, "label", "left").select("node", F.col("label").alias("old"), F.coalesce("above", "label").alias("label")), "near-dup-labels")
+            step = jumped.select("node", "label")
+            if not jumped.where("old <> label").limit(1).count():
+                break
+        if labels is None:
+            labels = step
+        else:
+            labels = stored(labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "near-dup-labels")
+        left, right = step.select(F.col("node").alias("a"), F.col("label").alias("la")), step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        rest = stored(ends(rest.join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))), "near-dup-edges")
+        if not rest.limit(1).count():
             return labels
 
 
