@@ -41,6 +41,8 @@ def arrow_map(df: DataFrame, schema, start: Callable[[], Callable[[pa.RecordBatc
         for batch in batches:
             if batch.num_rows and (out := one(batch)) is not None:
                 yield out
+            out = batch = None
+            pa.default_memory_pool().release_unused()  # workers live on after this task
 
     return df.mapInArrow(run, schema)
 

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 12_000_000
-CACHE = 250_000
+SLICE = 4_000_000
+CACHE = 150_000
 LONG = 64
 #: White space other than the space and the line feed, as Unicode has it.
 ODD_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0  -     　"

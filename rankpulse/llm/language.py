@@ -18,7 +18,7 @@ from .common import arrow_map
 
 BUCKETS = 1 << 15
 #: Characters that are turned into n-grams at once.
-PART = 1_000_000
+PART = 300_000
 UNDETERMINED = "und"
 
 
