@@ -278,9 +278,6 @@ def c11_shared_entities(spark, sf):
     return news.shared_entity_pairs(news_(spark, sf).withColumnRenamed("url", "id"), S.named_entities(F.col("headline")), ["date"])
 
 
-GAMED = "gm as (select date, url, category || ' ' || headline headline, '《' || source || '》' || headline h from news)"
-
-
 def gamed(spark, sf):
     return news_(spark, sf).select("date", F.col("url").alias("id"), F.concat(F.lit("《"), "source", F.lit("》"), "headline").alias("headline"), F.expr("cast(substr(source, 4) as int)").alias("place"))
 

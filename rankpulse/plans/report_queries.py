@@ -37,9 +37,6 @@ def clicks(spark, sf):
     return f.join(news_(spark, sf).select("url", F.lower(F.regexp_extract("headline", "^[^ ]+", 0)).alias("keyword")), "url").groupBy("keyword").agg(F.count(F.lit(1)).alias("clicks"))
 
 
-_CUR = "replace(source, 'src1', 'src1')"
-
-
 @query(X.sql(f"hr as (select date, source, headline, url, row_number() over (partition by date, source order by url) place from news), hf as (select * from hr where place <= 30 and length(trim(headline)) >= 2 and (contains(lower(headline), 'tion') or contains(lower(headline), 'que'))) select date, source, url, cast(row_number() over (partition by date, source order by place, headline) as int) as rank from hf", "news"))
 def a24_hot_list(spark, sf):
     rows = keywords_raw(spark, sf).withColumnRenamed("rank", "place").drop("keyword").join(news_(spark, sf).select("url", F.col("headline").alias("title")), "url")
