@@ -91,6 +91,8 @@ def pack(
                         found.append((doc_id, start, length, zlib.crc32(piece), total, task, window, offset, bytes(piece) if with_ids else None))
                         start += length
             yield pa.record_batch([pa.array(c, pa.binary() if i == 8 else pa.int64()) for i, c in enumerate(zip(*found, strict=True))], [c.split()[0] for c in PIECES.split(", ")])
+            batch = found = None
+            pa.default_memory_pool().release_unused()  # workers live on after this task
         if windows.fills:  # said by rows of length 0
             left = [(None, None, 0, None, None, task, window, fill, None) for fill, window in windows.fills]
             yield pa.record_batch([pa.array(c, pa.binary() if i == 8 else pa.int64()) for i, c in enumerate(zip(*left, strict=True))], [c.split()[0] for c in PIECES.split(", ")])
