@@ -243,6 +243,12 @@ def f5_set_sizes(spark, sf):
     return news_(spark, sf).select("url", F.size(F.array_intersect(h, b)).alias("common"), F.size(F.array_union(h, b)).alias("either"))
 
 
+@query(X.sql(f"w as (select url, {_words('headline', 2, 3)} h, {_words('body', 2, 3)} b from news) select url, len(list_intersect(h, b)) as common, len(list_distinct(list_concat(h, b))) as either from w", "news"))
+def f5_set_sizes_whole(spark, sf):
+    h, b = S.topic_words(F.col("headline")), S.topic_words(F.col("body"))
+    return news_(spark, sf).select("url", F.size(F.array_intersect(h, b)).alias("common"), F.size(F.array_union(h, b)).alias("either"))
+
+
 PUB = "pub as (select date, headline from (select n.date, n.headline, row_number() over (partition by n.date order by s.score desc, n.url) k from news n join scores s using (url)) where k <= 3)"
 FAT = f"""{PUB}, tk as (select date, {KEYQ.replace('(t,', '(headline,').replace('(t)', '(headline)')} topic, count(distinct headline) n from pub group by 1, 2), td as (select date + cast(i as int) date, topic, n from tk, range(1, 4) r(i)), tt as (select date, topic, sum(n) n from td group by 1, 2),
 nk as (select *, {KEYQ.replace('(t,', '(headline,').replace('(t)', '(headline)')} tkey from news), fs as (select nk.date, nk.url, max(tt.n) seen from nk join tt on nk.date = tt.date and (tkey = topic or (length(tkey)>=3 and length(topic)>=3 and (contains(tkey, topic) or contains(topic, tkey)))) group by 1, 2)"""

@@ -17,16 +17,35 @@ LINES = (
     "https://www.so.com/s?q=1", "", "Kingdom Rush 特惠 The Krafton Nexon", "2024年1月28日 AI 引擎 unity",
 )
 VALUES = "lines as (select * from (values " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LINES)) + ") t(id, t) union all select doc_id + 1000, substr(text, 1, 300) from documents)"
+#: The beginning of an article that VALUES has, and the same lines with the whole text of each article.
+CUT = "substr(text, 1, 300)"
+WHOLE_VALUES = VALUES.replace(CUT, "text")
 AS_OF = "date '2024-01-30'"
 
 
-def lines(spark, sf):
+def lines(spark, sf, text="text"):
     told = spark.createDataFrame(list(enumerate(LINES)), "id long, t string")
-    return told.unionByName(X.table(spark, sf, "documents").selectExpr("doc_id + 1000 as id", "substr(text, 1, 300) as t"))
+    return told.unionByName(X.table(spark, sf, "documents").selectExpr("doc_id + 1000 as id", f"{text} as t"))
 
 
-def _s(body: str) -> str:
-    return f"with {VALUES} {body}"
+def _s(body: str, values: str = VALUES) -> str:
+    return f"with {values} {body}"
+
+
+def over_lines(body: str):
+    """Register f(rows) under its name over the beginnings of the articles, and as <name>_whole over their whole texts, each with its SQL."""
+
+    def add(f):
+        for end, text, values in (("", CUT, VALUES), ("_whole", "text", WHOLE_VALUES)):
+
+            def run(spark, sf, text=text):
+                return f(lines(spark, sf, text))
+
+            run.__name__ = f.__name__ + end
+            query(_s(body, values))(run)
+        return f
+
+    return add
 
 
 def _in(words, fold=False) -> str:
@@ -44,9 +63,9 @@ def s1_platform(spark, sf):
     return raw.select("raw", S.normalize_platform(F.col("raw")).alias("platform")).join(F.broadcast(n))
 
 
-@query(_s("select id, case when len(n) > 0 then array_to_string(list_sort(n), '|') else regexp_extract(t, '「([^」]+)」', 1) end as names from (select id, t, list_distinct(regexp_extract_all(t, '《([^》]+)》', 1)) n from lines)"))
-def s2_game_names(spark, sf):
-    return lines(spark, sf).select("id", _joined(S.game_names(F.col("t"))).alias("names"))
+@over_lines("select id, case when len(n) > 0 then array_to_string(list_sort(n), '|') else regexp_extract(t, '「([^」]+)」', 1) end as names from (select id, t, list_distinct(regexp_extract_all(t, '《([^》]+)》', 1)) n from lines)")
+def s2_game_names(told):
+    return told.select("id", _joined(S.game_names(F.col("t"))).alias("names"))
 
 
 NOISE = "['" + "','".join(P.NOISE_WORDS) + "']"
@@ -56,9 +75,9 @@ def _words(col, cjk, ascii_):
     return f"list_filter(list_distinct(list_concat(regexp_extract_all({col}, '{CJK}{{{cjk},}}'), list_transform(list_filter(regexp_extract_all({col}, '[A-Za-z]+'), lambda x: length(x) >= {ascii_}), lambda x: lower(x)))), lambda x: not list_contains({NOISE}, x))"
 
 
-@query(_s(f"select id, array_to_string(list_sort({_words('t', 2, 3)}), '|') as words from lines"))
-def s3_topic_words(spark, sf):
-    return lines(spark, sf).select("id", _joined(S.topic_words(F.col("t"))).alias("words"))
+@over_lines(f"select id, array_to_string(list_sort({_words('t', 2, 3)}), '|') as words from lines")
+def s3_topic_words(told):
+    return told.select("id", _joined(S.topic_words(F.col("t"))).alias("words"))
 
 
 def _stripped(col="t"):
@@ -70,19 +89,19 @@ def _stripped(col="t"):
 TOKENS = f"list_distinct(list_transform(list_concat(regexp_extract_all(c, '《([^》]+)》', 1), {_words('c', 4, 4)}), lambda x: lower(x)))"
 
 
-@query(_s(f"select id, array_to_string(list_sort({TOKENS}), '|') as tokens from (select id, {_stripped()} c from lines)"))
-def s4_dedup_tokens(spark, sf):
-    return lines(spark, sf).select("id", _joined(S.dedup_tokens(F.col("t"))).alias("tokens"))
+@over_lines(f"select id, array_to_string(list_sort({TOKENS}), '|') as tokens from (select id, {_stripped()} c from lines)")
+def s4_dedup_tokens(told):
+    return told.select("id", _joined(S.dedup_tokens(F.col("t"))).alias("tokens"))
 
 
-@query(_s(f"select id, array_to_string(list_sort(list_filter(list_distinct(list_concat(regexp_extract_all(lower(t), '[a-z]{{2,}}'), case when length(k) > 1 then list_transform(range(1, length(k)), lambda i: substr(k, i, 2)) else [] end)), lambda x: not list_contains({NOISE}, x))), '|') as tokens from (select id, t, regexp_replace(t, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g') k from lines)"))
-def s5_similarity_tokens(spark, sf):
-    return lines(spark, sf).select("id", _joined(S.similarity_tokens(F.col("t"))).alias("tokens"))
+@over_lines(f"select id, array_to_string(list_sort(list_filter(list_distinct(list_concat(regexp_extract_all(lower(t), '[a-z]{{2,}}'), case when length(k) > 1 then list_transform(range(1, length(k)), lambda i: substr(k, i, 2)) else [] end)), lambda x: not list_contains({NOISE}, x))), '|') as tokens from (select id, t, regexp_replace(t, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g') k from lines)")
+def s5_similarity_tokens(told):
+    return told.select("id", _joined(S.similarity_tokens(F.col("t"))).alias("tokens"))
 
 
-@query(_s(f"select id, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(t, '[A-Z][a-z]{{2,}}(?:[A-Z][a-z]+)*'), lambda x: not list_contains(['{chr(39) + chr(44) + chr(39)}'], x)), list_filter({list(P.ENTITY_COMPANIES)}, lambda c: contains(t, c))))), '|') as entities from lines".replace("['" + "','" + "']", str(list(P.ENTITY_STOP)))))
-def s6_entities(spark, sf):
-    return lines(spark, sf).select("id", _joined(S.named_entities(F.col("t"))).alias("entities"))
+@over_lines(f"select id, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(t, '[A-Z][a-z]{{2,}}(?:[A-Z][a-z]+)*'), lambda x: not list_contains(['{chr(39) + chr(44) + chr(39)}'], x)), list_filter({list(P.ENTITY_COMPANIES)}, lambda c: contains(t, c))))), '|') as entities from lines".replace("['" + "','" + "']", str(list(P.ENTITY_STOP))))
+def s6_entities(told):
+    return told.select("id", _joined(S.named_entities(F.col("t"))).alias("entities"))
 
 
 FACTS = f"least(20, len(regexp_extract_all(b, '[0-9]+\\.?[0-9]*')) + len(regexp_extract_all(b, '《[^》]+》')) + len(list_filter({list(P.COMPANIES)}, lambda c: contains(b, c))))"
@@ -92,15 +111,15 @@ SIGNAL = f"greatest(0, least(100, 40 + case when n <= 100 then -15 when n > 500
 BODY = f"sig0 as (select *, length(b) n, {FACTS} facts, {FRESH} fresh, {DIGEST} digest from body)"
 
 
-@query(_s(f", body as (select id, t as b from lines), {BODY} select id, cast(facts as int) as facts, fresh, digest from sig0"))
-def s7_body_signals(spark, sf):
+@over_lines(f", body as (select id, t as b from lines), {BODY} select id, cast(facts as int) as facts, fresh, digest from sig0")
+def s7_body_signals(told):
     b = F.col("t")
-    return lines(spark, sf).select("id", S.fact_count(b).cast("int").alias("facts"), S.freshness(b, 2024).alias("fresh"), S.is_digest(b).alias("digest"))
+    return told.select("id", S.fact_count(b).cast("int").alias("facts"), S.freshness(b, 2024).alias("fresh"), S.is_digest(b).alias("digest"))
 
 
-@query(_s(f", body as (select id, t as b from lines), {BODY} select id, cast({SIGNAL} as int) as signal from sig0"))
-def s8_signal_score(spark, sf):
-    return lines(spark, sf).select("id", S.signal_score(F.col("t"), 2024).cast("int").alias("signal"))
+@over_lines(f", body as (select id, t as b from lines), {BODY} select id, cast({SIGNAL} as int) as signal from sig0")
+def s8_signal_score(told):
+    return told.select("id", S.signal_score(F.col("t"), 2024).cast("int").alias("signal"))
 
 
 FUSE = "case when s < 20 and f > 60 then least(f, 59) else f end"
@@ -122,9 +141,9 @@ def s10_label_validation(spark, sf):
 KEYQ = "case when regexp_extract(t, '《([^》]+)》', 1) <> '' then trim(regexp_extract(t, '《([^》]+)》', 1)) else substr(trim(regexp_replace(t, '\\[B站[^\\]]+\\]', '', 'g')), 1, 20) end"
 
 
-@query(_s(f"select id, {KEYQ} as topic from lines"))
-def s14_topic_key(spark, sf):
-    return lines(spark, sf).select("id", S.topic_key(F.col("t")).alias("topic"))
+@over_lines(f"select id, {KEYQ} as topic from lines")
+def s14_topic_key(told):
+    return told.select("id", S.topic_key(F.col("t")).alias("topic"))
 
 
 @query("select page_id, lower(regexp_replace(url, '[?#].*$', '')) as canonical, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www[.]', '') as domain from pages")
@@ -165,9 +184,9 @@ def s18_age_days(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", S.age_days(t, F.expr(AS_OF)).cast("int").alias("age"))
 
 
-@query(_s(f"select id, case when regexp_matches(t, '{_FULL}') then {_FULLQ} when regexp_matches(t, '{_SHORT}') then {_SHORTQ(2024)} end as day from lines"))
-def s19_text_date(spark, sf):
-    return lines(spark, sf).select("id", S.text_date(F.col("t"), F.expr(AS_OF)).alias("day"))
+@over_lines(f"select id, case when regexp_matches(t, '{_FULL}') then {_FULLQ} when regexp_matches(t, '{_SHORT}') then {_SHORTQ(2024)} end as day from lines")
+def s19_text_date(told):
+    return told.select("id", S.text_date(F.col("t"), F.expr(AS_OF)).alias("day"))
 
 
 _NK = "regexp_replace(t, '^(热|爆|沸|新)\\s*', '')"
@@ -176,9 +195,9 @@ for _m in ("，", "。", " "):
     _CUT = f"regexp_replace({_CUT}, '{_m}[^{_m}]*$', '')"
 
 
-@query(_s(f"select id, trim(case when length({_NK}) > 20 then {_CUT} else {_NK} end) as keyword from lines"))
-def s20_keyword_normalise(spark, sf):
-    return lines(spark, sf).select("id", S.normalize_keyword(F.col("t")).alias("keyword"))
+@over_lines(f"select id, trim(case when length({_NK}) > 20 then {_CUT} else {_NK} end) as keyword from lines")
+def s20_keyword_normalise(told):
+    return told.select("id", S.normalize_keyword(F.col("t")).alias("keyword"))
 
 
 REL = f"(not {_in(P.IRRELEVANT_WORDS)} and {_in(P.RELEVANT_WORDS, True)})"
@@ -186,9 +205,9 @@ _HOT = f"case when t = '' or not {REL} or {_in(P.RECRUITING_WORDS, True)} or {_i
 _PTS = f"2 * len(list_filter({list(P.PLATFORM_WORDS)}, lambda w: contains(lower(t), w))) + 3 * len(list_filter({list(P.BUSINESS_WORDS)}, lambda w: contains(lower(t), w))) + case when {_in(P.HOT_TRACK_WORDS)} then 2 else 0 end"
 
 
-@query(_s(f"select id, cast({_HOT} as int) as score from (select id, t, {_PTS} pts from (select id, trim(t) t from lines))"))
-def s21_hot_score(spark, sf):
-    return lines(spark, sf).select("id", S.hot_score(F.col("t"), F.lit(""), F.lit("https://a.org/b")).cast("int").alias("score"))
+@over_lines(f"select id, cast({_HOT} as int) as score from (select id, t, {_PTS} pts from (select id, trim(t) t from lines))")
+def s21_hot_score(told):
+    return told.select("id", S.hot_score(F.col("t"), F.lit(""), F.lit("https://a.org/b")).cast("int").alias("score"))
 
 
 @query("select event_id, cast(greatest(10, 100 - event_id % 120) + 20 * (event_id % 7) as double) / 100 as weight from events", "weight")
@@ -210,9 +229,9 @@ def s24_sources(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", c.alias("source")).select("doc_id", "source", S.source_order(F.col("source")).alias("place"), S.source_weight(F.col("source")).alias("weight"), S.source_label(F.col("source")).alias("label"))
 
 
-@query(_s("select id, case when regexp_matches(t, '首发|上线') then '首发' when regexp_matches(t, '预|测试') then '预约/测试' when regexp_matches(t, '更新|版本') then '版本更新' when regexp_matches(lower(t), 'demo|试玩') then 'Demo' else '新游' end as event_type from lines"))
-def s25_event_type(spark, sf):
-    return lines(spark, sf).select("id", S.event_type(F.col("t")).alias("event_type"))
+@over_lines("select id, case when regexp_matches(t, '首发|上线') then '首发' when regexp_matches(t, '预|测试') then '预约/测试' when regexp_matches(t, '更新|版本') then '版本更新' when regexp_matches(lower(t), 'demo|试玩') then 'Demo' else '新游' end as event_type from lines")
+def s25_event_type(told):
+    return told.select("id", S.event_type(F.col("t")).alias("event_type"))
 
 
 @query("select page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g'), '\\s+', ' ', 'g')), 1, 200) as excerpt, date '2024-01-01' + cast(page_id % 28 as int) as day from pages")
@@ -223,7 +242,12 @@ def s26_excerpt(spark, sf):
 
 @query(_s("select id, case when trim(t) = '' or contains(t, '？') or contains(t, '?') or length(trim(t)) > 12 then trim(t) when length(trim(t)) <= 4 then '游戏行业 \"' || trim(t) || '\" 2024年最新动态与发展趋势' else '游戏行业 \"' || trim(t) || '\" — 最新动态与行业影响' end as question from (select id, substr(t, 1, cast(id % 15 as int)) t from lines)"))
 def s27_question(spark, sf):
-    return lines(spark, sf).select("id", S.expand_question(F.expr("substr(t, 1, cast(id % 15 as int))"), 2024).alias("question"))
+    return lines(spark, sf, CUT).select("id", S.expand_question(F.expr("substr(t, 1, cast(id % 15 as int))"), 2024).alias("question"))
+
+
+@query(_s("select id, case when trim(t) = '' or contains(t, '？') or contains(t, '?') or length(trim(t)) > 12 then trim(t) when length(trim(t)) <= 4 then '游戏行业 \"' || trim(t) || '\" 2024年最新动态与发展趋势' else '游戏行业 \"' || trim(t) || '\" — 最新动态与行业影响' end as question from lines", WHOLE_VALUES))
+def s27_question_whole(spark, sf):
+    return lines(spark, sf).select("id", S.expand_question(F.col("t"), 2024).alias("question"))
 
 
 @query("select lang, k as n, case k when 1 then lang || ' 今天' when 2 then lang || ' 最新' when 3 then lang || ' 游戏 今日' when 4 then lang || ' 游戏 行业 今天' else lang || ' 游戏 行业 2024-01-30' end as query from (select distinct lang from documents where lang is not null), unnest([1, 2, 3, 4, 5]) x(k)")
@@ -243,33 +267,39 @@ def s31_images(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", S.valid_image(F.col("url")).alias("valid"), S.dimension(F.concat((F.col("page_id") % 500).cast("string"), F.lit("px"))).alias("width"))
 
 
-@query(_s("select id, regexp_replace(t, '^(游戏资讯|行业活动|行业分析)\\s*', '') as headline from lines"))
-def s32_clean_headline(spark, sf):
-    return lines(spark, sf).select("id", S.clean_headline(F.col("t")).alias("headline"))
+@over_lines("select id, regexp_replace(t, '^(游戏资讯|行业活动|行业分析)\\s*', '') as headline from lines")
+def s32_clean_headline(told):
+    return told.select("id", S.clean_headline(F.col("t")).alias("headline"))
 
 
 _KW = "(regexp_matches(lower(t), '(^|[^a-z0-9_])(td|roguelike|roguelite)([^a-z0-9_]|$)') or " + " or ".join(f"contains(lower(t), '{w.lower()}')" for w in P.TRACK_WORDS if w.lower() not in ("td", "roguelike", "roguelite")) + ")"
 
 
-@query(_s(f"select id, {_KW} as hit from lines"))
-def b2_keyword_match(spark, sf):
-    return lines(spark, sf).select("id", S.keyword_match(F.col("t"), P.TRACK_WORDS).alias("hit"))
+@over_lines(f"select id, {_KW} as hit from lines")
+def b2_keyword_match(told):
+    return told.select("id", S.keyword_match(F.col("t"), P.TRACK_WORDS).alias("hit"))
 
 
-@query(_s(f"select id, {_in(P.RELEVANT_WORDS, True)} or (contains(t, '《') and not {_in(P.IRRELEVANT_WORDS)}) as passes from lines"))
-def b8_domain_headline(spark, sf):
-    return lines(spark, sf).select("id", S.is_domain_headline(F.col("t")).alias("passes"))
+@over_lines(f"select id, {_in(P.RELEVANT_WORDS, True)} or (contains(t, '《') and not {_in(P.IRRELEVANT_WORDS)}) as passes from lines")
+def b8_domain_headline(told):
+    return told.select("id", S.is_domain_headline(F.col("t")).alias("passes"))
 
 
-@query(_s(f"select id, {REL} as relevant from lines"))
-def b9_relevance(spark, sf):
-    return lines(spark, sf).select("id", S.is_relevant(F.col("t")).alias("relevant"))
+@over_lines(f"select id, {REL} as relevant from lines")
+def b9_relevance(told):
+    return told.select("id", S.is_relevant(F.col("t")).alias("relevant"))
 
 
 @query(_s("select id, id % 5 = 0 or (trim(t) <> '' and length(trim(t)) <= 14 and len(regexp_extract_all(trim(t), '[0-9]')) < 4 and not regexp_matches(t, '[，。！？；：()（）\\[\\]【】/\\\\]') and len(regexp_extract_all(trim(t), ' ')) < 3) as compact from (select id, substr(t, 1, 16) t from lines)"))
 def b10_compact_keyword(spark, sf):
     source = F.when(F.col("id") % 5 == 0, "curated").otherwise("hot")
-    return lines(spark, sf).select("id", S.is_compact(F.expr("substr(t, 1, 16)"), source).alias("compact"))
+    return lines(spark, sf, CUT).select("id", S.is_compact(F.expr("substr(t, 1, 16)"), source).alias("compact"))
+
+
+@query(_s("select id, id % 5 = 0 or (trim(t) <> '' and length(trim(t)) <= 14 and len(regexp_extract_all(trim(t), '[0-9]')) < 4 and not regexp_matches(t, '[，。！？；：()（）\\[\\]【】/\\\\]') and len(regexp_extract_all(trim(t), ' ')) < 3) as compact from lines", WHOLE_VALUES))
+def b10_compact_keyword_whole(spark, sf):
+    source = F.when(F.col("id") % 5 == 0, "curated").otherwise("hot")
+    return lines(spark, sf).select("id", S.is_compact(F.col("t"), source).alias("compact"))
 
 
 @query("with u as (select page_id, case page_id % 4 when 0 then 'https://www.so.com/s?q=a' when 1 then 'https://so.com' when 2 then '' else url end u from pages) select page_id, u = '' or regexp_matches(u, '^https://(www[.])?so[.]com($|/s)') as search_page from u")
