@@ -232,7 +232,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(cid, shingles) of the classes in cids, from the text of one document each."""
+    """(cid, shingles) of the classes in cids, from the text of one document each; an error if docs no longer has one of them."""
     wanted = stored(classes.join(cids, "cid", "left_semi").select("cid", F.coalesce("rep", F.lit(_NONE)).alias("key"), "digest"), "near-dup-wanted")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.col(text_col).alias("text"))
 
@@ -243,8 +243,12 @@ def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, words: int, i
 
         return one
 
-    found = texts.join(_small(wanted, wanted.count()), "key").select("cid", "digest", "text")
-    return arrow_map(found, "cid long, shingles binary", start).dropDuplicates(["cid"])
+    n = wanted.count()
+    found = texts.join(_small(wanted, n), "key").select("cid", "digest", "text")
+    sets = stored(arrow_map(found, "cid long, shingles binary", start).dropDuplicates(["cid"]), "near-dup-sets")
+    if sets.count() != n:
+        raise RuntimeError(f"{n} classes are wanted, {sets.count()} have a text: ids or texts changed between two readings of the documents")
+    return sets
 
 
 class _Near:
@@ -394,7 +398,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     near = stored(_compared(mixed.join(active, "cid").select(F.col("key").alias("cluster"), "cid", "label", "n_shingles", F.col("regs").alias("data")), partial(_Near, threshold), of_labels=True).distinct(), "near-dup-near")
     clusters = components(near).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
     told = stored(clusters.join(mixed.select("cid", "label").distinct(), "label"), "near-dup-clusters")
-    sets = stored(_sets_of(told.select("cid"), classes, docs, words, id_col, text_col), "near-dup-sets")
+    sets = _sets_of(told.select("cid"), classes, docs, words, id_col, text_col)
     more = stored(_compared(told.join(sets, "cid").select("cluster", "cid", "label", F.lit(0).cast("long").alias("n_shingles"), F.col("shingles").alias("data")), partial(_Linked, percent)), "near-dup-links")
     labels = components(links.union(more))
 
@@ -407,8 +411,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one document of each component: the first row that Spark reads."""
-    numbered = docs.withColumn("near_dup_row", F.monotonically_increasing_id())
+    """docs, all columns, with one document of each component: the first row that Spark reads.
+
+    The numbers are stored with the rows, as another job may split the same files otherwise and number them anew.
+    """
+    numbered = stored(docs.withColumn("near_dup_row", F.monotonically_increasing_id()), "near-dup-numbered")
     gone = stored(near_duplicates(numbered, words, percent, "near_dup_row", text_col).where("not kept").select(F.col("doc_id").alias("near_dup_row")), "near-dup-gone")
     return numbered.join(_small(gone, gone.count()), "near_dup_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -417,5 +424,5 @@ def _verified(pairs: DataFrame, active: DataFrame, classes: DataFrame, docs: Dat
     """The pairs that are links: by estimate, then on the full sets."""
     likely = stored(_likely(pairs, active, percent / 100), "near-dup-likely")
     cids = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
-    sets = stored(_sets_of(cids, classes, docs, words, id_col, text_col), "near-dup-sets")
+    sets = _sets_of(cids, classes, docs, words, id_col, text_col)
     return stored(_confirmed(likely, sets, percent), "near-dup-links")

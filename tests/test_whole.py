@@ -1,6 +1,9 @@
 """The whole job where a query or an operator once did less of it."""
 
+import pytest
+
 from rankpulse import plans
+from rankpulse.llm import near_dup
 
 
 def test_whole_texts(spark, tmp_path):
@@ -13,3 +16,31 @@ def test_whole_texts(spark, tmp_path):
     assert at("s27_question_whole")["question"] == text
     whole = plans.QUERIES["f5_set_sizes_whole"](spark, str(tmp_path)).first()
     assert (whole["common"], whole["either"]) == (4, 7)  # plain words stand here; 深空 zebra and
+
+
+def test_numbers_of_rows_stay(spark, tmp_path, monkeypatch):
+    """Each job splits the files of the documents in another way."""
+    rows = [(g, " ".join(f"w{(g // 3) * 1000 + i}" for i in range(40)) + (f" x{g}" if g % 3 else "")) for g in range(60)]
+    for i in range(20):  # the copies of a group stand in different files
+        spark.createDataFrame(rows[i::20], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    write, calls = near_dup.stored, []
+
+    def stored(df, what):
+        out = write(df, what)
+        calls.append(what)
+        spark.conf.set("spark.sql.files.openCostInBytes", ("1", "100000000")[len(calls) % 2])
+        return out
+
+    monkeypatch.setattr(near_dup, "stored", stored)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        kept = [r["doc_id"] // 3 for r in near_dup.keep_one(spark.read.parquet(f"{tmp_path}/docs"), 5).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert sorted(kept) == list(range(20))
+
+
+def test_lost_texts_are_an_error(spark):
+    classes = spark.createDataFrame([(1, 7, b"another text's")], "cid long, rep long, digest binary")
+    with pytest.raises(RuntimeError, match="1 classes are wanted, 0"):
+        near_dup._sets_of(classes.select("cid"), classes, spark.createDataFrame([(7, "a b c")], "doc_id long, text string"), 2, "doc_id", "text")
