@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import scalars as S
+from .tables import stored
 
 
 def check_distribution(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -46,50 +46,40 @@ def topic_boost(headline: Column, boosts: dict[str, int], topics: dict[str, tupl
     return F.greatest(F.lit(0), F.least(F.lit(100), score + total))
 
 
-def select_diverse(scored: DataFrame, overseas: tuple[str, ...] = ("pocketgamer.biz",), pairs: DataFrame | None = None, total: int = 7, videos: int = 2, per_source: int = 3, per_game: int = 2, best: int = 500) -> DataFrame:
+def select_diverse(scored: DataFrame, overseas: tuple[str, ...] = ("pocketgamer.biz",), pairs: DataFrame | None = None, total: int = 7, videos: int = 2, per_source: int = 3, per_game: int = 2) -> DataFrame:
     """Per date a diverse choice of scored news (date, url, headline, source, score): caps a source, game and video, no same story twice.
 
-    The last place is kept for an overseas item while none is chosen; a second pass adds one; a third fills up. Only the `best` scores of a
-    date compete, which bounds a date's rows in its task; `best` is a parameter of the choice.
+    The last place is kept for an overseas item while none is chosen; a second pass adds one; a third fills up. What doesn't fit once never
+    fits later, so a pass takes the best row that fits, again and again: one aggregate a place over all rows of all dates, and only the
+    chosen rows of each date are carried from place to place.
     """
-    cut = top_n(scored, ["date"], [F.desc("score"), "url"], best).withColumn("game", F.coalesce(F.nullif(F.regexp_extract("headline", "《([^》]+)》", 1), F.lit("")), F.substring("headline", 1, 8)))
-    linked = None
+    game = F.coalesce(F.nullif(F.regexp_extract("headline", "《([^》]+)》", 1), F.lit("")), F.substring("headline", 1, 8))
+    abroad = F.coalesce(F.col("source").isin(*overseas), F.lit(False))
+    rows = stored(scored.select("date", "url", "source", game.alias("game"), "score", abroad.alias("far")), "diverse-rows")
     if pairs is not None:
-        both = pairs.select("date", F.col("a").alias("url"), F.col("b").alias("other")).union(pairs.select("date", "b", "a"))
-        linked = both.groupBy("date", "url").agg(F.collect_set("other").alias("others"))
-        cut = cut.join(linked, ["date", "url"], "left")
-    else:
-        cut = cut.withColumn("others", F.lit(None).cast("array<string>"))
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("place").to_dict("records")
-        chosen: list[dict] = []
-        urls: set[str] = set()
-        count = lambda key, value: sum(1 for c in chosen if c[key] == value)
-
-        def fits(r: dict, source_cap: int) -> bool:
-            others = r["others"]
-            return (
-                r["url"] not in urls and count("source", r["source"]) < (videos if r["source"] == "Bilibili" else source_cap)
-                and count("game", r["game"]) < per_game and (others is None or not urls.intersection(others))
-            )
-
-        def take(r: dict) -> None:
-            chosen.append(r)
-            urls.add(r["url"])
-
-        for r in rows:
-            far = r["source"] in overseas
-            held = not far and len(chosen) == total - 1 and not any(c["source"] in overseas for c in chosen) and any(x["source"] in overseas for x in rows)
-            if len(chosen) < total and not held and fits(r, per_source):
-                take(r)
-        for only_far in (True, False):
-            for r in rows:
-                if len(chosen) < total and (not only_far or (r["source"] in overseas and not any(c["source"] in overseas for c in chosen))) and fits(r, per_source if not only_far else total - 1):
-                    take(r)
-        return pd.DataFrame([{"date": c["date"], "url": c["url"], "source": c["source"], "score": c["score"], "slot": i + 1} for i, c in enumerate(chosen)], columns=["date", "url", "source", "score", "slot"])
-
-    return cut.select("date", "url", "source", "game", "score", "place", "others").groupBy("date").applyInPandas(choose, "date date, url string, source string, score int, slot int")
+        pairs = stored(pairs.select("date", F.col("a").alias("url"), F.col("b").alias("other")).union(pairs.select("date", "b", "a")), "diverse-pairs")
+
+    none = F.array().cast("array<struct<url:string,source:string,game:string,score:int,far:boolean>>")
+    state = stored(rows.groupBy("date").agg(F.max("far").alias("any_far")).withColumn("chosen", none), "diverse-chosen")
+    n, found_far = F.size("chosen"), F.exists("chosen", lambda c: c["far"])
+    count = lambda key: F.size(F.filter("chosen", lambda c: c[key].eqNullSafe(F.col(key))))
+    fits = lambda cap: (count("source") < F.when(F.col("source") == "Bilibili", videos).otherwise(cap)) & (count("game") < per_game) & (count("url") == 0)
+    held = ~F.col("far") & (n == total - 1) & ~found_far & F.col("any_far")
+    turn = F.when(fits(per_source) & ~held, 1).when(F.col("far") & ~found_far & fits(total - 1), 2).when(fits(per_source), 3)
+    first = F.struct("turn", F.col("score").isNull().alias("blank"), (-F.col("score")).alias("down"), "url", "source", "game", F.col("score").cast("int").alias("score"), "far")
+    for _ in range(total):
+        left = rows.join(state.withColumnRenamed("date", "on"), F.col("date").eqNullSafe(F.col("on"))).drop("on").where(n < total).withColumn("turn", turn).where("turn is not null")
+        if pairs is not None:
+            told = state.select(F.col("date"), F.explode("chosen.url").alias("url"))
+            left = left.join(pairs.join(told, ["date", "url"]).select("date", F.col("other").alias("url")).distinct(), ["date", "url"], "left_anti")
+        best = stored(left.groupBy("date").agg(F.min(first).alias("best")), "diverse-best")
+        if not best.limit(1).count():
+            break
+        one = F.array(F.struct(*[F.col(f"best.{c}").alias(c) for c in ("url", "source", "game", "score", "far")]))
+        grown = state.join(best.withColumnRenamed("date", "on"), F.col("date").eqNullSafe(F.col("on")), "left")
+        state = stored(grown.select("date", "any_far", F.when(F.col("best").isNull(), F.col("chosen")).otherwise(F.concat("chosen", one)).alias("chosen")), "diverse-chosen")
+    out = state.select("date", F.posexplode("chosen").alias("slot", "c"))
+    return out.select("date", "c.url", "c.source", "c.score", (F.col("slot") + 1).cast("int").alias("slot"))
 
 
 def score_news(candidates: DataFrame, scores: DataFrame, year: int, weak: int = 15, gate: int = 40) -> DataFrame:

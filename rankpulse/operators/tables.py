@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to a fresh folder under spark.checkpoint.dir, or a temporary one where that isn't set, and read back."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rankpulse-")
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """One row a key, the first in the order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -1,9 +1,13 @@
 """The whole job where a query or an operator once did less of it."""
 
+import datetime as dt
+
+import numpy as np
 import pytest
 
 from rankpulse import plans
 from rankpulse.llm import near_dup
+from rankpulse.operators import scoring
 
 
 def test_whole_texts(spark, tmp_path):
@@ -44,3 +48,50 @@ def test_lost_texts_are_an_error(spark):
     classes = spark.createDataFrame([(1, 7, b"another text's")], "cid long, rep long, digest binary")
     with pytest.raises(RuntimeError, match="1 classes are wanted, 0"):
         near_dup._sets_of(classes.select("cid"), classes, spark.createDataFrame([(7, "a b c")], "doc_id long, text string"), 2, "doc_id", "text")
+
+
+DAY = dt.date(2024, 1, 1)
+SCORED = "date date, url string, headline string, source string, score int"
+
+
+def greedy(rows, pairs, far, total=7):
+    """The diverse choice of one date, item by item."""
+    rows, chosen = sorted(rows, key=lambda r: (-r[4], r[1])), []
+    game = lambda r: r[2].split("》")[0][1:]
+
+    def fits(r, cap):
+        return (
+            r not in chosen and sum(c[3] == r[3] for c in chosen) < (2 if r[3] == "Bilibili" else cap) and sum(game(c) == game(r) for c in chosen) < 2
+            and not any((c[1], r[1]) in pairs or (r[1], c[1]) in pairs for c in chosen)
+        )
+
+    has = lambda: any(c[3] == far for c in chosen)
+    for r in rows:
+        held = r[3] != far and len(chosen) == total - 1 and not has() and any(x[3] == far for x in rows)
+        if len(chosen) < total and not held and fits(r, 3):
+            chosen.append(r)
+    for only in (True, False):
+        for r in rows:
+            if len(chosen) < total and (not only or (r[3] == far and not has())) and fits(r, total - 1 if only else 3):
+                chosen.append(r)
+    return [(i + 1, c[1]) for i, c in enumerate(chosen)]
+
+
+def test_choice_looks_at_all_rows(spark):
+    """One source holds the best 600 rows of a date; what the caps leave room for stands behind them."""
+    rows = [(DAY, f"a{i}", f"《a{i}》x", "hot", 2000 - i) for i in range(600)] + [(DAY, f"b{i}", f"《b{i}》x", f"s{i}", 100 - i) for i in range(6)] + [(DAY, "far", "《f》x", "pg", 1)]
+    got = scoring.select_diverse(spark.createDataFrame(rows, SCORED), ("pg",)).collect()
+    assert sorted((r["slot"], r["url"]) for r in got) == greedy(rows, set(), "pg") and len(got) == 7 and "far" in {r["url"] for r in got}
+
+
+def test_choice_is_the_greedy_one(spark):
+    random = np.random.default_rng(6)
+    rows, pairs = [], []
+    for d in range(1, 25):
+        at = [(dt.date(2024, 1, d), f"u{i}", f"《g{random.integers(2 + d)}》h", ("pg", "Bilibili", "s1", "s2", "s3")[min(4, random.integers(0 if d % 3 else 1, 3 + d % 4))], int(random.integers(30))) for i in range(1 + int(random.integers(40)))]
+        rows += at
+        pairs += [(r[0], r[1], o[1]) for r in at for o in at if r[1] < o[1] and random.random() < 0.1]
+    got = scoring.select_diverse(spark.createDataFrame(rows, SCORED), ("pg",), spark.createDataFrame(pairs, "date date, a string, b string")).collect()
+    for day in {r[0] for r in rows}:
+        linked = {(a, b) for d, a, b in pairs if d == day}
+        assert sorted((r["slot"], r["url"]) for r in got if r["date"] == day) == greedy([r for r in rows if r[0] == day], linked, "pg")
