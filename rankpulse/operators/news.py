@@ -167,9 +167,11 @@ def cross_validate(claims: DataFrame, results: DataFrame, top: int = 3) -> DataF
 
 
 def fuzzy_name_join(left: DataFrame, names: DataFrame) -> DataFrame:
-    """left.name to known names: exact; base name (before a dash or bracket) exact; then one within the other, three characters or more.
+    """left.name to known names: exact; base name (before a dash or bracket) exact; then one base within the other, three characters or more;
+    then a known name of three characters or more within the full name, or a full name of two or more within the known one.
 
-    Containment meets on parts of three characters, so only names with a common part are compared. The best way wins, then the name.
+    Containment meets on parts of three characters, for a full name of two on parts of two, so only names with a common part are compared.
+    The best way wins, then the name.
     """
     low = lambda c: F.lower(F.trim(c))
     base = lambda c: F.trim(F.regexp_replace(low(c), r"[-—(（\[【:：].*$", ""))
@@ -178,10 +180,11 @@ def fuzzy_name_join(left: DataFrame, names: DataFrame) -> DataFrame:
     exact = l.join(r, l.full == r.kfull).select("name", "known", F.lit(1).alias("way"))
     based = l.join(r, l.base == r.kbase).where("base <> ''").select("name", "known", F.lit(2).alias("way"))
     rest = l.join(exact.union(based).select("name").distinct(), "name", "left_anti")
-    head, parts = F.substring("base", 1, 3), F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("base") - 2)), lambda i: F.substr("base", i, F.lit(3))))
-    khead, kparts = F.substring("kbase", 1, 3), F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("kbase") - 2)), lambda i: F.substr("kbase", i, F.lit(3))))
-    rest, r = rest.where("length(base) >= 3"), r.where("length(kbase) >= 3")
-    inside = rest.withColumn("part", head).join(r.withColumn("part", F.explode(kparts)), "part").where("contains(kbase, base)")
-    around = rest.withColumn("part", F.explode(parts)).join(r.withColumn("part", khead), "part").where("contains(base, kbase)")
-    within = inside.select("name", "known").union(around.select("name", "known")).distinct().withColumn("way", F.lit(3))
-    return first_by(exact.union(based).union(within), ["name"], "way", "known")
+    head = lambda c, n: F.substring(c, 1, n)
+    parts = lambda c, n: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substr(c, i, F.lit(n)))))
+    met = lambda a, x, b, y, rule, way: a.withColumn("part", x).join(b.withColumn("part", y), "part").where(rule).select("name", "known", F.lit(way).alias("way"))
+    lb, rb = rest.where("length(base) >= 3"), r.where("length(kbase) >= 3")
+    within = met(lb, head("base", 3), rb, parts("kbase", 3), "contains(kbase, base)", 3).union(met(lb, parts("base", 3), rb, head("kbase", 3), "contains(base, kbase)", 3))
+    lf, two, rf = rest.where("length(full) >= 3"), rest.where("length(full) = 2"), r.where("length(kfull) >= 3")
+    whole = met(lf, parts("full", 3), rf, head("kfull", 3), "contains(full, kfull)", 4).union(met(lf, head("full", 3), rf, parts("kfull", 3), "contains(kfull, full)", 4)).union(met(two, F.col("full"), rf, parts("kfull", 2), "contains(kfull, full)", 4))
+    return first_by(exact.union(based).union(within).union(whole), ["name"], "way", "known")

@@ -318,6 +318,13 @@ def c6_fuzzy_names(spark, sf):
     return news.fuzzy_name_join(left, X.games(spark, sf).select(F.col("game_name").alias("name")))
 
 
+@query(X.sql(f"l as (select 'pre - '||game_name as name from rankings union select substr(game_name, 1, 2) from rankings), k as (select distinct game_name as known from games), p as (select name, known, case when lower(trim(name)) = lower(trim(known)) then 1 when {NB.format('name')} = {NB.format('known')} and {NB.format('name')} <> '' then 2 when length({NB.format('name')})>=3 and length({NB.format('known')})>=3 and (contains({NB.format('name')}, {NB.format('known')}) or contains({NB.format('known')}, {NB.format('name')})) then 3 when length(trim(known))>=3 and (contains(lower(trim(name)), lower(trim(known))) or (length(trim(name))>=2 and contains(lower(trim(known)), lower(trim(name))))) then 4 end way from l, k) select name, known, way from (select *, row_number() over (partition by name order by way, known) r from p where way is not null) where r = 1", "rankings", "games"))
+def c6_fuzzy_names_full(spark, sf):
+    """Known names behind the dash, and names of two characters."""
+    left = X.rankings(spark, sf).select(F.explode(F.array(F.concat(F.lit("pre - "), "game_name"), F.substring("game_name", 1, 2))).alias("name")).distinct()
+    return news.fuzzy_name_join(left, X.games(spark, sf).select(F.col("game_name").alias("name")))
+
+
 SC = "sc as (select n.date, n.url, s.score from news n join scores s using (url))"
 
 

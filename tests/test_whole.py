@@ -1,13 +1,14 @@
 """The whole job where a query or an operator once did less of it."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
 
 from rankpulse import plans
 from rankpulse.llm import near_dup
-from rankpulse.operators import scoring
+from rankpulse.operators import news, scoring
 
 
 def test_whole_texts(spark, tmp_path):
@@ -95,3 +96,31 @@ def test_choice_is_the_greedy_one(spark):
     for day in {r[0] for r in rows}:
         linked = {(a, b) for d, a, b in pairs if d == day}
         assert sorted((r["slot"], r["url"]) for r in got if r["date"] == day) == greedy([r for r in rows if r[0] == day], linked, "pg")
+
+
+KNOWN = ["原神", "原神国际服", "Kingdom Rush", "Rush", "深空", "星穹铁道", "ab", "abcd", "Zed (beta)", "M"]
+NAMES = ["原神", "原神 - 新", "新游 - Kingdom Rush", "x（星穹铁道）", "穹铁", "铁道", "星穹", "深空传说", "AB", "bc", "beta", "new: abcd game", "M", "M - x", "none", "d (b"]
+
+
+def matched(name):
+    """(known, way) by brute force."""
+    base = lambda x: re.sub(r"[-—(（\[【:：].*$", "", x).strip()
+    full, found = name.strip().lower(), []
+    for known in KNOWN:
+        k = known.strip().lower()
+        b, kb = base(full), base(k)
+        if full == k:
+            found.append((1, known))
+        elif b and b == kb:
+            found.append((2, known))
+        elif min(len(b), len(kb)) >= 3 and (b in kb or kb in b):
+            found.append((3, known))
+        elif len(k) >= 3 and (k in full or (len(full) >= 2 and full in k)):
+            found.append((4, known))
+    return min(found, default=None)
+
+
+def test_full_names_are_found(spark):
+    left, known = (spark.createDataFrame([(x,) for x in xs], "name string") for xs in (NAMES, KNOWN))
+    got = {r["name"]: (r["way"], r["known"]) for r in news.fuzzy_name_join(left, known).collect()}
+    assert got == {x: m for x in NAMES if (m := matched(x))} and got["穹铁"] == (4, "星穹铁道") and got["新游 - Kingdom Rush"] == (4, "Kingdom Rush")
