@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import scalars as S
-from .tables import first_by
+from .tables import first_by, stored
 from .tracks import track_class
 
 
@@ -130,24 +131,21 @@ def same_day_pairs(items: DataFrame, least: int = 2) -> DataFrame:
 def drop_same_day(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """items (date, id, place) without those that lose to a kept item of a pair: the lower source place wins, ties the smaller id.
 
-    An item goes if a better one of its pairs stays; items are taken up best first, a date's pairs in one task.
+    An item goes if a better one of its pairs stays. In each round those without a better undecided one stay and the others of their pairs
+    go; what is left of the pairs is written down, until none is left.
     """
-    ends = pairs.select("date", F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("date", "b", "a"))
-    edges = ends.join(items.select("date", "id", "place"), ["date", "id"])
-
-    def lose(group: pd.DataFrame) -> pd.DataFrame:
-        others = group.groupby("id")["other"].apply(set).to_dict()
-        kept: set = set()
-        lost = []
-        for i in group[["place", "id"]].drop_duplicates().sort_values(["place", "id"])["id"]:
-            if others[i] & kept:
-                lost.append(i)
-            else:
-                kept.add(i)
-        return pd.DataFrame({"date": [group["date"].iloc[0]] * len(lost), "id": lost})
-
-    lost = edges.groupBy("date").applyInPandas(lose, "date date, id string")
-    return items.join(lost, ["date", "id"], "left_anti")
+    ranks = items.groupBy("date", "id").agg(F.min(F.struct(F.col("place").isNull().alias("blank"), "place", "id")).alias("rank"))
+    ranked = pairs.where("a <> b").join(ranks.withColumnsRenamed({"id": "a", "rank": "ra"}), ["date", "a"]).join(ranks.withColumnsRenamed({"id": "b", "rank": "rb"}), ["date", "b"])
+    first = F.col("ra") < F.col("rb")
+    rest = stored(ranked.select("date", F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")).distinct(), "same-day-pairs")
+    lost = []
+    while rest.limit(1).count():
+        top = rest.select("date", "better").distinct().join(rest.select("date", F.col("worse").alias("better")).distinct(), ["date", "better"], "left_anti")
+        lost.append(stored(rest.join(top, ["date", "better"], "left_semi").select("date", F.col("worse").alias("id")).distinct(), "same-day-lost"))
+        # all pairs of those that stay are with one that goes
+        gone = [lost[-1].withColumnRenamed("id", c) for c in ("better", "worse")]
+        rest = stored(rest.join(gone[0], ["date", "better"], "left_anti").join(gone[1], ["date", "worse"], "left_anti").select("date", "better", "worse"), "same-day-pairs")
+    return items.join(reduce(DataFrame.union, lost), ["date", "id"], "left_anti") if lost else items
 
 
 def cross_validate(claims: DataFrame, results: DataFrame, top: int = 3) -> DataFrame:

@@ -6,6 +6,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import GroupedData
+
 from rankpulse import plans
 from rankpulse.llm import near_dup
 from rankpulse.operators import news, scoring
@@ -124,3 +126,21 @@ def test_full_names_are_found(spark):
     left, known = (spark.createDataFrame([(x,) for x in xs], "name string") for xs in (NAMES, KNOWN))
     got = {r["name"]: (r["way"], r["known"]) for r in news.fuzzy_name_join(left, known).collect()}
     assert got == {x: m for x in NAMES if (m := matched(x))} and got["穹铁"] == (4, "星穹铁道") and got["新游 - Kingdom Rush"] == (4, "Kingdom Rush")
+
+
+def test_same_day_without_a_task_a_date(spark, monkeypatch):
+    """The rounds give the choice that takes up items best first, and no date goes to one task as a whole."""
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    random = np.random.default_rng(8)
+    items = [(dt.date(2024, 1, d), f"u{i:02}", int(random.integers(4))) for d in (1, 2, 3) for i in range(40)]
+    pairs = [(a[0], a[1], b[1]) for a in items for b in items if a[0] == b[0] and a[1] < b[1] and random.random() < (0.02, 0.1, 0.5)[a[0].day - 1]]
+    pairs += [(dt.date(2024, 1, 4), f"c{i:02}", f"c{i + 1:02}") for i in range(12)]  # a chain
+    items += [(dt.date(2024, 1, 4), f"c{i:02}", i) for i in range(13)]
+    linked, kept = {(d, x, y) for d, a, b in pairs for x, y in ((a, b), (b, a))}, []
+    for d, i, place in sorted(items, key=lambda r: (r[0], r[2], r[1])):
+        if not any((d, i, k) in linked for e, k, _ in kept if e == d):
+            kept.append((d, i, place))
+    df = spark.createDataFrame(items, "date date, id string, place int")
+    got = news.drop_same_day(df, spark.createDataFrame(pairs, "date date, a string, b string"))
+    assert sorted(tuple(r[c] for c in ("date", "id", "place")) for r in got.collect()) == sorted(kept)
+    assert news.drop_same_day(df, spark.createDataFrame([], "date date, a string, b string")).count() == len(items)
