@@ -63,6 +63,15 @@ def s1_platform(spark, sf):
     return raw.select("raw", S.normalize_platform(F.col("raw")).alias("platform")).join(F.broadcast(n))
 
 
+_RAW = "case user_id % 5 when 0 then concat(' ios', event_type, ' ') when 1 then concat('Android', event_type) when 2 then 'pc' when 3 then concat('x IOS ', event_type) else event_type end"
+
+
+@query(f"with x as (select event_id, {_RAW} as raw from events) select event_id, raw, case when contains(upper(trim(raw)), 'IOS') then 'iOS' when contains(upper(trim(raw)), 'ANDROID') then 'Android' else upper(trim(raw)) end as platform from x")
+def s1_platform_rows(spark, sf):
+    rows = X.table(spark, sf, "events").select("event_id", F.expr(_RAW).alias("raw"))
+    return rows.withColumn("platform", S.normalize_platform(F.col("raw")))
+
+
 @over_lines("select id, case when len(n) > 0 then array_to_string(list_sort(n), '|') else regexp_extract(t, '「([^」]+)」', 1) end as names from (select id, t, list_distinct(regexp_extract_all(t, '《([^》]+)》', 1)) n from lines)")
 def s2_game_names(told):
     return told.select("id", _joined(S.game_names(F.col("t"))).alias("names"))

@@ -144,3 +144,9 @@ def test_same_day_without_a_task_a_date(spark, monkeypatch):
     got = news.drop_same_day(df, spark.createDataFrame(pairs, "date date, a string, b string"))
     assert sorted(tuple(r[c] for c in ("date", "id", "place")) for r in got.collect()) == sorted(kept)
     assert news.drop_same_day(df, spark.createDataFrame([], "date date, a string, b string")).count() == len(items)
+
+
+def test_platform_of_every_row(spark):
+    sf = "/root/testdata/sf0.001"
+    got = plans.QUERIES["s1_platform_rows"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/events.parquet").count() and {"iOS", "Android", "PC"} < {r["platform"] for r in got.select("platform").distinct().collect()}
