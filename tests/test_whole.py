@@ -1,7 +1,9 @@
 """The whole job where a query or an operator once did less of it."""
 
 import datetime as dt
+import math
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import GroupedData
 
 from rankpulse import plans
-from rankpulse.llm import near_dup
+from rankpulse.llm import katz, near_dup
 from rankpulse.operators import news, scoring
 
 
@@ -150,3 +152,38 @@ def test_platform_of_every_row(spark):
     sf = "/root/testdata/sf0.001"
     got = plans.QUERIES["s1_platform_rows"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/events.parquet").count() and {"iOS", "Android", "PC"} < {r["platform"] for r in got.select("platform").distinct().collect()}
+
+
+def katz_scores(train, texts, order):
+    """The Katz backoff score of each text by brute force."""
+    split = lambda t: ["<"] * (order - 1) + t.lower().split() + [">"]
+    grams = lambda t, k: [tuple(w[i - k + 1 : i + 1]) for w in [split(t)] for i in range(order - 1, len(w))]
+    p, weight = {}, {}
+    for k in range(1, order + 1):
+        c = Counter(g for t in train for g in grams(t, k))
+        d = katz.good_turing(Counter(c.values()))
+        dc, total, own, below = {g: d.get(n, 1) * n for g, n in c.items()}, Counter(), Counter(), defaultdict(float)
+        for g, n in c.items():
+            total[g[:-1]] += n
+            own[g[:-1]] += dc[g]
+            below[g[:-1]] += p[g[1:]] if k > 1 else 0
+        extra = 0.5 if k == 1 else 0
+        scale = {h: min(1, (n + extra) / (n + 1) * n / own[h]) / n for h, n in total.items()}
+        p |= {g: dc[g] * scale[g[:-1]] for g in c}
+        weight |= {(k, h): (1 - scale[h] * own[h]) / (1 - below[h]) for h in total}
+
+    def chance(g):
+        if g in p:
+            return p[g]
+        return weight[1, ()] if len(g) == 1 else weight.get((len(g), g[:-1]), 1) * chance(g[1:])
+
+    return [sum(math.log10(chance(g)) for g in grams(t, order)) for t in texts]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_scores(spark, order):
+    random = np.random.default_rng(9)
+    texts = [" ".join(f"w{int(x)}" for x in random.zipf(1.6, 12) if x < 30) for _ in range(60)] + ["", "unseen words", "w1 unseen w1"]
+    rows = lambda xs: spark.createDataFrame(list(enumerate(xs)), "row long, text string")
+    got = {r["row"]: r["score"] for r in katz.score(rows(texts), katz.fit(rows(texts[:40]), order)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(katz_scores(texts[:40], texts, order), abs=1e-9)
