@@ -49,10 +49,10 @@ def feedback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").selectExpr(
+    return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").selectExpr(
         f"{_url()} as url", "cast(least(100, greatest(0, 40 * quality - 20 * toxic + cast((doc_id * 37) % 50 as int))) as int) as score",
         "case when quality = 1 and doc_id % 2 = 0 then 'track_direct' when quality = 1 then 'high_info_density' else '' end as pos_label",
-        "case when quality = 0 then 'low_info' else '' end as neg_label",
+        "case when quality = 0 then 'low_info' else '' end as neg_label", "split_part(text, '\n', 1) as summary",
     )
 
 
@@ -88,7 +88,7 @@ date '2024-01-01' + cast(doc_id%30 as int) - cast(doc_id%10 as int) as publish_d
 from events e join documents d on d.doc_id = cast(json_extract_string(e.props,'$.k') as bigint) where e.event_type in ('view','error','click'))""",
     "scores": """scores as materialized (select 'https://'||d.source||'.example.org/'||cast(d.doc_id as varchar) as url, cast(least(100,greatest(0, 40*l.quality - 20*l.toxic + cast((d.doc_id*37)%50 as int))) as int) as score,
 case when l.quality=1 and d.doc_id%2=0 then 'track_direct' when l.quality=1 then 'high_info_density' else '' end as pos_label,
-case when l.quality=0 then 'low_info' else '' end as neg_label from labels l join documents d using(doc_id))""",
+case when l.quality=0 then 'low_info' else '' end as neg_label, split_part(text, chr(10), 1) as summary from labels l join documents d using(doc_id))""",
     "games": """games as materialized (select date '2024-01-01' + cast(p_partkey%30 as int) as date, p_name||' '||cast(p_partkey as varchar) as game_name, p_type||'|'||p_brand as tags, p_type as genre,
 case when p_size>=25 then cast(p_size-24 as varchar)||'万+预约' else cast(p_size*100 as varchar)||'预约' end as downloads, p_partkey%9=0 as is_port from part)""",
     "audit_log": """audit_log as materialized (select cast(conv_id as varchar) as run_id, cast(turn as int) as round_num, role as tool_name, cast(length(text) as int) as latency_ms, turn%2=1 as cache_hit from conversations)""",

@@ -69,7 +69,7 @@ def similarity_tokens(col: Column) -> Column:
     words = F.regexp_extract_all(low, F.lit("([a-z]{2,})"), F.lit(1))
     cjk = F.regexp_replace(low, f"[^\\x{{4e00}}-\\x{{9fff}}]", "")
     pairs = F.when(F.length(cjk) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(cjk) - 1)), lambda i: F.substr(cjk, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.array_except(F.array_union(words, pairs), F.array(*map(F.lit, P.NOISE_WORDS)))
+    return F.array_except(F.array_union(words, pairs), F.array(*map(F.lit, P.STORY_NOISE)))
 
 
 def named_entities(col: Column) -> Column:
@@ -100,13 +100,18 @@ def is_digest(body: Column) -> Column:
 
 
 def signal_score(body: Column, year: int) -> Column:
-    """40, plus and minus points for length, facts, freshness and digests, within 0..100."""
-    n, facts, fresh = F.length(F.coalesce(body, F.lit(""))), fact_count(body), freshness(body, year)
-    points = (
-        40 + F.when(n <= 100, -15).when(n > 500, 5).otherwise(0) + F.when(n == 0, -10).when(facts >= 5, 10).when(facts >= 2, 5).when(facts == 0, -10).otherwise(0)
-        + F.when(is_digest(body), -10).otherwise(0) + F.when(fresh.isin("今日", "昨日"), 10).when(fresh.isin("上周", "上月", "去年或更早"), -10).otherwise(0)
-    )
-    return F.greatest(F.lit(0), F.least(F.lit(100), points))
+    """40, plus and minus points for length, facts, freshness and digests, within 0..100. Each sign is taken once a body."""
+
+    def points(s: Column) -> Column:
+        n, facts, fresh = s["n"], s["facts"], s["fresh"]
+        total = (
+            40 + F.when(n <= 100, -15).when(n > 500, 5).otherwise(0) + F.when(n == 0, -10).when(facts >= 5, 10).when(facts >= 2, 5).when(facts == 0, -10).otherwise(0)
+            + F.when(s["digest"], -10).otherwise(0) + F.when(fresh.isin("今日", "昨日"), 10).when(fresh.isin("上周", "上月", "去年或更早"), -10).otherwise(0)
+        )
+        return F.greatest(F.lit(0), F.least(F.lit(100), total))
+
+    signs = F.struct(F.length(F.coalesce(body, F.lit(""))).alias("n"), fact_count(body).alias("facts"), freshness(body, year).alias("fresh"), is_digest(body).alias("digest"))
+    return F.get(F.transform(F.array(signs), points), 0)
 
 
 def fuse(signal: Column, score: Column) -> Column:
@@ -210,9 +215,9 @@ def is_search_page(url: Column, hosts=("so.com", "www.so.com")) -> Column:
     return F.coalesce((url == "") | (host.isin(*hosts) & ((path == "") | path.startswith("/s"))), F.lit(True))
 
 
-def is_domain_headline(col: Column, yes=P.RELEVANT_WORDS, no=P.IRRELEVANT_WORDS) -> Column:
+def is_domain_headline(col: Column, yes=P.GAMING_SIGNALS, no=P.FOREIGN_CONTEXT) -> Column:
     """Denied unless a signal word stands in it, or a name in 《》 without a foreign context."""
-    return F.coalesce(contains_any(col, yes, fold=True) | (col.contains("《") & ~contains_any(col, no)), F.lit(False))
+    return F.coalesce(contains_any(col, yes, fold=True) | (col.contains("《") & col.contains("》") & ~contains_any(col, no)), F.lit(False))
 
 
 def _hits(low: Column, words) -> Column:

@@ -32,14 +32,14 @@ def click_stats(feedback: DataFrame, as_of: Column, days: int = 14) -> DataFrame
 
 
 def topic_clicks(feedback: DataFrame, since: Column, approximate: bool = False) -> DataFrame:
-    """Distinct users of each keyword since a date."""
-    rows = feedback.where((F.col("date") >= since) & (F.col("feedback_type") == "hot_click"))
+    """Distinct users of each keyword since a date; a blank or missing user is none."""
+    rows = feedback.where((F.col("date") >= since) & (F.col("feedback_type") == "hot_click") & (F.col("open_id") != ""))
     return rows.groupBy("keyword").agg((F.approx_count_distinct("open_id") if approximate else F.countDistinct("open_id")).alias("users"))
 
 
 def topic_clickers(feedback: DataFrame, since: Column) -> DataFrame:
-    """The distinct (keyword, user) pairs since a date."""
-    return feedback.where((F.col("date") >= since) & (F.col("feedback_type") == "hot_click")).select("keyword", "open_id").distinct()
+    """The distinct (keyword, user) pairs since a date; a blank or missing user is none."""
+    return feedback.where((F.col("date") >= since) & (F.col("feedback_type") == "hot_click") & (F.col("open_id") != "")).select("keyword", "open_id").distinct()
 
 
 def feedback_with_news(votes: DataFrame, news: DataFrame) -> DataFrame:

@@ -36,31 +36,47 @@ def not_reported_tokens(news: DataFrame, reported: DataFrame) -> DataFrame:
     return news.join(hit, "url", "left_anti")
 
 
-def reject_reason(as_of: Column, block=P.BLOCK_WORDS, video_block=P.VIDEO_BLOCK_WORDS, track=P.TRACK_WORDS, ignored=P.IGNORED_WORDS, days: int = 7) -> Column:
-    """The first reason to drop a row with seen_url, seen_token, headline, source, url, publish_date (text); null keeps it."""
-    h, video = F.col("headline"), F.col("source") == "Bilibili"
-    trend = S.contains_any(h, ("二游", "二次元", "乙女")) & ~h.contains("《") & ~S.contains_any(h, P.PRODUCT_WORDS)
+def news_class(columns: list[str], track=P.TRACK_WORDS, ignored=P.IGNORED_WORDS) -> Column:
+    """Topic class of a row by its headline and, where the table has one, its related_game."""
+    said = [F.col("related_game"), F.col("headline")] if "related_game" in columns else [F.col("headline")]
+    return track_class(F.concat_ws(" ", *said), track=track, ignored=ignored)
+
+
+def reject_reason(
+    as_of: Column, block=P.BLOCK_WORDS, video_block=P.VIDEO_BLOCK_WORDS, kind: Column | None = None, days: int = 7,
+    trend_words=P.TREND_WORDS, product=P.PRODUCT_WORDS, known=P.KNOWN_GAMES,
+) -> Column:
+    """The first reason to drop a row with seen_url, seen_token, headline, source, url, publish_date (text); null keeps it.
+
+    kind: its topic class. A headline on a genre at large goes unless it has a name in 《》, a product word or a known game.
+    """
+    h, video = F.col("headline"), F.coalesce((F.lower("source").isin("bilibili", "bilibili.com", "b站")) | F.lower("url").contains("bilibili"), F.lit(False))
+    kind = track_class(h) if kind is None else kind
+    trend = S.contains_any(h, trend_words) & ~h.rlike("《[^》]+》") & ~S.contains_any(h, product) & ~S.contains_any(h, known)
     day = F.coalesce(F.nullif(F.col("publish_date"), F.lit("")), F.nullif(S.url_date(F.col("url")), F.lit("")), as_of.cast("string"))
     blocked = F.when(video, S.contains_any(h, video_block)).otherwise(S.contains_any(h, block, fold=True))
     return (
         F.when(F.col("seen_url"), "reported_url").when(F.col("seen_token"), "reported_token").when(blocked, "blocked")
-        .when(track_class(h, track=track, ignored=ignored) == "ignored", "ignored").when(trend, "generic_trend").when(~video & ~S.within_days(day, as_of, days), "stale")
+        .when(kind == "ignored", "ignored").when(trend, "generic_trend").when(~video & ~S.within_days(day, as_of, days), "stale")
     )
 
 
-def judge_news(news: DataFrame, reported: DataFrame, as_of: Column, track=P.TRACK_WORDS, block=P.BLOCK_WORDS) -> DataFrame:
-    """news with reject_reason and track_relevant, which a topic hit sets."""
+def judge_news(
+    news: DataFrame, reported: DataFrame, as_of: Column, track=P.TRACK_WORDS, block=P.BLOCK_WORDS, ignored=P.IGNORED_WORDS, **rules
+) -> DataFrame:
+    """news with reject_reason and track_relevant, which a topic hit sets (a true one stays). rules: further lists of reject_reason."""
     urls = reported.select(S.url_canonical(F.col("url")).alias("_key")).distinct().withColumn("seen_url", F.lit(True))
     seen = reported.select(F.explode(S.dedup_tokens(F.col("headline"))).alias("token")).distinct()
     tokens = news.select("url", F.explode(S.dedup_tokens(F.col("headline"))).alias("token")).join(seen, "token", "left_semi").select("url").distinct().withColumn("seen_token", F.lit(True))
     rows = news.withColumn("_key", S.url_canonical(F.col("url"))).join(urls, "_key", "left").join(tokens, "url", "left").fillna(False, ["seen_url", "seen_token"])
-    rows = rows.withColumn("publish_date", F.col("publish_date").cast("string"))
-    out = rows.withColumn("reject_reason", reject_reason(as_of, block=block, track=track))
-    return out.withColumn("track_relevant", track_class(F.col("headline"), track=track) == "track").drop("_key", "seen_url", "seen_token")
+    rows = rows.withColumn("publish_date", F.col("publish_date").cast("string")).withColumn("_kind", news_class(news.columns, track, ignored))
+    out = rows.withColumn("reject_reason", reject_reason(as_of, block=block, kind=F.col("_kind"), **rules))
+    was = F.coalesce(F.col("track_relevant"), F.lit(False)) if "track_relevant" in news.columns else F.lit(False)
+    return out.withColumn("track_relevant", was | (F.col("_kind") == "track")).drop("_key", "_kind", "seen_url", "seen_token")
 
 
-def filter_news(news: DataFrame, reported: DataFrame, as_of: Column, track=P.TRACK_WORDS, block=P.BLOCK_WORDS) -> DataFrame:
-    return judge_news(news, reported, as_of, track, block).where("reject_reason is null").drop("reject_reason")
+def filter_news(news: DataFrame, reported: DataFrame, as_of: Column, track=P.TRACK_WORDS, block=P.BLOCK_WORDS, **rules) -> DataFrame:
+    return judge_news(news, reported, as_of, track, block, **rules).where("reject_reason is null").drop("reject_reason")
 
 
 def filter_breakdown(judged: DataFrame) -> DataFrame:
@@ -92,11 +108,11 @@ def apply_fatigue(news: DataFrame, published: DataFrame, window: int = 3) -> Dat
     return fatigue(news, published, window).where("seen < 2").withColumn("fatigue", F.when(F.col("seen") == 1, "downgraded").otherwise("")).drop("seen")
 
 
-def same_story_pairs(items: DataFrame, tokens: Column, groups: list[str], least: float = 0.15, hot: int = 1000) -> DataFrame:
+def same_story_pairs(items: DataFrame, tokens: Column, groups: list[str], least: float = 0.15) -> DataFrame:
     """Pairs of ids of one group whose token sets have a Jaccard similarity of `least` or more.
 
-    Ids meet on common tokens. A token of more than `hot` ids of a group is taken up by prefixes: sets are ordered by rarity and only the
-    first tokens, without which no pair can reach `least`, are joined on, so that common tokens cost little and no pair is lost.
+    Ids meet on common tokens: sets are ordered by rarity and only the first tokens, without which no pair can reach `least`, are joined
+    on. Pairs are what is asked for here, so their number may grow with the square of a group; scoring.select_diverse needs none of them.
     """
     sets = items.select(*groups, "id", F.array_distinct(tokens).alias("tokens")).where(F.size("tokens") > 0)
     each = sets.select(*groups, "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
@@ -121,6 +137,13 @@ def shared_entity_pairs(items: DataFrame, entities: Column, groups: list[str], l
     return keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), [*groups, "key"]).where("a < b").groupBy(*groups, "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (1 if least == 2 else least)).select(*groups, "a", "b")
 
 
+def story_pairs(items: DataFrame, summary: Column, headline: Column, groups: list[str], least: float = 0.15) -> DataFrame:
+    """Pairs (groups, a, b) of one story: similar summaries, or two entities in common in summaries or in headlines."""
+    alike = same_story_pairs(items, S.similarity_tokens(summary), groups, least).select(*groups, "a", "b")
+    said, named = (shared_entity_pairs(items, S.named_entities(c), groups) for c in (summary, headline))
+    return alike.union(said).union(named).distinct()
+
+
 def same_day_pairs(items: DataFrame, least: int = 2) -> DataFrame:
     """Pairs (date, a, b) that share a 《name》 and `least` topic words or more besides."""
     named = items.select("date", "id", F.explode(S.game_names(F.col("headline"))).alias("game"), S.topic_words(F.regexp_replace("headline", "《[^》]+》", " ")).alias("words"))
@@ -168,7 +191,7 @@ def fuzzy_name_join(left: DataFrame, names: DataFrame) -> DataFrame:
     """left.name to known names: exact; base name (before a dash or bracket) exact; then one base within the other, three characters or more;
     then a known name of three characters or more within the full name, or a full name of two or more within the known one.
 
-    Containment meets on parts of three characters, for a full name of two on parts of two, so only names with a common part are compared.
+    Containment meets on the rarest part of three characters of the shorter name, for a full name of two on that itself.
     The best way wins, then the name.
     """
     low = lambda c: F.lower(F.trim(c))
@@ -178,11 +201,19 @@ def fuzzy_name_join(left: DataFrame, names: DataFrame) -> DataFrame:
     exact = l.join(r, l.full == r.kfull).select("name", "known", F.lit(1).alias("way"))
     based = l.join(r, l.base == r.kbase).where("base <> ''").select("name", "known", F.lit(2).alias("way"))
     rest = l.join(exact.union(based).select("name").distinct(), "name", "left_anti")
-    head = lambda c, n: F.substring(c, 1, n)
-    parts = lambda c, n: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substr(c, i, F.lit(n)))))
-    met = lambda a, x, b, y, rule, way: a.withColumn("part", x).join(b.withColumn("part", y), "part").where(rule).select("name", "known", F.lit(way).alias("way"))
+    parts = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substr(c, i, F.lit(n))))
+
+    def met(short: DataFrame, x: str, long_: DataFrame, y: str, way: int, n: int = 3) -> DataFrame:
+        """x within y: each long name has all its parts, a short one meets them on the part that the fewest long names have."""
+        all_ = long_.withColumn("part", F.explode(parts(F.col(y), n)))
+        own = short.withColumn("part", F.explode(parts(F.col(x), n))).join(all_.groupBy("part").agg(F.count(F.lit(1)).alias("often")), "part", "left")
+        # a part that no long name has rules the short one out
+        rarest = own.groupBy(*short.columns).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "part")).alias("rare")).where("rare.often > 0")
+        pairs = rarest.withColumn("part", F.col("rare.part")).drop("rare").join(all_, "part")
+        return pairs.where(F.contains(F.col(y), F.col(x))).select("name", "known", F.lit(way).alias("way"))
+
     lb, rb = rest.where("length(base) >= 3"), r.where("length(kbase) >= 3")
-    within = met(lb, head("base", 3), rb, parts("kbase", 3), "contains(kbase, base)", 3).union(met(lb, parts("base", 3), rb, head("kbase", 3), "contains(base, kbase)", 3))
+    within = met(lb, "base", rb, "kbase", 3).union(met(rb, "kbase", lb, "base", 3))
     lf, two, rf = rest.where("length(full) >= 3"), rest.where("length(full) = 2"), r.where("length(kfull) >= 3")
-    whole = met(lf, parts("full", 3), rf, head("kfull", 3), "contains(full, kfull)", 4).union(met(lf, head("full", 3), rf, parts("kfull", 3), "contains(kfull, full)", 4)).union(met(two, F.col("full"), rf, parts("kfull", 2), "contains(kfull, full)", 4))
+    whole = met(rf, "kfull", lf, "full", 4).union(met(lf, "full", rf, "kfull", 4)).union(met(two, "full", rf, "kfull", 4, 2))
     return first_by(exact.union(based).union(within).union(whole), ["name"], "way", "known")

@@ -5,14 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def work_dir(spark: SparkSession, what: str) -> str:
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share. Only a local session may lack that setting: then it
+    gets a temporary folder; a cluster without it is an error, as its executors would not see each other's files."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="rankpulse-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to a fresh folder under spark.checkpoint.dir, or a temporary one where that isn't set, and read back."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rankpulse-")
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """df written to a fresh work folder and read back: lineage is cut and a lost executor costs nothing."""
+    path = work_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -22,6 +33,19 @@ def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def numbered(df: DataFrame, by: list[str], order: list, name: str = "place") -> DataFrame:
+    """df with the place of each row in its group, from 1. A group is cut into ranges of the order, each numbered on its own and moved by
+    the sizes of those before it, so that no task holds a whole group."""
+    cut = stored(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    sizes = cut.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_of"), before.alias("_before"))
+    own = cut.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    met = own.join(moved, [*same, F.col("_range") == F.col("_of")])
+    return met.select(*[F.col(c) for c in df.columns], (F.col("_own") + F.col("_before")).cast("int").alias(name))
+
+
 def upsert_last(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """New rows replace old ones of their key; of new rows with one key the last by order stays."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)

@@ -25,7 +25,32 @@ COMPANIES = (
     "Tencent", "NetEase", "miHoYo", "Garena", "育碧", "EA", "暴雪", "Riot", "Embracer", "Take-Two", "Nexon", "Netmarble", "Krafton",
     "Pearl Abyss", "凉屋", "祖龙", "快手", "B站", "哔哩哔哩",
 )
-ENTITY_COMPANIES = COMPANIES[:12]
+ENTITY_COMPANIES = ("腾讯", "网易", "米哈游", "字节跳动", "莉莉丝", "叠纸", "鹰角", "完美世界", "三七互娱", "索尼", "任天堂", "微软")
+TREND_WORDS = ("二游", "二次元", "乙女")
+KNOWN_GAMES = (
+    "原神", "崩坏", "星穹铁道", "绝区零", "明日方舟", "碧蓝航线", "少女前线", "FGO", "Fate/Grand Order", "阴阳师", "白夜极光", "鸣潮", "蔚蓝档案",
+    "赛马娘", "公主连结", "崩坏3", "未定事件簿", "世界计划", "学园偶像祭", "BanG Dream", "Love Live", "王者荣耀", "和平精英", "蛋仔派对", "无限暖暖",
+    "恋与深空", "重返未来", "光遇", "第五人格", "梦幻西游", "英雄联盟", "LOL", "DNF", "CF", "逆水寒", "永劫无间", "幻塔", "尘白禁区",
+)
+GAMING_SIGNALS = (
+    "游戏", "手游", "网游", "页游", "主机", "端游", "Steam", "Epic", "Xbox", "PlayStation", "PS5", "Switch", "NS版", "PC版", "Xbox版", "电竞", "战队",
+    "上线", "公测", "内测", "开服", "版本更新", "资料片", "DLC", "销量", "评分", "评分解禁", "M站", "开发商", "发行商", "工作室", "新作", "续作", "重制版",
+    "重制", "移植", "复刻", "试玩", "Demo", "预告", "发售", "预售", "预购", "国区", "低价区", "卡普空", "任天堂", "索尼", "微软", "SE", "万代", "暴雪",
+    "EA", "育碧", "R星", "CDPR", "米哈游", "腾讯", "网易", "JRPG", "RPG", "FPS", "MOBA", "RTS", "开放世界", "魂系", "肉鸽", "Roguelike", "Mod", "汉化",
+    "补丁", "显卡", "驱动", "帧数", "光追",
+)
+FOREIGN_CONTEXT = (
+    "世界杯", "足球", "篮球", "球迷", "球王", "破门", "逼平", "歌手", "清唱", "抄袭", "绯闻", "出轨", "恋情", "股票", "涨停", "跌停", "基金经理",
+    "安室奈美惠", "张靓颖", "单依纯",
+)
+STORY_NOISE = (
+    "报告", "报道", "文章", "分析", "认为", "表示", "指出", "显示", "该新闻", "反映了", "目前", "已经", "可以", "进行", "这个", "通过", "以及", "包括",
+    "对于", "根据", "作为", "不仅", "游戏", "新闻", "近日", "本周", "资讯", "了解", "据悉", "the", "and", "for", "this", "that", "with", "from", "game",
+    "news", "report", "reports", "reported", "says", "said",
+)
+QUESTION_WORDS = ("如何", "怎么看", "为什么", "是否", "怎么")
+QUESTION_URLS = ("/question/",)
+ARTICLE_URLS = ("/p/", "/zvideo/")
 ENTITY_STOP = (
     "The", "And", "For", "From", "With", "Japanese", "Game", "Games", "New", "Best", "Top", "Mobile", "Latest", "Report", "Studio",
     "Industry", "Market", "Global", "World", "First", "Major", "Next", "Big", "Future", "More", "Most", "Year", "Week", "Day", "News",

@@ -8,9 +8,9 @@ from .. import fixtures as X
 from .. import params as P
 from ..functions import scalars as S
 from ..operators import charts, feedback, news, scoring, tables, tracks
-from . import query
+from . import ORACLES, query
 from .chart_queries import CHANGES, WORDS
-from .scalar_queries import AS_OF, BODY, EVEN, FUSE, KEYQ, NOISE, SIGNAL, TOKENS, _joined, _stripped, _words
+from .scalar_queries import AS_OF, BODY, EVEN, FUSE, KEYQ, SIGNAL, STORY_NOISE, TOKENS, _joined, _stripped, _words
 
 #: Words that the invented articles hold, for rules whose own words don't occur in them.
 COMMON = ("tion", "heing", "que", "und")
@@ -34,10 +34,10 @@ def news_(spark, sf):
 
 
 def reported(spark, sf):
-    return X.news(spark, sf).where("date = date '2024-01-01'")
+    return X.news(spark, sf).where("date = date '2024-01-01' and source in ('src1', 'src3')")
 
 
-REPORTED = "reported as (select * from news where date = date '2024-01-01')"
+REPORTED = "reported as (select * from news where date = date '2024-01-01' and source in ('src1', 'src3'))"
 GT = "concat_ws(' ', game_name, tags, genre)"
 
 
@@ -57,20 +57,37 @@ def b5_track_changes(spark, sf):
     return tracks.filter_track_changes(charts.diff(X.rankings(spark, sf), WORDS), monitored, ("gear",)).select("date", *charts.KEY, "game_name")
 
 
+#: Words of the invented headlines for each rule of the filter.
+RULES = {"track": ("tion", "heing"), "block": ("ouwhea",), "ignored": ("und", "los"), "video_block": ("esque",), "trend_words": ("ing", "que"), "product": ("ent", "ci"), "known": ("Le",)}
+
+
+def any_in(col: str, words) -> str:
+    return "(" + " or ".join(f"contains({col}, '{w}')" for w in words) + ")"
+
+
 JUDGE = f"""{REPORTED}, seen as (select distinct unnest({TOKENS}) token from (select {_stripped('headline')} c from reported)),
 tok as (select distinct url from (select url, unnest({TOKENS}) token from (select url, {_stripped('headline')} c from news)) where token in (select token from seen)),
-judged as (select *, {_b('headline', ('tion', 'heing'))} track_relevant, case when lower(regexp_replace(url,'[?#].*$','')) in (select lower(regexp_replace(url,'[?#].*$','')) from reported) then 'reported_url'
- when url in (select url from tok) then 'reported_token' when contains(lower(headline), 'ouwhea') then 'blocked' when not (date '2024-01-30' - publish_date between 0 and 7) then 'stale' end reject_reason from news)"""
+vn0 as (select *, source = 'src2' video, {_b('headline', RULES['track'])} tr from news),
+judged as (select *, tr track_relevant, case when lower(regexp_replace(url,'[?#].*$','')) in (select lower(regexp_replace(url,'[?#].*$','')) from reported) then 'reported_url'
+ when url in (select url from tok) then 'reported_token' when case when video then {any_in('headline', RULES['video_block'])} else contains(lower(headline), 'ouwhea') end then 'blocked'
+ when not tr and {_b('headline', RULES['ignored'])} then 'ignored'
+ when {any_in('headline', RULES['trend_words'])} and not regexp_matches(headline, '《[^》]+》') and not {any_in('headline', RULES['product'])} and not {any_in('headline', RULES['known'])} then 'generic_trend'
+ when not video and not (date '2024-01-30' - publish_date between 0 and 7) then 'stale' end reject_reason from vn0)"""
+
+
+def with_videos(spark, sf):
+    """The articles, those of one source as videos."""
+    return news_(spark, sf).withColumn("source", F.when(F.col("source") == "src2", "Bilibili").otherwise(F.col("source")))
 
 
 @query(X.sql(f"{JUDGE} select url, reject_reason, track_relevant from judged", "news"))
 def b6_judge_news(spark, sf):
-    return news.judge_news(news_(spark, sf), reported(spark, sf), as_of(), ("tion", "heing"), ("ouwhea",)).select("url", "reject_reason", "track_relevant")
+    return news.judge_news(with_videos(spark, sf), reported(spark, sf), as_of(), **RULES).select("url", "reject_reason", "track_relevant")
 
 
 @query(X.sql(f"{JUDGE} select coalesce(reject_reason, 'kept') as reason, count(*) as n from judged group by 1", "news"))
 def b7_filter_breakdown(spark, sf):
-    return news.filter_breakdown(news.judge_news(news_(spark, sf), reported(spark, sf), as_of(), ("tion", "heing"), ("ouwhea",)))
+    return news.filter_breakdown(news.judge_news(with_videos(spark, sf), reported(spark, sf), as_of(), **RULES))
 
 
 @query(X.sql("select date, url, headline from news where source = 'src1' and publish_date is not null", "news"))
@@ -78,7 +95,7 @@ def b1_scan(spark, sf):
     return news_(spark, sf).where("source = 'src1' and publish_date is not null").select("date", "url", "headline")
 
 
-@query(X.sql("select url from news where lower(url) not in (select lower(url) from news where date = date '2024-01-01')", "news"))
+@query(X.sql("select url from news where lower(url) not in (select lower(url) from news where date = date '2024-01-01' and source in ('src1', 'src3'))", "news"))
 def c3_not_reported(spark, sf):
     return news.not_reported(news_(spark, sf), reported(spark, sf)).select("url")
 
@@ -237,14 +254,8 @@ def f4_minus_reported(spark, sf):
     return news_(spark, sf).select("url").join(X.feedback(spark, sf).select(F.col("news_url").alias("url")).distinct(), "url", "left_anti")
 
 
-@query(X.sql(f"w as (select url, {_words('headline', 2, 3)} h, {_words('substr(body, 1, 400)', 2, 3)} b from news) select url, len(list_intersect(h, b)) as common, len(list_distinct(list_concat(h, b))) as either from w", "news"))
-def f5_set_sizes(spark, sf):
-    h, b = S.topic_words(F.col("headline")), S.topic_words(F.expr("substr(body, 1, 400)"))
-    return news_(spark, sf).select("url", F.size(F.array_intersect(h, b)).alias("common"), F.size(F.array_union(h, b)).alias("either"))
-
-
 @query(X.sql(f"w as (select url, {_words('headline', 2, 3)} h, {_words('body', 2, 3)} b from news) select url, len(list_intersect(h, b)) as common, len(list_distinct(list_concat(h, b))) as either from w", "news"))
-def f5_set_sizes_whole(spark, sf):
+def f5_set_sizes(spark, sf):
     h, b = S.topic_words(F.col("headline")), S.topic_words(F.col("body"))
     return news_(spark, sf).select("url", F.size(F.array_intersect(h, b)).alias("common"), F.size(F.array_union(h, b)).alias("either"))
 
@@ -266,11 +277,11 @@ def e17_fatigue(spark, sf):
 
 @query(X.sql(f"{FAT}, {JUDGE} select url, case when seen = 1 then 'downgraded' else '' end as fatigue from judged left join fs using (date, url) where reject_reason is null and coalesce(seen, 0) < 2", "news", "scores"))
 def g3_news_candidates(spark, sf):
-    kept = news.filter_news(news_(spark, sf), reported(spark, sf), as_of(), ("tion", "heing"), ("ouwhea",))
+    kept = news.filter_news(with_videos(spark, sf), reported(spark, sf), as_of(), **RULES)
     return news.apply_fatigue(kept, published(spark, sf)).select("url", "fatigue")
 
 
-SIM = f"list_filter(list_distinct(regexp_extract_all(lower(headline), '[a-z]{{2,}}')), lambda x: not list_contains({NOISE}, x))"
+SIM = f"list_filter(list_distinct(regexp_extract_all(lower(headline), '[a-z]{{2,}}')), lambda x: not list_contains({STORY_NOISE}, x))"
 
 
 @query(X.sql(f"k as (select date, url, {SIM} t from news) select a.date, a.url as a, b.url as b, len(list_intersect(a.t, b.t)) as common, len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) as either from k a join k b on a.date = b.date and a.url < b.url where len(a.t) > 0 and len(b.t) > 0 and len(list_intersect(a.t, b.t)) >= 0.15 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))", "news"))
@@ -279,6 +290,16 @@ def c11_same_story_pairs(spark, sf):
     return news.same_story_pairs(items, S.similarity_tokens(F.col("headline")), ["date"])
 
 
+STORY_SQL = """k as (select n.date, n.url, {0} t, {1} e, {2} h from news n join scores s using (url)) select a.date, a.url as a, b.url as b from k a join k b on a.date = b.date and a.url < b.url
+where len(list_intersect(a.e, b.e)) >= 2 or len(list_intersect(a.h, b.h)) >= 2 or (len(a.t) > 0 and len(b.t) > 0 and 100 * len(list_intersect(a.t, b.t)) >= 15 * len(list_distinct(list_concat(a.t, b.t))))"""
+
+
+@query()
+def c11_story_pairs(spark, sf):
+    items = scored(spark, sf).withColumnRenamed("url", "id")
+    return news.story_pairs(items, F.col("summary"), F.col("headline"), ["date"])
+
+
 @query(X.sql(f"k as (select date, url, list_filter(list_distinct(regexp_extract_all(headline, '[A-Z][a-z]{{2,}}(?:[A-Z][a-z]+)*')), lambda x: not list_contains({list(P.ENTITY_STOP)}, x)) t from news) select a.date, a.url as a, b.url as b from k a join k b on a.date = b.date and a.url < b.url where len(list_intersect(a.t, b.t)) >= 2", "news"))
 def c11_shared_entities(spark, sf):
     return news.shared_entity_pairs(news_(spark, sf).withColumnRenamed("url", "id"), S.named_entities(F.col("headline")), ["date"])
@@ -350,11 +371,31 @@ def e9_top_n(spark, sf):
     return scoring.top_n(scored(spark, sf), ["date"], [F.desc("score"), "url"], 12).select("date", "url", "score", "place")
 
 
-@query()
+#: The greedy choice of each date: a row with what is chosen so far, grown by the best row that fits until none does.
+GREEDY = """rd as (select date, any_value(af) af, chosen from (select date, bool_or(far) over (partition by date) af, [] :: struct(u varchar, s varchar, g varchar, sc int, f boolean, t varchar[], e varchar[], h varchar[])[] chosen from pool) group by date, chosen),
+ch as (select date, af, chosen from rd union all
+ select date, any_value(af), list_append(any_value(chosen), min(struct_pack(turn := turn, down := -score, u := url, s := source, g := game, sc := score, f := far, t := t, e := e, h := h))::struct(turn int, down int, u varchar, s varchar, g varchar, sc int, f boolean, t varchar[], e varchar[], h varchar[])) from (
+  select *,
+   case when fit3 and not (not far and len(chosen) = 6 and not hasfar and af) then 1 when far and not hasfar and fit6 then 2 when fit3 then 3 end turn
+  from (select ch.date, af, chosen, url, source, game, score, far, t, e, h, len(list_filter(chosen, lambda c: c.f)) > 0 hasfar,
+   len(list_filter(chosen, lambda c: c.s = p.source)) < 3 and len(list_filter(chosen, lambda c: c.g = p.game)) < 2 fit3,
+   len(list_filter(chosen, lambda c: c.s = p.source)) < 6 and len(list_filter(chosen, lambda c: c.g = p.game)) < 2 fit6
+   from ch join pool p on ch.date = p.date where len(chosen) < 7
+    and len(list_filter(chosen, lambda c: c.u = p.url or len(list_intersect(c.e, p.e)) >= 2 or len(list_intersect(c.h, p.h)) >= 2
+     or (len(c.t) > 0 and len(p.t) > 0 and 100 * len(list_intersect(c.t, p.t)) >= 15 * len(list_distinct(list_concat(c.t, p.t)))))) = 0))
+ where turn is not null group by date),
+best as (select date, unnest(chosen) c, generate_subscripts(chosen, 1) slot from (select *, row_number() over (partition by date order by len(chosen) desc) k from ch) where k = 1)"""
+_ENT = lambda c: f"list_distinct(list_concat(list_filter(regexp_extract_all({c}, '[A-Z][a-z]{{2,}}(?:[A-Z][a-z]+)*'), lambda x: not list_contains({list(P.ENTITY_STOP)}, x)), list_filter({list(P.ENTITY_COMPANIES)}, lambda x: contains({c}, x))))"
+_SIM = lambda c: f"list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z]{{2,}}')), lambda x: not list_contains({STORY_NOISE}, x))"
+POOL = lambda rows: f"pool as (select date, url, source, coalesce(nullif(regexp_extract(headline, '《([^》]+)》', 1), ''), substr(headline, 1, 8)) game, score, source = 'src3' far, {_SIM('summary')} t, {_ENT('summary')} e, {_ENT('headline')} h from {rows})"
+
+
+ORACLES["c11_story_pairs"] = X.sql(STORY_SQL.format(_SIM("s.summary"), _ENT("s.summary"), _ENT("n.headline")), "news", "scores")
+
+
+@query(X.sql(f"sr as (select n.date, n.url, n.headline, n.source, s.score, s.summary from news n join scores s using (url)), {POOL('sr')}, {GREEDY} select date, c.u as url, c.s as source, c.sc as score, cast(slot as int) as slot from best", "news", "scores"))
 def e11_diverse_top(spark, sf):
-    items = scored(spark, sf)
-    pairs = news.same_story_pairs(items.withColumnRenamed("url", "id"), S.similarity_tokens(F.col("headline")), ["date"], 0.6)
-    return scoring.select_diverse(items, ("src3",), pairs)
+    return scoring.select_diverse(scored(spark, sf), ("src3",), story=scoring.story_marks(F.col("summary"), F.col("headline")))
 
 
 @query(X.sql(f"{SC}, r as (select s.*, {_b('n.headline', COMMON)} t from sc s join news n using (url)) select date, url, cast(row_number() over (partition by date order by t desc, score desc, url) as int) as place from r", "news", "scores"))
@@ -373,14 +414,27 @@ def s11_topic_boost(spark, sf):
     return scored(spark, sf).select("url", scoring.topic_boost(F.col("headline"), {"german": 12, "english": -7}, TOPICS, F.col("score")).alias("score"))
 
 
-G4 = f"""body as (select n.*, n.body as b, s.score given, s.pos_label, s.neg_label from news n join scores s using (url)), {BODY}, sg as (select *, cast({SIGNAL} as int) s from sig0), x0 as (select *, 3*s+7*given x10 from sg where s >= 15), x1 as (select *, {EVEN} f from x0), x2 as (select date, url, headline, source, pos_label, neg_label, {FUSE} raw from x1),
-x3 as (select *, count(*) over (partition by date) n, row_number() over (partition by date order by raw, url) u, row_number() over (partition by date order by raw desc, url) d, count(*) filter (raw<40) over (partition by date) lo, count(*) filter (raw>60) over (partition by date) hi from x2),
-g4 as (select date, url, headline, source, pos_label, neg_label, cast(case when n<4 or (lo>=floor(n/4) and hi<=floor(n*3/10)) then raw when u<=greatest(1, floor(n/4)) and raw>=40 then 39 when d<=floor(n*3/10) and raw>65 then 64 else raw end as int) score from x3)"""
+G4_BOOSTS = {"german": 12, "english": -7}
+G4 = f"""body as (select n.*, n.body as b, s.score told, s.pos_label, s.neg_label, s.summary from news n left join scores s using (url)), {BODY}, sg as (select *, cast({SIGNAL} as int) s from sig0), x0 as (select *, 3*s+7*coalesce(told, 0) x10 from sg where s >= 15), x1 as (select *, {EVEN} f from x0),
+x2 as (select date, url, headline, source, coalesce(pos_label, '') pos_label, coalesce(neg_label, '') neg_label, coalesce(summary, '') summary, told, greatest(0, least(100, {FUSE} + case when {_b('headline', TOPICS['english'])} then -7 else 0 end + case when {_b('headline', TOPICS['german'])} then 12 else 0 end)) raw from x1),
+x3 as (select *, count(*) over (partition by date) n, count(told) over (partition by date) > 0 given, row_number() over (partition by date order by raw, url) u, row_number() over (partition by date order by raw desc, url) d, count(*) filter (raw<40) over (partition by date) lo, count(*) filter (raw>60) over (partition by date) hi from x2),
+g4 as (select date, url, headline, source, pos_label, neg_label, summary, given, cast(case when n<4 or (lo>=floor(n/4) and hi<=floor(n*3/10)) then raw when u<=greatest(1, floor(n/4)) and raw>=40 then 39 when d<=floor(n*3/10) and raw>65 then 64 else raw end as int) score from x3)"""
+
+
+@query(X.sql(f"{G4} select date, url, headline, source, score, pos_label, neg_label from g4 where given and score >= 40", "news", "scores"))
+def g4_gated_news(spark, sf):
+    rows = scoring.judged_news(news_(spark, sf), X.scores(spark, sf), 2024, boosts=G4_BOOSTS, topics=TOPICS)
+    return rows.where("given and score >= 40").drop("summary", "given")
+
+
+#: Scores of a part of the days, so that the rule for days without any shows.
+_PART = "doc_scores as (select s.* from scores s join news n using (url) where n.date <= date '2024-01-24')"
 
 
-@query(X.sql(f"{G4} select * from g4 where score >= 40", "news", "scores"))
+@query(X.sql(f"{_PART}, {G4.replace('left join scores s', 'left join doc_scores s')}, gp as (select * from g4 where given and score >= 40), {POOL('gp')}, {GREEDY}, bare as (select *, row_number() over (partition by date order by url) k from g4 where not given) select g4.date, url, headline, g4.source, score, pos_label, neg_label, cast(slot as int) as slot from g4 join best on g4.date = best.date and url = c.u union all select date, url, headline, source, 0, pos_label, neg_label, cast(k as int) from bare where k <= 7", "news", "scores"))
 def g4_score_news(spark, sf):
-    return scoring.score_news(news_(spark, sf), X.scores(spark, sf), 2024)
+    early = news_(spark, sf).where("date <= date '2024-01-24'").select("url")
+    return scoring.score_news(news_(spark, sf), X.scores(spark, sf).join(early, "url", "left_semi"), 2024, boosts=G4_BOOSTS, topics=TOPICS, overseas=("src3",))
 
 
 # --- tables

@@ -16,33 +16,28 @@ LINES = (
     "女性向 恋与深空 2024-01-25 更新", "ATD gear std", "昨天 3天前 (4小时前) offer 版号审核", "热 版号 审批，长长长长长长长长长长长长长长长长长长。尾",
     "https://www.so.com/s?q=1", "", "Kingdom Rush 特惠 The Krafton Nexon", "2024年1月28日 AI 引擎 unity",
 )
-VALUES = "lines as (select * from (values " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LINES)) + ") t(id, t) union all select doc_id + 1000, substr(text, 1, 300) from documents)"
-#: The beginning of an article that VALUES has, and the same lines with the whole text of each article.
-CUT = "substr(text, 1, 300)"
-WHOLE_VALUES = VALUES.replace(CUT, "text")
+VALUES = "lines as (select * from (values " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LINES)) + ") t(id, t) union all select doc_id + 1000, text from documents)"
 AS_OF = "date '2024-01-30'"
 
 
-def lines(spark, sf, text="text"):
+def lines(spark, sf):
     told = spark.createDataFrame(list(enumerate(LINES)), "id long, t string")
-    return told.unionByName(X.table(spark, sf, "documents").selectExpr("doc_id + 1000 as id", f"{text} as t"))
+    return told.unionByName(X.table(spark, sf, "documents").selectExpr("doc_id + 1000 as id", "text as t"))
 
 
-def _s(body: str, values: str = VALUES) -> str:
-    return f"with {values} {body}"
+def _s(body: str) -> str:
+    return f"with {VALUES} {body}"
 
 
 def over_lines(body: str):
-    """Register f(rows) under its name over the beginnings of the articles, and as <name>_whole over their whole texts, each with its SQL."""
+    """Register f(rows) over the literal lines and the whole text of every article, with its SQL."""
 
     def add(f):
-        for end, text, values in (("", CUT, VALUES), ("_whole", "text", WHOLE_VALUES)):
+        def run(spark, sf):
+            return f(lines(spark, sf))
 
-            def run(spark, sf, text=text):
-                return f(lines(spark, sf, text))
-
-            run.__name__ = f.__name__ + end
-            query(_s(body, values))(run)
+        run.__name__ = f.__name__
+        query(_s(body))(run)
         return f
 
     return add
@@ -56,18 +51,11 @@ def _joined(col):
     return F.array_join(F.array_sort(col), "|")
 
 
-@query("with x as (select * from (values (' ios游戏榜 '), ('Android免费'), ('pc'), ('IOS'), ('')) t(raw)) select raw, case when contains(upper(trim(raw)), 'IOS') then 'iOS' when contains(upper(trim(raw)), 'ANDROID') then 'Android' else upper(trim(raw)) end as platform, n from x, (select count(*) as n from events)")
-def s1_platform(spark, sf):
-    n = X.table(spark, sf, "events").agg(F.count(F.lit(1)).alias("n"))
-    raw = spark.createDataFrame([(x,) for x in (" ios游戏榜 ", "Android免费", "pc", "IOS", "")], "raw string")
-    return raw.select("raw", S.normalize_platform(F.col("raw")).alias("platform")).join(F.broadcast(n))
-
-
 _RAW = "case user_id % 5 when 0 then concat(' ios', event_type, ' ') when 1 then concat('Android', event_type) when 2 then 'pc' when 3 then concat('x IOS ', event_type) else event_type end"
 
 
 @query(f"with x as (select event_id, {_RAW} as raw from events) select event_id, raw, case when contains(upper(trim(raw)), 'IOS') then 'iOS' when contains(upper(trim(raw)), 'ANDROID') then 'Android' else upper(trim(raw)) end as platform from x")
-def s1_platform_rows(spark, sf):
+def s1_platform(spark, sf):
     rows = X.table(spark, sf, "events").select("event_id", F.expr(_RAW).alias("raw"))
     return rows.withColumn("platform", S.normalize_platform(F.col("raw")))
 
@@ -78,6 +66,7 @@ def s2_game_names(told):
 
 
 NOISE = "['" + "','".join(P.NOISE_WORDS) + "']"
+STORY_NOISE = "['" + "','".join(P.STORY_NOISE) + "']"
 
 
 def _words(col, cjk, ascii_):
@@ -103,7 +92,7 @@ def s4_dedup_tokens(told):
     return told.select("id", _joined(S.dedup_tokens(F.col("t"))).alias("tokens"))
 
 
-@over_lines(f"select id, array_to_string(list_sort(list_filter(list_distinct(list_concat(regexp_extract_all(lower(t), '[a-z]{{2,}}'), case when length(k) > 1 then list_transform(range(1, length(k)), lambda i: substr(k, i, 2)) else [] end)), lambda x: not list_contains({NOISE}, x))), '|') as tokens from (select id, t, regexp_replace(t, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g') k from lines)")
+@over_lines(f"select id, array_to_string(list_sort(list_filter(list_distinct(list_concat(regexp_extract_all(lower(t), '[a-z]{{2,}}'), case when length(k) > 1 then list_transform(range(1, length(k)), lambda i: substr(k, i, 2)) else [] end)), lambda x: not list_contains({STORY_NOISE}, x))), '|') as tokens from (select id, t, regexp_replace(t, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g') k from lines)")
 def s5_similarity_tokens(told):
     return told.select("id", _joined(S.similarity_tokens(F.col("t"))).alias("tokens"))
 
@@ -249,13 +238,8 @@ def s26_excerpt(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", S.excerpt(F.col("html")).alias("excerpt"), S.rfc2822_date(stamp).alias("day"))
 
 
-@query(_s("select id, case when trim(t) = '' or contains(t, '？') or contains(t, '?') or length(trim(t)) > 12 then trim(t) when length(trim(t)) <= 4 then '游戏行业 \"' || trim(t) || '\" 2024年最新动态与发展趋势' else '游戏行业 \"' || trim(t) || '\" — 最新动态与行业影响' end as question from (select id, substr(t, 1, cast(id % 15 as int)) t from lines)"))
+@query(_s("select id, case when trim(t) = '' or contains(t, '？') or contains(t, '?') or length(trim(t)) > 12 then trim(t) when length(trim(t)) <= 4 then '游戏行业 \"' || trim(t) || '\" 2024年最新动态与发展趋势' else '游戏行业 \"' || trim(t) || '\" — 最新动态与行业影响' end as question from lines"))
 def s27_question(spark, sf):
-    return lines(spark, sf, CUT).select("id", S.expand_question(F.expr("substr(t, 1, cast(id % 15 as int))"), 2024).alias("question"))
-
-
-@query(_s("select id, case when trim(t) = '' or contains(t, '？') or contains(t, '?') or length(trim(t)) > 12 then trim(t) when length(trim(t)) <= 4 then '游戏行业 \"' || trim(t) || '\" 2024年最新动态与发展趋势' else '游戏行业 \"' || trim(t) || '\" — 最新动态与行业影响' end as question from lines", WHOLE_VALUES))
-def s27_question_whole(spark, sf):
     return lines(spark, sf).select("id", S.expand_question(F.col("t"), 2024).alias("question"))
 
 
@@ -289,7 +273,7 @@ def b2_keyword_match(told):
     return told.select("id", S.keyword_match(F.col("t"), P.TRACK_WORDS).alias("hit"))
 
 
-@over_lines(f"select id, {_in(P.RELEVANT_WORDS, True)} or (contains(t, '《') and not {_in(P.IRRELEVANT_WORDS)}) as passes from lines")
+@over_lines(f"select id, {_in(P.GAMING_SIGNALS, True)} or (contains(t, '《') and contains(t, '》') and not {_in(P.FOREIGN_CONTEXT)}) as passes from lines")
 def b8_domain_headline(told):
     return told.select("id", S.is_domain_headline(F.col("t")).alias("passes"))
 
@@ -299,14 +283,8 @@ def b9_relevance(told):
     return told.select("id", S.is_relevant(F.col("t")).alias("relevant"))
 
 
-@query(_s("select id, id % 5 = 0 or (trim(t) <> '' and length(trim(t)) <= 14 and len(regexp_extract_all(trim(t), '[0-9]')) < 4 and not regexp_matches(t, '[，。！？；：()（）\\[\\]【】/\\\\]') and len(regexp_extract_all(trim(t), ' ')) < 3) as compact from (select id, substr(t, 1, 16) t from lines)"))
+@query(_s("select id, id % 5 = 0 or (trim(t) <> '' and length(trim(t)) <= 14 and len(regexp_extract_all(trim(t), '[0-9]')) < 4 and not regexp_matches(t, '[，。！？；：()（）\\[\\]【】/\\\\]') and len(regexp_extract_all(trim(t), ' ')) < 3) as compact from lines"))
 def b10_compact_keyword(spark, sf):
-    source = F.when(F.col("id") % 5 == 0, "curated").otherwise("hot")
-    return lines(spark, sf, CUT).select("id", S.is_compact(F.expr("substr(t, 1, 16)"), source).alias("compact"))
-
-
-@query(_s("select id, id % 5 = 0 or (trim(t) <> '' and length(trim(t)) <= 14 and len(regexp_extract_all(trim(t), '[0-9]')) < 4 and not regexp_matches(t, '[，。！？；：()（）\\[\\]【】/\\\\]') and len(regexp_extract_all(trim(t), ' ')) < 3) as compact from lines", WHOLE_VALUES))
-def b10_compact_keyword_whole(spark, sf):
     source = F.when(F.col("id") % 5 == 0, "curated").otherwise("hot")
     return lines(spark, sf).select("id", S.is_compact(F.col("t"), source).alias("compact"))
 

@@ -6,26 +6,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.tables import upsert_last
+from ..operators.tables import first_by, stored, upsert_last
 
 
-def ingest_files(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, keys: list[str], kind: str = "parquet") -> StreamingQuery:
-    """Take up new files of a folder into a table partitioned by date, last wins; a file is read once. Only dates of the batch are rewritten."""
+def ingest_files(
+    spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, keys: list[str], kind: str = "parquet", order: list[str] | None = None
+) -> StreamingQuery:
+    """Take up new files of a folder into a table partitioned by date, last wins; a file is read once. Only dates of the batch are rewritten.
+
+    The last row of a key is that of the newest file, and in it the one that order (columns) puts last; files of one time go by name.
+    A later batch wins over what the table has. New dates are written beside the table first, so a lost task never reads what it overwrites.
+    """
+    names = [F.col("_time"), F.col("_file"), *[F.col(c) for c in order or []]]
 
     def upsert(batch: DataFrame, _: int) -> None:
         dates = batch.select("date").distinct()
+        plain = batch.drop("_time", "_file")
         try:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(target).join(dates, "date", "left_semi")
+            old = batch.sparkSession.read.schema(plain.schema).parquet(target).join(dates, "date", "left_semi")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            old = batch.limit(0)
-        merged = upsert_last(old, batch, keys, [keys[-1]]).checkpoint() if batch.sparkSession.conf.get("spark.checkpoint.dir", None) else upsert_last(old, batch, keys, [keys[-1]]).cache()
-        merged.count()
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target)
+            old = plain.limit(0)
+        newest = first_by(batch, keys, *[c.desc_nulls_last() for c in names]).drop("_time", "_file")
+        merged = stored(upsert_last(old, newest, keys, []), "ingest")
+        merged.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target)
 
     rows = spark.readStream.schema(schema).format(kind).load(source)
-    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
+    told = rows.withColumn("_time", F.col("_metadata.file_modification_time")).withColumn("_file", F.col("_metadata.file_path"))
+    return told.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
 
 
 def one_vote(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -42,26 +51,38 @@ def running_counters(votes: DataFrame, key: str = "news_url") -> DataFrame:
 
 
 def windowed_counts(votes: DataFrame, size: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Votes of each type a window, late ones up to the delay."""
+    """Votes of each type a window, late ones up to the delay; in append or update mode the watermark drops what is over."""
     return votes.withWatermark("ts", delay).groupBy(F.window("ts", size), "feedback_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fire_once(batch_clicks: DataFrame, fired: DataFrame, least: int = 3) -> DataFrame:
-    """Keywords of `least` distinct users or more that haven't fired: the body of a foreachBatch, with what has fired so far."""
-    users = batch_clicks.groupBy("keyword").agg(F.countDistinct("open_id").alias("users")).where(F.col("users") >= least)
-    return users.join(fired.select("keyword").distinct(), "keyword", "left_anti")
+def users_of(clicks: DataFrame) -> DataFrame:
+    """Distinct (keyword, open_id) of clicks; a blank or missing user is none."""
+    return clicks.where("open_id <> ''").select("keyword", "open_id").distinct()
+
+
+def fire_once(users: DataFrame, fired: DataFrame, least: int = 3) -> DataFrame:
+    """Keywords of `least` users or more, of distinct (keyword, open_id), that haven't fired."""
+    many = users.groupBy("keyword").agg(F.count(F.lit(1)).alias("users")).where(F.col("users") >= least)
+    return many.join(fired.select("keyword").distinct(), "keyword", "left_anti")
 
 
 def threshold_trigger(clicks: DataFrame, state: str, fired: str, checkpoint: str, least: int = 3) -> StreamingQuery:
-    """Append keywords to the table `fired` when their users reach the threshold, each once. state: table of clicks so far."""
+    """Append keywords to the table `fired` when their users reach the threshold, each once.
+
+    state holds each (keyword, user) once, by the batch that brought it; a batch counts only keywords that it touches.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # a batch that runs again writes its own folder anew
-        batch.select("keyword", "open_id").write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        spark.createDataFrame([], "keyword string, users long").write.mode("overwrite").parquet(f"{fired}/batch=-1")
-        told = spark.read.parquet(fired).where(F.col("batch") < batch_id)
-        fire_once(spark.read.parquet(state), told, least).write.mode("overwrite").parquet(f"{fired}/batch={batch_id}")
+        # a batch that runs again writes its own folders anew
+        for path, kind in ((state, "keyword string, open_id string"), (fired, "keyword string, users long")):
+            spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{path}/batch=-1")
+        known, told = (spark.read.parquet(p).where(F.col("batch") < batch_id).drop("batch") for p in (state, fired))
+        new = stored(users_of(batch).join(known, ["keyword", "open_id"], "left_anti"), "clicks")
+        touched = new.select("keyword").distinct()
+        users = known.join(touched, "keyword", "left_semi").unionByName(new)
+        fire_once(users, told, least).write.mode("overwrite").parquet(f"{fired}/batch={batch_id}")
+        new.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
     return clicks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
 
