@@ -9,7 +9,6 @@ generations of `CACHE` chunks a worker; chunks over `LONG` characters are never
 from __future__ import annotations
 
 import base64
-import re
 import struct
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -226,19 +225,47 @@ class RankedBytes(ChunkEncoder):
         return memoryview(out.buffers()[2] or b"")[offsets[0] : offsets[len(ids)]] if len(ids) else b""
 
 
-class ByteLevel(RankedBytes):
-    """Ids of a byte-level `tokenizers` file; special strings of the file inside texts become their ids, as in the library."""
+class ByteLevel:
+    """Ids of a byte-level `tokenizers` file, packed uint32, by tiktoken with the same vocabulary as a rank file.
+
+    tiktoken takes whole texts and keeps nothing between them. Texts that hold a special string of the file, whose ids stand for it
+    there, and those that tiktoken's pattern gives up on (very long white space) go to the `tokenizers` library.
+    """
 
     def __init__(self, path: str, ranks: str, pattern: str):
-        """ranks: the same vocabulary as a rank file."""
-        from tokenizers import Tokenizer
+        import json
 
-        self.tokenizer = Tokenizer.from_file(path)
-        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        super().__init__(ranks, pattern)
-        self.unsure = "|".join([self.unsure, *map(re.escape, marks)])
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        with open(ranks, "rb") as f:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.path, self.tokenizer = path, None
+        self.marks = [t["content"] for t in spec["added_tokens"]]
+        plain = {k: v for k, v in spec["model"]["vocab"].items() if k not in self.marks}
+        table = {b: c for b, c in enumerate(byte_characters())}
+        if len(plain) != len(known) or any(plain.get(k.decode("latin-1").translate(table)) != v for k, v in known.items()):
+            raise ValueError("the two files don't hold the same vocabulary")
+        self.coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+
+    def each(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column, nulls as empty texts."""
+        for text in column.to_pylist():
+            yield self.packed(text or "")
+
+    def packed(self, text: str) -> bytes:
+        if any(m in text for m in self.marks):
+            return self.whole(text)
+        try:
+            return self.coder.encode_to_numpy(text, disallowed_special=()).tobytes()
+        except ValueError:  # the pattern's stack
+            return self.whole(text)
 
     def whole(self, text: str) -> bytes:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = self.tokenizer or Tokenizer.from_file(self.path)
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 

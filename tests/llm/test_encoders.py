@@ -14,7 +14,7 @@ from rankpulse.llm.common import work_dir
 
 TEXTS = [
     None, "", " ", "\n", "  a  b ", "a\n\nb", "\n\n\n x", "x <|endoftext|>  y", "a<|startoftext|>b it'S'", "a\n b\tc  d ", "café Café It's ’s 'll", "日本語 テスト　x", "\x01a \x01b",
-    "ΣΑΣ İstanbul ΟΔΟΣ", "▁x y▁", "a\xa0 b", "\r\n a", "y" * 5000, "word " * 3000, "🙂 🙂🙂 \U0001d400x", "same", "same",
+    "ΣΑΣ İstanbul ΟΔΟΣ", "▁x y▁", "a\xa0 b", "\r\n a", "y" * 5000, "word " * 3000, "🙂 🙂🙂 \U0001d400x", "same", "same", "z" * 120_000 + " \n" * 2000,
 ]
 
 
@@ -90,7 +90,9 @@ def test_damage_is_seen():
         list(token_files.unframe(io.BytesIO(raw)))
 
 
-def test_packing(docs, texts):
+def test_packing(spark, docs, texts):
+    long_ = " " * 1_200_000 + "x"  # beyond what tiktoken's pattern takes
+    docs, texts = docs.unionByName(spark.createDataFrame([(-9, long_, 7, "x")], docs.schema)), texts | {-9: long_}
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     pack = lambda d, **k: packing.pack(d, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 1, **k)
     got = pack(docs, with_ids=True, open_windows=4).collect()
