@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, in_arrow
 from .templates import compile_template
 
 #: Marks each turn by `### role` and `</turn>`; what an assistant says is marked as generation.
@@ -78,7 +78,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
         if out:
             yield _formatted(out)
 
-    return dealt.mapInArrow(run, "conv_id long, n_turns long, formatted string, loss_spans array<struct<start: long, end: long>>")
+    return in_arrow(dealt, run, "conv_id long, n_turns long, formatted string, loss_spans array<struct<start: long, end: long>>")
 
 
 def _formatted(rows: list[tuple]) -> pa.RecordBatch:

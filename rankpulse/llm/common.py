@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,23 +34,50 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session sets another bound. Spark's own is 64 MB, of which
+#: a task holds several copies outside the heap.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES where its own bound is Spark's default or above."""
+    if int(spark.conf.get(_BATCH_CONF, str(64 << 20)).rstrip("b")) >= 64 << 20:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of bounded bytes; a worker gives its memory back at the task's end."""
+    small_batches(df.sparkSession)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def arrow_map(df: DataFrame, schema, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
-    """mapInArrow whose per-batch function is made once a task by start()."""
+    """in_arrow whose per-batch function is made once a task by start()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = start()
         for batch in batches:
             if batch.num_rows and (out := one(batch)) is not None:
                 yield out
-            out = batch = None
-            pa.default_memory_pool().release_unused()  # workers live on after this task
-
-    return df.mapInArrow(run, schema)
-
 
-def texts(column: pa.Array) -> list[str]:
-    """A column of strings as a list; null is the empty text."""
-    return [x if x is not None else "" for x in column.to_pylist()]
+    return in_arrow(df, run, schema)
 
 
 def crc32_mod(column: str, by: int) -> str:

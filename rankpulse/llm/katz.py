@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoders
-from .common import arrow_map, work_dir
+from .common import arrow_map, in_arrow, work_dir
 from .near_dup import _mix
 
 #: Counts up to this are discounted.
@@ -114,7 +114,7 @@ def counts(docs: DataFrame, order: int) -> DataFrame:
         if held:
             yield _counted(merged(), names)
 
-    found = docs.mapInArrow(run, "key long, history long, lower long, c long")
+    found = in_arrow(docs, run, "key long, history long, lower long, c long")
     return found.groupBy("key").agg(F.first("history").alias("history"), F.first("lower").alias("lower"), F.sum("c").alias("c"))
 
 

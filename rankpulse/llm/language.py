@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, in_arrow
 
 BUCKETS = 1 << 15
 #: Characters that are turned into n-grams at once.
@@ -140,7 +140,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", a
             at = np.flatnonzero(own)
             yield pa.record_batch([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = in_arrow(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     shares = np.zeros((len(languages), BUCKETS))
     for k, lang in enumerate(languages):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoders
-from .common import stored
+from .common import in_arrow, stored
 
 #: Tasks whose leftovers are merged by one task.
 MERGE = 256
@@ -91,13 +91,11 @@ def pack(
                         found.append((doc_id, start, length, zlib.crc32(piece), total, task, window, offset, bytes(piece) if with_ids else None))
                         start += length
             yield pa.record_batch([pa.array(c, pa.binary() if i == 8 else pa.int64()) for i, c in enumerate(zip(*found, strict=True))], [c.split()[0] for c in PIECES.split(", ")])
-            batch = found = None
-            pa.default_memory_pool().release_unused()  # workers live on after this task
         if windows.fills:  # said by rows of length 0
             left = [(None, None, 0, None, None, task, window, fill, None) for fill, window in windows.fills]
             yield pa.record_batch([pa.array(c, pa.binary() if i == 8 else pa.int64()) for i, c in enumerate(zip(*left, strict=True))], [c.split()[0] for c in PIECES.split(", ")])
 
-    pieces = stored(rows.mapInArrow(run, PIECES), "packing")
+    pieces = stored(in_arrow(rows, run, PIECES), "packing")
     left = pieces.where("length = 0").select("task", "window", F.col("offset").alias("fill"))
     moved = left.withColumn("share", F.floor(F.col("task") / MERGE)).groupBy("share").applyInPandas(
         lambda group: merge(group, size), "task long, window long, sequence_id long, shift long"

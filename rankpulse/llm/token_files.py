@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import encoders
+from .common import in_arrow
 
 MAGIC, VERSION = b"RPID", 1
 HEADER = 8
@@ -97,7 +98,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             n = len(offsets)
             yield pa.record_batch([ids, pa.array([part] * n, pa.int32()), pa.array([name] * n), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "part", "file", "offset", "n_tokens"])
 
-    ordered.mapInArrow(run, INDEX_SCHEMA).write.parquet(f"{path}/index")
+    in_arrow(ordered, run, INDEX_SCHEMA).write.parquet(f"{path}/index")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -148,7 +149,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     yield _batch(out, with_ids)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return plan.mapInArrow(run, schema)
+    return in_arrow(plan, run, schema)
 
 
 def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
@@ -178,7 +179,8 @@ def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
                 found.append(np.frombuffer(next(unframe(_Once(f, 16 + n * int(kind[2:])))), kind).astype(np.int64))
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return order.repartitionByRange("key").sortWithinPartitions("key").select("doc_id", "file", "offset", "n_tokens").mapInArrow(run, "doc_id long, ids array<long>")
+    ordered = order.repartitionByRange("key").sortWithinPartitions("key").select("doc_id", "file", "offset", "n_tokens")
+    return in_arrow(ordered, run, "doc_id long, ids array<long>")
 
 
 class _Once:

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 LEVELS = (1, 4, 16)
 BLOCK = 1024
 #: Shares that blocks of candidates are dealt to; every query block goes to each.
@@ -44,7 +46,7 @@ def _blocks(vectors: DataFrame, scale: float) -> DataFrame:
             if len(ids):
                 yield _block(dim, ids, rows)
 
-    return vectors.mapInArrow(run, "dim int, ids binary, data binary")
+    return in_arrow(vectors, run, "dim int, ids binary, data binary")
 
 
 def _whole(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -157,6 +159,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
                 q, x, score = best(query_data, query_ids, data, ids, k)
                 yield pa.record_batch([pa.array(query_ids[q]), pa.array(x), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = in_arrow(pairs, run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
