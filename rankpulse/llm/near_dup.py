@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoders
-from .common import arrow_map, stored
+from .common import arrow_map, in_arrow, stored
 
 BANDS, ROWS = 51, 5
 REGISTERS = BANDS * ROWS
@@ -35,8 +35,8 @@ MARGIN = 0.15
 LEADERS = 3
 #: Rows of tables that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Members of a cluster that a task compares with each other, or with as many others.
-BLOCK = 4096
+#: About as many members, and bytes of them, of a cluster does a task compare with each other, or with as many others.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Parts that the classes which meet one leader are dealt to.
 SALT = 16
 _NONE = -(2**63)
@@ -228,7 +228,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     found.append((a, b))
             yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.select("a", "b", "shingles").mapInArrow(run, "a long, b long")
+    return in_arrow(rows.select("a", "b", "shingles"), run, "a long, b long")
 
 
 def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -291,14 +291,15 @@ class _Linked:
 def _compared(members: DataFrame, make, of_labels: bool = False) -> DataFrame:
     """(a, b) that join labels of members (cluster, cid, label, n_shingles, data) of one cluster: a spanning forest of hits.
 
-    A cluster is cut into blocks of BLOCK members; a task compares the members of one block, or those of one with those of another,
-    in memory, so no pair becomes a row but the forest's: fewer than the labels that meet there. What the forest joins already isn't
-    compared again. make(data, sizes, split) gives hits(i, others). a and b are cids, or labels if of_labels.
+    A cluster is cut into blocks of about BLOCK members and BLOCK_BYTES of data, dealt by a hash of cid, so that it is never counted
+    through in one task; a task compares the members of one block, or those of one with those of another, in memory, and no pair becomes
+    a row but the forest's: fewer than the labels that meet there. What the forest joins already isn't compared again. A cluster of b
+    blocks is copied b times. make(data, sizes, split) gives hits(i, others). a and b are cids, or labels if of_labels.
     """
-    of = Window.partitionBy("cluster")
-    cut = members.withColumn("block", F.floor((F.row_number().over(of.orderBy("cid")) - 1) / BLOCK)).withColumn("blocks", F.max("block").over(of))
-    several = cut.where("blocks > 0").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
-    each = several.unionByName(cut.where("blocks = 0").withColumn("other", F.lit(0).cast("long")))
+    rows = F.count(F.lit(1)) / F.lit(float(BLOCK))
+    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(rows, F.sum(F.length("data")) / F.lit(float(BLOCK_BYTES)))).cast("long").alias("blocks"))
+    cut = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = each.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label", "n_shingles", "data")
     rows = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "cid")
     names = ("cluster", "i", "j", "block", "cid", "label", "n_shingles", "data")
@@ -336,7 +337,7 @@ def _compared(members: DataFrame, make, of_labels: bool = False) -> DataFrame:
         if found:
             yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return in_arrow(rows, run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -379,22 +380,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     grouped = sig.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "near-dup-classes")
 
-    of_key = Window.partitionBy("key")
-    shared = stored(_exploded(classes).withColumn("size", F.count(F.lit(1)).over(of_key)).where("size > 1"), "near-dup-shared")
-    degree = shared.groupBy("cid").agg(F.sum(F.col("size") - 1).alias("degree"))
-    place = F.row_number().over(of_key.orderBy(F.desc("degree"), "cid"))
-    shared = stored(shared.join(degree, "cid").withColumn("place", place), "near-dup-places")
+    # what is known of a bucket comes from aggregates and joins, so that one of very many classes is never in one task
+    keys = stored(_exploded(classes), "near-dup-keys")
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stored(keys.join(several, "key"), "near-dup-shared")
+    degree = stored(shared.groupBy("cid").agg(F.sum(F.col("size") - 1).alias("degree")), "near-dup-degrees")
     active = stored(classes.join(degree.select("cid"), "cid", "left_semi").select("cid", "n_shingles", "regs"), "near-dup-active")
 
-    # central classes first
-    heads = shared.where(F.col("place") <= LEADERS).select("key", F.col("cid").alias("a"), F.col("place").alias("head"))
-    tried = stored(shared.select("key", F.col("cid").alias("b"), "place").join(heads, "key").where("head < place").select("a", "b").distinct(), "near-dup-pairs")
+    # central classes first: the most central one of each of LEADERS shares of a bucket
+    slot = F.pmod(F.xxhash64("cid"), F.lit(LEADERS))
+    best = shared.join(degree, "cid").groupBy("key", slot.alias("slot")).agg(F.min(F.struct((-F.col("degree")).alias("less"), "cid")).alias("top"))
+    heads = best.select("key", F.col("top.cid").alias("a"))
+    met = shared.select("key", F.col("cid").alias("b")).join(heads, "key").where("a <> b")
+    tried = stored(met.select("a", "b").distinct(), "near-dup-pairs")
     links = _verified(tried, active, classes, docs, words, percent, id_col, text_col)
     labels = components(links)
 
     # then those that are still apart: by estimates into clusters, whose sets are compared exactly
     apart = shared.where(f"size > {LEADERS}").select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-    mixed = stored(apart.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key)).where("low <> high").select("key", "cid", "label"), "near-dup-apart")
+    apart = stored(apart, "near-dup-labelled")
+    split = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    mixed = stored(apart.join(split, "key", "left_semi"), "near-dup-apart")
     near = stored(_compared(mixed.join(active, "cid").select(F.col("key").alias("cluster"), "cid", "label", "n_shingles", F.col("regs").alias("data")), partial(_Near, threshold), of_labels=True).distinct(), "near-dup-near")
     clusters = components(near).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
     told = stored(clusters.join(mixed.select("cid", "label").distinct(), "label"), "near-dup-clusters")
@@ -410,13 +416,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one document of each component: the first row that Spark reads.
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one document of each component: that of the least id; null ids come last, rows of one id in any order.
 
     The numbers are stored with the rows, as another job may split the same files otherwise and number them anew.
     """
     numbered = stored(docs.withColumn("near_dup_row", F.monotonically_increasing_id()), "near-dup-numbered")
-    gone = stored(near_duplicates(numbered, words, percent, "near_dup_row", text_col).where("not kept").select(F.col("doc_id").alias("near_dup_row")), "near-dup-gone")
+    found = near_duplicates(numbered, words, percent, "near_dup_row", text_col).select(F.col("doc_id").alias("near_dup_row"), "component_id")
+    ids = numbered.select("near_dup_row", F.col(id_col).alias("id"))
+    rank = F.struct(F.col("id").isNull().alias("blank"), "id", "near_dup_row")
+    told = stored(found.join(ids, "near_dup_row").select("component_id", "near_dup_row", rank.alias("rank")), "near-dup-ranks")
+    firsts = told.groupBy("component_id").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = stored(told.join(firsts, "component_id").where("rank <> first").select("near_dup_row"), "near-dup-gone")
     return numbered.join(_small(gone, gone.count()), "near_dup_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
