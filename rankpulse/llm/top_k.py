@@ -5,7 +5,9 @@ A vector is cut into 1, 4 and 16 segments; of each it keeps the mean and the nor
 deviations; so the sum bounds the inner product from above, the tighter the finer the segments. Bounds are taken coarse to fine,
 against the k-th best exact score so far, and exact scores are computed for the survivors.
 
-Both sides are packed into blocks of rows. The query set is a stated share of all rows: its blocks meet every block of candidates.
+Rows are packed into blocks. Candidates are dealt to shares of bounded bytes, one of which a task holds, and the query set, a stated share
+of all rows, is sent to every share in blocks; a task returns k rows a query. A query's floor, its k-th best score so far, is carried
+from one part of the share to the next, so that later parts are pruned by earlier ones.
 """
 
 from __future__ import annotations
@@ -21,13 +23,18 @@ from pyspark.sql import functions as F
 from .common import in_arrow
 
 LEVELS = (1, 4, 16)
-BLOCK = 1024
-#: Shares that blocks of candidates are dealt to; every query block goes to each.
-SHARES = 64
+#: Rows of a block of candidates and of one of queries.
+BLOCK, QUERY_BLOCK = 256, 1024
+#: Bytes of candidates in a share.
+SHARE_BYTES = 32 << 20
+#: Candidates that are bounded at once.
+STEP = 4096
+#: Above this share of survivors a whole product is cheaper than one product each.
+DENSE = 0.02
 
 
-def _blocks(vectors: DataFrame, scale: float) -> DataFrame:
-    """Blocks of up to BLOCK rows of equal dimension: dim, ids (int64), data (int64, a row a vector). Vectors with gaps are left out."""
+def _blocks(vectors: DataFrame, scale: float, size: int) -> DataFrame:
+    """Blocks of up to `size` rows of equal dimension: dim, ids (int64), data (int64, a row a vector). Vectors with gaps are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -35,11 +42,11 @@ def _blocks(vectors: DataFrame, scale: float) -> DataFrame:
             for dim, ids, rows in _whole(batch, scale):
                 own = held.setdefault(dim, [])
                 own.append((ids, rows))
-                if sum(len(i) for i, _ in own) >= BLOCK:
+                if sum(len(i) for i, _ in own) >= size:
                     ids, rows = (np.concatenate(x) for x in zip(*own, strict=True))
-                    full = len(ids) // BLOCK * BLOCK
-                    for at in range(0, full, BLOCK):
-                        yield _block(dim, ids[at : at + BLOCK], rows[at : at + BLOCK])
+                    full = len(ids) // size * size
+                    for at in range(0, full, size):
+                        yield _block(dim, ids[at : at + size], rows[at : at + size])
                     held[dim] = [(ids[full:], rows[full:])]
         for dim, own in held.items():
             ids, rows = (np.concatenate(x) for x in zip(*own, strict=True))
@@ -85,35 +92,79 @@ def statistics(rows: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray,
     return lengths, means, devs
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the query, vec_id, score) of each query's k best rows of a block but its own, ties to the smaller id."""
-    if rows.shape[1] == 0 or not _safe(queries, rows):
-        scores = queries.astype(object) @ rows.astype(object).T if rows.shape[1] else np.zeros((len(queries), len(rows)), object)
-        q, x = np.nonzero(query_ids[:, None] != ids[None, :])
-        return _first(q, ids[x], np.array([int(v) for v in scores[q, x]], dtype=np.int64), k)
-    a, b = queries.astype(np.float64), rows.astype(np.float64)
-    other = query_ids[:, None] != ids[None, :]
-    floor = np.full(len(a), -np.inf)
-    q = x = bound = None
-    for segments in LEVELS:
-        lengths, qm, qd = statistics(a, segments)
-        _, xm, xd = statistics(b, segments)
-        if q is None:
-            bound = (qm * lengths) @ xm.T + qd @ xd.T
-            bound[~other] = -np.inf
-            # the k of highest bound give a first floor
-            if bound.shape[1] > k:
-                top = np.argpartition(-bound, k - 1, axis=1)[:, :k]
-                seen = np.einsum("ij,ikj->ik", a, b[top])
-                seen[~np.take_along_axis(other, top, 1)] = -np.inf
-                floor = seen.min(1)
-            q, x = np.nonzero(other & (bound >= floor[:, None] - _slack(bound)))
+class Share:
+    """The candidates of one dimension that a task holds, with the statistics of their segments."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.rows, self.exact = ids, rows, rows.astype(np.float64)
+        self.levels = [_features(self.exact, n, False) for n in LEVELS] if rows.shape[1] else []
+
+
+def _features(rows: np.ndarray, segments: int, weighted: bool) -> np.ndarray:
+    """Means (times the lengths, if weighted) and deviations side by side: products of two rows of features are bounds."""
+    lengths, means, devs = statistics(rows, segments)
+    return np.hstack([means * lengths if weighted else means, devs])
+
+
+def best(queries: np.ndarray, query_ids: np.ndarray, share: Share, k: int, tally: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the query, vec_id, score) of each query's k best rows of a share but its own, ties to the smaller id.
+
+    tally: gets the pairs looked at, those that each level leaves, in order.
+    """
+    found = _first(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), k)
+    exact = queries.astype(np.float64)
+    levels = [_features(exact, n, True) for n in LEVELS] if queries.shape[1] else []
+    floor = np.full(len(queries), -np.inf)
+    tally = [0] * (2 + len(LEVELS)) if tally is None else tally
+    for at in range(0, len(share.ids), STEP):
+        part = slice(at, at + STEP)
+        alive = query_ids[:, None] != share.ids[None, part]
+        tally[0] += alive.size
+        if not queries.shape[1] or not _safe(queries, share.rows[part]):
+            whole = queries.astype(object) @ share.rows[part].astype(object).T if queries.shape[1] else np.zeros(alive.shape, object)
+            q, x = np.nonzero(alive)
+            scores = np.array([int(v) for v in whole[q, x]], dtype=np.int64)
         else:
-            bound = np.concatenate([np.einsum("ij,ij->i", (qm * lengths)[q[s]], xm[x[s]]) + np.einsum("ij,ij->i", qd[q[s]], xd[x[s]]) for s in _parts(len(q))] or [np.zeros(0)])
-            keep = bound >= floor[q] - _slack(bound)
-            q, x = q[keep], x[keep]
-    scores = np.concatenate([np.einsum("ij,ij->i", a[q[s]], b[x[s]]) for s in _parts(len(q))] or [np.zeros(0)])
-    return _first(q, ids[x], np.rint(scores).astype(np.int64), k)
+            for n, (a, b) in enumerate(zip(levels, share.levels, strict=True)):
+                if np.isfinite(floor).any():
+                    alive = _over(a, b[part], alive, floor)
+                tally[1 + n] += int(alive.sum())
+            q, x, scores = _scores(exact, share.exact[part], alive, floor, k)
+            tally[-1] += len(q)
+        found = _first(*(np.concatenate(c) for c in zip(found, (q, share.ids[part][x], scores), strict=True)), k)
+        # the k-th best so far of those that have k
+        last = np.searchsorted(found[0], np.arange(len(queries)), "right") - 1
+        full = np.bincount(found[0], minlength=len(queries)) >= k
+        floor[full] = found[2][last[full]]
+    return found
+
+
+def _over(a: np.ndarray, b: np.ndarray, alive: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Which of the pairs alive have a bound that reaches the query's floor."""
+    if alive.mean() > DENSE:
+        bound = a @ b.T
+        return alive & (bound >= floor[:, None] - _slack(bound))
+    q, x = np.nonzero(alive)
+    bound = _products(a, b, q, x)
+    keep = bound >= floor[q] - _slack(bound)
+    out = np.zeros_like(alive)
+    out[q[keep], x[keep]] = True
+    return out
+
+
+def _scores(a: np.ndarray, b: np.ndarray, alive: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of the pairs alive that may be among a query's k best."""
+    if alive.mean() <= DENSE:
+        q, x = np.nonzero(alive)
+        return q, x, np.rint(_products(a, b, q, x)).astype(np.int64)
+    whole = np.where(alive, np.rint(a @ b.T), -np.inf)
+    least = np.partition(whole, -k, axis=1)[:, -k] if whole.shape[1] > k else np.full(len(a), -np.inf)
+    q, x = np.nonzero(alive & (whole >= np.maximum(least, floor)[:, None]))
+    return q, x, whole[q, x].astype(np.int64)
+
+
+def _products(a: np.ndarray, b: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.einsum("ij,ij->i", a[q[s]], b[x[s]]) for s in _parts(len(q))] or [np.zeros(0)])
 
 
 def _slack(bound: np.ndarray) -> np.ndarray:
@@ -142,23 +193,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     """query_id, rank, vec_id, score: the k rows of highest inner product of floor(scale * x) for each query row.
 
     Vectors that are null, hold a null or non-finite component or have no id take no part; vectors meet those of their own dimension.
-    A row whose id is the query's is its own; rows with a repeated id count once each, and as queries once. Fewer rows give fewer
-    ranks, an empty table none. Scores that don't fit 64 bits raise OverflowError.
+    A row whose id is the query's is its own; rows with a repeated id count once each, and as a query the id counts once, by the least
+    of its valid vectors. Fewer rows give fewer ranks, an empty table none. Scores that don't fit 64 bits raise OverflowError.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("q"))
-    queries = _blocks(rows.where("q").dropDuplicates(["vec_id"]).select("vec_id", "v"), scale).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    candidates = _blocks(rows.select("vec_id", "v"), scale).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(SHARES)).cast("int"))
-    pairs = candidates.join(queries.select("share", "dim", F.col("ids").alias("query_ids"), F.col("data").alias("query_data")), ["share", "dim"])
+    v = F.col("v")
+    inside = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))), F.lit(False))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & inside)
+    spark = vectors.sparkSession
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(8 * F.size("v")), F.lit(0)).alias("bytes")).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # enough shares for all tasks, none above SHARE_BYTES, and no more than there are blocks
+    shares = max(1, min(size["n"] // BLOCK, max(2 * tasks, size["bytes"] // SHARE_BYTES)))
+    one = rows.where("q").groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = _blocks(one, scale, QUERY_BLOCK).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("query", F.lit(True))
+    candidates = _blocks(rows.select("vec_id", "v"), scale, BLOCK).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")).withColumn("query", F.lit(False))
+    dealt = candidates.unionByName(queries).repartition(tasks, "share").sortWithinPartitions("share", "dim", "query")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, share = None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in ("dim", "ids", "data", "query_ids", "query_data")}
-                ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
-                data, query_data = (np.frombuffer(row[n], np.int64).reshape(len(x), row["dim"]) for n, x in (("data", ids), ("query_data", query_ids)))
-                q, x, score = best(query_data, query_ids, data, ids, k)
-                yield pa.record_batch([pa.array(query_ids[q]), pa.array(x), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    found = in_arrow(pairs, run, "query_id long, vec_id long, score long")
+            for at, dim, query, ids, data in zip(*(batch.column(c).to_pylist() for c in ("share", "dim", "query", "ids", "data")), strict=True):
+                if (at, dim) != current:
+                    current, held, share = (at, dim), [], None
+                ids = np.frombuffer(ids, np.int64)
+                data = np.frombuffer(data, np.int64).reshape(len(ids), dim)
+                if not query:
+                    held.append((ids, data))
+                elif held:
+                    share = share or Share(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    q, x, score = best(data, ids, share, k)
+                    yield pa.record_batch([pa.array(ids[q]), pa.array(x), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    found = in_arrow(dealt.select("share", "dim", "query", "ids", "data"), run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

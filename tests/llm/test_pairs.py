@@ -61,9 +61,10 @@ def test_components(spark, rows, n):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_blocks_change_nothing(spark, rows, monkeypatch):
-    """Blocks so small that clusters span many of them."""
-    monkeypatch.setattr(near_dup, "BLOCK", 3)
+@pytest.mark.parametrize("limit, size", [("BLOCK", 3), ("BLOCK_BYTES", 4000)])
+def test_blocks_change_nothing(spark, rows, monkeypatch, limit, size):
+    """Blocks so small, in members or in bytes, that clusters span many of them."""
+    monkeypatch.setattr(near_dup, limit, size)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     group, sets = brute(rows, 2)
     least = {}
@@ -85,7 +86,10 @@ def test_keep_one(spark, rows):
     df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
     kept = near_dup.keep_one(df, 5)
     group, sets = brute(rows, 5)
-    assert kept.columns == df.columns and kept.count() == len({g for g, s in zip(group, sets, strict=True) if s}) + sum(not s for s in sets)
+    least = {}
+    for i, (row, g, s) in enumerate(zip(rows, group, sets, strict=True)):
+        least[g if s else -1 - i] = min(least.get(g if s else -1 - i, row[0]), row[0])
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
 
 
 def test_estimates_are_near():
@@ -121,6 +125,25 @@ def test_top_k(spark):
     assert 1000 not in got and top_k.top_k(df.limit(0), df.vec_id % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("step, share", [(7, 4000), (4096, 32 << 20)])
+def test_top_k_small_parts(spark, monkeypatch, step, share):
+    """Floors carried from part to part, many shares, scores beyond doubles, a repeated query id with a bad twin."""
+    monkeypatch.setattr(top_k, "STEP", step)
+    monkeypatch.setattr(top_k, "SHARE_BYTES", share)
+    monkeypatch.setattr(top_k, "BLOCK", 16)
+    random = np.random.default_rng(3)
+    vectors = [(i, random.normal(size=20).tolist()) for i in range(300)] + [(300 + i, (1e6 * random.normal(size=20)).tolist()) for i in range(3)]
+    bad = [(50, None), (100, [float("inf")] * 20), (150, [None, 1.0])]
+    df = spark.createDataFrame(bad + vectors + bad, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in top_k.top_k(df, df.vec_id % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    data = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors}
+    assert set(got) == {0, 50, 100, 150, 200, 250, 300}
+    for q, rows in got.items():
+        assert sorted(rows) == sorted((-sum(a * b for a, b in zip(data[q], data[i])), i) for i in data if i != q)[:5]
+
+
 def test_bounds_are_bounds():
     random = np.random.default_rng(4)
     a, b = random.normal(size=(20, 50)), random.normal(size=(30, 50))
