@@ -199,6 +199,13 @@ def normalize_keyword(raw: Column) -> Column:
     return F.trim(F.when(F.length(clean) > 20, cut).otherwise(clean))
 
 
+def clean_discussion(title: Column) -> Column:
+    """A title of a discussion site without the site's name and words of its pages."""
+    t = F.regexp_replace(F.trim(title), r"(?i)\s*[-|_｜]\s*.*知乎.*$", "")
+    t = F.regexp_replace(t, r"(?iU)\b(知乎|回答|文章)\b", "")
+    return F.regexp_replace(t, r"^[ \-|_｜]+|[ \-|_｜]+$", "")
+
+
 def is_relevant(col: Column, yes=P.RELEVANT_WORDS, no=P.IRRELEVANT_WORDS) -> Column:
     return ~contains_any(col, no) & contains_any(col, yes, fold=True)
 

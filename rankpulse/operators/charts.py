@@ -157,6 +157,29 @@ def cross_chart(changes: DataFrame, lead: int = 10) -> DataFrame:
     return rows.withColumn("signal", signal)
 
 
+def cross_chart_signals(changes: DataFrame, free: str, grossing: str, hot: str, least: int = 1) -> DataFrame:
+    """Games in two of three charts or more a day and platform: rank and move in each, and a signal. A move of `least` places counts.
+
+    divergence: up in one and down in another; leading: up in all three; traffic_leak: up in the free chart, not up in the grossing one;
+    harvest: up in the grossing chart alone; word_of_mouth: up in the hot chart alone; else none. Divergence and leading come first.
+    """
+    names = {"free": free, "grossing": grossing, "hot": hot}
+    rows = changes.where(F.col("chart_type").isin(*names.values()) & F.col("today_rank").isNotNull())
+    role = F.lit(None).cast("string")
+    for k, v in names.items():
+        role = F.when(F.col("chart_type") == v, k).otherwise(role)
+    wide = rows.withColumn("role", role).groupBy("date", "platform", "bundle_id").pivot("role", list(names)).agg(F.min("today_rank").alias("rank"), F.max("rank_change").alias("move"))
+    wide = wide.where(sum(F.col(f"{k}_rank").isNotNull().cast("int") for k in names) >= 2)
+    up = {k: F.coalesce(F.col(f"{k}_move") >= least, F.lit(False)) for k in names}
+    down = [F.coalesce(F.col(f"{k}_move") <= -least, F.lit(False)) for k in names]
+    signal = (
+        F.when((up["free"] | up["grossing"] | up["hot"]) & (down[0] | down[1] | down[2]), "divergence").when(up["free"] & up["grossing"] & up["hot"], "leading")
+        .when(up["free"] & ~up["grossing"] & F.col("grossing_rank").isNotNull(), "traffic_leak").when(up["grossing"] & ~up["free"] & F.col("free_rank").isNotNull(), "harvest")
+        .when(up["hot"] & ~up["free"] & F.col("free_rank").isNotNull(), "word_of_mouth").otherwise("none")
+    )
+    return wide.withColumn("signal", signal)
+
+
 def volatility(days: DataFrame) -> DataFrame:
     """Share of moved games a day, and its mean over the seven dates before."""
     v = days.withColumn("volatility", F.when(F.col("total") > 0, (F.col("up") + F.col("down") + F.col("new_entry") + F.col("dropped_out")).cast("double") / F.col("total")))

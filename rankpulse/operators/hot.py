@@ -7,14 +7,25 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import scalars as S
-from .tables import first_by
+from .tables import first_by, stored
 
 
-def hot_list_rows(raw: DataFrame, top: int = 30, relevant=P.RELEVANT_WORDS) -> DataFrame:
-    """raw (date, source, title, url, place): the first `top` of a source, titles of two characters or more, relevant, as keywords."""
-    rows = raw.where((F.col("place") <= top) & (F.length(F.trim("title")) >= 2) & S.is_relevant(F.col("title"), relevant))
-    rank = F.row_number().over(Window.partitionBy("date", "source").orderBy("place", "title")).cast("int")
-    return rows.select("date", "source", S.normalize_keyword(F.col("title")).alias("keyword"), rank.alias("rank"), "url")
+def hot_list_rows(raw: DataFrame, top: int = 30, relevant=P.RELEVANT_WORDS, discussions: tuple[str, ...] = ("zhihu",)) -> DataFrame:
+    """raw (date, source, title, url, place): the first `top` of a source, titles of two characters or more, relevant, as keywords.
+
+    rank is the place. Sources of discussions give questions alone, by URL, question mark or question word, articles by URL go; there a
+    keyword is compact, stands once a date, and rank counts those that are left.
+    """
+    title, url = F.trim("title"), F.lower(F.coalesce("url", F.lit("")))
+    talk = F.col("source").isin(*discussions)
+    asked = S.contains_any(url, P.QUESTION_URLS) | title.rlike("[?？]$") | S.contains_any(title, P.QUESTION_WORDS)
+    fine = F.when(talk, asked | ~S.contains_any(url, P.ARTICLE_URLS)).otherwise(F.lit(True))
+    rows = raw.where((F.col("place") <= top) & (F.length(title) >= 2) & S.is_relevant(title, relevant) & fine)
+    keyword = F.when(talk, S.normalize_keyword(S.clean_discussion(title))).otherwise(S.normalize_keyword(title))
+    rows = rows.select("date", "source", keyword.alias("keyword"), F.col("place").cast("int").alias("rank"), "url")
+    told = first_by(rows.where(talk & (F.col("keyword") != "") & S.is_compact(F.col("keyword"), F.col("source"))), ["date", "source", "keyword"], "rank", "url")
+    told = told.withColumn("rank", F.row_number().over(Window.partitionBy("date", "source").orderBy("rank", "url")).cast("int"))
+    return rows.where(~talk).unionByName(told)
 
 
 def merge_keywords(rows: DataFrame) -> DataFrame:
@@ -45,6 +56,12 @@ def first_engine(results: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return results.withColumn("place", place).where("place > 0").withColumn("best", best).where("place = best").drop("place", "best")
 
 
+def first_variant(results: DataFrame) -> DataFrame:
+    """Kept results (date, keyword, variant) of the first variant of the query that has any, for each date and keyword."""
+    best = results.groupBy("date", "keyword").agg(F.min("variant").alias("variant"))
+    return results.join(best, ["date", "keyword", "variant"], "left_semi")
+
+
 def filter_by_age(results: DataFrame, as_of: Column, most: int = 7) -> DataFrame:
     """results (title, snippet, time_str) up to `most` days old: by a date in the title, then the time field, bracketed and relative words."""
     title, snippet = F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))
@@ -97,3 +114,38 @@ def apply_selection(candidates: DataFrame, picks: DataFrame, as_of: Column, top:
     rows = candidates.join(picks.where("value between 0 and 100"), ["date", "number"])
     rows = rows.where(~F.coalesce(S.title_age_days(F.col("title"), as_of) > most, F.lit(False)))
     return rows.withColumn("slot", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("value"), "number")).cast("int")).where(F.col("slot") <= top)
+
+
+def intel(results: DataFrame, score: Column) -> DataFrame:
+    """Results with a score that isn't below nought."""
+    return results.withColumn("score", score.cast("int")).where("score >= 0")
+
+
+def hot_topics(
+    keywords: DataFrame, clicks: DataFrame, results: DataFrame, news: DataFrame, as_of: Column, score: Column, engines: tuple[str, ...],
+    relevant=P.RELEVANT_WORDS, local_score: Column | None = None, local_relevant: Column | None = None, total: int = 7,
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """date, url, title, keyword, slot: the hot topics of each date.
+
+    keywords (date, keyword, source, rank) are merged, kept if relevant or curated, weighed by rank and clicks (keyword, clicks), and ten of
+    a date are picked. results (date, keyword, variant, engine, url, title, snippet, time_str): of each query the first engine with results,
+    without what is old or of no value; of each keyword the first variant that still has some. Each URL counts once a date; the best by
+    rules are chosen and those that known (date, url, headline; news, if not given) has already are replaced from the rest. A date without
+    any result takes the best articles by local_score (an expression over news) instead.
+    """
+    merged = merge_keywords(keywords)
+    merged = merged.where((F.col("source") == "curated") | S.is_relevant(F.col("keyword"), relevant))
+    picked = pick_keywords(weigh_keywords(merged, clicks)).select("date", "keyword")
+    asked = results.join(picked, ["date", "keyword"], "left_semi").withColumn("query", F.concat_ws("|", F.col("date").cast("string"), F.col("variant").cast("string")))
+    kept = first_variant(intel(filter_by_age(first_engine(asked, engines).drop("query"), as_of), score))
+    pool = first_by(kept, ["date", "url"], F.desc("score"), "keyword", "title").select("date", "url", "title", "keyword", "score")
+    if local_score is not None:
+        bare = news.join(pool.select("date").distinct(), "date", "left_anti")
+        local = local_candidates(bare.select("date", "url", "headline", local_score.alias("_score"), local_relevant.alias("_hit")), F.col("_score"), F.col("_hit"))
+        pool = pool.unionByName(local.select("date", "url", F.col("headline").alias("title"), F.lit("").alias("keyword"), F.col("score").cast("int").alias("score")))
+    pool = stored(pool, "hot-pool")
+    chosen = rule_hot_topics(pool, F.col("score"), top=total)
+    place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "url")).cast("int")
+    out = dedup_against(chosen, pool.withColumn("place", place), news if known is None else known)
+    return out.join(pool.select("date", "url", "keyword"), ["date", "url"]).select("date", "url", "title", "keyword", "slot")

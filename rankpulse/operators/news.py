@@ -23,6 +23,18 @@ def videos_as_news(videos: DataFrame, track=P.TRACK_WORDS) -> DataFrame:
     return videos.select("date", headline.alias("headline"), F.lit("Bilibili").alias("source"), "url", (track_class(F.concat_ws(" ", "title", "tags"), track=track) == "track").alias("track_relevant"))
 
 
+def recent_or_latest(videos: DataFrame, reported: DataFrame, as_of: Column, latest: int = 2, by: str = "creator", key: str = "bvid", time: str = "created_at") -> DataFrame:
+    """Videos of the day or the day before; of a creator without any the `latest` ones. Each key once, none reported (key); newest first as rank."""
+    rows = videos.withColumn("_in", F.coalesce(F.datediff(as_of, F.to_date(time)).between(0, 1), F.lit(False)))
+    has = rows.groupBy(F.col(by).alias("_by")).agg(F.max("_in").alias("_has"))
+    rows = rows.join(has, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    rest = rows.where("not _has").withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(time), key))).where(F.col("_n") <= latest).drop("_n")
+    one = first_by(rows.where("_in").unionByName(rest), [key], F.desc("_in"), F.desc(time), by).drop("_in", "_has")
+    fresh = one.join(reported.select(key).distinct(), key, "left_anti")
+    # one list of the day: a hundred creators, a few videos each
+    return fresh.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(time), key)).cast("int")).select(*videos.columns, "rank")
+
+
 def not_reported(news: DataFrame, reported: DataFrame) -> DataFrame:
     """News whose URL, without query and case, isn't among reported.url."""
     keys = reported.select(S.url_canonical(F.col("url")).alias("_key")).distinct()

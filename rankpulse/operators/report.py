@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .tables import source_coverage, stored
 
 
 def merge_new_games(ports: DataFrame, games: DataFrame) -> DataFrame:
@@ -82,8 +83,13 @@ def report_lines(reports_: DataFrame, column: str) -> DataFrame:
     return reports_.select("date", F.posexplode(F.split(column, "\n")).alias("place", "line")).where("line <> ''")
 
 
-def quality_checks(table: DataFrame, known: DataFrame, block: tuple[str, ...], deprecated: tuple[str, ...] = (), most: int = 7, long_: int = 200) -> DataFrame:
-    """Failed checks as rows (date, check, points): section missing, blocked or deprecated word, over `most` items, unknown URL, no link, over-long."""
+def quality_checks(
+    table: DataFrame, known: DataFrame, block: tuple[str, ...], deprecated: tuple[str, ...] = (), most: int = 7, long_: int = 200, games: DataFrame | None = None
+) -> DataFrame:
+    """Failed checks as rows (date, check, points): section missing, blocked or deprecated word, over `most` items, unknown URL, no link,
+    over-long, a market section without any link. With games (date, game_name, is_port) also a new game that none of them is, and
+    another game in one of the first places, as many as the date has ports."""
+    table = stored(table, "report")  # the checks read it again and again
     lines = report_lines(table, "market")
     url = F.get(S.headline_links(F.col("line")), 0)
     told = lambda df, name, points: df.select("date", F.lit(name).alias("check"), F.lit(points).alias("points"))
@@ -94,6 +100,16 @@ def quality_checks(table: DataFrame, known: DataFrame, block: tuple[str, ...], d
     found.append(told(lines.withColumn("url", url).where("url is not null").join(known.select("url").distinct(), "url", "left_anti"), "unknown_url", 15))
     found.append(told(lines.where(url.isNull()), "no_link", 5))
     found.append(told(lines.where(F.length("line") > long_), "over_long", 5))
+    bare = lines.groupBy("date").agg(F.count(url).alias("links"))
+    found.append(told(bare.where("links = 0"), "no_links", 5))
+    if games is not None:
+        shown = report_lines(table, "new_games").select("date", "place", F.trim(F.substring_index("line", " · ", 1)).alias("game_name"))
+        told_games = games.groupBy("date", "game_name").agg(F.max("is_port").alias("port"))
+        held = shown.join(told_games, ["date", "game_name"], "left")
+        found.append(told(held.where("port is null"), "unknown_game", 3))
+        ports = games.where("is_port").groupBy("date").agg(F.countDistinct("game_name").alias("ports"))
+        late = held.join(ports, "date").where((F.col("place") < F.col("ports")) & ~F.coalesce("port", F.lit(False)))
+        found.append(told(late.select("date").distinct(), "port_order", 1))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
@@ -117,6 +133,31 @@ def audit_metrics(news: DataFrame, block: tuple[str, ...], track: Column) -> Dat
     return base.join(top, "date").withColumn("track_percent", F.floor(F.col("n_track") * 100 / F.col("n_rows")).cast("int"))
 
 
+def audit_report(tables: dict[str, DataFrame], table: DataFrame, news: DataFrame, changes: DataFrame, block: tuple[str, ...], overseas: tuple[str, ...] = ("pocketgamer.biz",)) -> DataFrame:
+    """Counters of each date as rows (date, counter, name, n): rows of each source table, published items and their sources, the top source,
+    sections that a report has, blocked words in the published text, changes, news on followed topics, and both languages."""
+    out = lambda df, counter, name, n: df.select("date", F.lit(counter).alias("counter"), (name if isinstance(name, Column) else F.lit(name)).alias("name"), n.cast("long").alias("n"))
+    one = F.count(F.lit(1))
+    table = stored(table, "report")
+    lines = report_lines(table, "market")
+    source = F.regexp_extract("line", r"— (\S+) \[", 1)
+    sources = lines.where(source != "").groupBy("date", source.alias("source")).agg(one.alias("n"))
+    top = sources.groupBy("date").agg(F.min(F.struct((-F.col("n")).alias("less"), "source", "n")).alias("t"))
+    found = [
+        out(source_coverage(tables), "rows", F.col("source_table"), F.col("n")), out(sources, "source", F.col("source"), F.col("n")),
+        out(top, "top_source", F.col("t.source"), F.col("t.n")), out(lines.where(F.size(S.headline_links(F.col("line"))) > 0).groupBy("date").agg(one.alias("n")), "published", "", F.col("n")),
+        *[out(table, "section", c, (F.col(c) != "").cast("int")) for c in ("new_games", "market", "ranking")],
+        out(changes.groupBy("date").agg(one.alias("n")), "changes", "", F.col("n")),
+        out(news.groupBy("date").agg(F.count_if("track_relevant").alias("n")), "track_news", "", F.col("n")),
+        *[out(news.groupBy("date").agg(F.count_if(F.col("source").isin(*overseas) == far).alias("n")), "language", n, F.col("n")) for n, far in (("home", False), ("abroad", True))],
+        *[out(table.where(S.contains_any(F.col("market"), (w,), fold=True)), "blocked", w, F.lit(1)) for w in block],
+    ]
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.unionByName(f)
+    return rows
+
+
 def tool_timing(log: DataFrame) -> DataFrame:
     """Calls, total and floor average latency and cache hits by run and tool, and by run (tool_name null)."""
     sets = log.groupingSets([["run_id", "tool_name"], ["run_id"]], "run_id", "tool_name")

@@ -46,6 +46,15 @@ def numbered(df: DataFrame, by: list[str], order: list, name: str = "place") ->
     return met.select(*[F.col(c) for c in df.columns], (F.col("_own") + F.col("_before")).cast("int").alias(name))
 
 
+def scan(table: DataFrame, order: list | None = None, most: int | None = None, **equal) -> DataFrame:
+    """Rows whose columns have the given values (None: any), in order, `most` of them. Equalities on a partition column prune files."""
+    for column, value in equal.items():
+        if value is not None:
+            table = table.where(F.col(column) == (value if isinstance(value, Column) else F.lit(value)))
+    table = table.orderBy(*order) if order else table
+    return table if most is None else table.limit(most)
+
+
 def upsert_last(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """New rows replace old ones of their key; of new rows with one key the last by order stays."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
@@ -94,6 +103,35 @@ def prune(table: DataFrame, as_of: Column, days: int, column: str = "date") -> D
     return table.where(F.datediff(as_of, F.col(column)) <= days)
 
 
+REPORTED = ["item_key", "item_type", "reported_date", "meta"]
+
+
+def mark_reported(table: DataFrame, keys: DataFrame, item_type: str, date: Column, meta: str = "") -> DataFrame:
+    """The table (REPORTED) with the keys (item_key) of a type as reported on a date; a key that it has gets the new date."""
+    new = keys.select("item_key", F.lit(item_type).alias("item_type"), date.alias("reported_date"), F.lit(meta).alias("meta")).distinct()
+    return table.select(*REPORTED).join(new, ["item_key", "item_type"], "left_anti").select(*REPORTED).unionByName(new)
+
+
+def prune_reported(table: DataFrame, as_of: Column, days: dict[str, int]) -> DataFrame:
+    """The table without rows over the age of their type; types without an age stay."""
+    age, limit = F.datediff(as_of, "reported_date"), F.lit(None).cast("int")
+    for kind, n in days.items():
+        limit = F.when(F.col("item_type") == kind, n).otherwise(limit)
+    return table.where(limit.isNull() | (age <= limit))
+
+
+def mark_applied(versions: DataFrame, version: Column) -> DataFrame:
+    """Parameter versions with applied true for the given one; others keep theirs."""
+    return versions.withColumn("applied", (F.col("version") == version) | F.coalesce("applied", F.lit(False)))
+
+
+def append_runs(runs: DataFrame, new: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
+    """runs and the new rows with the ids after the greatest. new is a few rows: those of one run."""
+    top = runs.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
+    numbered_ = new.withColumn("_n", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(top))
+    return runs.unionByName(numbered_.withColumn(id_col, (F.col("_top") + F.col("_n")).cast(runs.schema[id_col].dataType)).select(*runs.columns))
+
+
 def write_back(table: DataFrame, values: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """The table with new values of some columns where values has the key."""
     got = values.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])

@@ -178,6 +178,15 @@ def x1_cross_chart(spark, sf):
     return charts.cross_chart(charts.diff_snapshots(X.rankings(spark, sf)))
 
 
+def _role(name: str, chart: str) -> str:
+    return f"min(today_rank) filter (chart_type = '{chart}') {name}_rank, max(rank_change) filter (chart_type = '{chart}') {name}_move"
+
+
+@query(_sql(CHANGES, f"y as (select date, platform, bundle_id, {_role('free', 'view')}, {_role('grossing', 'purchase')}, {_role('hot', 'click')} from changes where today_rank is not null and chart_type in ('view', 'purchase', 'click') group by all having count(*) >= 2), z as (select *, coalesce(free_move >= 2, false) fu, coalesce(grossing_move >= 2, false) gu, coalesce(hot_move >= 2, false) hu, coalesce(free_move <= -2, false) or coalesce(grossing_move <= -2, false) or coalesce(hot_move <= -2, false) dn from y)", "select * exclude (fu, gu, hu, dn), case when (fu or gu or hu) and dn then 'divergence' when fu and gu and hu then 'leading' when fu and not gu and grossing_rank is not null then 'traffic_leak' when gu and not fu and free_rank is not null then 'harvest' when hu and not fu and free_rank is not null then 'word_of_mouth' else 'none' end as signal from z"))
+def x1_cross_chart_signals(spark, sf):
+    return charts.cross_chart_signals(charts.diff_snapshots(X.rankings(spark, sf)), "view", "purchase", "click", 2)
+
+
 @query(_sql(CHANGES, OVERVIEW, DAYS, "select date, round(v, 4) as volatility, round(avg(v) over (order by date rows between 7 preceding and 1 preceding), 4) as week_mean from (select date, case when total>0 then (up+down+new_entry+dropped_out)::double/total end v from days2)"))
 def x2_volatility(spark, sf):
     return charts.volatility(charts.classify_days(X.rankings(spark, sf)))

@@ -90,9 +90,15 @@ def b7_filter_breakdown(spark, sf):
     return news.filter_breakdown(news.judge_news(with_videos(spark, sf), reported(spark, sf), as_of(), **RULES))
 
 
-@query(X.sql("select date, url, headline from news where source = 'src1' and publish_date is not null", "news"))
+@query(X.sql("select date, url, headline from news where source = 'src1' and category = 'en'", "news"))
 def b1_scan(spark, sf):
-    return news_(spark, sf).where("source = 'src1' and publish_date is not null").select("date", "url", "headline")
+    return tables.scan(news_(spark, sf), date=None, source="src1", category="en").select("date", "url", "headline")
+
+
+@query(X.sql(CHANGES + " select date, platform, chart_type, bundle_id, attention_score from changes where is_significant and platform = 'iOS' order by attention_score desc, date, chart_type, bundle_id limit 50", "rankings"), "attention_score")
+def b1_scan_ordered(spark, sf):
+    changes = charts.diff(X.rankings(spark, sf), WORDS)
+    return tables.scan(changes, [F.desc("attention_score"), "date", "chart_type", "bundle_id"], 50, is_significant=True, platform="iOS", chart_type=None).select("date", *charts.KEY, "attention_score")
 
 
 @query(X.sql("select url from news where lower(url) not in (select lower(url) from news where date = date '2024-01-01' and source in ('src1', 'src3'))", "news"))
@@ -202,7 +208,12 @@ def d14_findings(spark, sf):
     return feedback.findings(e, feedback.topic_boost(e))
 
 
-@query()
+CAL = f"""{VN}, {EV}, {BOOST}, {NETS}, w as (select {_w('track', 40)}, {_w('density', 35)}, {_w('insight', 25)} from nets), r as (select cast(round_even(track*100.0/(track+density+insight), 0) as int) t, cast(round_even(density*100.0/(track+density+insight), 0) as int) d, cast(round_even(insight*100.0/(track+density+insight), 0) as int) i from w),
+dw as (select t + case when t >= greatest(d, i) then 100-t-d-i else 0 end as track, d + case when t < greatest(d, i) and d >= i then 100-t-d-i else 0 end as density, i + case when t < greatest(d, i) and d < i then 100-t-d-i else 0 end as insight from r),
+pb as (select * from (values ('german', -7), ('old', 9)) x(topic, old)), mb as (select topic, coalesce(boost, cast(trunc(old / 2.0) as int)) boost from pb full join bo2 using (topic)), tb as (select '{{' || string_agg('"' || topic || '":' || boost, ',' order by topic) || '}}' topic_boosts from mb where boost <> 0)"""
+
+
+@query(X.sql(f"{CAL} select cast((select sum(up + down) from vn) as bigint) as n_votes, cast(coalesce((select max(event_id % 7) from events where event_type = 'signup'), 0) + 1 as bigint) as version, topic_boosts, track, density, insight from tb, dw where (select sum(up + down) from vn) >= 30", "feedback", "news", "scores"))
 def d15_calibrate(spark, sf):
     previous = spark.createDataFrame([("german", -7), ("old", 9)], "topic string, boost int")
     versions = X.table(spark, sf, "events").where("event_type = 'signup'").select((F.col("event_id") % 7).alias("version"))
@@ -314,7 +325,14 @@ def c12_same_day_pairs(spark, sf):
     return news.same_day_pairs(gamed(spark, sf))
 
 
-@query()
+#: Item by item in the order of place and id: one stays unless it is paired with one that stayed.
+DROP = f"""gm as (select date, url, source, cast(substr(source, 4) as int) place, {_words('headline', 2, 3)} w from news), pr as (select a.date, a.url a, b.url b from gm a join gm b on a.date = b.date and a.source = b.source and a.url <> b.url where len(list_intersect(a.w, b.w)) >= 2),
+od as (select date, url, place, row_number() over (partition by date order by place, url) k from gm), op as (select od.date, od.url, od.place, od.k, coalesce(list(pr.b) filter (pr.b is not null), []) bs from od left join pr on pr.date = od.date and pr.a = od.url group by all),
+ks as (select date, 0::bigint k, []::varchar[] kept from (select distinct date from od) union all select ks.date, ks.k + 1, case when len(list_intersect(kept, bs)) = 0 then list_append(kept, op.url) else kept end from ks join op on op.date = ks.date and op.k = ks.k + 1),
+kl as (select date, unnest(kept) url from (select *, row_number() over (partition by date order by k desc) z from ks) where z = 1)"""
+
+
+@query(X.sql(f"{DROP} select date, url as id, place from kl join gm using (date, url)", "news"))
 def c12_drop_same_day(spark, sf):
     items = gamed(spark, sf)
     return news.drop_same_day(items, news.same_day_pairs(items)).select("date", "id", "place")
@@ -497,6 +515,25 @@ def a22_ttl_lookup(spark, sf):
     return tables.ttl_lookup(n.select(F.col("category").alias("query"), "date").distinct(), cache, 24, now).select("query", "date", "query_hash", "result")
 
 
+TOLD = "told as (select url item_key, case source when 'src1' then 'bilibili' when 'src2' then 'taptap' else 'news' end item_type, date reported_date, '' meta from news)"
+
+
+def told_items(spark, sf):
+    kind = F.when(F.col("source") == "src1", "bilibili").when(F.col("source") == "src2", "taptap").otherwise("news")
+    return news_(spark, sf).select(F.col("url").alias("item_key"), kind.alias("item_type"), F.col("date").alias("reported_date"), F.lit("").alias("meta"))
+
+
+@query(X.sql(f"{TOLD} select item_key, item_type, case when item_type = 'news' and item_key like '%1' then date '2024-01-30' else reported_date end as reported_date, case when item_type = 'news' and item_key like '%1' then 'again' else '' end as meta from told union all select url, 'news', date '2024-01-30', 'again' from news where source in ('src1', 'src2') and url like '%1'", "news"))
+def h1_mark_reported(spark, sf):
+    keys = news_(spark, sf).where("url like '%1'").select(F.col("url").alias("item_key"))
+    return tables.mark_reported(told_items(spark, sf), keys, "news", as_of(), "again")
+
+
+@query(X.sql(f"{TOLD} select item_key, item_type from told where item_type = 'news' or date '2024-01-30' - reported_date <= case item_type when 'bilibili' then 20 else 7 end", "news"))
+def h1_prune_reported(spark, sf):
+    return tables.prune_reported(told_items(spark, sf), as_of(), {"bilibili": 20, "taptap": 7}).select("item_key", "item_type")
+
+
 @query(X.sql("select url from news where date '2024-01-30' - date <= 15", "news"))
 def h1_prune(spark, sf):
     return tables.prune(news_(spark, sf), as_of(), 15).select("url")
@@ -520,10 +557,28 @@ def h4_score_write_back(spark, sf):
     return tables.write_back(t, X.scores(spark, sf), ["url"], ["score"])
 
 
-@query(X.sql("select date, url, cast(k as int) as version from (select *, row_number() over (partition by source order by date, url) k from news) where false union all select date, max(url), cast(count(*) as int) from news group by 1", "news"))
+@query(X.sql("select date, max(url) as url, case when date >= date '2024-01-10' then cast(count(*) as int) else 0 end as version from news group by 1", "news"))
 def h6_report_upsert(spark, sf):
+    """The reports of a part of the days come again."""
     n = news_(spark, sf).groupBy("date").agg(F.max("url").alias("url"), F.count(F.lit(1)).cast("int").alias("version"))
-    return tables.upsert_last(n.withColumn("version", F.lit(0)), n, ["date"], ["version"])
+    return tables.upsert_last(n.withColumn("version", F.lit(0)), n.where("date >= date '2024-01-10'"), ["date"], ["version"])
+
+
+VERS = "select cast(event_id as int) version, user_id % 2 = 0 applied from events where event_type = 'signup'"
+
+
+@query(f"with v as ({VERS}) select version, applied or version = (select max(version) from v) as applied from v")
+def h6_mark_applied(spark, sf):
+    v = X.table(spark, sf, "events").where("event_type = 'signup'").select(F.col("event_id").cast("int").alias("version"), (F.col("user_id") % 2 == 0).alias("applied"))
+    top = v.agg(F.max("version").alias("top"))
+    return tables.mark_applied(v.join(F.broadcast(top)), F.col("top")).drop("top")
+
+
+@query(X.sql("runs as (select cast(row_number() over (order by run_id) as bigint) id, run_id, total from (select run_id, cast(sum(latency_ms) as bigint) total from audit_log group by 1)) select * from runs union all select (select max(id) from runs) + row_number() over (order by nm), nm, n from (values ('late', 5::bigint), ('a run', 7::bigint)) x(nm, n)", "audit_log"))
+def h6_append_run(spark, sf):
+    runs = X.audit_log(spark, sf).groupBy("run_id").agg(F.sum("latency_ms").alias("total"))
+    runs = tables.numbered(runs.withColumn("all", F.lit(1)), ["all"], ["run_id"], "id").select(F.col("id").cast("long").alias("id"), "run_id", "total")
+    return tables.append_runs(runs, spark.createDataFrame([("late", 5), ("a run", 7)], "run_id string, total long"), ["run_id"])
 
 
 @query(X.sql("select source, count(*) as n from news group by 1", "news"))

@@ -37,10 +37,30 @@ def clicks(spark, sf):
     return f.join(news_(spark, sf).select("url", F.lower(F.regexp_extract("headline", "^[^ ]+", 0)).alias("keyword")), "url").groupBy("keyword").agg(F.count(F.lit(1)).alias("clicks"))
 
 
-@query(X.sql(f"hr as (select date, source, headline, url, row_number() over (partition by date, source order by url) place from news), hf as (select * from hr where place <= 30 and length(trim(headline)) >= 2 and (contains(lower(headline), 'tion') or contains(lower(headline), 'que'))) select date, source, url, cast(row_number() over (partition by date, source order by place, headline) as int) as rank from hf", "news"))
+HL = "hr as (select date, source, headline, url, row_number() over (partition by date, source order by url) place from news), hf as (select * from hr where place <= 30 and length(trim(headline)) >= 2 and (contains(lower(headline), 'tion') or contains(lower(headline), 'que')))"
+
+
+def hot_raw(spark, sf):
+    return keywords_raw(spark, sf).withColumnRenamed("rank", "place").drop("keyword").join(news_(spark, sf).select("url", F.col("headline").alias("title")), "url")
+
+
+@query(X.sql(f"{HL} select date, source, url, cast(place as int) as rank from hf", "news"))
 def a24_hot_list(spark, sf):
-    rows = keywords_raw(spark, sf).withColumnRenamed("rank", "place").drop("keyword").join(news_(spark, sf).select("url", F.col("headline").alias("title")), "url")
-    return hot.hot_list_rows(rows, relevant=("tion", "que")).select("date", "source", "url", "rank")
+    return hot.hot_list_rows(hot_raw(spark, sf), relevant=("tion", "que")).select("date", "source", "url", "rank")
+
+
+_TALK = "case place % 4 when 0 then 'https://www.zhihu.com/question/' when 1 then 'https://zhuanlan.zhihu.com/p/' when 2 then 'https://www.zhihu.com/zvideo/' else 'https://www.zhihu.com/x/' end"
+_TITLE = "case place % 5 when 0 then concat('为什么', word) when 1 then concat(word, '？ - 知乎') when 2 then concat('文章 ', word, ' | 知乎日报') else concat(word, ' 回答') end"
+
+
+@query(X.sql(f"{HL.replace('*', 'date, place, ' + FIRST + ' word')}, t as (select date, place, {_TALK} || place u, word, {_TITLE} title, case place % 5 when 0 then '为什么' || word when 1 then word || '？' else word end k from hf where place <= 30), kept as (select *, place % 4 = 0 or place % 5 in (0, 1) asked from t), c as (select *, row_number() over (partition by date, k order by place, u) n from kept where (asked or place % 4 not in (1, 2)) and length(k) <= 14 and len(regexp_extract_all(k, '[0-9]')) < 4 and trim(k) <> '' and not regexp_matches(k, '[，。！？；：()（）\\[\\]【】/\\\\]')) select date, k as keyword, u as url, cast(row_number() over (partition by date order by place, u) as int) as rank from c where n = 1", "news").replace("partition by date, source order by url) place from news", "partition by date order by url) place from news"))
+def a24_discussions(spark, sf):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("date").orderBy("url"))
+    rows = news_(spark, sf).withColumn("place", place).withColumn("word", F.lower(F.regexp_extract("headline", "^[^ ]+", 0))).where("contains(lower(headline), 'tion') or contains(lower(headline), 'que')")
+    raw = rows.select("date", F.lit("zhihu").alias("source"), F.concat(F.expr(_TALK), F.col("place").cast("string")).alias("url"), F.expr(_TITLE).alias("title"), "place")
+    return hot.hot_list_rows(raw, relevant=("",)).select("date", "keyword", "url", "rank")
 
 
 @query(X.sql(f"{MERGED.replace('order by rank, source', 'order by rank, case when source=' + chr(39) + 'src1' + chr(39) + ' then ' + chr(39) + 'curated' + chr(39) + ' else source end')} select date, keyword, rank, case when source = 'src1' then 'curated' else source end as source from mk", "news"))
@@ -66,6 +86,12 @@ def a25_first_engine(spark, sf):
     return hot.first_engine(rows, ("alpha", "gamma", "beta"))
 
 
+@query("with r as (select doc_id, date '2024-01-01' + cast(doc_id % 30 as int) as date, lang keyword, cast(doc_id % 7 as int) variant from documents where lang is not null and doc_id % 7 >= doc_id % 4) select doc_id from (select *, min(variant) over (partition by date, keyword) m from r) where variant = m")
+def a25_first_variant(spark, sf):
+    d = X.table(spark, sf, "documents").where("lang is not null and doc_id % 7 >= doc_id % 4")
+    return hot.first_variant(d.selectExpr("doc_id", "date_add(date '2024-01-01', cast(doc_id % 30 as int)) as date", "lang as keyword", "cast(doc_id % 7 as int) as variant")).select("doc_id")
+
+
 RES = "rs as (select n.date, n.url, n.headline title, substr(n.body,1,200) snippet, (d.doc_id % 12)::varchar||'天前' time_str from news n join documents d on n.url = 'https://'||d.source||'.example.org/'||d.doc_id::varchar), ra as (select * from rs where cast(regexp_extract(time_str, '^[0-9]+') as int) <= 7)"
 
 
@@ -99,7 +125,7 @@ def e15_local_candidates(spark, sf):
 
 
 C7 = f"""{RES}, {HSF}, se as (select date, url, title, k slot from (select *, row_number() over (partition by date order by score desc, url) k from hs where score >= 4) where k <= 7), po as (select date, url, title, row_number() over (partition by date order by score desc, url) place from hs where score > 0),
-nw as (select date, url, headline from (select *, row_number() over (partition by date order by url) k from news) where k <= 5), nt as (select distinct date, unnest({TOKENS}) token from (select date, {_stripped('headline')} c from nw)),
+nw as (select date, url, headline from news where source = 'src4'), nt as (select distinct date, unnest({TOKENS}) token from (select date, {_stripped('headline')} c from nw)),
 hit as (select distinct date, url from (select date, url, unnest({TOKENS}) token from (select date, url, {_stripped('title')} c from hs)) join nt using (date, token)),
 al as (select date, url, title, 0 late, slot place from se union all select date, url, title, 1, place from po where (date, url) not in (select date, url from se)),
 fr as (select * from al where (date, url) not in (select date, url from hit) and (date, url) not in (select date, url from nw)), nn as (select date, count(*) n from se group by 1)"""
@@ -112,13 +138,36 @@ def c7_dedup_against(spark, sf):
     rows, score = hot_scored(spark, sf)
     chosen = hot.rule_hot_topics(rows, score.cast("int"))
     pool = rows.withColumn("score", score).where("score > 0").withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "url")).cast("int"))
-    lead = scoring.top_n(news_(spark, sf), ["date"], ["url"], 5).select("date", "url", "headline")
-    return hot.dedup_against(chosen, pool, lead)
+    return hot.dedup_against(chosen, pool, news_(spark, sf).where("source = 'src4'").select("date", "url", "headline"))
+
+
+#: Search results of each keyword: articles of its day in three variants of the query and two engines; the last days have none.
+G5RES = "case doc % 3 when 0 then 'alpha' else 'beta' end"
+G5 = f"""{WTC}, wr as (select * from wt where source = 'src1' or contains(lower(keyword), 'e')), p0 as (select *, source = 'src1' cur, row_number() over (partition by date, source = 'src1' order by weight desc, keyword) pl from wr), p1 as (select *, row_number() over (partition by date order by case when cur then 1 when pl <= 7 then 0 else 2 end, weight desc, keyword) slot from p0), pk as (select date, keyword from p1 where slot <= 10),
+g0 as (select date, url, headline title, substr(body, 1, 200) snippet, cast(regexp_extract(url, '([0-9]+)$', 1) as bigint) doc, {FIRST} keyword from news where date <= date '2024-01-26'),
+g1 as (select *, cast(doc % 3 + 1 as int) variant, {G5RES} engine, doc % 12 age from g0 join pk using (date, keyword)), g2 as (select *, min(engine) over (partition by date, keyword, variant) me from g1),
+ra as (select * from g2 where engine = me and age <= 7), {{HSF}}, g3 as (select * from hs where score >= 0), g4v as (select *, min(variant) over (partition by date, keyword) mv from g3),
+po0 as (select date, url, title, keyword, score from (select *, row_number() over (partition by date, url order by score desc, keyword, title) k from g4v where variant = mv) where k = 1),
+lo0 as (select n.date, n.url, n.headline title, '' keyword, s.score, {{REL}} rel from news n join scores s using (url) where n.date not in (select date from po0) and s.score > 0), lo1 as (select *, bool_or(rel) over (partition by date) has from lo0), lo2 as (select *, row_number() over (partition by date order by score desc, url) k from lo1 where rel or not has),
+po as (select * from po0 union all select date, url, title, keyword, score from lo2 where k <= case when has then 20 else 7 end),
+se as (select date, url, title, k slot from (select *, row_number() over (partition by date order by score desc, url) k from po where score >= 4) where k <= 7), pp as (select date, url, title, row_number() over (partition by date order by score desc, url) place from po),
+nw as (select date, url, headline from news where source = 'src4'), nt as (select distinct date, unnest({TOKENS}) token from (select date, {_stripped('headline')} c from nw)),
+hit as (select distinct date, url from (select date, url, unnest({TOKENS}) token from (select date, url, {_stripped('title')} c from po)) join nt using (date, token)),
+al as (select date, url, title, 0 late, slot place from se union all select date, url, title, 1, place from pp where (date, url) not in (select date, url from se)),
+fr as (select * from al where (date, url) not in (select date, url from hit) and (date, url) not in (select date, url from nw)), nn as (select date, count(*) n from se group by 1)"""
 
 
-@query(X.sql(f"{C7} select date, count(*) as n, min(url) as first_url from (select *, row_number() over (partition by date order by late, place, url) k from fr) join nn using (date) where k <= n group by 1", "news"))
+@query(X.sql(G5.replace("{HSF}", HSF).replace("{REL}", _b("headline", ("que",))) + " select f.date, f.url, f.title, po.keyword, cast(f.k as int) as slot from (select *, row_number() over (partition by date order by late, place, url) k from fr) f join nn using (date) join po on po.date = f.date and po.url = f.url where f.k <= n", "news", "feedback", "scores"))
 def g5_hot_topics(spark, sf):
-    return c7_dedup_against(spark, sf).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("first_url"))
+    keywords = keywords_raw(spark, sf).withColumn("source", F.when(F.col("source") == "src1", "curated").otherwise(F.col("source")))
+    doc = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+    found = news_(spark, sf).where("date <= date '2024-01-26'").select("date", "url", F.col("headline").alias("title"), F.expr("substr(body, 1, 200)").alias("snippet"), F.lower(F.regexp_extract("headline", "^[^ ]+", 0)).alias("keyword"), doc.alias("doc"))
+    found = found.withColumns({"variant": (F.col("doc") % 3 + 1).cast("int"), "engine": F.expr(G5RES), "time_str": F.concat((F.col("doc") % 12).cast("string"), F.lit("天前"))})
+    score = S.hot_score(F.col("title"), F.col("snippet"), F.col("url"), ("e",), ("tion", "heing"), ("que", "und", "los"), ())
+    told = news_(spark, sf).join(X.scores(spark, sf).select("url", "score"), "url", "left")
+    blocked = told.where("source = 'src4'")
+    out = hot.hot_topics(keywords, clicks(spark, sf), found, told.withColumn("headline", F.col("headline")), as_of(), score, ("alpha", "beta"), relevant=("e",), local_score=F.coalesce("score", F.lit(0)), local_relevant=S.keyword_match(F.col("headline"), ("que",)), known=blocked)
+    return out.select("date", "url", "title", "keyword", "slot")
 
 
 @query(X.sql("c as (select date, url, headline as title, cast(row_number() over (partition by date order by url) - 1 as int) number from news), p as (select date, cast(doc_id % 50 as int) number, max(cast(doc_id % 120 as int)) as value from (select doc_id, date '2024-01-01' + cast(doc_id % 30 as int) date from documents) group by 1, 2) select date, url, value, cast(k as int) as slot from (select *, row_number() over (partition by date order by value desc, number) k from c join p using (date, number) where value between 0 and 100) where k <= 7", "news"))
@@ -226,12 +275,18 @@ def c16_attach_by_url(spark, sf):
 QC = f"""ln as (select date, l, regexp_extract(l, '\\]\\((https?://[^)]+)\\)', 1) u from (select date, unnest(string_split(market, chr(10))) l from rep) where l <> ''),
 qc as (select date, 'no_market' as "check", 20 points from rep where market='' union all select date, 'no_ranking', 20 from rep where ranking='' union all select date, 'no_new_games', 20 from rep where new_games=''
  union all select date, 'block_word', 10 from ln where contains(lower(l), 'ouwhea') or contains(lower(l), 'erble') union all select date, 'deprecated_word', 5 from ln where contains(l, 'Thonst') union all select date, 'too_many', 10 from ln group by date having count(*) > 6
- union all select date, 'unknown_url', 15 from ln where u <> '' and u not in (select url from news where source <> 'src3') union all select date, 'no_link', 5 from ln where u = '' union all select date, 'over_long', 5 from ln where length(l) > 150)"""
+ union all select date, 'unknown_url', 15 from ln where u <> '' and u not in (select url from news where source <> 'src3') union all select date, 'no_link', 5 from ln where u = '' union all select date, 'over_long', 5 from ln where length(l) > 150
+ union all select date, 'no_links', 5 from ln group by date having count(nullif(u, '')) = 0 union all select date, 'unknown_game', 3 from gs where port is null
+ union all select distinct date, 'port_order', 1 from gs join gn using (date) where place < ports and not coalesce(port, false))"""
+GK = """gk as (select date, game_name, bool_or(is_port) port from games where game_name not like '%7' group by all), gn as (select date, count(distinct game_name) ports from games where is_port and game_name not like '%7' group by 1),
+g00 as (select date, string_split(new_games, chr(10)) ls from rep), g01 as (select date, unnest(ls) l, generate_subscripts(ls, 1) - 1 place from g00), gs as (select g01.date, place, port from (select *, trim(split_part(l, ' · ', 1)) game_name from g01 where l <> '') g01 left join gk on gk.date = g01.date and gk.game_name = g01.game_name)"""
+QC = f"{GK}, {QC}"
 
 
 def checks(spark, sf):
     known = news_(spark, sf).where("source <> 'src3'")
-    return report.quality_checks(report_(spark, sf), known, ("ouwhea", "erble"), ("Thonst",), 6, 150)
+    games = X.games(spark, sf).where("game_name not like '%7'")
+    return report.quality_checks(report_(spark, sf), known, ("ouwhea", "erble"), ("Thonst",), 6, 150, games)
 
 
 @query(X.sql(f"{REP}, {QC} select * from qc", "rankings", "news", "scores", "games"))
@@ -249,6 +304,21 @@ def d16_audit_metrics(spark, sf):
     return report.audit_metrics(news_(spark, sf), ("erble",), S.keyword_match(F.col("headline"), COMMON))
 
 
+AUDIT = """tb as (select 'news' nm, date, count(*) n from news group by 2 union all select 'rankings', date, count(*) from rankings group by 2 union all select 'games', date, count(*) from games group by 2),
+al0 as (select date, unnest(string_split(market, chr(10))) l from rep), al1 as (select date, l, regexp_extract(l, '— (\\S+) \\[', 1) src from al0 where l <> ''), sr as (select date, src, count(*) n from al1 where src <> '' group by all),
+au as (select date, 'rows' as counter, nm as name, n from tb union all select date, 'source', src, n from sr union all select date, 'top_source', src, n from (select *, row_number() over (partition by date order by n desc, src) k from sr) where k = 1
+ union all select date, 'published', '', count(*) from al1 where regexp_matches(l, '\\]\\((https?://[^)]+)\\)') group by 1 union all select date, 'section', 'new_games', cast(new_games <> '' as int) from rep union all select date, 'section', 'market', cast(market <> '' as int) from rep union all select date, 'section', 'ranking', cast(ranking <> '' as int) from rep
+ union all select date, 'changes', '', count(*) from changes group by 1 union all select date, 'track_news', '', count(*) filter ({0}) from news group by 1 union all select date, 'language', 'home', count(*) filter (source <> 'src3') from news group by 1 union all select date, 'language', 'abroad', count(*) filter (source = 'src3') from news group by 1
+ union all select date, 'blocked', 'erble', 1 from rep where contains(lower(market), 'erble') union all select date, 'blocked', 'ouwhea', 1 from rep where contains(lower(market), 'ouwhea'))"""
+
+
+@query(X.sql(f"{REP}, {AUDIT.replace('{0}', _b('headline', COMMON))} select date, counter, name, cast(n as bigint) as n from au", "rankings", "news", "scores", "games"))
+def d16_audit_report(spark, sf):
+    n = news_(spark, sf).withColumn("track_relevant", S.keyword_match(F.col("headline"), COMMON))
+    tables_ = {"news": n, "rankings": X.rankings(spark, sf), "games": X.games(spark, sf)}
+    return report.audit_report(tables_, report_(spark, sf), n, charts.diff(X.rankings(spark, sf), WORDS), ("erble", "ouwhea"), ("src3",))
+
+
 @query(X.sql("select run_id, tool_name, count(*) as calls, cast(sum(latency_ms) as bigint) as total_ms, cast(floor(avg(latency_ms)) as bigint) as avg_ms, count(*) filter (cache_hit) as cache_hits from audit_log group by grouping sets ((run_id, tool_name), (run_id))", "audit_log"))
 def d17_tool_timing(spark, sf):
     return report.tool_timing(X.audit_log(spark, sf))
@@ -260,14 +330,13 @@ def d18_run_summary(spark, sf):
     return report.run_summary(steps, ("user",))
 
 
-@query(X.sql("k as (select *, date >= date '2024-01-29' inr from news), h as (select *, bool_or(inr) over (partition by source) has, row_number() over (partition by source order by date desc, url) r from k) select source, url from h where (has and inr) or (not has and r <= 2)", "news"))
+@query(X.sql("v as (select source creator, case when cast(regexp_extract(url, '([0-9]+)$', 1) as bigint) % 5 = 0 then 'b' || date else url end bvid, date as day from news where date <= date '2024-01-29' or source in ('src1', 'src2')), k as (select *, date '2024-01-30' - day between 0 and 1 inr from v), h as (select *, bool_or(inr) over (partition by creator) has from k), l as (select *, row_number() over (partition by creator order by day desc, bvid) r from h where not has), u as (select creator, bvid, day, true i from h where inr union all select creator, bvid, day, false from l where r <= 2), o as (select * from (select *, row_number() over (partition by bvid order by i desc, day desc, creator) z from u) where z = 1 and bvid not in (select url from news where source = 'src2')) select creator, bvid, cast(row_number() over (order by day desc, bvid) as int) as rank from o", "news"))
 def b13_recent_or_latest(spark, sf):
-    from pyspark.sql import Window
-
-    n = news_(spark, sf).withColumn("inr", F.col("date") >= F.expr("date '2024-01-29'"))
-    by = Window.partitionBy("source")
-    rows = n.withColumn("has", F.max("inr").over(by)).withColumn("r", F.row_number().over(by.orderBy(F.desc("date"), "url")))
-    return rows.where("(has and inr) or (not has and r <= 2)").select("source", "url")
+    n = news_(spark, sf)
+    doc = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+    videos = n.where("date <= date '2024-01-29' or source in ('src1', 'src2')").select(F.col("source").alias("creator"), F.when(doc % 5 == 0, F.concat(F.lit("b"), F.col("date").cast("string"))).otherwise(F.col("url")).alias("bvid"), F.col("date").cast("timestamp").alias("created_at"))
+    told = n.where("source = 'src2'").select(F.col("url").alias("bvid"))
+    return news.recent_or_latest(videos, told, as_of()).select("creator", "bvid", "rank")
 
 
 # --- ingest and pages
@@ -303,9 +372,22 @@ def a12_standardize(spark, sf):
     return ingest.drop_empty_columns(ingest.standardize(raw, {"应用": "game_name", "品类": "category"}))
 
 
-@query()
+@query(X.sql("select date, platform, '热门榜' as chart_type, category, case when rank % 7 = 0 then 0 else rank end as rank, case when rank % 5 = 0 or bundle_id = '0' then 'fallback:' || trim(game_name) else bundle_id end as bundle_id, trim(game_name) as game_name, case when rank % 3 <> 0 then coalesce(developer, '') end as developer from rankings where rank % 11 <> 0", "rankings"))
+def a1_read_rankings(spark, sf):
+    """Chart files of the rankings, written as a scraper does, with ranks that aren't numbers and names that are blank."""
+    path = tables.work_dir(spark, "chart-files")
+    raw = X.rankings(spark, sf).select(
+        F.when(F.col("rank") % 7 == 0, "n/a").otherwise(F.col("rank").cast("string")).alias("排名"), F.when(F.col("rank") % 5 == 0, "0").otherwise(F.col("bundle_id")).alias("Bundle ID"),
+        F.when(F.col("rank") % 11 == 0, " ").otherwise(F.col("game_name")).alias("应用"), F.when(F.col("platform") == "iOS", "IOS游戏榜").otherwise(" android ").alias("iOS/Android"),
+        F.col("category").alias("类别"), F.when(F.col("rank") % 3 == 0, "0").otherwise(F.col("developer")).alias("开发者"), F.col("date").cast("string").alias("scrape_date"),
+    )
+    raw.write.option("header", True).csv(path)
+    return ingest.read_rankings(spark, path)
+
+
+@query(X.sql("select platform, chart_type, count(*) as n from rankings group by all", "rankings"))
 def a13_write_rankings(spark, sf):
-    path = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints") + "/rankings-sink"
+    path = tables.work_dir(spark, "rankings-sink")
     ingest.write_rankings(X.rankings(spark, sf).drop("category"), path, "parquet")
     return spark.read.parquet(path).groupBy("platform", "chart_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -317,17 +399,44 @@ def a14_rss(spark, sf):
     return items.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("doc_id"), "headline", "url", "publish_date")
 
 
-@query("select doc_id, 'BV' || doc_id as bvid, 'v' || doc_id as title, doc_id * 3 as views, make_timestamp((1704067200 + doc_id)::bigint * 1000000) as published_at from documents where doc_id % 5 <> 0")
+def _api(spark, sf):
+    """Answers of a video service: some aren't JSON, some rows lack an id, some counts are words."""
+    d = X.table(spark, sf, "documents").where("lang is not null")
+    one = F.concat(F.lit('{"bvid":"'), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("BV"), "doc_id")), F.lit('","title":"v'), "doc_id", F.lit('","play":'), F.when(F.col("doc_id") % 4 == 0, '"--"').otherwise((F.col("doc_id") * 3).cast("string")), F.lit(',"comment":'), "doc_id", F.lit(',"pic":"c.jpg","length":"'), F.when(F.col("doc_id") % 2 == 0, "").otherwise("01:02"), F.lit('","created":'), F.lit(1704067200) + F.col("doc_id"), F.lit("}"))
+    answer = F.when(F.col("doc_id") % 11 == 0, F.lit("oops {")).otherwise(F.concat(F.lit('{"data":{"list":{"vlist":['), one, F.lit("]}}}")))
+    return d.select(F.col("lang").alias("creator_uid"), F.upper("lang").alias("creator_label"), answer.alias("json"))
+
+
+VID = "vd as (select doc_id, lang creator_uid, upper(lang) creator_label, 'BV' || doc_id as bvid, 'v' || doc_id as title, '' as description, 'https://www.bilibili.com/video/BV' || doc_id as url, 'c.jpg' as cover, case when doc_id % 4 = 0 then 0 else doc_id * 3 end as play_count, doc_id as comment_count, cast(0 as bigint) as video_review, case when doc_id % 2 = 0 then '' else '01:02' end as duration, make_timestamp((1704067200 + doc_id)::bigint * 1000000) as created_at from documents where lang is not null and doc_id % 5 <> 0 and doc_id % 11 <> 0)"
+
+
+@query(f"with {VID} select * exclude (doc_id), cast(row_number() over (partition by creator_uid order by created_at desc, bvid) as int) as place from vd")
 def a15_videos(spark, sf):
-    d = X.table(spark, sf, "documents").select(F.concat(F.lit('{"data":{"list":{"vlist":[{"bvid":"'), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("BV"), "doc_id")), F.lit('","title":"v'), "doc_id", F.lit('","play":'), F.col("doc_id") * 3, F.lit(',"created":'), F.lit(1704067200) + F.col("doc_id"), F.lit("}]}}}")).alias("json"))
-    rows = ingest.video_rows(d)
-    return rows.select(F.expr("cast(substr(bvid, 3) as long)").alias("doc_id"), "bvid", "title", "views", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+    return ingest.video_rows(_api(spark, sf)).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
-@query()
+@query(f"with {VID} select bvid, case when doc_id % 3 = 0 then 'd' || doc_id else '' end as description, case when doc_id % 3 = 0 then 'cat' else '' end as category, case when doc_id % 3 = 0 and duration = '' then '01:' || lpad(cast(doc_id % 60 as varchar), 2, '0') else duration end as duration, case when doc_id % 3 = 0 then doc_id else 0 end as like_count, cast(0 as bigint) as coin_count from vd")
+def a15_details(spark, sf):
+    d = X.table(spark, sf, "documents").where("doc_id % 3 < 2")
+    data = F.concat(F.lit('{"code":'), F.when(F.col("doc_id") % 3 == 0, "0").otherwise("-404"), F.lit(',"data":{"desc":"d'), "doc_id", F.lit('","tname":"cat","duration":'), 60 + F.col("doc_id") % 60, F.lit(',"stat":{"like":'), "doc_id", F.lit("}}}"))
+    told = d.select(F.concat(F.lit("BV"), "doc_id").alias("bvid"), data.alias("json"))
+    return ingest.with_details(ingest.video_rows(_api(spark, sf)), told).select("bvid", "description", "category", "duration", "like_count", "coin_count")
+
+
+@query(f"with {VID}, s as (select * from vd where creator_uid <> 'en'), p as (select page_id, 'p' || page_id % 5 creator_uid from pages) select creator_uid, bvid, cast(row_number() over (partition by creator_uid order by created_at desc, bvid) as int) as place from s union all select 'en' || page_id, 'BVx' || page_id || k, cast(k as int) from pages, unnest([1, 2]) t(k) where page_id % 2 = 0")
+def a15_page_fallback(spark, sf):
+    api = ingest.video_rows(_api(spark, sf).where("creator_uid <> 'en'"))
+    link = lambda k: F.concat(F.lit('<a class="c" href="//www.bilibili.com/video/BVx'), F.col("page_id").cast("string"), F.lit(f'{k}?x=1" title="t{k}">go</a>'))
+    page = X.table(spark, sf, "pages").select(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("en"), F.col("page_id").cast("string"))).otherwise("de").alias("creator_uid"), F.lit("L").alias("creator_label"), F.concat(F.col("html"), link(1), link(2), link(1)).alias("html"))
+    return ingest.or_page_videos(api, page).select("creator_uid", "bvid", "place")
+
+
+@query("select page_id, page_id as app_id, case when page_id % 3 = 1 then 'E' || page_id else 'Card' end as game_name, case when page_id % 3 <> 2 then date '2024-01-05' end as start_date, case when page_id % 3 <> 2 then 'https://t.org/app/' || page_id end as url from pages")
 def a16_jsonld(spark, sf):
-    html = F.concat(F.lit('<script type="application/ld+json">[{"@type":"Event","name":"E'), "page_id", F.lit('","startDate":"2024-01-05T10:00:00Z","url":"https://t.org/app/'), "page_id", F.lit('"}]</script><script id="__data__">[{"app_id":1,"title":2},'), "page_id", F.lit(',"Card"]</script>'))
-    p = X.table(spark, sf, "pages").select("page_id", "url", F.concat("html", html).alias("html"))
+    """Some pages lack the cards, some hold event data that isn't JSON."""
+    event = F.concat(F.when(F.col("page_id") % 3 == 2, F.lit("[{")).otherwise(F.lit("[")), F.lit('{"@type":"Event","name":"E'), "page_id", F.lit('","startDate":"2024-01-05T10:00:00Z","url":"https://t.org/app/'), "page_id", F.lit('"}]'))
+    cards = F.when(F.col("page_id") % 3 == 1, F.lit("")).otherwise(F.concat(F.lit('<script id="__data__">[{"app_id":1,"title":2},'), "page_id", F.lit(',"Card"]</script>')))
+    p = X.table(spark, sf, "pages").select("page_id", "url", F.concat("html", F.lit('<script type="application/ld+json">'), event, F.lit("</script>"), cards).alias("html"))
     return pages.merge_events_cards(pages.html_jsonld(p), pages.html_app_cards(p))
 
 
@@ -344,10 +453,18 @@ def a18_bodies(spark, sf):
     return pages.html_body(X.table(spark, sf, "pages"))
 
 
-@query("select page_id, cast(1 as int) as slot, 'https://i.org/' || page_id || '.jpg' as image from pages union all select page_id, 2, 'https://i.org/w' || page_id || '.jpg' from pages")
+_ROOT = "regexp_extract(url, '^([a-zA-Z]+://[^/]+)', 1)"
+
+
+@query(f"select page_id, cast(1 as int) as slot, 'https://i.org/' || page_id || '.jpg' as image from pages where page_id % 2 = 0 union all select page_id, cast(k as int), case k when 1 then 'https://i.org/in' || page_id || '.jpg' when 2 then {_ROOT} || '/plain.jpg' else 'https://i.org/ad' || page_id || '.jpg' end from pages, unnest([1, 2, 3]) t(k) where page_id % 2 = 1")
 def a19_images(spark, sf):
-    html = F.concat(F.lit('<meta property="og:image" content="https://i.org/'), "page_id", F.lit('.jpg"><img src="https://i.org/logo.png"><img width="100" src="https://i.org/s.jpg"><img width="640px" src="https://i.org/w'), "page_id", F.lit('.jpg">'))
-    return pages.html_images(X.table(spark, sf, "pages").select("page_id", F.concat("html", html).alias("html")))
+    """Even pages have a meta image; odd ones have images of which the one amid content comes first, the one in a side bar last."""
+    n = F.col("page_id").cast("string")
+    meta = F.concat(F.lit('<meta property="og:image" content="https://i.org/'), n, F.lit('.jpg">'))
+    bare = F.concat(F.lit('<div class="sidebar"><img src="https://i.org/ad'), n, F.lit('.jpg"></div><img src="/plain.jpg"><div class="main-content"><img width="640px" src="https://i.org/in'), n, F.lit('.jpg"></div><div class="widget"><div id="ad-1"><img src="https://i.org/x.jpg"></div></div>'))
+    small = F.lit('<img src="https://i.org/logo.png"><img width="100" src="https://i.org/s.jpg"><img height="90" src="https://i.org/h.jpg">')
+    html = F.concat(F.lit("<html><body>"), F.when(F.col("page_id") % 2 == 0, F.concat(meta, small, bare)).otherwise(F.concat(small, bare)), F.lit("</body></html>"))
+    return pages.html_images(X.table(spark, sf, "pages").select("page_id", "url", html.alias("html")))
 
 
 @query("with t as (select page_id, lower(html) l from pages), c as (select page_id, l, len(string_split(l, 'port')) - 1 + len(string_split(l, '移植')) - 1 n, len(string_split(l, 'und')) - 1 m from t) select page_id, case when contains(l, 'steam_integration') then 'port' when n > 0 and (contains(l, 'ios') or contains(l, 'que')) then case when m >= n then 'weak' else 'port' end else 'none' end as signal from c")
@@ -372,3 +489,21 @@ def a23_extract_json(spark, sf):
 def a26_to_news(spark, sf):
     d = X.table(spark, sf, "documents").selectExpr("substr(split_part(text, '\n', 1), 1, 80) as title", "source", "case when doc_id % 10 = 0 then ' ' else concat('https://x.org/', doc_id) end as link", "case when doc_id % 2 = 0 then '1' else 'no' end as track_relevant")
     return ingest.to_market_news(d, COMMON)
+
+
+@query("select p_name as game_name, p_partkey::varchar as bundle_id, case when p_size % 3 <> 0 then p_size / 10.0 end as rating, p_type || ',' || case when p_size % 4 = 0 then 'Steam' else p_brand end as tags, p_type as genre, case when p_size % 5 = 0 then '首发' else '新游' end as event_type, p_size % 4 = 0 or regexp_matches(lower(p_name || ' ' || p_type || ' ' || p_brand), '(^|[^a-z0-9_])gear([^a-z0-9_]|$)') as track_relevant from part where p_size % 6 <> 0")
+def a26_to_games(spark, sf):
+    raw = X.table(spark, sf, "part").selectExpr("case when p_size % 6 = 0 then ' ' else p_name end as `应用`", "concat('fallback:', p_partkey) as `Bundle ID`", "case when p_size % 3 = 0 then 'n/a' else cast(p_size / 10 as string) end as rating", "concat(p_type, ',', case when p_size % 4 = 0 then 'Steam' else p_brand end) as tags", "p_type as `品类`", "case when p_size % 5 = 0 then '首发' else '' end as event_type")
+    return ingest.to_new_games(raw, ("gear",)).select("game_name", "bundle_id", "rating", "tags", "genre", "event_type", "track_relevant")
+
+
+@query("select p_name as game_name, p_partkey::varchar as bundle_id, p_type as genre, true as has_mobile_version, true as track_relevant from part where p_size % 6 <> 0")
+def a26_to_ports(spark, sf):
+    raw = X.table(spark, sf, "part").selectExpr("case when p_size % 6 = 0 then '' else p_name end as game_name", "concat('fallback:', p_partkey) as bundle_id", "p_type as genre")
+    return ingest.to_ports(raw).drop("source")
+
+
+@query("select 'BV' || doc_id as bvid, lang as creator_uid, case when doc_id % 4 = 0 then 0 else doc_id end as play_count, doc_id * 2 as like_count, cast(0 as bigint) as share_count from documents where doc_id % 5 <> 0 and lang is not null")
+def a26_to_videos(spark, sf):
+    raw = X.table(spark, sf, "documents").where("lang is not null").selectExpr("case when doc_id % 5 = 0 then '' else concat('BV', doc_id) end as bvid", "lang as creator_uid", "case when doc_id % 4 = 0 then 'many' else concat(doc_id, '.0') end as views", "cast(doc_id * 2 as string) as like_count")
+    return ingest.to_videos(raw).select("bvid", "creator_uid", "play_count", "like_count", "share_count")

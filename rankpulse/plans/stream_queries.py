@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..operators.tables import work_dir
 from ..streaming import jobs
 from . import query, sqlapi
 from .chart_queries import CHANGES, WORDS
+from .news_queries import _b
+from .scalar_queries import BODY, TOKENS, _stripped
 
 
 def _folder(spark: SparkSession) -> str:
@@ -94,11 +98,63 @@ def i2_templates(spark, sf):
     return sqlapi.template(spark, "change_history", bundle_id="7")
 
 
-@query(X.sql("select url, lower(regexp_replace(url, '[?#].*$', '')) as canonical, regexp_matches(lower(headline), '(^|[^a-z0-9_])und([^a-z0-9_]|$)') as hit from news", "news"))
+@query(X.sql("select date, rank from rankings where bundle_id = '7' and chart_type = 'view'", "rankings"))
+def i2_rank_history(spark, sf):
+    X.rankings(spark, sf).createOrReplaceTempView("rankings")
+    return sqlapi.template(spark, "rank_history", bundle_id="7", chart_type="view")
+
+
+@query(X.sql("select rank, game_name, bundle_id from rankings where date = date '2024-01-09' and platform = 'iOS' and chart_type = 'view'", "rankings"))
+def i2_chart_of_day(spark, sf):
+    X.rankings(spark, sf).createOrReplaceTempView("rankings")
+    return sqlapi.template(spark, "chart_of_day", date=dt.date(2024, 1, 9), platform="iOS", chart_type="view")
+
+
+@query(X.sql("select distinct date from rankings", "rankings"))
+def i2_dates(spark, sf):
+    X.rankings(spark, sf).createOrReplaceTempView("rankings")
+    return sqlapi.template(spark, "dates")
+
+
+@query(X.sql(CHANGES + " select platform, chart_type, bundle_id, attention_score from changes where date = date '2024-01-09' and is_significant", "rankings"), "attention_score")
+def i2_significant_changes(spark, sf):
+    charts.diff(X.rankings(spark, sf), WORDS).createOrReplaceTempView("changes")
+    return sqlapi.template(spark, "significant_changes", date=dt.date(2024, 1, 9)).select(*charts.KEY, "attention_score")
+
+
+@query(X.sql("sc as (select category as query, source as engine, cast(length(body) as int) result_count, date + to_hours(cast(length(headline) as int)) searched_at from news) select query, engine, result_count, searched_at from sc order by searched_at desc, query limit 10", "news"))
+def i2_recent_searches(spark, sf):
+    at = (F.col("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.length("headline"))).alias("searched_at")
+    X.news(spark, sf).select(F.col("category").alias("query"), F.col("source").alias("engine"), F.length("body").alias("result_count"), at).createOrReplaceTempView("search_cache")
+    return sqlapi.template(spark, "recent_searches")
+
+
+_HIT = lambda w: f"regexp_matches(lower(headline), '(^|[^a-z0-9_]){w}([^a-z0-9_]|$)')"
+
+
+@query(X.sql(f"select url, lower(regexp_replace(url, '[?#].*$', '')) as canonical, {_HIT('und')} as hit, contains(lower(headline), 'e3') as part, contains(lower(headline), 'a.') as dot from news", "news"))
 def i2_sql_functions(spark, sf):
     sqlapi.register_functions(spark)
     X.news(spark, sf).createOrReplaceTempView("news")
-    return spark.sql("select url, url_canonical(url) as canonical, keyword_match(headline, 'und') as hit from news")
+    return spark.sql("select url, url_canonical(url) as canonical, keyword_match(headline, 'und') as hit, keyword_match(headline, 'E3') as part, keyword_match(headline, 'a.') as dot from news")
+
+
+@query(X.sql(f"{BODY.replace('from body', 'from (select *, body as b from news)')} select url, array_to_string(list_sort({TOKENS}), '|') as tokens, cast(facts as int) as facts, fresh, digest, case source when 'src1' then '3DM' when 'src2' then null else source end as source from (select *, {_stripped('headline')} c from sig0)", "news"))
+def i2_text_functions(spark, sf):
+    sqlapi.register_functions(spark)
+    X.news(spark, sf).createOrReplaceTempView("news")
+    named = "case source when 'src1' then ' 3dmgame' when 'src2' then 'GamerSky' else source end"
+    return spark.sql(f"select url, array_join(array_sort(dedup_tokens(headline)), '|') as tokens, s.facts, s.fresh, s.digest, source from (select url, headline, body_signals(body, 2024) as s, source_canonical({named}) as source from news)")
+
+
+_TRACK = _b("concat_ws(' ', game_name, category, developer)", [w.lower() for w in WORDS])
+
+
+@query(X.sql(CHANGES + " select date, platform, chart_type, bundle_id, attention_score - case when " + _TRACK + " and change_type <> 'dropped_out' then 1.5 else 0 end as attention from changes where attention_score < 10", "rankings"), "attention")
+def i2_attention_function(spark, sf):
+    sqlapi.register_functions(spark)
+    charts.diff(X.rankings(spark, sf), WORDS).createOrReplaceTempView("changes")
+    return spark.sql("select date, platform, chart_type, bundle_id, cast(attention_tenths(change_type, today_rank, yesterday_rank, rank_change) / 10 as decimal(4, 1)) as attention from changes where attention_score < 10")
 
 
 @query(X.sql("select date, count(*) as n from news group by 1", "news"))

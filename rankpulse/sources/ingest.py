@@ -97,20 +97,39 @@ def to_market_news(df: DataFrame, track=P.TRACK_WORDS) -> DataFrame:
 
 
 def to_new_games(df: DataFrame, track=P.TRACK_WORDS) -> DataFrame:
-    """Calendar rows; names without their fallback mark, lenient numbers, topic class."""
-    name = F.regexp_replace(_first(df, "game_name", "应用", "name"), "^fallback:", "")
-    tags = _first(df, "tags", "标签")
-    rows = df.select(name.alias("game_name"), tags.alias("tags"), S.downloads_number(_first(df, "downloads")).alias("downloads"), _first(df, "rating").try_cast("double").alias("rating"), S.event_type(_first(df, "event_type", "description")).alias("event_type"), track_class(F.concat_ws(" ", name, tags), track=track).alias("track_class"))
-    return rows.where("game_name <> ''")
+    """Calendar rows under alternative headers; blank names go, bundles lose their fallback mark, ratings that aren't numbers are null.
+
+    track_relevant: a followed topic, or a port by its tags.
+    """
+    name, tags, genre, said = _first(df, "应用", "game_name", "name"), _first(df, "tags", "标签"), _first(df, "品类", "genre"), _first(df, "description")
+    port = F.exists(F.split(tags, ","), lambda t: F.lower(t).contains("steam") | t.contains("移植"))
+    return df.select(
+        name.alias("game_name"), F.regexp_replace(_first(df, "Bundle ID", "bundle_id"), "fallback:", "").alias("bundle_id"), _first(df, "downloads").alias("downloads"),
+        _first(df, "rating").try_cast("double").alias("rating"), tags.alias("tags"), genre.alias("genre"), said.alias("description"), _first(df, "taptap_url", "url").alias("url"),
+        S.event_type(F.concat_ws(" ", _first(df, "event_type"), said)).alias("event_type"),
+        (track_class(F.concat_ws(" ", name, genre, tags, said), port, track=track) == "track").alias("track_relevant"),
+    ).where("game_name <> ''")
 
 
 def to_ports(df: DataFrame) -> DataFrame:
-    name = F.regexp_replace(_first(df, "game_name", "应用", "name"), "^fallback:", "")
-    return df.select(name.alias("game_name"), F.lower(_first(df, "is_steam_port", "is_port")).isin("1", "true", "yes").alias("is_port"), _first(df, "source").alias("source")).where("game_name <> ''")
+    """Port rows: blank names go, bundles lose their fallback mark; every port has a mobile version and is of interest."""
+    rows = df.select(
+        _first(df, "应用", "game_name", "name").alias("game_name"), F.regexp_replace(_first(df, "Bundle ID", "bundle_id"), "fallback:", "").alias("bundle_id"),
+        _first(df, "品类", "genre").alias("genre"), _first(df, "source").alias("source"), F.lit(True).alias("has_mobile_version"), F.lit(True).alias("track_relevant"),
+    )
+    return rows.where("game_name <> ''")
+
+
+#: The columns of a video record; numbers that are none count 0.
+VIDEO_TEXTS = ("creator_uid", "creator_label", "bvid", "title", "description", "url", "cover", "duration", "created_at", "category", "tags", "ai_subtitle")
+VIDEO_NUMBERS = ("play_count", "comment_count", "video_review", "like_count", "favorite_count", "coin_count", "share_count")
 
 
 def to_videos(df: DataFrame) -> DataFrame:
-    return df.select(_first(df, "bvid").alias("bvid"), _first(df, "title").alias("title"), _first(df, "play", "views").try_cast("long").alias("views"), _first(df, "pubdate", "created").try_cast("long").alias("published")).where("bvid <> ''")
+    """Video records of a file: all columns of VIDEO_TEXTS and VIDEO_NUMBERS; rows without an id go."""
+    other = {"play_count": ("play", "views"), "created_at": ("published_at",)}
+    texts = [_first(df, c, *other.get(c, ())).alias(c) for c in VIDEO_TEXTS]
+    return df.select(*texts, *[F.coalesce(_first(df, c, *other.get(c, ())).try_cast("double").cast("long"), F.lit(0)).alias(c) for c in VIDEO_NUMBERS]).where("bvid <> ''")
 
 
 def port_signal(text: Column, ports=("移植", "port"), platforms=("手机", "mobile", "ios", "android"), many=("多平台", "multi-platform"), marker=("steam_integration",)) -> Column:
@@ -130,10 +149,43 @@ def port_candidates(games: DataFrame, articles: DataFrame, longest: int = 30) ->
 
 
 def video_rows(raw: DataFrame, column: str = "json") -> DataFrame:
-    """Video API answers as rows, times as timestamps; videos without an id go."""
-    schema = "data struct<list: struct<vlist: array<struct<bvid: string, title: string, play: long, created: long, description: string>>>>"
-    v = raw.select(F.explode(F.from_json(column, schema)["data"]["list"]["vlist"]).alias("v")).select("v.*")
-    return v.where("bvid <> ''").select("bvid", "title", F.col("play").alias("views"), F.timestamp_seconds("created").alias("published_at"), "description")
+    """Video API answers (creator_uid, creator_label, json) as video records with place, the newest of a creator first; videos without an id go."""
+    schema = "data struct<list: struct<vlist: array<struct<bvid: string, title: string, description: string, pic: string, play: string, comment: string, video_review: string, length: string, created: long>>>>"
+    v = raw.select("creator_uid", "creator_label", F.explode(F.from_json(column, schema)["data"]["list"]["vlist"]).alias("v")).select("creator_uid", "creator_label", "v.*")
+    n = lambda c: F.coalesce(F.col(c).try_cast("double").cast("long"), F.lit(0)).alias({"play": "play_count", "comment": "comment_count"}.get(c, c))
+    text = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
+    rows = v.where("bvid <> ''").select(
+        "creator_uid", "creator_label", "bvid", text("title", "title"), text("description", "description"), F.concat(F.lit("https://www.bilibili.com/video/"), "bvid").alias("url"),
+        text("pic", "cover"), n("play"), n("comment"), n("video_review"), text("length", "duration"), F.timestamp_seconds(F.nullif("created", F.lit(0))).alias("created_at"),
+    )
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("creator_uid").orderBy(F.desc("created_at"), "bvid")).cast("int"))
+
+
+def with_details(videos: DataFrame, details: DataFrame, column: str = "json") -> DataFrame:
+    """Video records with what a detail answer (bvid, json) adds: description, counts, category; duration and time where they lack. An answer
+    with an error code, or none, leaves the record as it was, with counts of 0."""
+    schema = "code int, data struct<desc: string, tname: string, duration: long, pubdate: long, stat: struct<like: long, favorite: long, coin: long, share: long>>"
+    told = details.select(F.col("bvid").alias("_bvid"), F.from_json(column, schema).alias("_a")).where("_a.code = 0")
+    rows = videos.join(told, F.col("bvid") == F.col("_bvid"), "left")
+    d = F.col("_a")["data"]
+    clock = F.concat_ws(":", F.lpad(F.floor(d["duration"] / 60).cast("string"), 2, "0"), F.lpad((d["duration"] % 60).cast("string"), 2, "0"))
+    return rows.withColumns({
+        "description": F.coalesce(d["desc"], "description"), "category": F.coalesce(d["tname"], F.lit("")),
+        "duration": F.when((F.coalesce("duration", F.lit("")) == "") & (d["duration"] > 0), clock).otherwise(F.col("duration")),
+        "created_at": F.coalesce("created_at", F.timestamp_seconds(F.nullif(d["pubdate"], F.lit(0)))),
+        **{f"{k}_count": F.coalesce(d["stat"][k], F.lit(0)) for k in ("like", "favorite", "coin", "share")},
+    }).drop("_bvid", "_a")
+
+
+def or_page_videos(videos: DataFrame, pages: DataFrame) -> DataFrame:
+    """Video records, and for creators without any those that their page (creator_uid, creator_label, html) links: id and title, in page order."""
+    tag = F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)(<a\s[^>]*/video/BV[0-9A-Za-z]+[^>]*>.*?</a>)'), F.lit(1))).alias("at", "tag")
+    rows = pages.join(videos.select("creator_uid").distinct(), "creator_uid", "left_anti").select("creator_uid", "creator_label", tag)
+    title = F.coalesce(F.nullif(F.regexp_extract("tag", r'(?is)title="([^"]+)"', 1), F.lit("")), F.trim(F.regexp_replace(F.regexp_replace("tag", "<[^>]*>", " "), r"\s+", " ")))
+    rows = rows.select("creator_uid", "creator_label", "at", F.regexp_extract("tag", "/video/(BV[0-9A-Za-z]+)", 1).alias("bvid"), title.alias("title")).where("title <> ''")
+    one = rows.groupBy("creator_uid", "bvid").agg(F.min(F.struct("at", "creator_label", "title")).alias("f")).select("creator_uid", "bvid", "f.*")
+    place = F.row_number().over(Window.partitionBy("creator_uid").orderBy("at")).cast("int")
+    return videos.unionByName(one.withColumn("place", place).withColumn("url", F.concat(F.lit("https://www.bilibili.com/video/"), "bvid")).drop("at"), allowMissingColumns=True)
 
 
 def rss_items(raw: DataFrame, column: str = "xml") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -74,15 +75,68 @@ def html_body(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", body("html").alias("body"))
 
 
-def html_images(pages: DataFrame, least: int = 200, top: int = 3) -> DataFrame:
-    """page_id, slot, image: og and twitter images, else <img> of a width of `least` or none; junk URLs out, `top` a page."""
-    meta = F.regexp_extract_all("html", F.lit(r"(?is)<meta[^>]*(?:og:image|twitter:image)[^>]*content=\"([^\"]+)\""), F.lit(1))
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<img\s[^>]*>)"), F.lit(1))
-    src = lambda t: F.regexp_extract(t, r"(?is)src=\"([^\"]+)\"", 1)
-    wide = lambda t: F.coalesce(S.dimension(F.nullif(F.regexp_extract(t, r"(?is)width=\"([^\"]+)\"", 1), F.lit(""))) >= least, F.lit(True))
-    found = F.concat(meta, F.transform(F.filter(tags, wide), src))
-    rows = pages.select("page_id", F.posexplode(F.array_distinct(found)).alias("at", "image")).where(S.valid_image(F.col("image")))
-    return rows.withColumn("slot", F.row_number().over(Window.partitionBy("page_id").orderBy("at")).cast("int")).where(F.col("slot") <= top).select("page_id", "slot", "image")
+#: What the tag, class and id of elements around an image say of it, and by how many points.
+CONTEXT = (
+    (("article", "content", "detail", "post", "entry", "main"), 3), (("text", "body", "desc", "para"), 1),
+    (("sidebar", "footer", "ad-", "ad_", "-ad", "_ad", "widget", "recommend", "related"), -3), (("qr", "qrcode", "code"), -5),
+)
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class _Images(HTMLParser):
+    """Images of a page: (kind, source, width, height, points of the six elements around it)."""
+
+    def __init__(self):
+        super().__init__()
+        self.around: list[tuple[str, int]] = []
+        self.found: list[dict] = []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag == "meta":
+            kind = a.get("property") or a.get("name") or ""
+            if a.get("content") and kind in ("og:image", "twitter:image", "apple-touch-icon"):
+                self.found.append({"kind": "icon" if kind.startswith("apple") else "meta", "src": a["content"], "width": None, "height": None, "score": 0})
+        elif tag == "img" and a.get("src"):
+            self.found.append({"kind": "img", "src": a["src"], "width": a.get("width"), "height": a.get("height"), "score": sum(n for _, n in self.around[-6:])})
+        if tag not in VOID:
+            said = f"{tag} {a.get('class', '')} {a.get('id', '')}".lower()
+            self.around.append((tag, sum(n for words, n in CONTEXT if any(w in said for w in words))))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.around.pop()
+
+    def handle_endtag(self, tag):
+        at = next((i for i in range(len(self.around) - 1, -1, -1) if self.around[i][0] == tag), None)
+        if at is not None:
+            del self.around[at:]
+
+
+def page_images(html: str | None, url: str | None) -> list[dict]:
+    parser = _Images()
+    parser.feed(html or "")
+    return [x | {"src": urljoin(url or "", x["src"])} for x in parser.found]
+
+
+def html_images(pages: DataFrame, least: int = 200, top: int = 3, most: int = 5) -> DataFrame:
+    """page_id, slot, image of pages (page_id, url, html): og, twitter and touch images; where a page has none, <img> of a width and height of
+    `least` or none said, those amid content first and those amid advertisements last, `top` of them. Junk URLs out, each once, `most` a page."""
+
+    @F.pandas_udf("array<struct<kind: string, src: string, width: string, height: string, score: int>>")
+    def images(html: pd.Series, url: pd.Series) -> pd.Series:
+        return pd.Series([page_images(h, u) for h, u in zip(html, url, strict=True)])
+
+    rows = pages.select("page_id", F.posexplode(images("html", "url")).alias("at", "i")).select("page_id", "at", "i.*")
+    rows = rows.where((F.col("kind") == "icon") | S.valid_image(F.col("src")))
+    size = lambda c: F.coalesce(S.dimension(F.nullif(F.col(c), F.lit(""))) >= least, F.lit(True))
+    rows = rows.where((F.col("kind") != "img") | (size("width") & size("height"))).withColumn("plain", F.col("kind") == "img")
+    one = rows.groupBy("page_id", F.col("src").alias("image")).agg(F.min(F.struct("plain", "at", "score")).alias("f")).select("page_id", "image", "f.*")
+    by = Window.partitionBy("page_id")
+    slot = F.row_number().over(by.orderBy("plain", F.when(F.col("plain"), -F.col("score")), "at")).cast("int")
+    kept = one.withColumn("has", F.min("plain").over(by)).where(F.col("plain") == F.col("has")).withColumn("slot", slot)
+    return kept.where(F.col("slot") <= F.when(F.col("plain"), min(top, most)).otherwise(most)).select("page_id", "slot", "image")
 
 
 def html_jsonld(pages: DataFrame, most: int = 30) -> DataFrame:
