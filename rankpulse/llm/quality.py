@@ -70,9 +70,9 @@ def _statistics(column: pa.Array) -> list[tuple]:
 
 
 def _renumbered(own: np.ndarray) -> np.ndarray:
-    """Three-word windows as numbers, where the batch has too many words for one product."""
-    _, own = np.unique(own, return_inverse=True)
-    return (own[:-2] * (own.max() + 1) + own[1:-1]) * (own.max() + 1) + own[2:]
+    """Three-word windows as numbers, where there are too many words for one product: pairs are numbered first."""
+    _, pairs = np.unique(own[:-1] * (own.max() + 1) + own[1:], return_inverse=True)
+    return pairs[:-1] * (own.max() + 1) + own[2:]
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

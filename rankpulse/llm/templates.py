@@ -163,8 +163,20 @@ def parse(source: str) -> list:
     return body()[0]
 
 
+def _typed(f: Callable) -> Callable:
+    """f whose TypeError is the template's."""
+
+    def run(a, b):
+        try:
+            return f(a, b)
+        except TypeError as e:
+            raise TemplateError(str(e)) from None
+
+    return run
+
+
 OPERATIONS: dict[str, Callable] = {
-    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "in": lambda a, b: a in b, "+": lambda a, b: a + b,
+    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "in": _typed(lambda a, b: a in b), "+": _typed(lambda a, b: a + b),
     "~": lambda a, b: _text(a) + _text(b),
 }
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,57 @@ def test_quality(spark, docs, edge):
     assert quality.judge(edge.limit(0)).count() == 0
 
 
+def test_verdicts_by_hand(spark, docs):
+    """p_good of each document against EM and Bayes written out with dictionaries over vote patterns."""
+    got = quality.judge(docs).toPandas()
+    stats = quality.text_statistics(docs).withColumns({f"vote_{r.name}": r.column() for r in quality.RULES}).toPandas().set_index("doc_id")
+    votes = {i: tuple(bool(row[f"vote_{r.name}"]) for r in quality.RULES) for i, row in stats.iterrows()}
+    counts, ups = Counter(votes.values()), [r.vote > 0 for r in quality.RULES]
+    first_good, first_bad = [0.85 if u else 0.01 for u in ups], [0.3] * len(ups)
+    share, good, bad = 0.85, list(first_good), list(first_bad)
+
+    def chance(v):
+        g, b = share, 1 - share
+        for x, p, q in zip(v, good, bad, strict=True):
+            g, b = g * (p if x else 1 - p), b * (q if x else 1 - q)
+        return g / (g + b)
+
+    for _ in range(200):
+        p = {v: chance(v) for v in counts}
+        n_good, n = sum(counts[v] * p[v] for v in counts), sum(counts.values())
+        hold = lambda x, lo, hi: min(max(x, lo), hi)
+        new_good = [hold((sum(counts[v] * p[v] for v in counts if v[j]) + 20 * first_good[j]) / (n_good + 20), 0.5 if u else 1e-4, 0.999 if u else 0.1) for j, u in enumerate(ups)]
+        new_bad = [hold((sum(counts[v] * (1 - p[v]) for v in counts if v[j]) + 20 * first_bad[j]) / (n - n_good + 20), 0.02, 0.95) for j in range(len(ups))]
+        share, good, bad = hold((n_good + 20 * 0.85) / (n + 20), 0.5, 0.99), new_good, new_bad
+    want = [chance(votes[i]) for i in got.doc_id]
+    assert np.abs(got.p_good - want).max() < 1e-6
+    assert ((got.p_good >= 0.1) & ~got.base_failed == got.kept).all() and 0 < got.kept.sum() < len(got)
+
+
+def test_many_words_in_one_text(spark):
+    """Windows of three words are renumbered where a product of word numbers wouldn't fit."""
+    words = [f"w{i}" for i in range(2_100_000)]
+    text = " ".join([*words, "w0 w1 w2"])
+    row = quality._statistics(pa.array([text]))[0]
+    assert (row[0], row[4], row[10]) == (2_100_003, 6, 2_100_000)
+
+
+def test_seven_languages(spark):
+    random = np.random.default_rng(4)
+    parts = {f"l{k}": [("".join(random.choice(list("abcdefghijklmnop"), 3))) for _ in range(12)] for k in range(7)}
+    rows = [(i, " ".join("".join(random.choice(parts[f"l{i % 7}"], 2)) for _ in range(60)), f"l{i % 7}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df.where("doc_id < 500"))
+    got = language.identify(df.where("doc_id >= 500"), model).join(df.select("doc_id", "lang"), "doc_id").toPandas()
+    assert len(model.languages) == 7 and (got.lang == got.lang_pred).mean() > 0.97
+
+
+def test_long_conversation(spark):
+    turns = spark.createDataFrame([(1, i, "assistant" if i % 2 else "tool", f"t{i} </turn> " * 20) for i in range(6000)], "conv_id long, turn long, role string, text string")
+    r = chat.read_back(chat.format_conversations(turns)).first()
+    assert r["n_turns"] == 6000 and r["loss_chars"] == sum(len(f"t{i} </turn> " * 20) for i in range(1, 6000, 2))
+
+
 def test_rule_rates_are_found():
     random = np.random.default_rng(3)
     good = random.random(20000) < 0.8
@@ -133,7 +185,9 @@ def test_templates():
     assert t({"xs": [{"a": "x"}, {"a": "y"}, {"a": "x"}]}) == ("1[X]2(y3)3-", [(6, 8)])
     assert templates.fold(templates.parse("a{{ 'b' ~ 1 }}{% if 1 == 2 %}x{% else %}c{% endif %}"), {}) == [("text", "ab1c")]
     assert templates.compile_template("{{ x.__class__ }}{{ x.y.z }}")({"x": "s"}) == ("", [])
-    for bad in ("{% for %}", "{{ f(1) }}", "{% if x %}", "{{ 'a }}", "{{ x|nope }}"):
+    with pytest.raises(templates.TemplateError):
+        templates.compile_template("{% if x in y %}a{% endif %}")({"x": 1, "y": 2})
+    for bad in ("{% if 1 in 2 %}a{% endif %}", "{% for %}", "{{ f(1) }}", "{% if x %}", "{{ 'a }}", "{{ x|nope }}"):
         with pytest.raises(templates.TemplateError):
             templates.compile_template(bad)
 
