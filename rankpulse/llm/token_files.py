@@ -1,6 +1,6 @@
 """Token ids in length-delimited binary files, with an offset index beside them.
 
-A file `part-NNNNN.ids` starts with 8 bytes: the magic `RPID`, the version, the bytes of an id (2 or 4), two zeros. A record follows
+A file `part-NNNNN-NNN-*.ids` starts with 8 bytes: the magic `RPID`, the version, the bytes of an id (2 or 4), two zeros. A record follows
 for each document, all numbers little-endian: payload length (8 bytes), masked checksum of those 8 bytes (4), payload (packed ids),
 masked checksum of the payload (4). The checksum is CRC-32 of zlib, masked as ((crc >> 15 | crc << 17) + 0xA282EAD8) mod 2**32. The
 index is a Parquet table (doc_id, part, file, offset, n_tokens), so that single records can be read in any order.
@@ -24,7 +24,9 @@ from .common import in_arrow
 
 MAGIC, VERSION = b"RPID", 1
 HEADER = 8
-INDEX_SCHEMA = "doc_id long, part int, file string, offset long, n_tokens long"
+INDEX_SCHEMA = "doc_id long, part long, file string, offset long, n_tokens long"
+#: A task begins another file beyond this size.
+FILE_BYTES = 256 << 20
 
 
 def masked(data: bytes | memoryview) -> int:
@@ -69,34 +71,44 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoders.shared(encoders.WordEnds, tokenizer)
-        end = struct.pack("<H", end_id)
-        part = TaskContext.get().partitionId()
-        name = f"part-{part:05d}-{uuid.uuid4().hex[:12]}.ids"
+        end, task, tag = struct.pack("<H", end_id), TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         disk, at = file_system(path)
         disk.create_dir(f"{at}/data", recursive=True)
-        offset, out, index = HEADER, None, []
+        out, name, made, offset, index = None, "", 0, HEADER, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """Move the file into place, then say what it holds."""
+            out.close()
+            disk.move(f"{at}/data/.{name}", f"{at}/data/{name}")
+            for ids, offsets, counts in index:
+                n = len(offsets)
+                columns = [ids, pa.array([(task << 20) + made] * n, pa.int64()), pa.array([name] * n), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())]
+                yield pa.record_batch(columns, ["doc_id", "part", "file", "offset", "n_tokens"])
+
         try:
             for batch in batches:
-                ids, offsets, counts = batch.column(0), [], []
+                if out is not None and offset > FILE_BYTES:
+                    yield from close()
+                    out, made, index = None, made + 1, []
+                if out is None:
+                    name, offset = f"part-{task:05d}-{made:03d}-{tag}.ids", HEADER
+                    out = disk.open_output_stream(f"{at}/data/.{name}")
+                    out.write(MAGIC + bytes([VERSION, 2, 0, 0]))
+                offsets, counts = [], []
                 for raw in encoder.each(batch.column(1)):
-                    if out is None:
-                        out = disk.open_output_stream(f"{at}/data/.{name}")
-                        out.write(MAGIC + bytes([VERSION, 2, 0, 0]))
                     payload = b"".join((raw, end))
                     record = frame(payload)
                     out.write(record)
                     offsets.append(offset)
                     counts.append(len(payload) // 2)
                     offset += len(record)
-                index.append((ids, offsets, counts))
+                index.append((batch.column(0), offsets, counts))
+            if out is not None:
+                yield from close()
+                out = None
         finally:
             if out is not None:
                 out.close()
-        if out is not None:
-            disk.move(f"{at}/data/.{name}", f"{at}/data/{name}")
-        for ids, offsets, counts in index:
-            n = len(offsets)
-            yield pa.record_batch([ids, pa.array([part] * n, pa.int32()), pa.array([name] * n), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "part", "file", "offset", "n_tokens"])
 
     in_arrow(ordered, run, INDEX_SCHEMA).write.parquet(f"{path}/index")
 
@@ -123,35 +135,47 @@ def _index_order(raw: DataFrame) -> DataFrame:
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids before the document's, over all files), n_tokens, ids_crc32 (of uint32 ids), [ids] read from the files.
 
-    A task reads whole files one record at a time, checks every checksum and takes the ids of documents from the index.
+    The index is dealt by file and read in the order of offsets, a row at a time beside the file's stream, so that a task holds one
+    record, not a file's index. Every checksum is checked.
     """
     index = read_index(spark, path)
-    docs = index.groupBy("part", "file").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id"))).alias("docs"))
-    plan = docs.join(_index_order(index), ["part", "file"]).select("part", "file", "before", F.col("docs.offset").alias("offsets"), F.col("docs.doc_id").alias("ids"))
+    rows = index.join(_index_order(index), ["part", "file"]).select("part", "file", "before", "offset", "doc_id")
+    plan = rows.repartition("part", "file").sortWithinPartitions("part", "file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, at = file_system(path)
+        current, stream, out, held = None, None, [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                stream, kind = _open(disk, at, row["file"])
-                start, out, held, offset = row["before"], [], 0, HEADER
-                with stream:
-                    for doc_id, expected, payload in zip(row["ids"], row["offsets"], unframe(stream), strict=True):
-                        if expected != offset:
-                            raise ValueError("the index and the file don't agree")
-                        ids = np.frombuffer(payload, kind).astype("<u4")
-                        out.append((doc_id, start, len(ids), zlib.crc32(ids), ids if with_ids else None))
-                        start, offset, held = start + len(ids), offset + len(payload) + 16, held + len(payload) * with_ids
-                        if len(out) >= 10_000 or held > 8_000_000:
-                            yield _batch(out, with_ids)
-                            out, held = [], 0
-                if out:
+            for name, before, expected, doc_id in zip(*(batch.column(c).to_pylist() for c in ("file", "before", "offset", "doc_id")), strict=True):
+                if name != current:
+                    _ended(stream)
+                    (stream, kind), current, start, offset = _open(disk, at, name), name, before, HEADER
+                    records = unframe(stream)
+                payload = next(records, None)
+                if payload is None or expected != offset:
+                    raise ValueError("the index and the file don't agree")
+                ids = np.frombuffer(payload, kind).astype("<u4")
+                out.append((doc_id, start, len(ids), zlib.crc32(ids), ids if with_ids else None))
+                start, offset, held = start + len(ids), offset + len(payload) + 16, held + len(payload) * with_ids
+                if len(out) >= 10_000 or held > 8_000_000:
                     yield _batch(out, with_ids)
+                    out, held = [], 0
+        _ended(stream)
+        if out:
+            yield _batch(out, with_ids)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     return in_arrow(plan, run, schema)
 
 
+def _ended(stream) -> None:
+    """Close a stream of which all records have been read."""
+    if stream is not None:
+        if stream.read(1):
+            raise ValueError("a file holds more than the index says")
+        stream.close()
+
+
 def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
     columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
     if with_ids:

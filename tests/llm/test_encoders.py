@@ -80,6 +80,22 @@ def test_token_files(spark, docs, texts):
     assert token_files.read_tokens(spark, none).count() == 0
 
 
+def test_files_roll(spark, docs, texts, monkeypatch):
+    """Files of a few bytes each, written twice as by a task that runs again: the index names one set of them."""
+    monkeypatch.setattr(token_files, "FILE_BYTES", 100)
+    path = work_dir(spark, "files")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        token_files.write_tokens(docs, path, P.path("word_bpe_49k.json"), 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    token_files.write_tokens(docs, f"{path}/other", P.path("word_bpe_49k.json"), 2)
+    index = token_files.read_index(spark, path)
+    assert index.select("file").distinct().count() > 4 and index.count() == len(texts)
+    both = [{(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_tokens(spark, p).collect()} for p in (path, f"{path}/other")]
+    assert both[0] == both[1] and len(both[0]) == len(texts)
+
+
 def test_damage_is_seen():
     import io
 
