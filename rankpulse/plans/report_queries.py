@@ -448,7 +448,16 @@ def a17_links(spark, sf):
     return pages.html_links(X.table(spark, sf, "pages"), least=4)
 
 
-@query()
+_NOISE_TAGS = ("script", "style", "nav", "footer", "header", "aside", "form", "iframe", "noscript")
+_PAGE = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+for _t in _NOISE_TAGS:
+    _PAGE = f"regexp_replace({_PAGE}, '(?is)<{_t}\\b[^>]*>.*?</{_t}>', '', 'g')"
+_PLAIN = "regexp_replace(regexp_replace(h, '(?i)</?(p|div|br|li|h1|h2|h3|article|section|tr)\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _a, _b_ in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_b_}')"
+
+
+@query(f"with a as (select page_id, {_PAGE} h from pages), b as (select page_id, coalesce(nullif(regexp_extract(h, '(?is)(<article\\b.*</article>)', 1), ''), h) h from a), c as (select page_id, list_filter(list_transform(string_split({_PLAIN}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) > 20) l from b) select page_id, substr(array_to_string(list_slice(l, 1, 12), chr(10)), 1, 800) as body from c")
 def a18_bodies(spark, sf):
     return pages.html_body(X.table(spark, sf, "pages"))
 
