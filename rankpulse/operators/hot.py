@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import scalars as S
-from .tables import first_by, stored
+from .tables import first_by, numbered, stored
 
 
 def hot_list_rows(raw: DataFrame, top: int = 30, relevant=P.RELEVANT_WORDS, discussions: tuple[str, ...] = ("zhihu",)) -> DataFrame:
@@ -84,8 +84,8 @@ def rule_hot_topics(results: DataFrame, score: Column, least: int = 4, top: int
 def local_candidates(news: DataFrame, score: Column, relevant: Column, top: int = 20, fallback: int = 7) -> DataFrame:
     """Articles for days without results: the `top` relevant ones by score, else the `fallback` best."""
     rows = news.withColumn("score", score).where("score > 0").withColumn("relevant", relevant)
-    any_ = F.max("relevant").over(Window.partitionBy("date"))
-    rows = rows.withColumn("any", any_).where(F.col("relevant") | ~F.col("any"))
+    has = rows.groupBy("date").agg(F.max("relevant").alias("any"))
+    rows = rows.join(has, "date").where(F.col("relevant") | ~F.col("any"))
     place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "url")).cast("int")
     return rows.withColumn("slot", place).where(F.col("slot") <= F.when(F.col("any"), top).otherwise(fallback)).drop("any", "relevant")
 
@@ -146,6 +146,5 @@ def hot_topics(
         pool = pool.unionByName(local.select("date", "url", F.col("headline").alias("title"), F.lit("").alias("keyword"), F.col("score").cast("int").alias("score")))
     pool = stored(pool, "hot-pool")
     chosen = rule_hot_topics(pool, F.col("score"), top=total)
-    place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "url")).cast("int")
-    out = dedup_against(chosen, pool.withColumn("place", place), news if known is None else known)
+    out = dedup_against(chosen, numbered(pool, ["date"], [F.desc("score"), "url"]), news if known is None else known)
     return out.join(pool.select("date", "url", "keyword"), ["date", "url"]).select("date", "url", "title", "keyword", "slot")

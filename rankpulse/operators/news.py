@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import scalars as S
-from .tables import first_by, stored
+from .tables import first_by, numbered, stored
 from .tracks import track_class
 
 
@@ -31,8 +31,7 @@ def recent_or_latest(videos: DataFrame, reported: DataFrame, as_of: Column, late
     rest = rows.where("not _has").withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(time), key))).where(F.col("_n") <= latest).drop("_n")
     one = first_by(rows.where("_in").unionByName(rest), [key], F.desc("_in"), F.desc(time), by).drop("_in", "_has")
     fresh = one.join(reported.select(key).distinct(), key, "left_anti")
-    # one list of the day: a hundred creators, a few videos each
-    return fresh.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(time), key)).cast("int")).select(*videos.columns, "rank")
+    return numbered(fresh.withColumn("_all", F.lit(1)), ["_all"], [F.desc(time), key], "rank").select(*videos.columns, "rank")
 
 
 def not_reported(news: DataFrame, reported: DataFrame) -> DataFrame:

@@ -26,9 +26,9 @@ def fresh_games(games: DataFrame, reported: DataFrame, days: int = 7) -> DataFra
 def choose_new_games(games: DataFrame, top: int = 5) -> DataFrame:
     """Per date the games on followed topics (track_class), else the `top` others by downloads, with a note."""
     on = F.col("track_class") == "track"
-    any_ = F.max(on).over(Window.partitionBy("date"))
+    has = games.groupBy("date").agg(F.max(on).alias("any"))
     place = F.row_number().over(Window.partitionBy("date", on).orderBy(F.desc("downloads"), "game_name")).cast("int")
-    rows = games.withColumn("any", any_).withColumn("place", place).where((F.col("any") & on) | (~F.col("any") & ~on & (F.col("place") <= top)))
+    rows = games.join(has, "date").withColumn("place", place).where((F.col("any") & on) | (~F.col("any") & ~on & (F.col("place") <= top)))
     return rows.select("date", "game_name", "downloads", "place", F.when(F.col("any"), "").otherwise("no followed topic").alias("note"))
 
 
