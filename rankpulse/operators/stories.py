@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..params import STORY_BASE
 from .charts import rising_streak
+from .tables import stored
 
 COLUMNS = ["date", "story_type", "platform", "chart_type", "bundle_id", "headline", "attention_score"]
 
@@ -65,7 +66,8 @@ def dedup_stories(stories: DataFrame) -> DataFrame:
 
 
 def pick_stories(changes: DataFrame, rankings: DataFrame, top: int = 8) -> DataFrame:
-    """The `top` stories of each date."""
+    """The `top` stories of each date. The changes are written once for the five rules that read them."""
+    changes = stored(changes, "story-changes")
     found = [detect_big_jumps(changes), detect_black_horses(changes), detect_cliff_drops(changes), detect_steady_climbers(changes, rankings), detect_cluster_moves(changes)]
     stories = found[0]
     for f in found[1:]:
