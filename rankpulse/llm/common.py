@@ -18,20 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (a local session, as in tests) is one set to a temporary folder.
+    Only a local session (as in tests) may lack that setting: then it gets a temporary folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rankpulse-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
+    """Write df to the shared folder and read it back: lineage is cut and a lost executor costs nothing. stored_at is its path."""
     path = work_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later job reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session sets another bound. Spark's own is 64 MB, of which

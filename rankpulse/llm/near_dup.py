@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoders
-from .common import arrow_map, in_arrow, stored
+from .common import arrow_map, discard, in_arrow, stored
 
 BANDS, ROWS = 51, 5
 REGISTERS = BANDS * ROWS
@@ -246,6 +246,7 @@ def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, words: int, i
     n = wanted.count()
     found = texts.join(_small(wanted, n), "key").select("cid", "digest", "text")
     sets = stored(arrow_map(found, "cid long, shingles binary", start).dropDuplicates(["cid"]), "near-dup-sets")
+    discard(wanted)
     if sets.count() != n:
         raise RuntimeError(f"{n} classes are wanted, {sets.count()} have a text: ids or texts changed between two readings of the documents")
     return sets
@@ -353,17 +354,23 @@ def components(edges: DataFrame) -> DataFrame:
         step = stored(near, "near-dup-labels")
         while True:
             up = step.select(F.col("node").alias("label"), F.col("label").alias("above"))
-            jumped = stored(step.join(up, "label", "left").select("node", F.col("label").alias("old"), F.coalesce("above", "label").alias("label")), "near-dup-labels")
-            step = jumped.select("node", "label")
+            jumped = stored(step.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), F.col("label").alias("old")), "near-dup-labels")
+            discard(step)
+            step = jumped
             if not jumped.where("old <> label").limit(1).count():
                 break
+        root = step.select("node", "label")
+        left, right = root.select(F.col("node").alias("a"), F.col("label").alias("la")), root.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        less = stored(ends(rest.join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))), "near-dup-edges")
         if labels is None:
-            labels = step
+            new = stored(root, "near-dup-labels")
         else:
-            labels = stored(labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "near-dup-labels")
-        left, right = step.select(F.col("node").alias("a"), F.col("label").alias("la")), step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        rest = stored(ends(rest.join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))), "near-dup-edges")
+            new = stored(labels.join(root.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "near-dup-labels")
+            discard(labels)
+        discard(rest, step)
+        labels, rest = new, less
         if not rest.limit(1).count():
+            discard(rest)
             return labels
 
 
@@ -384,6 +391,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     keys = stored(_exploded(classes), "near-dup-keys")
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(keys.join(several, "key"), "near-dup-shared")
+    discard(keys)
     degree = stored(shared.groupBy("cid").agg(F.sum(F.col("size") - 1).alias("degree")), "near-dup-degrees")
     active = stored(classes.join(degree.select("cid"), "cid", "left_semi").select("cid", "n_shingles", "regs"), "near-dup-active")
 
@@ -393,24 +401,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     heads = best.select("key", F.col("top.cid").alias("a"))
     met = shared.select("key", F.col("cid").alias("b")).join(heads, "key").where("a <> b")
     tried = stored(met.select("a", "b").distinct(), "near-dup-pairs")
+    discard(degree)
     links = _verified(tried, active, classes, docs, words, percent, id_col, text_col)
     labels = components(links)
+    discard(tried)
 
     # then those that are still apart: by estimates into clusters, whose sets are compared exactly
     apart = shared.where(f"size > {LEADERS}").select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
     apart = stored(apart, "near-dup-labelled")
+    discard(shared, labels)
     split = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     mixed = stored(apart.join(split, "key", "left_semi"), "near-dup-apart")
     near = stored(_compared(mixed.join(active, "cid").select(F.col("key").alias("cluster"), "cid", "label", "n_shingles", F.col("regs").alias("data")), partial(_Near, threshold), of_labels=True).distinct(), "near-dup-near")
-    clusters = components(near).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    discard(apart, active)
+    roots = components(near)
+    clusters = roots.select(F.col("node").alias("label"), F.col("label").alias("cluster"))
     told = stored(clusters.join(mixed.select("cid", "label").distinct(), "label"), "near-dup-clusters")
     sets = _sets_of(told.select("cid"), classes, docs, words, id_col, text_col)
     more = stored(_compared(told.join(sets, "cid").select("cluster", "cid", "label", F.lit(0).cast("long").alias("n_shingles"), F.col("shingles").alias("data")), partial(_Linked, percent)), "near-dup-links")
+    discard(near, roots, mixed, told, sets)
     labels = components(links.union(more))
 
     known = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("digest", "rep", F.coalesce("label", "cid").alias("label"))
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = stored(known.join(least, "label").select("digest", "component_id"), "near-dup-components")
+    discard(links, more, labels, classes)
     out = sig.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -436,4 +451,6 @@ def _verified(pairs: DataFrame, active: DataFrame, classes: DataFrame, docs: Dat
     likely = stored(_likely(pairs, active, percent / 100), "near-dup-likely")
     cids = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
     sets = _sets_of(cids, classes, docs, words, id_col, text_col)
-    return stored(_confirmed(likely, sets, percent), "near-dup-links")
+    links = stored(_confirmed(likely, sets, percent), "near-dup-links")
+    discard(likely, sets)
+    return links
