@@ -48,12 +48,12 @@ def discard(*tables: DataFrame) -> None:
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session sets another bound. Spark's own is 64 MB, of which
 #: a task holds several copies outside the heap.
 BATCH_BYTES = 4 << 20
-_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by BATCH_BYTES where its own bound is Spark's default or above."""
-    if int(spark.conf.get(_BATCH_CONF, str(64 << 20)).rstrip("b")) >= 64 << 20:
+    """Bound the session's Arrow batches by BATCH_BYTES, unless it has a bound of its own."""
+    if spark.conf.get(_BATCH_CONF, _BATCH_DEFAULT) == _BATCH_DEFAULT:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
