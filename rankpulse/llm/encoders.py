@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 import struct
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,21 +39,18 @@ class Cache:
     def values(self, chunks: list[str]) -> list:
         out = list(map(self.young.get, chunks))
         gaps = [i for i, v in enumerate(out) if v is None]
-        missing = []
-        for i in gaps:
-            v = self.old.get(chunks[i])
-            if v is None:
-                missing.append(i)
-            else:
-                out[i] = v
-        if missing:
-            for i, v in zip(missing, self.encode([chunks[i] for i in missing]), strict=True):
+        if gaps:
+            names = [chunks[i] for i in gaps]
+            found = list(map(self.old.get, names))
+            missing = [k for k, v in enumerate(found) if v is None]
+            if missing:
+                for k, v in zip(missing, self.encode([names[k] for k in missing]), strict=True):
+                    found[k] = v
+            for i, v in zip(gaps, found, strict=True):
                 out[i] = v
-        for i in gaps:
-            if len(chunks[i]) <= LONG:
-                self.young[chunks[i]] = out[i]
-                if len(self.young) >= self.limit:
-                    self.old, self.young = self.young, {}
+            self.young.update((n, v) for n, v in zip(names, found, strict=True) if len(n) <= LONG)
+            if len(self.young) >= self.limit:
+                self.old, self.young = self.young, {}
         return out
 
 
@@ -306,29 +305,36 @@ class WordEnds(ChunkEncoder):
     def encode(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(chunks)
         words: list[str] = []
-        count = [0] * len(chunks)
-        final, match = self.final, self.match
+        count = [1] * len(chunks)
+        final, match, table = self.final, self.match, self.table
         for i, c in enumerate(chunks):
-            if "<" in c and any(m in c for m in self.marks):
-                out[i] = self.whole(c)
-                continue
             if c.isascii():
                 plain = c.lower()
-                found = [plain] if plain.isalpha() else match(plain)
-                words += [w[:-1].translate(self.table) + final[ord(w[-1])] for w in found]
+                if plain.isalpha():
+                    words.append(plain[:-1] + final[ord(plain[-1])])  # letters stand for themselves
+                    continue
+                if "<" in c and any(m in c for m in self.marks):
+                    out[i], count[i] = self.whole(c), 0
+                    continue
+                found = match(plain)
+                words += [w[:-1].translate(table) + final[ord(w[-1])] for w in found]
             else:
+                if "<" in c and any(m in c for m in self.marks):
+                    out[i], count[i] = self.whole(c), 0
+                    continue
                 plain = "".join([x.lower() for x in unicodedata.normalize("NFC", c)])
                 found = [plain] if plain.isalpha() else match(plain)
                 for w in found:
                     raw = w.encode("utf-8", "surrogatepass")
-                    words.append(raw[:-1].decode("latin-1").translate(self.table) + final[raw[-1]])
+                    words.append(raw[:-1].decode("latin-1").translate(table) + final[raw[-1]])
             count[i] = len(found)
         ids, at = self.pieces.ids(words) if words else [], 0
         for i, n in enumerate(count):
-            if out[i] is None:
-                own = [x for w in ids[at : at + n] for x in w]
-                out[i] = struct.pack(f"<{len(own)}H", *own)
-                at += n
+            if n == 1:
+                out[i] = array("H", ids[at]).tobytes()
+            elif out[i] is None:
+                out[i] = array("H", chain.from_iterable(ids[at : at + n])).tobytes()
+            at += n
         return out
 
     def whole(self, text: str) -> bytes:
