@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, katz, language, near_dup, packing, quality, token_counts, token_files, top_k
+from . import byte_bpe, chat, filter_audit, katz, language, near_dup, packing, quality, token_counts, token_files, top_k
 from .common import crc32_mod, table, work_dir
 
 
@@ -105,9 +105,44 @@ from d left join k using (cid)
 """
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+with recursive t as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents
+), w as (
+  select *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w, min(doc_id) over (partition by text) as first from t
+), l as (
+  select doc_id, bool_or(coalesce(quality, 0) = 1) as good, bool_or(coalesce(toxic, 0) = 1) as toxic from labels group by doc_id
+), m as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] as f
+  from w left join l using (doc_id)
+), c as (
+  select part, f, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from m group by part, f
+), o as (
+  select '' as filter_order union all select filter_order || x from o, unnest(['A', 'B', 'C', 'D', 'E']) as u(x) where not contains(filter_order, x)
+), s as (
+  select filter_order, step, [position(x in filter_order) for x in string_split('ABCDE', '')] as place from o, range(1, 6) as r(step) where length(filter_order) = 5
+), k as (
+  select part, filter_order, step, n, good, toxic, f[position(filter_order[step] in 'ABCDE')] as fails,
+    len(list_filter(range(1, 6), lambda i: f[i] and place[i] < step)) > 0 as gone, len(list_filter(f, lambda x: x)) = 1 as alone from c, s
+), r as (
+  select part, filter_order, cast(step as int) as step, coalesce(sum(n) filter (where not gone and not fails), 0) as kept, coalesce(sum(n) filter (where not gone and fails), 0) as removed,
+    coalesce(sum(n) filter (where gone and fails), 0) as redundant, coalesce(sum(n) filter (where fails and alone), 0) as unique_fails,
+    coalesce(sum(good) filter (where not gone and fails), 0) as good_lost, coalesce(sum(toxic) filter (where not gone and fails), 0) as toxic_lost
+  from k group by part, filter_order, step
+)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, filter_order[step]) as bigint) as shapley from r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz, op2_byte_bpe, op3_packing, op4_token_files, op5_language, op6_chat, op7_token_counts, op8_top_k, op9_quality, op10_near_dup)}
+    return {f.__name__: f for f in (op1_katz, op2_byte_bpe, op3_packing, op4_token_files, op5_language, op6_chat, op7_token_counts, op8_top_k, op9_quality, op10_near_dup, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_top_k": OP8_SQL, "op10_near_dup": OP10_SQL}
+    return {"op8_top_k": OP8_SQL, "op10_near_dup": OP10_SQL, "op13_filter_audit": OP13_SQL}
