@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, filter_audit, katz, language, near_dup, packing, quality, token_counts, token_files, top_k
+from . import byte_bpe, chat, filter_audit, katz, language, near_dup, packing, quality, token_counts, token_files, top_k, vector_dups
 from .common import crc32_mod, table, work_dir
 
 
@@ -105,6 +105,27 @@ from d left join k using (cid)
 """
 
 
+def op12_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+with recursive v as (
+  select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l as materialized (
+  select a.r as a, b.r as b, b.vec_id from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.r <> b.r where list_cosine_similarity(a.e, b.e) >= 0.93
+), reach as (select r as a, r as b, vec_id from v union select reach.a, l.b, l.vec_id from reach join l on reach.b = l.a),
+c as (select a, min(vec_id) as component_id from reach group by a),
+n as (select a, count(*) as n_links from l group by a)
+select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, vec_id is not distinct from component_id as kept from v join c on r = c.a left join n on r = n.a
+union all
+select vec_id, 0, vec_id, true from embeddings
+where label is null or embedding is null or len(list_filter(embedding, lambda x: x is null or not isfinite(x))) > 0 or len(list_filter(embedding, lambda x: x <> 0)) = 0
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -141,8 +162,8 @@ select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz, op2_byte_bpe, op3_packing, op4_token_files, op5_language, op6_chat, op7_token_counts, op8_top_k, op9_quality, op10_near_dup, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_katz, op2_byte_bpe, op3_packing, op4_token_files, op5_language, op6_chat, op7_token_counts, op8_top_k, op9_quality, op10_near_dup, op12_vector_dups, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_top_k": OP8_SQL, "op10_near_dup": OP10_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op8_top_k": OP8_SQL, "op10_near_dup": OP10_SQL, "op12_vector_dups": OP12_SQL, "op13_filter_audit": OP13_SQL}
