@@ -228,10 +228,11 @@ class ByteLevel:
     """Ids of a byte-level `tokenizers` file, packed uint32, by tiktoken with the same vocabulary as a rank file.
 
     tiktoken takes whole texts and keeps nothing between them. Texts that hold a special string of the file, whose ids stand for it
-    there, and those that tiktoken's pattern gives up on (very long white space) go to the `tokenizers` library.
+    there, and those that tiktoken's pattern gives up on (very long white space) go to the `tokenizers` library. Without specials
+    those strings are plain text.
     """
 
-    def __init__(self, path: str, ranks: str, pattern: str):
+    def __init__(self, path: str, ranks: str, pattern: str, specials: bool = True):
         import json
 
         import tiktoken
@@ -240,9 +241,10 @@ class ByteLevel:
             spec = json.load(f)
         with open(ranks, "rb") as f:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.path, self.tokenizer = path, None
-        self.marks = [t["content"] for t in spec["added_tokens"]]
-        plain = {k: v for k, v in spec["model"]["vocab"].items() if k not in self.marks}
+        self.path, self.tokenizer, self.known = path, None, known
+        marks = [t["content"] for t in spec["added_tokens"]]
+        self.marks = marks if specials else []
+        plain = {k: v for k, v in spec["model"]["vocab"].items() if k not in marks}
         table = {b: c for b, c in enumerate(byte_characters())}
         if len(plain) != len(known) or any(plain.get(k.decode("latin-1").translate(table)) != v for k, v in known.items()):
             raise ValueError("the two files don't hold the same vocabulary")
@@ -264,10 +266,16 @@ class ByteLevel:
     def whole(self, text: str) -> bytes:
         from tokenizers import Tokenizer
 
-        self.tokenizer = self.tokenizer or Tokenizer.from_file(self.path)
+        if self.tokenizer is None:
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = not self.marks
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def tokens(self) -> pa.Array:
+        """The bytes of each id."""
+        return pa.array(sorted(self.known, key=self.known.get), pa.binary())
+
 
 class WordEnds(ChunkEncoder):
     """Ids of a `tokenizers` file whose BPE marks word ends and whose pre-tokens hold no white space, packed as uint16.
@@ -374,6 +382,31 @@ class PieceCounts(ChunkEncoder):
         return [int(np.frombuffer(x, "<u4").sum()) for x in self.each(column)]
 
 
+class PieceIds(PieceCounts):
+    """Ids of a sentencepiece BPE file, packed uint32."""
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        # a chunk that starts with a line feed has no space before it in the text: the mark it got goes
+        found = self.processor.encode(chunks, num_threads=1)
+        return [array("I", x[1:] if c[:1] == "\n" else x).tobytes() for c, x in zip(chunks, found, strict=True)]
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.processor.encode(text, num_threads=1)).tobytes()
+
+    def each(self, column: pa.Array) -> Iterator[memoryview | bytes]:
+        if self.splits:
+            return super().each(column)
+        return (self.whole(t or "") for t in column.to_pylist())
+
+    def tokens(self) -> pa.Array:
+        """The bytes of each id: the space mark is a space, a byte piece its byte."""
+        p, out = self.processor, []
+        for i in range(p.get_piece_size()):
+            name = p.id_to_piece(i)
+            out.append(bytes([int(name[3:5], 16)]) if p.is_byte(i) else b"" if p.is_control(i) or p.is_unknown(i) else name.replace("▁", " ").encode())
+        return pa.array(out, pa.binary())
+
+
 _ENCODERS: dict[tuple, object] = {}
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, filter_audit, katz, language, near_dup, packing, quality, token_counts, token_files, top_k, vector_dups
+from . import alignment, byte_bpe, chat, filter_audit, katz, language, near_dup, packing, quality, token_counts, token_files, top_k, vector_dups
 from .common import crc32_mod, table, work_dir
 
 
@@ -105,6 +105,11 @@ from d left join k using (cid)
 """
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+
+
 def op12_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -162,7 +167,7 @@ select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz, op2_byte_bpe, op3_packing, op4_token_files, op5_language, op6_chat, op7_token_counts, op8_top_k, op9_quality, op10_near_dup, op12_vector_dups, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_katz, op2_byte_bpe, op3_packing, op4_token_files, op5_language, op6_chat, op7_token_counts, op8_top_k, op9_quality, op10_near_dup, op11_alignment, op12_vector_dups, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
