@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import params as P
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -34,7 +36,7 @@ def _url() -> str:
 
 def news(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").selectExpr(
-        "date_add(date '2024-01-01', cast(doc_id % 30 as int)) as date", "substr(split_part(text, '\n', 1), 1, 80) as headline", "source", f"{_url()} as url",
+        "date_add(date '2024-01-01', cast(doc_id % 30 as int)) as date", "split_part(text, '\n', 1) as headline", "source", f"{_url()} as url",
         "lang as category", "text as body", "date_add(date '2024-01-01', cast(doc_id % 30 - doc_id % 10 as int)) as publish_date",
     )
 
@@ -48,11 +50,15 @@ def feedback(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _of(labels: tuple[str, ...]) -> str:
+    """Each label in turn, by document."""
+    return f"case doc_id % {len(labels)} " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(labels)) + " end"
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").selectExpr(
         f"{_url()} as url", "cast(least(100, greatest(0, 40 * quality - 20 * toxic + cast((doc_id * 37) % 50 as int))) as int) as score",
-        "case when quality = 1 and doc_id % 2 = 0 then 'track_direct' when quality = 1 then 'high_info_density' else '' end as pos_label",
-        "case when quality = 0 then 'low_info' else '' end as neg_label", "split_part(text, '\n', 1) as summary",
+        f"case when quality = 1 then {_of(P.POS_LABELS)} else '' end as pos_label", f"case when quality = 0 then {_of(P.NEG_LABELS)} else '' end as neg_label", "split_part(text, '\n', 1) as summary",
     )
 
 
@@ -80,15 +86,14 @@ rk as (select d,p,c,b, row_number() over (partition by d,p,c order by s desc, b)
 rankings as materialized (select rk.d as date, rk.p as platform, rk.c as chart_type, coalesce(x.p_type,'') as category, cast(rk.r as int) as rank, cast(rk.b as varchar) as bundle_id,
  coalesce(x.p_name,'item')||' '||cast(rk.b as varchar) as game_name, x.p_brand as developer
 from rk left join part x on x.p_partkey=rk.b where rk.r<=50)""",
-    "news": """news as materialized (select date '2024-01-01' + cast(doc_id%30 as int) as date, substr(split_part(text, chr(10), 1),1,80) as headline, source,
+    "news": """news as materialized (select date '2024-01-01' + cast(doc_id%30 as int) as date, split_part(text, chr(10), 1) as headline, source,
 'https://'||source||'.example.org/'||cast(doc_id as varchar) as url, lang as category, text as body,
 date '2024-01-01' + cast(doc_id%30 as int) - cast(doc_id%10 as int) as publish_date from documents)""",
     "feedback": """feedback as materialized (select cast(ts as date) as date, case event_type when 'view' then 'thumbs_up' when 'error' then 'thumbs_down' else 'hot_click' end as feedback_type,
 'https://'||d.source||'.example.org/'||cast(d.doc_id as varchar) as news_url, cast(e.user_id as varchar) as open_id, d.lang as keyword, e.event_id
 from events e join documents d on d.doc_id = cast(json_extract_string(e.props,'$.k') as bigint) where e.event_type in ('view','error','click'))""",
     "scores": """scores as materialized (select 'https://'||d.source||'.example.org/'||cast(d.doc_id as varchar) as url, cast(least(100,greatest(0, 40*l.quality - 20*l.toxic + cast((d.doc_id*37)%50 as int))) as int) as score,
-case when l.quality=1 and d.doc_id%2=0 then 'track_direct' when l.quality=1 then 'high_info_density' else '' end as pos_label,
-case when l.quality=0 then 'low_info' else '' end as neg_label, split_part(text, chr(10), 1) as summary from labels l join documents d using(doc_id))""",
+case when l.quality=1 then """ + _of(P.POS_LABELS) + """ else '' end as pos_label, case when l.quality=0 then """ + _of(P.NEG_LABELS) + """ else '' end as neg_label, split_part(text, chr(10), 1) as summary from labels l join documents d using(doc_id))""",
     "games": """games as materialized (select date '2024-01-01' + cast(p_partkey%30 as int) as date, p_name||' '||cast(p_partkey as varchar) as game_name, p_type||'|'||p_brand as tags, p_type as genre,
 case when p_size>=25 then cast(p_size-24 as varchar)||'万+预约' else cast(p_size*100 as varchar)||'预约' end as downloads, p_partkey%9=0 as is_port from part)""",
     "audit_log": """audit_log as materialized (select cast(conv_id as varchar) as run_id, cast(turn as int) as round_num, role as tool_name, cast(length(text) as int) as latency_ms, turn%2=1 as cache_hit from conversations)""",

@@ -115,9 +115,9 @@ def signal_score(body: Column, year: int) -> Column:
 
 
 def fuse(signal: Column, score: Column) -> Column:
-    """3 parts signal and 7 parts score, half to even; at most 59 where a weak signal meets a high score."""
+    """3 parts signal and 7 parts score, half to even; at most 59 where a weak signal meets a score over 60."""
     fused = F.bround(((3 * signal + 7 * score) / 10).cast("decimal(6,1)"), 0).cast("int")
-    return F.when((signal < 20) & (fused > 60), F.least(fused, F.lit(59))).otherwise(fused)
+    return F.when((signal < 20) & (score > 60), F.least(fused, F.lit(59))).otherwise(fused)
 
 
 def valid_label(col: Column, allowed) -> Column:
@@ -263,6 +263,8 @@ def source_canonical(col: Column) -> Column:
     out = F.when(low.isin(*P.REMOVED_SOURCES), F.lit(None))
     for alias, name in P.SOURCE_ALIASES.items():
         out = out.when(low == alias, name)
+    for name in P.SOURCE_ORDER:  # known names in any case
+        out = out.when(low == name.lower(), name)
     return out.otherwise(F.trim(col))
 
 
@@ -340,10 +342,10 @@ def dimension(text: Column) -> Column:
 
 
 def fidelity(up: Column, down: Column, pos: Column, neg: Column, track: Column) -> Column:
-    """Weighted sum of agreement, concentration, topic and label signals, three places."""
+    """Weighted sum of agreement, concentration, topic and label signals, three places. Any label counts as one, only clear ones agree or disagree."""
     d = lambda x: F.lit(x).cast("decimal(6,4)")
     net, total = up - down, up + down
-    has_pos, has_neg = pos != "", neg != ""
+    has_pos, has_neg = pos.isin(*P.CLEAR_POS_LABELS), neg.isin(*P.CLEAR_NEG_LABELS)
     agree = (
         F.when(has_pos & (net > 0), d("1.0")).when(has_neg & (net < 0), d("0.85")).when((has_pos & (net < 0)) | (has_neg & (net > 0)), d("0.40"))
         .when((has_pos | has_neg) & (net == 0), d("0.25")).otherwise(d("0.15"))
@@ -351,4 +353,4 @@ def fidelity(up: Column, down: Column, pos: Column, neg: Column, track: Column)
     depth = F.when(total >= 5, d("1.0")).when(total >= 3, d("0.75")).when(total == 2, d("0.40")).when(total == 1, d("0.15")).otherwise(d("0"))
     share = F.when(total > 0, (F.abs(net) / total).cast("decimal(12,8)")).otherwise(F.lit(0).cast("decimal(12,8)"))
     focus = depth * (F.lit("0.5").cast("decimal(3,1)") + F.lit("0.5").cast("decimal(3,1)") * share)
-    return F.round(F.lit("0.40").cast("decimal(3,2)") * agree + F.lit("0.30").cast("decimal(3,2)") * focus + F.when(track, d("0.20")).otherwise(d("0")) + F.when(has_pos | has_neg, d("0.10")).otherwise(d("0")), 3).cast("decimal(4,3)")
+    return F.round(F.lit("0.40").cast("decimal(3,2)") * agree + F.lit("0.30").cast("decimal(3,2)") * focus + F.when(track, d("0.20")).otherwise(d("0")) + F.when((F.trim(pos) != "") | (F.trim(neg) != ""), d("0.10")).otherwise(d("0")), 3).cast("decimal(4,3)")

@@ -49,10 +49,10 @@ def feedback_with_news(votes: DataFrame, news: DataFrame) -> DataFrame:
 
 
 def with_fidelity(votes: DataFrame, labels: DataFrame, track: Column, least: float = 0.30) -> DataFrame:
-    """Votes with fidelity decimal(4,3), whether they are kept, and a level. labels: url, pos_label, neg_label."""
-    rows = votes.join(labels.select(F.col("url").alias("news_url"), "pos_label", "neg_label"), "news_url", "left").fillna("", ["pos_label", "neg_label"])
-    f = S.fidelity(F.col("up"), F.col("down"), F.col("pos_label"), F.col("neg_label"), track)
-    rows = rows.withColumn("fidelity", f).withColumn("kept", F.col("fidelity") >= F.lit(str(least)).cast("decimal(4,3)"))
+    """Votes with fidelity decimal(4,3), whether they are kept, and a level. labels: url, pos_label, neg_label, what track looks at."""
+    rows = votes.join(labels.withColumn("_track", track).select(F.col("url").alias("news_url"), "pos_label", "neg_label", "_track"), "news_url", "left").fillna("", ["pos_label", "neg_label"])
+    f = S.fidelity(F.col("up"), F.col("down"), F.col("pos_label"), F.col("neg_label"), F.coalesce("_track", F.lit(False)))
+    rows = rows.withColumn("fidelity", f).drop("_track").withColumn("kept", F.col("fidelity") >= F.lit(str(least)).cast("decimal(4,3)"))
     return rows.withColumn("level", F.when(~F.col("kept"), "low").when(F.col("fidelity") < F.lit("0.600").cast("decimal(4,3)"), "medium").otherwise("high"))
 
 
@@ -78,9 +78,12 @@ def merge_boosts(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def dim_nets(votes: DataFrame) -> DataFrame:
-    """Net votes of topic, density and insight rows in one row."""
-    net = F.col("up") - F.col("down")
-    of = {"track": F.col("pos_label") == "track_direct", "density": F.col("pos_label").isin("high_info_density", "exclusive_scoop") | (F.col("neg_label") == "low_info"), "insight": F.col("pos_label").isin("overseas_insight", "playable_reference", "ai_related")}
+    """Net votes of the rows on followed topics (track_relevant), of those on density and of those on insight (by label), in one row."""
+    net, pos, neg = F.col("up") - F.col("down"), F.coalesce("pos_label", F.lit("")), F.coalesce("neg_label", F.lit(""))
+    of = {
+        "track": F.coalesce("track_relevant", F.lit(False)), "density": pos.contains("high_info_density") | neg.contains("low_info"),
+        "insight": pos.contains("overseas_insight") | pos.contains("exclusive_scoop"),
+    }
     return votes.agg(*[F.coalesce(F.sum(F.when(c, net)), F.lit(0)).alias(f"{n}_net") for n, c in of.items()], *[F.count_if(c).alias(f"{n}_rows") for n, c in of.items()])
 
 

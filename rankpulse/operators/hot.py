@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import scalars as S
-from .tables import first_by, numbered, stored
+from .tables import best_of, falling, first_by, numbered, stored
 
 
 def hot_list_rows(raw: DataFrame, top: int = 30, relevant=P.RELEVANT_WORDS, discussions: tuple[str, ...] = ("zhihu",)) -> DataFrame:
@@ -40,11 +40,14 @@ def weigh_keywords(rows: DataFrame, clicks: DataFrame) -> DataFrame:
 
 
 def pick_keywords(rows: DataFrame, plain: int = 7, total: int = 10) -> DataFrame:
-    """Per date up to `plain` keywords that aren't curated by weight, then curated ones, then the rest; `total` in all."""
+    """Per date up to `plain` keywords that aren't curated by weight, then curated ones, then the rest; `total` in all.
+
+    More than `total` of either kind are never needed, so Spark cuts both to it before they are shuffled.
+    """
     curated = F.col("source") == "curated"
     place = F.row_number().over(Window.partitionBy("date", curated).orderBy(F.desc("weight"), "keyword"))
-    kind = F.when(curated, 1).when(place <= plain, 0).otherwise(2)
-    rows = rows.withColumn("kind", kind)
+    kind = F.when(curated, 1).when(F.col("_place") <= plain, 0).otherwise(2)
+    rows = rows.withColumn("_place", place).where(F.col("_place") <= max(plain, total)).withColumn("kind", kind).drop("_place")
     slot = F.row_number().over(Window.partitionBy("date").orderBy("kind", F.desc("weight"), "keyword")).cast("int")
     return rows.withColumn("slot", slot).where(F.col("slot") <= total).drop("kind")
 
@@ -52,8 +55,10 @@ def pick_keywords(rows: DataFrame, plain: int = 7, total: int = 10) -> DataFrame
 def first_engine(results: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Results of the first engine of the order that has any, for each keyword and query."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("engine"))
-    best = F.min("place").over(Window.partitionBy("keyword", "query"))
-    return results.withColumn("place", place).where("place > 0").withColumn("best", best).where("place = best").drop("place", "best")
+    rows = results.withColumn("place", place).where("place > 0")
+    best = rows.groupBy(F.col("keyword").alias("_k"), F.col("query").alias("_q")).agg(F.min("place").alias("best"))
+    met = rows.join(best, F.col("keyword").eqNullSafe(F.col("_k")) & F.col("query").eqNullSafe(F.col("_q")) & (F.col("place") == F.col("best")))
+    return met.select(*results.columns)
 
 
 def first_variant(results: DataFrame) -> DataFrame:
@@ -86,8 +91,8 @@ def local_candidates(news: DataFrame, score: Column, relevant: Column, top: int
     rows = news.withColumn("score", score).where("score > 0").withColumn("relevant", relevant)
     has = rows.groupBy("date").agg(F.max("relevant").alias("any"))
     rows = rows.join(has, "date").where(F.col("relevant") | ~F.col("any"))
-    place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "url")).cast("int")
-    return rows.withColumn("slot", place).where(F.col("slot") <= F.when(F.col("any"), top).otherwise(fallback)).drop("any", "relevant")
+    limit = F.when(F.col("any"), top).otherwise(fallback)
+    return best_of(rows, ["date"], [falling("score"), "url"], limit, "slot").drop("any", "relevant")
 
 
 def dedup_against(selected: DataFrame, pool: DataFrame, news: DataFrame) -> DataFrame:
@@ -105,8 +110,7 @@ def dedup_against(selected: DataFrame, pool: DataFrame, news: DataFrame) -> Data
     counts = selected.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
     kept = fresh(selected).select("date", "url", "title", F.lit(0).alias("late"), F.col("slot").alias("place"))
     more = fresh(pool).join(selected.select("date", "url"), ["date", "url"], "left_anti").select("date", "url", "title", F.lit(1).alias("late"), "place")
-    place = F.row_number().over(Window.partitionBy("date").orderBy("late", "place", "url")).cast("int")
-    return kept.union(more).withColumn("slot", place).join(counts, "date").where(F.col("slot") <= F.col("n")).select("date", "url", "title", "slot")
+    return best_of(kept.union(more).join(counts, "date"), ["date"], ["late", "place", "url"], F.col("n"), "slot").select("date", "url", "title", "slot")
 
 
 def apply_selection(candidates: DataFrame, picks: DataFrame, as_of: Column, top: int = 7, most: int = 7) -> DataFrame:

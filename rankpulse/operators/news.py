@@ -94,22 +94,52 @@ def filter_breakdown(judged: DataFrame) -> DataFrame:
     return judged.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def word_overlaps(left: DataFrame, right: DataFrame, keys: list[str], ids: list[str], of: list[str], least: int = 4) -> DataFrame:
+    """(keys, ids, of): rows of left (keys, ids, words) and right (keys, of, words) that share `least` distinct words or more.
+
+    Words are put in one order, rarest first. Two sets that share `least` words share one of the first n - least + 1 of either, so only those are
+    joined on; what meets is counted exactly. Rows of fewer words meet nothing.
+    """
+    sets = lambda df, own: df.select(*keys, *own, F.array_distinct("words").alias("words")).where(F.size("words") >= least)
+    a, b = sets(left, ids), sets(right, of)
+    often = a.select(*keys, F.explode("words").alias("word")).unionByName(b.select(*keys, F.explode("words").alias("word"))).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("often"))
+
+    def rarest(df: DataFrame, own: list[str], words: str) -> DataFrame:
+        told = df.select(*keys, *own, "words", F.explode("words").alias("word")).join(often, [*keys, "word"])
+        # the words of one row, of which there are as many as it has
+        ranked = told.groupBy(*keys, *own).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("r"), F.first("words").alias(words))
+        return ranked.select(*keys, *own, words, F.explode(F.slice(F.col("r.word"), F.lit(1), F.size("r") - least + 1)).alias("word"))
+
+    met = rarest(a, ids, "_wa").join(rarest(b, of, "_wb"), [*keys, "word"]).where(F.size(F.array_intersect("_wa", "_wb")) >= least)
+    return met.select(*keys, *ids, *of).distinct()
+
+
+def headline_words(col: Column) -> Column:
+    """Runs of letters, digits and underscores, two or more, as they are written; without the usual ones."""
+    return F.array_except(F.regexp_extract_all(col, F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), F.array(*map(F.lit, P.FATIGUE_NOISE)))
+
+
 def fatigue(news: DataFrame, published: DataFrame, window: int = 3) -> DataFrame:
     """news (date, url, headline) with seen: headlines of the same topic published in the `window` days before; the most of all matches.
 
-    A topic matches by its key, or by one key within the other, both of three characters or more. Keys meet on the key itself and on
-    every part of three characters, so that no pair is formed without a common part.
+    A topic matches by one key within the other, both of three characters or more, or where a published headline of it has four words in common with
+    the article's. Keys meet on the shorter one's first part of three characters, headlines on their rare words, so that no pair is formed without a
+    common part.
     """
     keyed = lambda df: df.withColumn("topic", S.topic_key(F.col("headline")))
     topics = keyed(published).groupBy("date", "topic").agg(F.countDistinct("headline").alias("n"))
     days = topics.select(F.explode(F.sequence(F.date_add("date", 1), F.date_add("date", window))).alias("date"), "topic", "n").groupBy("date", "topic").agg(F.sum("n").alias("n"))
-    part = lambda c: F.array_distinct(F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substr(c, i, F.lit(3)))).otherwise(F.array(c)))
+    part = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))
     # the shorter key's first part stands in the longer one
-    now = keyed(news).select("date", "url", F.col("topic").alias("key"))
+    now = keyed(news).select("date", "url", F.col("topic").alias("key")).where("length(key) >= 3")
+    told = days.where("length(topic) >= 3")
     short = lambda df, c: df.withColumn("part", F.substring(F.col(c), 1, 3))
     long_ = lambda df, c: df.withColumn("part", F.explode(part(F.col(c))))
-    joined = lambda a, b: a.join(b, ["date", "part"]).where("key = topic or (length(key) >= 3 and length(topic) >= 3 and (contains(key, topic) or contains(topic, key)))").select("date", "url", "topic", "n")
-    hits = joined(short(now, "key"), long_(days, "topic")).union(joined(long_(now, "key"), short(days, "topic"))).distinct()
+    joined = lambda a, b: a.join(b, ["date", "part"]).where("contains(key, topic) or contains(topic, key)").select("date", "url", "topic", "n")
+    hits = joined(short(now, "key"), long_(told, "topic")).union(joined(long_(now, "key"), short(told, "topic")))
+    written = keyed(published).withColumn("date", F.explode(F.sequence(F.date_add("date", 1), F.date_add("date", window)))).select("date", "topic", headline_words(F.col("headline")).alias("words")).distinct()
+    alike = word_overlaps(news.select("date", "url", headline_words(F.col("headline")).alias("words")), written.withColumn("_words", F.col("words")), ["date"], ["url"], ["topic", "_words"])
+    hits = hits.union(alike.select("date", "url", "topic").distinct().join(days, ["date", "topic"]).select("date", "url", "topic", "n"))
     seen = hits.groupBy("date", "url").agg(F.max("n").alias("seen"))
     return news.join(seen, ["date", "url"], "left").fillna(0, ["seen"])
 
@@ -183,48 +213,63 @@ def drop_same_day(items: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def cross_validate(claims: DataFrame, results: DataFrame, top: int = 3) -> DataFrame:
-    """claims (claim_id, tokens, url), results (claim_id, url, title): how many results bear a claim out, and a verdict.
+    """claims (claim_id, claim, url), results (claim_id, place, url, title, snippet): the results that bear a claim out, and a verdict.
 
-    Two common tokens or more corroborate, one is related. A claim's own URL doesn't count and each URL counts once.
+    Results with two dedup tokens or more of the claim's corroborate, those with one are other sources, the rest is unrelated: the first `top` of each,
+    by place, as arrays of (title, url, snippet of 200 characters), and how many there are (n_corroborating, n_other, n_unrelated). A claim's own URL doesn't count, a
+    result without URL doesn't either, and each URL counts once, where it comes first.
     """
-    rows = first_by(results, ["claim_id", "url"], "title").join(claims.withColumnRenamed("url", "own"), "claim_id").where("url <> own or own is null")
-    common = F.size(F.array_intersect(S.topic_words(F.col("title")), "tokens"))
-    counts = rows.withColumn("common", common).groupBy("claim_id").agg(
-        F.count_if(F.col("common") >= 2).alias("corroborating"), F.count_if(F.col("common") == 1).alias("related"), F.count(F.lit(1)).alias("n_results"),
-        F.array_join(F.slice(F.array_sort(F.collect_list(F.when(F.col("common") >= 2, F.col("url")))), 1, top), "|").alias("sources"),
-    )
-    out = claims.select("claim_id").join(counts, "claim_id", "left").fillna(0, ["corroborating", "related", "n_results"]).fillna("", ["sources"])
-    verdict = F.when(F.col("n_results") == 0, "isolated_claim").when(F.col("corroborating") >= 2, "verified").when(F.col("corroborating") == 1, "partial").otherwise("unverified")
-    return out.withColumn("verdict", verdict)
+    told = claims.select("claim_id", S.dedup_tokens(F.col("claim")).alias("_tokens"), F.col("url").alias("_own"))
+    rows = first_by(results.where("url <> ''"), ["claim_id", "url"], "place", "title").join(told, "claim_id").where("url <> _own or _own is null")
+    common = F.size(F.array_intersect(S.dedup_tokens(F.col("title")), "_tokens"))
+    kind = F.when(common >= 2, "corroborating").when(common == 1, "other").otherwise("unrelated")
+    entry = F.struct("title", "url", F.substring(F.coalesce("snippet", F.lit("")), 1, 200).alias("snippet"))
+    rows = rows.select("claim_id", kind.alias("kind"), "place", "url", entry.alias("entry"))
+    kinds = ("corroborating", "other", "unrelated")
+    counts = rows.groupBy("claim_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
+    order = Window.partitionBy("claim_id", "kind").orderBy("place", "url")
+    first = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top)
+    listed = first.groupBy("claim_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("n", "entry")))).alias(k) for k in kinds])
+    out = claims.select("claim_id").join(counts, "claim_id", "left").join(listed, "claim_id", "left").fillna(0, [f"n_{k}" for k in kinds])
+    out = out.withColumns({k: F.coalesce(F.col(f"{k}.entry"), F.array().cast("array<struct<title: string, url: string, snippet: string>>")) for k in kinds})
+    found, good = F.col("n_corroborating") + F.col("n_other") + F.col("n_unrelated"), F.col("n_corroborating")
+    return out.withColumn("verdict", F.when(found == 0, "isolated_claim").when(good >= 2, "verified").when(good == 1, "partial").otherwise("unverified"))
 
 
 def fuzzy_name_join(left: DataFrame, names: DataFrame) -> DataFrame:
-    """left.name to known names: exact; base name (before a dash or bracket) exact; then one base within the other, three characters or more;
-    then a known name of three characters or more within the full name, or a full name of two or more within the known one.
+    """(name, known, way) of left.name and the known name that fits best, if any does; way 1 to 4, then the least known name.
+
+    1: the same. 2: its base, what stands before the first dash or bracket, is a known name. 3: base and known name, three characters or more each, one within
+    the other. 4: a known name of three characters or more within the whole name, or a name of two or more within such a known one. Case counts.
 
-    Containment meets on the rarest part of three characters of the shorter name, for a full name of two on that itself.
-    The best way wins, then the name.
+    Containment meets on one part of three characters (two for names of two): that of the shorter name which the fewest longer names have. What branches
+    share is stored once.
     """
-    low = lambda c: F.lower(F.trim(c))
-    base = lambda c: F.trim(F.regexp_replace(low(c), r"[-—(（\[【:：].*$", ""))
-    l = left.select("name", low(F.col("name")).alias("full"), base(F.col("name")).alias("base")).distinct()  # noqa: E741
-    r = names.select(F.col("name").alias("known"), low(F.col("name")).alias("kfull"), base(F.col("name")).alias("kbase")).distinct()
-    exact = l.join(r, l.full == r.kfull).select("name", "known", F.lit(1).alias("way"))
-    based = l.join(r, l.base == r.kbase).where("base <> ''").select("name", "known", F.lit(2).alias("way"))
-    rest = l.join(exact.union(based).select("name").distinct(), "name", "left_anti")
-    parts = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substr(c, i, F.lit(n))))
-
-    def met(short: DataFrame, x: str, long_: DataFrame, y: str, way: int, n: int = 3) -> DataFrame:
-        """x within y: each long name has all its parts, a short one meets them on the part that the fewest long names have."""
-        all_ = long_.withColumn("part", F.explode(parts(F.col(y), n)))
-        own = short.withColumn("part", F.explode(parts(F.col(x), n))).join(all_.groupBy("part").agg(F.count(F.lit(1)).alias("often")), "part", "left")
-        # a part that no long name has rules the short one out
-        rarest = own.groupBy(*short.columns).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "part")).alias("rare")).where("rare.often > 0")
-        pairs = rarest.withColumn("part", F.col("rare.part")).drop("rare").join(all_, "part")
-        return pairs.where(F.contains(F.col(y), F.col(x))).select("name", "known", F.lit(way).alias("way"))
-
-    lb, rb = rest.where("length(base) >= 3"), r.where("length(kbase) >= 3")
-    within = met(lb, "base", rb, "kbase", 3).union(met(rb, "kbase", lb, "base", 3))
-    lf, two, rf = rest.where("length(full) >= 3"), rest.where("length(full) = 2"), r.where("length(kfull) >= 3")
-    whole = met(rf, "kfull", lf, "full", 4).union(met(lf, "full", rf, "kfull", 4)).union(met(two, "full", rf, "kfull", 4, 2))
-    return first_by(exact.union(based).union(within).union(whole), ["name"], "way", "known")
+    base = F.trim(F.get(F.split("name", r"\s*[-—–（(]\s*", 2), 0))
+    l = stored(left.where("name <> ''").select("name").distinct().withColumn("base", F.when(base != F.col("name"), base).otherwise("")), "names-left")  # noqa: E741
+    r = stored(names.select(F.col("name").alias("known")).where("known <> ''").distinct(), "names-known")
+    ways = F.explode(F.array(F.struct(F.col("name").alias("known"), F.lit(1).alias("way")), F.struct(F.col("base").alias("known"), F.lit(2).alias("way"))))
+    same = l.select("name", ways.alias("x")).select("name", "x.known", "x.way").join(r, "known", "left_semi")
+    direct = stored(first_by(same, ["name"], "way"), "names-direct").select("name", "known", "way")
+    rest = stored(l.join(direct, "name", "left_anti"), "names-rest")
+
+    def parts(c: Column, n: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)))
+
+    def met(needles: DataFrame, hays: DataFrame) -> DataFrame:
+        """Pairs of needles (needle, ..) and hays (hay, ..) of which one stands in the other."""
+        wide = F.when(F.length("hay") >= 3, F.concat(parts(F.col("hay"), F.lit(3)), parts(F.col("hay"), F.lit(2)))).otherwise(parts(F.col("hay"), F.lit(2)))
+        all_ = stored(hays.select("*", F.explode(wide).alias("part")), "names-parts")
+        often = all_.groupBy("part").agg(F.count(F.lit(1)).alias("often"))
+        own = needles.select("*", F.explode(parts(F.col("needle"), F.least(F.lit(3), F.length("needle")))).alias("part")).join(often, "part", "left")
+        # a part that no hay has rules the needle out
+        rarest = own.groupBy(*needles.columns).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "part")).alias("rare")).where("rare.often > 0")
+        return rarest.withColumn("part", F.col("rare.part")).drop("rare").join(all_, "part").where(F.contains("hay", "needle"))
+
+    within = met(r.where("length(known) >= 3").withColumn("needle", F.col("known")), rest.where("length(name) >= 2").withColumn("hay", F.col("name")))
+    inside = F.when((F.length("base") >= 3) & F.contains("base", "known"), 3).otherwise(4)
+    needles = F.explode(F.array(F.struct(F.col("base").alias("needle"), F.lit(3).alias("way")), F.struct(F.col("name").alias("needle"), F.lit(4).alias("way"))))
+    short = rest.select("name", needles.alias("x")).select("name", "x.needle", "x.way").where("length(needle) >= if(way = 3, 3, 2)")
+    around = met(short, r.where("length(known) >= 3").withColumn("hay", F.col("known")))
+    found = within.select("name", "known", inside.alias("way")).unionByName(around.select("name", "known", "way"))
+    return direct.unionByName(first_by(found, ["name"], "way", "known"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .tables import source_coverage, stored
+from .tables import best_of, falling, numbered, source_coverage, stored
 
 
 def merge_new_games(ports: DataFrame, games: DataFrame) -> DataFrame:
@@ -27,8 +27,10 @@ def choose_new_games(games: DataFrame, top: int = 5) -> DataFrame:
     """Per date the games on followed topics (track_class), else the `top` others by downloads, with a note."""
     on = F.col("track_class") == "track"
     has = games.groupBy("date").agg(F.max(on).alias("any"))
-    place = F.row_number().over(Window.partitionBy("date", on).orderBy(F.desc("downloads"), "game_name")).cast("int")
-    rows = games.join(has, "date").withColumn("place", place).where((F.col("any") & on) | (~F.col("any") & ~on & (F.col("place") <= top)))
+    rows = stored(games.join(has, "date").where(on | ~F.col("any")), "new-games")  # of a date with followed ones only those
+    followed = numbered(rows.where("any"), ["date"], [F.desc("downloads"), "game_name"])
+    others = best_of(rows.where("not any"), ["date"], [falling("downloads"), "game_name"], F.lit(top))
+    rows = followed.unionByName(others)
     return rows.select("date", "game_name", "downloads", "place", F.when(F.col("any"), "").otherwise("no followed topic").alias("note"))
 
 

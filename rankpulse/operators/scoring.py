@@ -72,7 +72,7 @@ def same_story(a: Column, b: Column, percent: int = 15, entities: int = 2) -> Co
     return alike | (common("said") >= entities) | (common("named") >= entities)
 
 
-_CHOSEN = "url string, source string, game string, score int, far boolean, story struct<tokens: array<string>, said: array<string>, named: array<string>>"
+_CHOSEN = "url string, source string, outlet string, game string, score int, far boolean, story struct<tokens: array<string>, said: array<string>, named: array<string>>"
 
 
 def select_diverse(
@@ -81,16 +81,19 @@ def select_diverse(
 ) -> DataFrame:
     """Per date a diverse choice of scored news (date, url, headline, source, score): caps a source, game and video, no same story twice.
 
+    Caps count sources by their canonical name, removed and missing ones as one; overseas holds canonical names.
+
     The last place is kept for an overseas item while none is chosen; a second pass adds one; a third fills up. What doesn't fit once never
     fits later, so a pass takes the best row that fits, again and again: one aggregate a place over all rows of all dates, and only the
     chosen rows of each date are carried from place to place. Rows are held against the chosen ones' story (a story_marks column) or
     links (date, a, b), never against each other.
     """
     game = F.coalesce(F.nullif(F.regexp_extract("headline", "《([^》]+)》", 1), F.lit("")), F.substring("headline", 1, 8))
-    abroad = F.coalesce(F.col("source").isin(*overseas), F.lit(False))
+    outlet = F.coalesce(S.source_canonical(F.col("source")), F.lit(""))
+    abroad = outlet.isin(*overseas)
     kind = _CHOSEN.split("story ")[1]
     marks = F.lit(None).cast(kind) if story is None else story
-    rows = stored(scored.select("date", "url", "source", game.alias("game"), F.col("score").cast("int").alias("score"), abroad.alias("far"), marks.alias("story")), "diverse-rows")
+    rows = stored(scored.select("date", "url", "source", outlet.alias("outlet"), game.alias("game"), F.col("score").cast("int").alias("score"), abroad.alias("far"), marks.alias("story")), "diverse-rows")
     if pairs is not None:
         pairs = stored(pairs.select("date", F.col("a").alias("url"), F.col("b").alias("other")).union(pairs.select("date", "b", "a")), "diverse-pairs")
 
@@ -98,12 +101,12 @@ def select_diverse(
     state = stored(rows.groupBy("date").agg(F.max("far").alias("any_far")).withColumn("chosen", none), "diverse-chosen")
     n, found_far = F.size("chosen"), F.exists("chosen", lambda c: c["far"])
     count = lambda key: F.size(F.filter("chosen", lambda c: c[key].eqNullSafe(F.col(key))))
-    fits = lambda cap: (count("source") < F.when(F.col("source") == "Bilibili", videos).otherwise(cap)) & (count("game") < per_game) & (count("url") == 0)
+    fits = lambda cap: (count("outlet") < F.when(F.col("outlet") == "Bilibili", videos).otherwise(cap)) & (count("game") < per_game) & (count("url") == 0)
     held = ~F.col("far") & (n == total - 1) & ~found_far & F.col("any_far")
     turn = F.when(fits(per_source) & ~held, 1).when(F.col("far") & ~found_far & fits(total - 1), 2).when(fits(per_source), 3)
     if story is not None:
         turn = F.when(~F.exists("chosen", lambda c: same_story(c["story"], F.col("story"))), turn)
-    first = F.struct("turn", F.col("score").isNull().alias("blank"), (-F.col("score")).alias("down"), "url", "source", "game", "score", "far", "story")
+    first = F.struct("turn", F.col("score").isNull().alias("blank"), (-F.col("score")).alias("down"), "url", "source", "outlet", "game", "score", "far", "story")
     for _ in range(total):
         left = rows.join(state.withColumnRenamed("date", "on"), F.col("date").eqNullSafe(F.col("on"))).drop("on").where(n < total).withColumn("turn", turn).where("turn is not null")
         if pairs is not None:
@@ -112,7 +115,7 @@ def select_diverse(
         best = stored(left.groupBy("date").agg(F.min(first).alias("best")), "diverse-best")
         if not best.limit(1).count():
             break
-        one = F.array(F.struct(*[F.col(f"best.{c}").alias(c) for c in ("url", "source", "game", "score", "far", "story")]))
+        one = F.array(F.struct(*[F.col(f"best.{c}").alias(c) for c in ("url", "source", "outlet", "game", "score", "far", "story")]))
         grown = state.join(best.withColumnRenamed("date", "on"), F.col("date").eqNullSafe(F.col("on")), "left")
         state = stored(grown.select("date", "any_far", F.when(F.col("best").isNull(), F.col("chosen")).otherwise(F.concat("chosen", one)).alias("chosen")), "diverse-chosen")
     out = state.select("date", F.posexplode("chosen").alias("slot", "c"))

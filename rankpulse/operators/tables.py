@@ -46,6 +46,27 @@ def numbered(df: DataFrame, by: list[str], order: list, name: str = "place") ->
     return met.select(*[F.col(c) for c in df.columns], (F.col("_own") + F.col("_before")).cast("int").alias(name))
 
 
+def falling(column: str) -> Column:
+    """A number's place in a falling order, for best_of; nulls come last."""
+    return F.struct(F.col(column).isNull(), -F.col(column))
+
+
+def best_of(df: DataFrame, by: list[str], order: list, limit: Column, name: str = "place") -> DataFrame:
+    """The first rows of each group by rising order with their place, from 1; how many is an expression that is the same for all rows of a group.
+
+    A group is dealt by a hash of the order to as many parts as a shuffle has, and each part keeps its own first rows. Those of all parts, no more than the
+    limit times the parts, are merged by an aggregate as a sorted, cut array. So no task sees a whole group.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"_{i}") for i, o in enumerate(order)])
+    dealt = df.withColumns({"_key": key, "_limit": limit.cast("int")}).withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(parts)))
+    own = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_key"))).where("_n <= _limit")
+    row = F.struct("_key", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    merged = own.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.max("_limit").alias("_limit"))
+    best = merged.select(F.posexplode(F.slice("_rows", F.lit(1), F.greatest(F.lit(0), F.col("_limit")))).alias("_at", "_r"))
+    return best.select("_r._row.*", (F.col("_at") + 1).cast("int").alias(name))
+
+
 def scan(table: DataFrame, order: list | None = None, most: int | None = None, **equal) -> DataFrame:
     """Rows whose columns have the given values (None: any), in order, `most` of them. Equalities on a partition column prune files."""
     for column, value in equal.items():

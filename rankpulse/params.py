@@ -17,9 +17,15 @@ PRODUCT_WORDS = (
 )
 BLOCK_WORDS = (
     "AirPods", "iPhone", "iPad", "MacBook", "Apple Watch", "电动滑板车", "电视", "耳机", "音箱", "手表", "Prime Day", "特惠精选", "世界杯",
-    "足球", "NBA", "英超", "西甲", "欧冠", "演唱会", "明星", "八卦", "礼包", "广告", "史低", "打折", "促销", "限免", "音游", "节奏游戏",
+    "足球", "NBA", "英超", "西甲", "欧冠", "演唱会", "张靓颖", "明星", "八卦", "走光", "抄袭", "芝麻街", "Netflix", "电影", "预告", "剧透",
+    "礼包", "广告", "赛马大会", "抢号", "Alienware", "ROG新品", "游戏电脑", "大促", "立省", "史低", "新史低", "平史低", "白菜价", "白嫖", "喜加",
+    "夏促", "冬促", "春促", "秋促", "打折", "促销", "免费领", "限免", "免费玩", "捆绑包", "折扣推荐", "史低推荐", "音游", "节奏游戏", "Steam新品节",
+    "游戏节",
+)
+VIDEO_BLOCK_WORDS = (
+    "史低", "新史低", "平史低", "白菜价", "白嫖", "喜加", "夏促", "冬促", "春促", "秋促", "打折", "促销", "免费领", "限免", "免费玩", "捆绑包", "折扣推荐",
+    "史低推荐", "电竞", "夺冠", "决赛", "赛事", "Major", "major", "CS2", "CS:GO", "CSGO", "NiKo", "Falcons", "猎鹰", "音游", "节奏游戏",
 )
-VIDEO_BLOCK_WORDS = ("史低", "打折", "促销", "限免", "电竞", "夺冠", "决赛", "赛事", "Major", "major", "CS2", "CSGO", "音游", "节奏游戏")
 COMPANIES = (
     "腾讯", "网易", "米哈游", "字节跳动", "莉莉丝", "叠纸", "鹰角", "完美世界", "三七互娱", "索尼", "任天堂", "微软", "Steam", "Playtika",
     "Tencent", "NetEase", "miHoYo", "Garena", "育碧", "EA", "暴雪", "Riot", "Embracer", "Take-Two", "Nexon", "Netmarble", "Krafton",
@@ -43,6 +49,7 @@ FOREIGN_CONTEXT = (
     "世界杯", "足球", "篮球", "球迷", "球王", "破门", "逼平", "歌手", "清唱", "抄袭", "绯闻", "出轨", "恋情", "股票", "涨停", "跌停", "基金经理",
     "安室奈美惠", "张靓颖", "单依纯",
 )
+FATIGUE_NOISE = ("游戏", "资讯", "新闻", "今日", "最新", "推荐")
 STORY_NOISE = (
     "报告", "报道", "文章", "分析", "认为", "表示", "指出", "显示", "该新闻", "反映了", "目前", "已经", "可以", "进行", "这个", "通过", "以及", "包括",
     "对于", "根据", "作为", "不仅", "游戏", "新闻", "近日", "本周", "资讯", "了解", "据悉", "the", "and", "for", "this", "that", "with", "from", "game",
@@ -60,6 +67,8 @@ FRESH_MARKS = (("今日", "今日"), ("今天", "今日"), ("今晚", "今日"),
 DIGEST_WORDS = ("周报", "汇总", "盘点", "总结", "周榜", "月报", "Weekly", "Roundup", "Digest")
 POS_LABELS = ("track_direct", "playable_reference", "ai_related", "high_info_density", "exclusive_scoop", "overseas_insight")
 NEG_LABELS = ("no_gameplay", "digest_rerun", "off_track", "low_info", "stale", "generic_pr")
+CLEAR_POS_LABELS = ("track_direct", "high_info_density", "exclusive_scoop", "overseas_insight")
+CLEAR_NEG_LABELS = ("off_track", "no_gameplay", "low_info", "stale")
 TITLE_PREFIXES = ("游戏资讯", "行业活动", "行业分析", "[B站", "资讯")
 NOISE_WORDS = ("steam", "game", "play", "pc", "app")
 CURATED_KEYWORDS = ("游戏公司 融资 并购", "新游 测试 上线", "游戏版号 审核", "腾讯 网易 米哈游 游戏", "工作室 合作 裁员 游戏")

@@ -154,14 +154,15 @@ def d7_topic_clickers(spark, sf):
     return feedback.topic_clickers(X.feedback(spark, sf), jan5())
 
 
-VN = f"{ONE}, {VOTES}, vn as (select votes.*, n.headline, coalesce(pos_label,'') pos_label, coalesce(neg_label,'') neg_label from votes join news n on n.url = news_url left join scores s on s.url = news_url)"
+VN = ONE + ", " + VOTES + ", vn as (select votes.*, n.headline, coalesce(pos_label,'') pos_label, coalesce(neg_label,'') neg_label, " + _b('n.headline', COMMON) + " track_relevant from votes join news n on n.url = news_url left join scores s on s.url = news_url)"
 EV = "ev as (" + " union all ".join(f"select '{t}' topic, cast(sum(up) as bigint) up, cast(sum(down) as bigint) down, count(*) n from vn where {_b('headline', w)} having count(*) > 0" for t, w in TOPICS.items()) + ")"
 BOOST = "bo as (select topic, cast(case when down>=3 and up-down<0 then greatest(-20, -10-2*(down-3)) when up>=5 and up-down>0 then least(20, 5+2*(up-5)) end as int) boost from ev), bo2 as (select * from bo where boost is not null)"
 
 
 def voted(spark, sf):
     labels = X.scores(spark, sf).select(F.col("url").alias("news_url"), "pos_label", "neg_label")
-    return votes_(spark, sf).join(news_(spark, sf).select(F.col("url").alias("news_url"), "headline"), "news_url").join(labels, "news_url", "left").fillna("", ["pos_label", "neg_label"])
+    told = news_(spark, sf).select(F.col("url").alias("news_url"), "headline", S.keyword_match(F.col("headline"), COMMON).alias("track_relevant"))
+    return votes_(spark, sf).join(told, "news_url").join(labels, "news_url", "left").fillna("", ["pos_label", "neg_label"])
 
 
 @query(X.sql(f"{VN}, {EV} select * from ev", "feedback", "news", "scores"))
@@ -182,9 +183,9 @@ def d11_merge_boosts(spark, sf):
     return feedback.merge_boosts(p, c)
 
 
-NETS = """nets as (select coalesce(sum(net) filter (pos_label='track_direct'),0)::bigint track_net, coalesce(sum(net) filter (pos_label in ('high_info_density','exclusive_scoop') or neg_label='low_info'),0)::bigint density_net,
- coalesce(sum(net) filter (pos_label in ('overseas_insight','playable_reference','ai_related')),0)::bigint insight_net, count(*) filter (pos_label='track_direct') track_rows, count(*) filter (pos_label in ('high_info_density','exclusive_scoop') or neg_label='low_info') density_rows,
- count(*) filter (pos_label in ('overseas_insight','playable_reference','ai_related')) insight_rows from vn)"""
+NETS = """nets as (select coalesce(sum(net) filter (track_relevant),0)::bigint track_net, coalesce(sum(net) filter (pos_label = 'high_info_density' or neg_label = 'low_info'),0)::bigint density_net,
+ coalesce(sum(net) filter (pos_label in ('overseas_insight','exclusive_scoop')),0)::bigint insight_net, count(*) filter (track_relevant) track_rows, count(*) filter (pos_label = 'high_info_density' or neg_label = 'low_info') density_rows,
+ count(*) filter (pos_label in ('overseas_insight','exclusive_scoop')) insight_rows from vn)"""
 
 
 @query(X.sql(f"{VN}, {NETS} select * from nets", "feedback", "news", "scores"))
@@ -221,19 +222,26 @@ def d15_calibrate(spark, sf):
     return out.withColumn("topic_boosts", F.to_json("topic_boosts"))
 
 
-FID = """fv as (select v.news_url, v.up, v.down, v.net, coalesce(pos_label,'') p, coalesce(neg_label,'') g from votes v left join scores s on s.url = v.news_url),
-f1 as (select *, up+down t, case when p<>'' and net>0 then 1.0 when g<>'' and net<0 then 0.85 when (p<>'' and net<0) or (g<>'' and net>0) then 0.40 when (p<>'' or g<>'') and net=0 then 0.25 else 0.15 end ag from fv),
-f2 as (select *, cast(round(0.40*cast(ag as decimal(6,4)) + 0.30*(case when t>=5 then 1.0 when t>=3 then 0.75 when t=2 then 0.40 when t=1 then 0.15 else 0 end * (0.5+0.5*cast(abs(net)::double/t as decimal(12,8)))) + case when p='track_direct' then 0.2 else 0 end + case when p<>'' or g<>'' then 0.1 else 0 end, 3) as decimal(4,3)) fidelity from f1)"""
+def labelled(spark, sf):
+    """Articles with their labels and whether they are on a followed topic."""
+    told = news_(spark, sf).select("url", S.keyword_match(F.col("headline"), COMMON).alias("track_relevant"))
+    return told.join(X.scores(spark, sf).select("url", "pos_label", "neg_label"), "url", "left")
 
 
-@query(X.sql(f"{ONE}, {VOTES}, {FID} select news_url, fidelity, fidelity>=0.3 as kept, case when fidelity<0.3 then 'low' when fidelity<0.6 then 'medium' else 'high' end as level from f2", "feedback", "scores"), "fidelity")
+FID = "fv as (select v.news_url, v.up, v.down, v.net, coalesce(pos_label,'') p, coalesce(neg_label,'') g, coalesce(" + _b("n.headline", COMMON) + """, false) tr from votes v left join scores s on s.url = v.news_url left join news n on n.url = v.news_url),
+fx as (select *, p in ('track_direct', 'high_info_density', 'exclusive_scoop', 'overseas_insight') good, g in ('off_track', 'no_gameplay', 'low_info', 'stale') bad from fv),
+f1 as (select *, up+down t, case when good and net>0 then 1.0 when bad and net<0 then 0.85 when (good and net<0) or (bad and net>0) then 0.40 when (good or bad) and net=0 then 0.25 else 0.15 end ag from fx),
+f2 as (select *, cast(round(0.40*cast(ag as decimal(6,4)) + 0.30*(case when t>=5 then 1.0 when t>=3 then 0.75 when t=2 then 0.40 when t=1 then 0.15 else 0 end * (0.5+0.5*cast(abs(net)::double/t as decimal(12,8)))) + case when tr then 0.2 else 0 end + case when p<>'' or g<>'' then 0.1 else 0 end, 3) as decimal(4,3)) fidelity from f1)"""
+
+
+@query(X.sql(f"{ONE}, {VOTES}, {FID} select news_url, fidelity, fidelity>=0.3 as kept, case when fidelity<0.3 then 'low' when fidelity<0.6 then 'medium' else 'high' end as level from f2", "feedback", "news", "scores"), "fidelity")
 def g6_fidelity(spark, sf):
-    return feedback.with_fidelity(votes_(spark, sf), X.scores(spark, sf), F.col("pos_label") == "track_direct").select("news_url", "fidelity", "kept", "level")
+    return feedback.with_fidelity(votes_(spark, sf), labelled(spark, sf), F.col("track_relevant")).select("news_url", "fidelity", "kept", "level")
 
 
-@query(X.sql(f"{ONE}, {VOTES}, {FID} select level, count(*) as n, sum(fidelity) as fidelity from (select *, case when fidelity<0.3 then 'low' when fidelity<0.6 then 'medium' else 'high' end level from f2) group by 1", "feedback", "scores"), "fidelity")
+@query(X.sql(f"{ONE}, {VOTES}, {FID} select level, count(*) as n, sum(fidelity) as fidelity from (select *, case when fidelity<0.3 then 'low' when fidelity<0.6 then 'medium' else 'high' end level from f2) group by 1", "feedback", "news", "scores"), "fidelity")
 def s13_fidelity_levels(spark, sf):
-    return feedback.with_fidelity(votes_(spark, sf), X.scores(spark, sf), F.col("pos_label") == "track_direct").groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("fidelity").alias("fidelity"))
+    return feedback.with_fidelity(votes_(spark, sf), labelled(spark, sf), F.col("track_relevant")).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("fidelity").alias("fidelity"))
 
 
 @query(X.sql(f"{ONE}, {VOTES}, b as (select *, row_number() over (order by up+down desc, news_url) place from votes) select b.news_url, up, down, net, sentiment, cast(place as int) as place, n.date, n.headline, n.source from b left join news n on n.url = b.news_url where place <= 30", "feedback", "news"))
@@ -271,9 +279,13 @@ def f5_set_sizes(spark, sf):
     return news_(spark, sf).select("url", F.size(F.array_intersect(h, b)).alias("common"), F.size(F.array_union(h, b)).alias("either"))
 
 
+_HWORDS = f"list_filter(list_distinct(regexp_extract_all(headline, '[\\p{{L}}\\p{{N}}_]{{2,}}')), lambda x: not list_contains({list(P.FATIGUE_NOISE)}, x))"
 PUB = "pub as (select date, headline from (select n.date, n.headline, row_number() over (partition by n.date order by s.score desc, n.url) k from news n join scores s using (url)) where k <= 3)"
 FAT = f"""{PUB}, tk as (select date, {KEYQ.replace('(t,', '(headline,').replace('(t)', '(headline)')} topic, count(distinct headline) n from pub group by 1, 2), td as (select date + cast(i as int) date, topic, n from tk, range(1, 4) r(i)), tt as (select date, topic, sum(n) n from td group by 1, 2),
-nk as (select *, {KEYQ.replace('(t,', '(headline,').replace('(t)', '(headline)')} tkey from news), fs as (select nk.date, nk.url, max(tt.n) seen from nk join tt on nk.date = tt.date and (tkey = topic or (length(tkey)>=3 and length(topic)>=3 and (contains(tkey, topic) or contains(topic, tkey)))) group by 1, 2)"""
+nk as (select *, {KEYQ.replace('(t,', '(headline,').replace('(t)', '(headline)')} tkey from news), wd as (select distinct date + cast(i as int) date, {KEYQ.replace('(t,', '(headline,').replace('(t)', '(headline)')} topic, {_HWORDS} w from pub, range(1, 4) r(i)),
+ma as (select nk.date, nk.url, tt.n from nk join tt on nk.date = tt.date and length(tkey)>=3 and length(topic)>=3 and (contains(tkey, topic) or contains(topic, tkey))
+ union all select n.date, n.url, tt.n from (select date, url, {_HWORDS} w from news) n join wd on n.date = wd.date and len(list_intersect(n.w, wd.w)) >= 4 join tt on tt.date = wd.date and tt.topic = wd.topic),
+fs as (select date, url, max(n) seen from ma group by 1, 2)"""
 
 
 def published(spark, sf):
@@ -338,29 +350,42 @@ def c12_drop_same_day(spark, sf):
     return news.drop_same_day(items, news.same_day_pairs(items)).select("date", "id", "place")
 
 
-CLAIM = f"cl as (select item_id claim_id, {_words('text', 2, 3)} w from benchmark), rs as (select c.claim_id, n.url, len(list_intersect(c.w, {_words('n.headline', 2, 3)})) k from cl c join news n on n.date = date '2024-01-01' + cast(c.claim_id % 30 as int))"
+#: Each benchmark text is a claim, made by one of the articles of its day, which are its results in the order of their bodies' lengths.
+CLAIM = f"""cl as (select item_id claim_id, {_stripped('text')} c, date '2024-01-01' + cast(item_id % 30 as int) as date from benchmark), ct as (select claim_id, date, {TOKENS} w from cl), ow as (select date, min(url) own from news group by 1),
+nt as (select *, {TOKENS} hw from (select *, {_stripped('headline')} c from news)), rs as (select claim_id, n.url, n.headline title, substr(n.body, 1, 200) snippet, row_number() over (partition by claim_id order by length(n.body), n.url) place, len(list_intersect(w, hw)) k from ct join nt n using (date) left join ow using (date) where n.url <> own),
+rk as (select *, case when k >= 2 then 'c' when k = 1 then 'o' else 'u' end kind from rs), rn as (select *, row_number() over (partition by claim_id, kind order by place) z from rk),
+g as (select claim_id, count(*) filter (kind = 'c') c, count(*) filter (kind = 'o') o, count(*) filter (kind = 'u') u, {', '.join(f"string_agg(url || ' ' || title || ' ' || snippet, '|' order by z) filter (kind = '{k}' and z <= 3) l{k}" for k in 'cou')} from rn group by 1)"""
 
 
-@query(X.sql(f"{CLAIM}, g as (select claim_id, count(*) filter (k>=2) corroborating, count(*) filter (k=1) related, count(*) n_results, array_to_string(list_slice(list_sort(list(url) filter (k>=2)), 1, 3), '|') sources from rs group by 1) select claim_id, coalesce(corroborating,0) as corroborating, coalesce(related,0) as related, coalesce(n_results,0) as n_results, coalesce(sources,'') as sources, case when coalesce(n_results,0)=0 then 'isolated_claim' when corroborating>=2 then 'verified' when corroborating=1 then 'partial' else 'unverified' end as verdict from cl left join g using (claim_id)", "news"))
+@query(X.sql(f"{CLAIM} select claim_id, coalesce(g.c, 0) as n_corroborating, coalesce(o, 0) as n_other, coalesce(u, 0) as n_unrelated, coalesce(lc, '') as corroborating, coalesce(lo, '') as other, coalesce(lu, '') as unrelated, case when g.claim_id is null then 'isolated_claim' when g.c >= 2 then 'verified' when g.c = 1 then 'partial' else 'unverified' end as verdict from cl left join g using (claim_id)", "news"))
 def c13_cross_validate(spark, sf):
-    claims = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), S.topic_words(F.col("text")).alias("tokens"), F.lit(None).cast("string").alias("url"))
-    results = news_(spark, sf).join(claims.select("claim_id", F.expr("date_add(date '2024-01-01', cast(claim_id % 30 as int))").alias("date")), "date").select("claim_id", "url", F.col("headline").alias("title"))
-    return news.cross_validate(claims, results)
+    n = news_(spark, sf)
+    day = F.expr("date_add(date '2024-01-01', cast(item_id % 30 as int))").alias("date")
+    own = n.groupBy("date").agg(F.min("url").alias("url"))
+    claims = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), day).join(own, "date", "left")
+    results = n.join(claims.select("claim_id", "date"), "date").select("claim_id", F.struct(F.length("body"), "url").alias("place"), "url", F.col("headline").alias("title"), F.col("body").alias("snippet"))
+    line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x["url"], x["title"], x["snippet"])), "|").alias(c)
+    return news.cross_validate(claims, results).select("claim_id", "n_corroborating", "n_other", "n_unrelated", line("corroborating"), line("other"), line("unrelated"), "verdict")
 
 
-NB = "trim(regexp_replace(lower(trim({})), '[-—(（\\[【:：].*$', ''))"
+_KNOWN = """k as (select distinct game_name as known from games), b as (select name, trim(regexp_split_to_array(name, '\\s*[-—–（(]\\s*')[1]) base0 from l), c as (select name, case when base0 <> name then base0 else '' end base from b),
+p as (select name, known, case when name = known then 1 when base = known then 2 when length(base) >= 3 and length(known) >= 3 and (contains(base, known) or contains(known, base)) then 3
+ when length(known) >= 3 and (contains(name, known) or (length(name) >= 2 and contains(known, name))) then 4 end way from c, k)
+select name, known, way from (select *, row_number() over (partition by name order by way, known) r from p where way is not null) where r = 1"""
 
 
-@query(X.sql(f"l as (select distinct game_name||' - pre' as name from rankings), k as (select distinct game_name as known from games), p as (select name, known, case when lower(trim(name)) = lower(trim(known)) then 1 when {NB.format('name')} = {NB.format('known')} and {NB.format('name')} <> '' then 2 when length({NB.format('name')})>=3 and length({NB.format('known')})>=3 and (contains({NB.format('name')}, {NB.format('known')}) or contains({NB.format('known')}, {NB.format('name')})) then 3 end way from l, k) select name, known, way from (select *, row_number() over (partition by name order by way, known) r from p where way is not null) where r = 1", "rankings", "games"))
+@query(X.sql(f"l as (select distinct game_name||' - pre' as name from rankings), {_KNOWN}", "rankings", "games"))
 def c6_fuzzy_names(spark, sf):
     left = X.rankings(spark, sf).select(F.concat("game_name", F.lit(" - pre")).alias("name")).distinct()
     return news.fuzzy_name_join(left, X.games(spark, sf).select(F.col("game_name").alias("name")))
 
 
-@query(X.sql(f"l as (select 'pre - '||game_name as name from rankings union select substr(game_name, 1, 2) from rankings), k as (select distinct game_name as known from games), p as (select name, known, case when lower(trim(name)) = lower(trim(known)) then 1 when {NB.format('name')} = {NB.format('known')} and {NB.format('name')} <> '' then 2 when length({NB.format('name')})>=3 and length({NB.format('known')})>=3 and (contains({NB.format('name')}, {NB.format('known')}) or contains({NB.format('known')}, {NB.format('name')})) then 3 when length(trim(known))>=3 and (contains(lower(trim(name)), lower(trim(known))) or (length(trim(name))>=2 and contains(lower(trim(known)), lower(trim(name))))) then 4 end way from l, k) select name, known, way from (select *, row_number() over (partition by name order by way, known) r from p where way is not null) where r = 1", "rankings", "games"))
+@query(X.sql(f"l as (select 'pre – '||game_name as name from rankings union select substr(game_name, 1, 2) from rankings union select upper(game_name)||'（x）' from rankings union select game_name||'—— x' from rankings union select substr(game_name, 3, 5) || ' (x)' from rankings), {_KNOWN}", "rankings", "games"))
 def c6_fuzzy_names_full(spark, sf):
-    """Known names behind the dash, and names of two characters."""
-    left = X.rankings(spark, sf).select(F.explode(F.array(F.concat(F.lit("pre - "), "game_name"), F.substring("game_name", 1, 2))).alias("name")).distinct()
+    """Known names behind the dash, names of two characters, other dashes and brackets, other case, bases within known names."""
+    g = F.col("game_name")
+    said = F.array(F.concat(F.lit("pre – "), g), F.substring(g, 1, 2), F.concat(F.upper(g), F.lit("（x）")), F.concat(g, F.lit("—— x")), F.concat(F.substring(g, 3, 5), F.lit(" (x)")))
+    left = X.rankings(spark, sf).select(F.explode(said).alias("name")).distinct()
     return news.fuzzy_name_join(left, X.games(spark, sf).select(F.col("game_name").alias("name")))
 
 
@@ -390,14 +415,14 @@ def e9_top_n(spark, sf):
 
 
 #: The greedy choice of each date: a row with what is chosen so far, grown by the best row that fits until none does.
-GREEDY = """rd as (select date, any_value(af) af, chosen from (select date, bool_or(far) over (partition by date) af, [] :: struct(u varchar, s varchar, g varchar, sc int, f boolean, t varchar[], e varchar[], h varchar[])[] chosen from pool) group by date, chosen),
+GREEDY = """rd as (select date, any_value(af) af, chosen from (select date, bool_or(far) over (partition by date) af, [] :: struct(u varchar, s varchar, ol varchar, g varchar, sc int, f boolean, t varchar[], e varchar[], h varchar[])[] chosen from pool) group by date, chosen),
 ch as (select date, af, chosen from rd union all
- select date, any_value(af), list_append(any_value(chosen), min(struct_pack(turn := turn, down := -score, u := url, s := source, g := game, sc := score, f := far, t := t, e := e, h := h))::struct(turn int, down int, u varchar, s varchar, g varchar, sc int, f boolean, t varchar[], e varchar[], h varchar[])) from (
+ select date, any_value(af), list_append(any_value(chosen), min(struct_pack(turn := turn, down := -score, u := url, s := source, ol := outlet, g := game, sc := score, f := far, t := t, e := e, h := h))::struct(turn int, down int, u varchar, s varchar, ol varchar, g varchar, sc int, f boolean, t varchar[], e varchar[], h varchar[])) from (
   select *,
    case when fit3 and not (not far and len(chosen) = 6 and not hasfar and af) then 1 when far and not hasfar and fit6 then 2 when fit3 then 3 end turn
-  from (select ch.date, af, chosen, url, source, game, score, far, t, e, h, len(list_filter(chosen, lambda c: c.f)) > 0 hasfar,
-   len(list_filter(chosen, lambda c: c.s = p.source)) < 3 and len(list_filter(chosen, lambda c: c.g = p.game)) < 2 fit3,
-   len(list_filter(chosen, lambda c: c.s = p.source)) < 6 and len(list_filter(chosen, lambda c: c.g = p.game)) < 2 fit6
+  from (select ch.date, af, chosen, url, source, outlet, game, score, far, t, e, h, len(list_filter(chosen, lambda c: c.f)) > 0 hasfar,
+   len(list_filter(chosen, lambda c: c.ol = p.outlet)) < case outlet when 'Bilibili' then 2 else 3 end and len(list_filter(chosen, lambda c: c.g = p.game)) < 2 fit3,
+   len(list_filter(chosen, lambda c: c.ol = p.outlet)) < 6 and len(list_filter(chosen, lambda c: c.g = p.game)) < 2 fit6
    from ch join pool p on ch.date = p.date where len(chosen) < 7
     and len(list_filter(chosen, lambda c: c.u = p.url or len(list_intersect(c.e, p.e)) >= 2 or len(list_intersect(c.h, p.h)) >= 2
      or (len(c.t) > 0 and len(p.t) > 0 and 100 * len(list_intersect(c.t, p.t)) >= 15 * len(list_distinct(list_concat(c.t, p.t)))))) = 0))
@@ -405,15 +430,18 @@ ch as (select date, af, chosen from rd union all
 best as (select date, unnest(chosen) c, generate_subscripts(chosen, 1) slot from (select *, row_number() over (partition by date order by len(chosen) desc) k from ch) where k = 1)"""
 _ENT = lambda c: f"list_distinct(list_concat(list_filter(regexp_extract_all({c}, '[A-Z][a-z]{{2,}}(?:[A-Z][a-z]+)*'), lambda x: not list_contains({list(P.ENTITY_STOP)}, x)), list_filter({list(P.ENTITY_COMPANIES)}, lambda x: contains({c}, x))))"
 _SIM = lambda c: f"list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z]{{2,}}')), lambda x: not list_contains({STORY_NOISE}, x))"
-POOL = lambda rows: f"pool as (select date, url, source, coalesce(nullif(regexp_extract(headline, '《([^》]+)》', 1), ''), substr(headline, 1, 8)) game, score, source = 'src3' far, {_SIM('summary')} t, {_ENT('summary')} e, {_ENT('headline')} h from {rows})"
+#: Names under which two of the sources write, and what they stand for.
+ALIASED = "case source when 'src1' then (case when url like '%1' then 'B站' when url like '%2' then ' bilibili.com' else 'Bilibili' end) when 'src3' then (case when url like '%5' then 'PG.biz' else 'pocketgamer' end) when 'src2' then (case when url like '%3' then '游侠' end) else source end"
+OUTLET = "case lower(trim(source)) when 'b站' then 'Bilibili' when 'bilibili.com' then 'Bilibili' when 'bilibili' then 'Bilibili' when 'pg.biz' then 'pocketgamer.biz' when 'pocketgamer' then 'pocketgamer.biz' when '游侠' then '' else coalesce(trim(source), '') end"
+POOL = lambda rows: f"pool as (select date, url, source, coalesce(nullif(regexp_extract(headline, '《([^》]+)》', 1), ''), substr(headline, 1, 8)) game, score, {OUTLET} outlet, {OUTLET} = 'pocketgamer.biz' far, {_SIM('summary')} t, {_ENT('summary')} e, {_ENT('headline')} h from {rows})"
 
 
 ORACLES["c11_story_pairs"] = X.sql(STORY_SQL.format(_SIM("s.summary"), _ENT("s.summary"), _ENT("n.headline")), "news", "scores")
 
 
-@query(X.sql(f"sr as (select n.date, n.url, n.headline, n.source, s.score, s.summary from news n join scores s using (url)), {POOL('sr')}, {GREEDY} select date, c.u as url, c.s as source, c.sc as score, cast(slot as int) as slot from best", "news", "scores"))
+@query(X.sql(f"sr as (select n.date, n.url, n.headline, {ALIASED.replace('source', 'n.source').replace('url like', 'n.url like')} as source, s.score, s.summary from news n join scores s using (url)), {POOL('sr')}, {GREEDY} select date, c.u as url, c.s as source, c.sc as score, cast(slot as int) as slot from best", "news", "scores"))
 def e11_diverse_top(spark, sf):
-    return scoring.select_diverse(scored(spark, sf), ("src3",), story=scoring.story_marks(F.col("summary"), F.col("headline")))
+    return scoring.select_diverse(scored(spark, sf).withColumn("source", F.expr(ALIASED)), story=scoring.story_marks(F.col("summary"), F.col("headline")))
 
 
 @query(X.sql(f"{SC}, r as (select s.*, {_b('n.headline', COMMON)} t from sc s join news n using (url)) select date, url, cast(row_number() over (partition by date order by t desc, score desc, url) as int) as place from r", "news", "scores"))
@@ -434,7 +462,7 @@ def s11_topic_boost(spark, sf):
 
 G4_BOOSTS = {"german": 12, "english": -7}
 G4 = f"""body as (select n.*, n.body as b, s.score told, s.pos_label, s.neg_label, s.summary from news n left join scores s using (url)), {BODY}, sg as (select *, cast({SIGNAL} as int) s from sig0), x0 as (select *, 3*s+7*coalesce(told, 0) x10 from sg where s >= 15), x1 as (select *, {EVEN} f from x0),
-x2 as (select date, url, headline, source, coalesce(pos_label, '') pos_label, coalesce(neg_label, '') neg_label, coalesce(summary, '') summary, told, greatest(0, least(100, {FUSE} + case when {_b('headline', TOPICS['english'])} then -7 else 0 end + case when {_b('headline', TOPICS['german'])} then 12 else 0 end)) raw from x1),
+x2 as (select date, url, headline, source, coalesce(pos_label, '') pos_label, coalesce(neg_label, '') neg_label, coalesce(summary, '') summary, told, greatest(0, least(100, {FUSE('coalesce(told, 0)')} + case when {_b('headline', TOPICS['english'])} then -7 else 0 end + case when {_b('headline', TOPICS['german'])} then 12 else 0 end)) raw from x1),
 x3 as (select *, count(*) over (partition by date) n, count(told) over (partition by date) > 0 given, row_number() over (partition by date order by raw, url) u, row_number() over (partition by date order by raw desc, url) d, count(*) filter (raw<40) over (partition by date) lo, count(*) filter (raw>60) over (partition by date) hi from x2),
 g4 as (select date, url, headline, source, pos_label, neg_label, summary, given, cast(case when n<4 or (lo>=floor(n/4) and hi<=floor(n*3/10)) then raw when u<=greatest(1, floor(n/4)) and raw>=40 then 39 when d<=floor(n*3/10) and raw>65 then 64 else raw end as int) score from x3)"""
 
@@ -449,10 +477,11 @@ def g4_gated_news(spark, sf):
 _PART = "doc_scores as (select s.* from scores s join news n using (url) where n.date <= date '2024-01-24')"
 
 
-@query(X.sql(f"{_PART}, {G4.replace('left join scores s', 'left join doc_scores s')}, gp as (select * from g4 where given and score >= 40), {POOL('gp')}, {GREEDY}, bare as (select *, row_number() over (partition by date order by url) k from g4 where not given) select g4.date, url, headline, g4.source, score, pos_label, neg_label, cast(slot as int) as slot from g4 join best on g4.date = best.date and url = c.u union all select date, url, headline, source, 0, pos_label, neg_label, cast(k as int) from bare where k <= 7", "news", "scores"))
+@query(X.sql(f"{_PART}, {G4.replace('left join scores s', 'left join doc_scores s')}, gp as (select * replace ({ALIASED} as source) from g4 where given and score >= 40), {POOL('gp')}, {GREEDY}, bare as (select *, row_number() over (partition by date order by url) k from g4 where not given) select g4.date, url, headline, {ALIASED.replace('source', 'g4.source')} as source, score, pos_label, neg_label, cast(slot as int) as slot from g4 join best on g4.date = best.date and url = c.u union all select date, url, headline, {ALIASED}, 0, pos_label, neg_label, cast(k as int) from bare where k <= 7", "news", "scores"))
 def g4_score_news(spark, sf):
     early = news_(spark, sf).where("date <= date '2024-01-24'").select("url")
-    return scoring.score_news(news_(spark, sf), X.scores(spark, sf).join(early, "url", "left_semi"), 2024, boosts=G4_BOOSTS, topics=TOPICS, overseas=("src3",))
+    named = news_(spark, sf).withColumn("source", F.expr(ALIASED))
+    return scoring.score_news(named, X.scores(spark, sf).join(early, "url", "left_semi"), 2024, boosts=G4_BOOSTS, topics=TOPICS)
 
 
 # --- tables

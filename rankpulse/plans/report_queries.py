@@ -372,17 +372,50 @@ def a12_standardize(spark, sf):
     return ingest.drop_empty_columns(ingest.standardize(raw, {"应用": "game_name", "品类": "category"}))
 
 
-@query(X.sql("select date, platform, '热门榜' as chart_type, category, case when rank % 7 = 0 then 0 else rank end as rank, case when rank % 5 = 0 or bundle_id = '0' then 'fallback:' || trim(game_name) else bundle_id end as bundle_id, trim(game_name) as game_name, case when rank % 3 <> 0 then coalesce(developer, '') end as developer from rankings where rank % 11 <> 0", "rankings"))
-def a1_read_rankings(spark, sf):
-    """Chart files of the rankings, written as a scraper does, with ranks that aren't numbers and names that are blank."""
+def _chart_files(spark, sf) -> str:
+    """Chart files of the rankings under names of days, as two scrapers write them: other columns in another order from the 11th on; besides them files without
+    a date, of another kind, and without any row that has a name."""
     path = tables.work_dir(spark, "chart-files")
-    raw = X.rankings(spark, sf).select(
-        F.when(F.col("rank") % 7 == 0, "n/a").otherwise(F.col("rank").cast("string")).alias("排名"), F.when(F.col("rank") % 5 == 0, "0").otherwise(F.col("bundle_id")).alias("Bundle ID"),
-        F.when(F.col("rank") % 11 == 0, " ").otherwise(F.col("game_name")).alias("应用"), F.when(F.col("platform") == "iOS", "IOS游戏榜").otherwise(" android ").alias("iOS/Android"),
-        F.col("category").alias("类别"), F.when(F.col("rank") % 3 == 0, "0").otherwise(F.col("developer")).alias("开发者"), F.col("date").cast("string").alias("scrape_date"),
+    rank = F.when(F.col("rank") % 7 == 0, "n/a").otherwise(F.col("rank").cast("string"))
+    bundle = F.when(F.col("rank") % 5 == 0, "0").otherwise(F.col("bundle_id"))
+    name = F.when(F.col("rank") % 11 == 0, " ").otherwise(F.col("game_name"))
+    by = F.when(F.col("rank") % 3 == 0, "0").otherwise(F.col("developer"))
+    rows = X.rankings(spark, sf)
+    first = rows.where("date <= date '2024-01-10'").select(
+        F.concat(F.date_format("date", "yyyyMMdd"), F.lit("_免费榜")).alias("name"), rank.alias("排名"), bundle.alias("Bundle ID"), name.alias("应用"),
+        F.when(F.col("platform") == "iOS", "IOS游戏榜").otherwise(" android ").alias("iOS/Android"), F.col("category").alias("类别"), by.alias("开发者"),
+    )
+    later = rows.where("date > date '2024-01-10'").select(
+        F.concat_ws("_", F.lit("rank"), "date").alias("name"), F.upper("platform").alias("platform"), F.lit("old").alias("类别"), by.alias("publisher"), name.alias("game_name"),
+        F.concat(F.lit('"'), "category", F.lit('", x')).alias("genre"), bundle.alias("bundle_id"), rank.alias("rank"), F.date_add("date", 100).cast("string").alias("scrape_date"),
     )
-    raw.write.option("header", True).csv(path)
-    return ingest.read_rankings(spark, path)
+    others = first.where(F.col("排名") == "1")
+    for part in (first, later, others.withColumn("name", F.lit("undated")), others.withColumn("name", F.lit("资讯_2024-01-09")), first.where("`应用` = ' '").withColumn("name", F.lit("2024-02-01"))):
+        # one file a name
+        part.repartition("name").write.mode("append").option("header", True).option("escape", '"').partitionBy("name").csv(path)
+    return path
+
+
+def _folder_name(path):
+    """The folder stands for the file here, as Spark names files itself."""
+    return F.regexp_replace(F.url_decode(F.element_at(F.split(path, "/"), -2)), "^name=", "")
+
+
+A1 = """f as (select *, date <= date '2024-01-10' early from rankings where rank % 11 <> 0)
+select case when early then date else date + 100 end as date, platform, case when early then '免费榜' else '热门榜' end as chart_type, case when early then category else '"' || category || '", x' end as category,
+case when rank % 7 = 0 then 0 else rank end as rank, case when rank % 5 = 0 or bundle_id = '0' then 'fallback:' || trim(game_name) else bundle_id end as bundle_id,
+trim(game_name) as game_name, case when rank % 3 <> 0 then coalesce(developer, '') end as developer from f"""
+
+
+@query(X.sql(A1, "rankings"))
+def a1_read_rankings(spark, sf):
+    return ingest.read_rankings(spark, _chart_files(spark, sf), _folder_name)[0]
+
+
+@query("select * from (values ('undated', 'no date in the name'), ('资讯_2024-01-09', 'not a chart'), ('2024-02-01', 'no rows')) t(name, reason) where (select count(*) from events) > 0")
+def a1_rejected_files(spark, sf):
+    rejects = ingest.read_rankings(spark, _chart_files(spark, sf), _folder_name)[1]
+    return rejects.select(_folder_name(F.col("path")).alias("name"), "reason").distinct()
 
 
 @query(X.sql("select platform, chart_type, count(*) as n from rankings group by all", "rankings"))
@@ -494,9 +527,9 @@ def a23_extract_json(spark, sf):
     return ingest.extract_json(X.table(spark, sf, "documents").select("doc_id", said.alias("said")), "said").select("doc_id", "layer", "json")
 
 
-@query(f"select substr(split_part(text, chr(10), 1), 1, 80) as headline, source, 'https://x.org/' || doc_id as url, '' as publish_date, doc_id % 2 = 0 or {_b('substr(split_part(text, chr(10), 1), 1, 80)', COMMON)} as track_relevant from documents where doc_id % 10 <> 0 and trim(substr(split_part(text, chr(10), 1), 1, 80)) <> ''".replace("as headline", "as headline0").replace("select substr", "select trim(headline0) as headline, * exclude (headline0) from (select substr", 1) + ")")
+@query(f"with d as (select *, split_part(text, chr(10), 1) h from documents) select trim(h) as headline, source, 'https://x.org/' || doc_id as url, '' as publish_date, doc_id % 2 = 0 or {_b('h', COMMON)} as track_relevant from d where doc_id % 10 <> 0 and trim(h) <> ''")
 def a26_to_news(spark, sf):
-    d = X.table(spark, sf, "documents").selectExpr("substr(split_part(text, '\n', 1), 1, 80) as title", "source", "case when doc_id % 10 = 0 then ' ' else concat('https://x.org/', doc_id) end as link", "case when doc_id % 2 = 0 then '1' else 'no' end as track_relevant")
+    d = X.table(spark, sf, "documents").selectExpr("split_part(text, '\n', 1) as title", "source", "case when doc_id % 10 = 0 then ' ' else concat('https://x.org/', doc_id) end as link", "case when doc_id % 2 = 0 then '1' else 'no' end as track_relevant")
     return ingest.to_market_news(d, COMMON)
 
 

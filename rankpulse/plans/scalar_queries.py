@@ -120,11 +120,11 @@ def s8_signal_score(told):
     return told.select("id", S.signal_score(F.col("t"), 2024).cast("int").alias("signal"))
 
 
-FUSE = "case when s < 20 and f > 60 then least(f, 59) else f end"
+FUSE = lambda score: f"case when s < 20 and {score} > 60 then least(f, 59) else f end"
 EVEN = "cast(case when abs(x10 % 10) = 5 then 2 * round(x10 / 20.0) else round(x10 / 10.0) end as int)"
 
 
-@query(X.sql(f"p as (select url, score, cast(score % 20 * 5 as int) s from scores), q as (select *, 3 * s + 7 * score x10 from p), r as (select *, {EVEN} f from q) select url, {FUSE} as fused from r", "scores"))
+@query(X.sql(f"p as (select url, score, cast(score % 20 * 5 as int) s from scores), q as (select *, 3 * s + 7 * score x10 from p), r as (select *, {EVEN} f from q) select url, {FUSE('score')} as fused from r", "scores"))
 def s9_fusion(spark, sf):
     s = (F.col("score") % 20 * 5).cast("int")
     return X.scores(spark, sf).select("url", S.fuse(s, F.col("score")).alias("fused"))

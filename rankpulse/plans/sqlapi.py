@@ -40,7 +40,7 @@ TEMPLATES = {
     "dates": "select distinct date from rankings order by date desc",
     "significant_changes": "select * from changes where date = :date and is_significant order by attention_score desc",
     "change_history": "select date, change_type, rank_change from changes where bundle_id = :bundle_id order by date desc",
-    "recent_searches": "select query, engine, result_count, searched_at from search_cache order by searched_at desc, query limit 10",
+    "recent_searches": "select query, engine, result_count, searched_at from search_cache order by searched_at desc, query, engine, result_count limit 10",
 }
 
 
@@ -84,7 +84,7 @@ def _body_signals() -> str:
 
 
 def _source_canonical() -> str:
-    names = " ".join(f"when '{k}' then '{v}'" for k, v in P.SOURCE_ALIASES.items())
+    names = " ".join(f"when '{k}' then '{v}'" for k, v in (P.SOURCE_ALIASES | {n.lower(): n for n in P.SOURCE_ORDER}).items())
     return f"create or replace temporary function source_canonical(s string) returns string return case when lower(trim(s)) in ({_list(P.REMOVED_SOURCES)}) then null else case lower(trim(s)) {names} else trim(s) end end"
 
 

@@ -122,7 +122,7 @@ def i2_significant_changes(spark, sf):
     return sqlapi.template(spark, "significant_changes", date=dt.date(2024, 1, 9)).select(*charts.KEY, "attention_score")
 
 
-@query(X.sql("sc as (select category as query, source as engine, cast(length(body) as int) result_count, date + to_hours(cast(length(headline) as int)) searched_at from news) select query, engine, result_count, searched_at from sc order by searched_at desc, query limit 10", "news"))
+@query(X.sql("sc as (select category as query, source as engine, cast(length(body) as int) result_count, date + to_hours(cast(length(headline) as int)) searched_at from news) select query, engine, result_count, searched_at from sc order by searched_at desc, query, engine, result_count limit 10", "news"))
 def i2_recent_searches(spark, sf):
     at = (F.col("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.length("headline"))).alias("searched_at")
     X.news(spark, sf).select(F.col("category").alias("query"), F.col("source").alias("engine"), F.length("body").alias("result_count"), at).createOrReplaceTempView("search_cache")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import scalars as S
+from ..operators.tables import stored
 from ..operators.tracks import track_class
 
 #: Headers of chart files and our names.
@@ -47,16 +48,49 @@ def normalize_rankings(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_rankings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Chart CSVs (a header row, a BOM or not, aliased columns) as normalised rows; files of one header go in one call."""
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(paths).withColumn("_file", F.col("_metadata.file_name"))
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-    found: dict[str, list[str]] = {}
-    for c in raw.columns:
-        found.setdefault(ALIASES.get(c, c), []).append(c)
-    cols = [F.coalesce(*[F.col(f"`{c}`") for c in found[n]]).alias(n) if n in found else F.lit(None).cast("string").alias(n) for n in RAW]
-    rows = raw.select(*cols, file_date(F.url_decode("_file")).alias("date"), file_chart_type(F.url_decode("_file")).alias("chart_type"))
-    return normalize_rankings(rows.where("chart_type is not null and (date is not null or date_override is not null)"))
+def file_name(path: Column) -> Column:
+    return F.url_decode(F.element_at(F.split(path, "/"), -1))
+
+
+def chart_files(spark: SparkSession, paths: str | list[str], name=file_name) -> DataFrame:
+    """path, date, chart_type, names of every file: what its name says and its header's columns by our names, in order.
+
+    One pass takes the first line of each file. name: what a path is called, by default the file's own name.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("id"))
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "id").alias("header"))
+    cells = F.transform(F.split("header", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: _plain(F.regexp_replace(c, '^\ufeff?\\s*"|"\\s*$', "")))
+    return first.select("path", file_date(name(F.col("path"))).alias("date"), file_chart_type(name(F.col("path"))).alias("chart_type"), cells.alias("header"))
+
+
+def _plain(cell: Column) -> Column:
+    """A header's cell without the file's mark and outer white space."""
+    return F.trim(F.replace(F.coalesce(cell, F.lit("")), F.lit("\ufeff"), F.lit("")))
+
+
+def read_rankings(spark: SparkSession, paths: str | list[str], name=file_name) -> tuple[DataFrame, DataFrame]:
+    """Rows and rejects of chart CSVs, of which each has a header of its own: any columns in any order, by their own or aliased names, with a BOM or not.
+
+    Rows are normalised; of two columns with one meaning the last one counts. A file is rejected (path, reason) if its name has no date, if it is no
+    chart, or if no row has a name. All files are read at once, as cells by position, and each row finds its columns by its own file's header.
+    """
+    files = stored(chart_files(spark, paths, name), "chart-files")
+    width = files.agg(F.max(F.size("header"))).first()[0] or 1  # one number
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    raw = spark.read.schema(schema).options(recursiveFileLookup=True, multiLine=True, escape='"').csv(paths).withColumn("path", F.col("_metadata.file_path"))
+    ours = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    meaning = F.transform("header", lambda c: F.coalesce(ours[c], c))
+    place = {n: F.array_max(F.transform(meaning, lambda c, i, n=n: F.when(c == n, i))) for n in RAW}
+    known = files.select("path", "date", "chart_type", "header", *[place[n].alias(f"_at_{n}") for n in RAW])
+    cells = F.array(*[f"c{i}" for i in range(width)])
+    own = F.transform(F.slice(cells, F.lit(1), F.size("header")), _plain)
+    rows = raw.join(known, "path").where(own != F.col("header"))
+    rows = rows.select("path", "date", "chart_type", *[F.get(cells, F.col(f"_at_{n}")).alias(n) for n in RAW])
+    named = rows.where(F.trim(F.coalesce("game_name", F.lit(""))) != "")
+    filled = named.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    why = F.when(F.col("date").isNull(), "no date in the name").when(F.col("chart_type").isNull(), "not a chart").when(F.col("n").isNull(), "no rows")
+    rejects = files.join(filled, "path", "left").select("path", why.alias("reason")).where("reason is not null")
+    return normalize_rankings(rows.where("date is not null and chart_type is not null")), rejects
 
 
 def write_rankings(rankings: DataFrame, path: str, kind: str = "csv") -> None:

@@ -85,11 +85,104 @@ def test_guard():
 def test_read_rankings(spark, tmp_path):
     f = tmp_path / "ios_热门榜_20260617.csv"
     f.write_text("﻿排名,Bundle ID,应用,iOS/Android,类别,开发者\n1,com.a,甲,IOS游戏榜,塔防,X\nn/a,0,乙,ios,,0\n3,com.c,,ios,,Y\n", encoding="utf-8")
-    got = {r["game_name"]: r for r in ingest.read_rankings(spark, str(f)).collect()}
-    assert set(got) == {"甲", "乙"} and got["甲"]["date"] == dt.date(2026, 6, 17) and got["甲"]["platform"] == "iOS"
+    rows, rejects = ingest.read_rankings(spark, str(f))
+    got = {r["game_name"]: r for r in rows.collect()}
+    assert rejects.count() == 0 and set(got) == {"甲", "乙"} and got["甲"]["date"] == dt.date(2026, 6, 17) and got["甲"]["platform"] == "iOS"
     assert got["乙"]["bundle_id"] == "fallback:乙" and got["乙"]["developer"] is None and got["乙"]["rank"] == 0 and got["甲"]["chart_type"] == "热门榜"
 
 
+def test_two_headers_in_one_glob(spark, tmp_path):
+    """The forms of two scrapers, a quoted cell with a line feed and a comma, an undated file, one of another kind, and one without names."""
+    (tmp_path / "chart_20260617.csv").write_text("\ufeff排名,Bundle ID,应用,iOS/Android,类别,开发者\n1,com.a,甲,IOS游戏榜,塔防,X\n", encoding="utf-8")
+    (tmp_path / "rank_2026-06-18_免费榜.csv").write_text('platform,genre,publisher,"game_name",bundle_id,rank,scrape_date\nANDROID,Puzzle,P,"Two\nlines, one",com.b,2,2026-06-19\n', encoding="utf-8")
+    (tmp_path / "late.csv").write_text("rank,game_name\n1,x\n", encoding="utf-8")
+    (tmp_path / "2026-06-18_bilibili.csv").write_text("rank,game_name\n1,x\n", encoding="utf-8")
+    (tmp_path / "2026-06-20.csv").write_text("rank,game_name\n1,\n", encoding="utf-8")
+    rows, rejects = ingest.read_rankings(spark, f"{tmp_path}/*.csv")
+    got = {r["game_name"]: r.asDict() for r in rows.collect()}
+    assert set(got) == {"甲", "Two\nlines, one"}
+    assert got["Two\nlines, one"] == {"date": dt.date(2026, 6, 19), "platform": "Android", "chart_type": "免费榜", "category": "Puzzle", "rank": 2, "bundle_id": "com.b", "game_name": "Two\nlines, one", "developer": "P"}
+    assert got["甲"]["date"] == dt.date(2026, 6, 17) and got["甲"]["rank"] == 1 and got["甲"]["category"] == "塔防"
+    why = {r["path"].rpartition("/")[2]: r["reason"] for r in rejects.collect()}
+    assert why == {"late.csv": "no date in the name", "2026-06-18_bilibili.csv": "not a chart", "2026-06-20.csv": "no rows"}
+
+
+@pytest.mark.parametrize("signal, score, fused", [(0, 86, 59), (1, 85, 59), (1, 86, 59), (0, 60, 42), (19, 100, 59), (20, 100, 76), (0, 84, 59), (0, 61, 43)])
+def test_fusion_cap(spark, signal, score, fused):
+    """The cap looks at the score that was given, not at the fused one."""
+    assert spark.range(1).select(S.fuse(F.lit(signal), F.lit(score))).first()[0] == fused
+
+
+FIDELITY = [
+    (3, 0, "playable_reference", "", False, 0.385), (3, 0, "track_direct", "", True, 0.925), (5, 0, "track_direct", "", True, 1.0), (0, 3, "", "digest_rerun", False, 0.385),
+    (0, 3, "", "off_track", False, 0.665), (1, 0, "", "", False, 0.105), (2, 2, "ai_related", "", True, 0.473), (2, 2, "exclusive_scoop", "", True, 0.513),
+]
+
+
+@pytest.mark.parametrize("up, down, pos, neg, track, value", FIDELITY)
+def test_fidelity(spark, up, down, pos, neg, track, value):
+    """Only clear labels agree or disagree with votes; any label is a label."""
+    assert float(spark.range(1).select(S.fidelity(F.lit(up), F.lit(down), F.lit(pos), F.lit(neg), F.lit(track))).first()[0]) == pytest.approx(value, abs=1.1e-3)
+
+
+def test_dim_nets(spark):
+    rows = [(3, 0, "exclusive_scoop", "", False), (2, 0, "high_info_density", "", True), (0, 4, "", "low_info", False), (5, 0, "playable_reference", "", False), (1, 0, "track_direct", "", False)]
+    got = feedback.dim_nets(spark.createDataFrame(rows, "up int, down int, pos_label string, neg_label string, track_relevant boolean")).first()
+    assert (got["track_net"], got["density_net"], got["insight_net"]) == (2, -2, 3) and (got["track_rows"], got["density_rows"], got["insight_rows"]) == (1, 2, 1)
+
+
+def test_fatigue_by_words(spark):
+    """Four common words tell one topic where the keys differ, three don't; usual words and case count as the rule has it."""
+    day = dt.date(2024, 1, 5)
+    said = ["studio opens global beta server today", "Studio opens Global beta server today", "opens global beta today", "最新 opens global beta 今日", "《明日方舟》 a b"]
+    df = spark.createDataFrame([(day, f"u{i}", h) for i, h in enumerate(said)], "date date, url string, headline string")
+    past = [(dt.date(2024, 1, 4), "new global beta server opens soon"), (dt.date(2024, 1, 3), "最新 new global beta 今日 opens soon"), (dt.date(2024, 1, 2), "《明日方舟》"), (dt.date(2024, 1, 1), "《明日方舟》x"), (dt.date(2024, 1, 4), "xy"), (dt.date(2024, 1, 3), "《明日方舟》 z")]
+    got = {r["url"]: r["seen"] for r in news.fatigue(df, spark.createDataFrame(past, "date date, headline string")).collect()}
+    assert got == {"u0": 1, "u1": 0, "u2": 0, "u3": 0, "u4": 2}
+    many = spark.createDataFrame([(day, f"v{i}", f"common words in every line of this day {i}") for i in range(300)], "date date, url string, headline string")
+    old = spark.createDataFrame([(dt.date(2024, 1, 4), f"{i} this common words line")for i in range(3)], "date date, headline string")
+    assert {r["seen"] for r in news.fatigue(many, old).collect()} == {1}
+
+
+@pytest.mark.parametrize("headline, video, blocked", [("新电影 预告", False, True), ("某游戏 喜加一", False, True), ("某游戏 喜加一", True, True), ("猎鹰 CS:GO", True, True), ("猎鹰 出战", False, False), ("netflix 新剧", False, True), ("史低推荐", True, True), ("塔防 新作", True, False)])
+def test_block_words(spark, headline, video, blocked):
+    df = spark.createDataFrame([(False, False, headline, "Bilibili" if video else "3DM", "u", "2024-01-05")], "seen_url boolean, seen_token boolean, headline string, source string, url string, publish_date string")
+    assert (df.select(news.reject_reason(F.expr("date '2024-01-05'"))).first()[0] == "blocked") == blocked
+
+
+def test_source_aliases_share_caps(spark):
+    names = ["B站", "bilibili.com", "bilibili", " B站", "PG.biz", "POCKETGAMER.BIZ", "3dm", "3DM", "3dmgame", "3DM", "GameLook", "17173"]
+    rows = [(dt.date(2024, 1, 1), f"u{i:02}", f"《g{i}》h", s, 100 - i) for i, s in enumerate(names)]
+    got = scoring.select_diverse(spark.createDataFrame(rows, "date date, url string, headline string, source string, score int")).collect()
+    assert [r["url"] for r in sorted(got, key=lambda r: r["slot"])] == ["u00", "u01", "u04", "u05", "u06", "u07", "u08"]
+
+
+NAMES = [
+    ("原神", "原神", 1), ("原神 – 国际服", "原神", 2), ("原神（国际服）", "原神", 2), ("王者荣耀——新服", "王者荣耀", 2), ("王者荣耀世界 - 测试", "王者荣耀", 3), ("Genshin", None, None), ("genshin impact", "genshin", 4),
+    ("荣耀", "王者荣耀", 4), ("明日", None, None), ("M", None, None), ("pre-王者荣耀x", "王者荣耀", 4), ("崩坏：星穹铁道", None, None),
+]
+
+
+def test_fuzzy_names(spark):
+    """Case counts, known names aren't cut, and only dashes and round brackets end a base."""
+    left = spark.createDataFrame([(n,) for n, _, _ in NAMES], "name string")
+    known = spark.createDataFrame([("原神",), ("王者荣耀",), ("genshin",), ("明日方",), ("崩坏",), ("",)], "name string")
+    got = {r["name"]: (r["known"], r["way"]) for r in news.fuzzy_name_join(left, known).collect()}
+    assert got == {n: (k, w) for n, k, w in NAMES if k} | {"明日": ("明日方", 4)}
+
+
+def test_cross_validate(spark):
+    """Long words decide, each list has three at most in the order found, own and repeated URLs don't count."""
+    claims = spark.createDataFrame([(1, "《原神》联动 Tencent announces global release", "own"), (2, "nothing here", None), (3, "lonely claim", "x")], "claim_id int, claim string, url string")
+    rows = [(1, 0, "own", "《原神》 Tencent announces", "s"), (1, 1, "a", "《原神》 Tencent", "x" * 300), (1, 2, "b", "the new tencent thing", None), (1, 3, "c", "new the set", "s"), (1, 4, "a", "again", "s"), (1, 5, "", "《原神》 Tencent", "s")]
+    rows += [(1, 6 + i, f"d{i}", "announces global", "s") for i in range(4)] + [(2, 0, "z", "else", "s"), (3, 0, "x", "lonely claim", "s")]
+    got = {r["claim_id"]: r for r in news.cross_validate(claims, spark.createDataFrame(rows, "claim_id int, place int, url string, title string, snippet string")).collect()}
+    one = got[1]
+    assert (one["n_corroborating"], one["n_other"], one["n_unrelated"], one["verdict"]) == (5, 1, 1, "verified")
+    assert [e["url"] for e in one["corroborating"]] == ["a", "d0", "d1"] and len(one["corroborating"][0]["snippet"]) == 200 and one["other"][0]["snippet"] == ""
+    assert (got[2]["verdict"], got[3]["verdict"]) == ("unverified", "isolated_claim") and got[3]["corroborating"] == []
+
+
 def test_diverse_choice(spark):
     rows = [(dt.date(2024, 1, 1), f"u{i}", f"《g{i % 5}》h", "pg" if i == 9 else f"s{i % 2}", 100 - i) for i in range(10)]
     df = spark.createDataFrame(rows, "date date, url string, headline string, source string, score int")
