@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import encoders
 from .common import discard, in_arrow, stored
 
+#: Bytes of text in a chunk: a task holds some hundred bytes of arrays a byte of it.
+CHUNK_BYTES = 2 << 20
 #: A group of more links than this is counted by distinct ids before its links are formed, and at most so many distinct links are formed at once.
 WIDE, AT_ONCE = 64, 2_000_000
 
@@ -33,14 +35,13 @@ _DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_bes
 
 
 class Side:
-    """Ids and bytes of a tokenizer's tokens. decimals: each id as text, with each of the marks that may follow it."""
+    """Ids and bytes of a tokenizer's tokens. MARKS may follow an id where groups are written."""
 
     MARKS = (",", "|", ";", "")
 
     def __init__(self, encoder, tokens: pa.Array):
         self.encoder, self.tokens, self.size = encoder, tokens, len(tokens)
         self.lengths = pc.binary_length(tokens).to_numpy().astype(np.int64)
-        self.decimals = [f"{i}{m}".encode() for m in self.MARKS for i in range(self.size)]
 
     def ids(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text; nulls are empty texts."""
@@ -57,13 +58,16 @@ class Side:
 
 
 class Aligner:
-    """Both sides. a_path: a `tokenizers` file of byte-level BPE, a_ranks: its vocabulary as ranks, b_path: a sentencepiece file."""
+    """Both sides. a_path: a `tokenizers` file of byte-level BPE, a_ranks: its vocabulary as ranks, b_path: a sentencepiece file.
+
+    decimals: each id of A, then of B, as text with each of the marks after it.
+    """
 
     def __init__(self, a_path: str, a_ranks: str, pattern: str, b_path: str):
         a = encoders.ByteLevel(a_path, a_ranks, pattern, specials=False)
         b = encoders.PieceIds(b_path)
         self.a, self.b = Side(a, a.tokens()), Side(b, b.tokens())
-        self.decimals = pa.array(self.a.decimals + self.b.decimals, pa.binary())
+        self.decimals = pa.array((f"{i}{m}".encode() for side in (self.a, self.b) for m in Side.MARKS for i in range(side.size)), pa.binary())
 
     def lists(self, texts: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
         """Ids of A and of B; none for a text that is null or empty, or whose tokens' bytes aren't those of the text after a space."""
@@ -95,7 +99,7 @@ def _pairs(doc: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np
     doc, na, nb: of each group; group_a, group_b: of each token. Groups of one token a side are pairs as they stand, narrow ones are joined on their
     number, wide ones after their equal ids are counted and in parts of the ids of A that make AT_ONCE rows each.
     """
-    key = lambda g, x, y: doc[g] << 32 | x * width + y
+    key = lambda g, x, y: doc[g].astype(np.int64) << 32 | x.astype(np.int64) * width + y
     links, one = na * nb, (na == 1) & (nb == 1)
     in_a, in_b = one[group_a], one[group_b]
     keys, times = [key(group_a[in_a], a[in_a], b[in_b])], [np.ones(int(one.sum()), np.int64)]
@@ -143,15 +147,18 @@ def align_batch(aligner: Aligner, ids: pa.Array, texts: pa.Array, chunk: int) ->
     place = lambda parent, end: pc.add(pc.multiply(parent, stride), end)
     left = pa.table({"at": place(parent_a, end_a), "i": np.arange(len(a))})
     right = pa.table({"at": place(parent_b, end_b), "j": np.arange(len(b))})
+    del end_a, end_b
     cuts = left.join(right, "at", join_type="inner", use_threads=False)
+    del left, right
     last_a, last_b = (np.sort(cuts.column(c).to_numpy()) for c in ("i", "j"))  # a group's last tokens
-    a, b, parent_a, parent_b = (x.to_numpy().astype(np.int64) for x in (a, b, parent_a, parent_b))
-    doc, na, nb = parent_a[last_a], np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-    group_a, group_b = (np.repeat(np.arange(len(doc)), n) for n in (na, nb))
-    pairs = _pairs(doc, a, b, na, nb, group_a, group_b, width)
+    doc, a, b = parent_a.to_numpy()[last_a], a.to_numpy(), b.to_numpy()
+    del cuts, lists, parent_a, parent_b
+    na, nb = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    pairs = _pairs(doc, a, b, na, nb, *(np.repeat(np.arange(len(doc), dtype=np.int32), n) for n in (na, nb)), width)
     key, times = pairs.column("key").to_numpy(), pairs.column("times").to_numpy()
     order = np.argsort(key)
     key, times = key[order], times[order]
+    del pairs, order
     # partial counts: how many documents of the chunk hold each pair
     partial = pa.table({"pair": key & 0xFFFFFFFF}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
     pair = partial.column("pair").combine_chunks()
@@ -202,9 +209,10 @@ def chunks(docs: DataFrame, a_path: str, a_ranks: str, pattern: str, b_path: str
         aligner, task = encoders.shared(Aligner, a_path, a_ranks, pattern, b_path), TaskContext.get().partitionId()
         at = 0
         for batch in batches:
-            for start, texts in encoders.slices(batch.column(1)):
+            for start, texts in encoders.slices(batch.column(1), CHUNK_BYTES):
                 yield from align_batch(aligner, batch.column(0).slice(start, len(texts)), texts, task << 32 | at)
                 at += 1
+                pa.default_memory_pool().release_unused()
 
     return stored(in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, _CHUNK), "alignment-chunks")
 

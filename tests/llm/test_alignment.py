@@ -33,9 +33,13 @@ def brute(texts):
         if not text or b"".join(pa) != want or b"".join(pb) != want:
             grouped.append([])
             continue
-        cuts, groups = sorted(set(ends(pa)) & set(ends(pb))), []
-        for lo, hi in zip([0, *cuts], cuts, strict=False):
-            groups.append([[i for i, e in zip(ids, ends(parts), strict=True) if lo < e <= hi] for ids, parts in ((a, pa), (b, pb))])
+        cuts = set(ends(pa)) & set(ends(pb))
+        groups = [[[], []] for _ in cuts]
+        for side, (ids, parts) in enumerate(((a, pa), (b, pb))):
+            at = 0
+            for i, e in zip(ids, ends(parts), strict=True):
+                groups[at][side].append(i)
+                at += e in cuts
         grouped.append(groups)
     links = [[(x, y) for g in groups for x in g[0] for y in g[1]] for groups in grouped]
     count = Counter(p for one in links for p in set(one))
