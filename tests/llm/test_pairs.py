@@ -151,3 +151,32 @@ def test_bounds_are_bounds():
         n, qm, qd = top_k.statistics(a, segments)
         _, xm, xd = top_k.statistics(b, segments)
         assert ((qm * n) @ xm.T + qd @ xd.T >= a @ b.T - 1e-9).all()
+
+
+@pytest.mark.parametrize("spread, step", [(0.1, 512), (0.1, 64), (None, 512)])
+def test_bounds_prune(monkeypatch, spread, step):
+    """Of vectors in clusters nearly no pair is computed; of vectors without structure all results are right as well."""
+    monkeypatch.setattr(top_k, "STEP", step)
+    random = np.random.default_rng(7)
+    vectors = random.normal(size=(6000, 64))
+    if spread:
+        vectors = np.cumsum(random.normal(size=(50, 64)), axis=1)[random.integers(0, 50, 6000)] + spread * vectors
+    data = np.floor(256 * vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.int64)
+    at, tally = np.arange(0, 6000, 50), [0] * 5
+    found = top_k.best(data[at], at, top_k.Share(np.arange(6000), data), 5, tally)
+    scores = data[at] @ data.T
+    scores[np.arange(len(at)), at] = -(2**62)
+    want = [(i, int(x), int(scores[i, x])) for i in range(len(at)) for x in np.lexsort((np.arange(6000), -scores[i]))[:5]]
+    assert list(zip(*(c.tolist() for c in found), strict=True)) == want
+    assert tally[0] == 120 * 6000 and (spread is None or tally[-1] < tally[0] / 20)
+
+
+def test_huge_components(spark):
+    """What a 64-bit score can't come from takes no part; scores beyond 64 bits are held to them."""
+    rows = [(0, [1.0, 2.0]), (1, [1e300, 0.0]), (2, [3.0, 1.0]), (3, [2.0**53, 1.0]), (50, [2.0**53, 1.0]), (4, [-(2.0**53), 0.0]), (5, [-1e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in top_k.top_k(df, df.vec_id % 50 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert set(got) == {0, 50} and set(got[0]) == {2, 3, 4, 50} and set(got[50]) == {0, 2, 3, 4}
+    assert got[50][3] == 2**63 - 1 and got[50][4] == -(2**63) and got[0][2] == 256 * 768 + 512 * 256
