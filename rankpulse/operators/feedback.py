@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .tables import first_by
+from .tables import first_by, overwrite_dates
 
 
 def one_vote(feedback: DataFrame) -> DataFrame:
@@ -31,6 +31,48 @@ def click_stats(feedback: DataFrame, as_of: Column, days: int = 14) -> DataFrame
     return feedback.where((F.datediff(as_of, "date") < days) & (F.col("feedback_type") == "hot_click")).groupBy("keyword").agg(F.count(F.lit(1)).alias("clicks"))
 
 
+#: Folders of daily partials below a root, each partitioned by date.
+COUNTS, USERS, SKETCHES = "counts", "users", "sketches"
+
+
+def write_daily(feedback: DataFrame, root: str) -> None:
+    """Daily partials of the dates in feedback, over those that are there: counts by type and keyword, distinct users of clicks, and their sketches.
+
+    Any window of days is merged from them without the feedback itself. A blank or missing user is none.
+    """
+    counts = feedback.groupBy("date", "feedback_type", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    users = feedback.where((F.col("feedback_type") == "hot_click") & (F.col("open_id") != "")).select("date", "keyword", "open_id").distinct()
+    sketches = users.groupBy("date", "keyword").agg(F.hll_sketch_agg("open_id", F.lit(14)).alias("sketch"))
+    for name, df in ((COUNTS, counts), (USERS, users), (SKETCHES, sketches)):
+        overwrite_dates(df, f"{root}/{name}")
+
+
+def window_stats(spark: SparkSession, root: str, as_of: Column, days: int) -> DataFrame:
+    """feedback_stats() from daily partials; the plan reads the folders of the window alone."""
+    return _days(spark, root, COUNTS, F.date_sub(as_of, days - 1)).groupBy("date", "feedback_type").agg(F.sum("n").alias("n"))
+
+
+def window_clicks(spark: SparkSession, root: str, as_of: Column, days: int = 14) -> DataFrame:
+    """click_stats() from daily partials."""
+    return _days(spark, root, COUNTS, F.date_sub(as_of, days - 1)).where("feedback_type = 'hot_click'").groupBy("keyword").agg(F.sum("n").alias("clicks"))
+
+
+def window_users(spark: SparkSession, root: str, since: Column, approximate: bool = False) -> DataFrame:
+    """topic_clicks() from daily partials: exact from the sets of users, or from their merged sketches, of which a day has one a keyword."""
+    if approximate:
+        return _days(spark, root, SKETCHES, since).groupBy("keyword").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
+    return _days(spark, root, USERS, since).groupBy("keyword").agg(F.countDistinct("open_id").alias("users"))
+
+
+def window_queue(spark: SparkSession, root: str, reports: DataFrame, since: Column, least: int = 3) -> DataFrame:
+    """research_queue() from daily partials."""
+    return window_users(spark, root, since).where(F.col("users") >= least).join(reports.select(F.col("topic").alias("keyword")).distinct(), "keyword", "left_anti")
+
+
+def _days(spark: SparkSession, root: str, name: str, since: Column) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}").where(F.col("date") >= since)
+
+
 def topic_clicks(feedback: DataFrame, since: Column, approximate: bool = False) -> DataFrame:
     """Distinct users of each keyword since a date; a blank or missing user is none."""
     rows = feedback.where((F.col("date") >= since) & (F.col("feedback_type") == "hot_click") & (F.col("open_id") != ""))

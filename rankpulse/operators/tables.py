@@ -22,10 +22,19 @@ def work_dir(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to a fresh work folder and read back: lineage is cut and a lost executor costs nothing."""
+    """df written to a fresh work folder and read back: lineage is cut and a lost executor costs nothing. stored_at is its path; discard() deletes it."""
     path = work_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later job reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -67,6 +76,19 @@ def best_of(df: DataFrame, by: list[str], order: list, limit: Column, name: str
     return best.select("_r._row.*", (F.col("_at") + 1).cast("int").alias(name))
 
 
+def write_scannable(table: DataFrame, path: str, by: str = "date", order: tuple[str, ...] = (), blooms: tuple[str, ...] = ()) -> None:
+    """table in folders of `by`, each in order, with bloom filters of some columns: a layout that scan() reads in part.
+
+    An equality on `by` leaves other folders unread; ranges of the first column of the order leave row groups unread by their statistics, and
+    equalities on the blooms columns by their filters. Rows of a folder are dealt to files in ranges of the order, so a large date has many files.
+    """
+    laid = table.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    out = laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by)
+    for c in blooms:
+        out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.enable.dictionary#{c}", "false")
+    out.parquet(path)
+
+
 def scan(table: DataFrame, order: list | None = None, most: int | None = None, **equal) -> DataFrame:
     """Rows whose columns have the given values (None: any), in order, `most` of them. Equalities on a partition column prune files."""
     for column, value in equal.items():
@@ -113,9 +135,14 @@ def source_coverage(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def query_hash(query: Column, date: Column) -> Column:
+    """The key of a cached search: md5(query|date)."""
+    return F.md5(F.concat_ws("|", query, date.cast("string")))
+
+
 def ttl_lookup(requests: DataFrame, cache: DataFrame, hours: int, as_of: Column) -> DataFrame:
     """Requests (query, date) with the freshest cached result within `hours`, if any. The key is md5(query|date)."""
-    asked = requests.withColumn("query_hash", F.md5(F.concat_ws("|", "query", F.col("date").cast("string"))))
+    asked = requests.withColumn("query_hash", query_hash(F.col("query"), F.col("date")))
     fresh = cache.where((F.col("cached_at") <= as_of) & (F.col("cached_at") > as_of - F.expr(f"interval {hours} hours")))
     return asked.join(first_by(fresh, ["query_hash"], F.desc("cached_at"), "result"), "query_hash", "left")
 

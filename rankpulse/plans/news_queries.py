@@ -95,6 +95,16 @@ def b1_scan(spark, sf):
     return tables.scan(news_(spark, sf), date=None, source="src1", category="en").select("date", "url", "headline")
 
 
+@query(X.sql("select date, url, headline from news where date = date '2024-01-07' and (source = 'src1' or url in (select max(url) from news where date = date '2024-01-07'))", "news"))
+def b1_pruned_scan(spark, sf):
+    """Scans of a laid-out table by date and key."""
+    path, n = tables.work_dir(spark, "scannable"), news_(spark, sf)
+    tables.write_scannable(n, path, "date", ("source", "url"), ("url",))
+    laid, day = spark.read.parquet(path), F.expr("date '2024-01-07'")
+    last = laid.where(F.col("date") == day).agg(F.max("url")).first()[0]
+    return tables.scan(laid, date=day, source="src1").unionByName(tables.scan(laid, date=day, url=last)).select("date", "url", "headline").distinct()
+
+
 @query(X.sql(CHANGES + " select date, platform, chart_type, bundle_id, attention_score from changes where is_significant and platform = 'iOS' order by attention_score desc, date, chart_type, bundle_id limit 50", "rankings"), "attention_score")
 def b1_scan_ordered(spark, sf):
     changes = charts.diff(X.rankings(spark, sf), WORDS)
@@ -134,6 +144,35 @@ def d4_feedback_votes(spark, sf):
     return votes_(spark, sf)
 
 
+def daily(spark, sf) -> str:
+    """Daily partials of the feedback, of which the last days come again."""
+    root, rows = tables.work_dir(spark, "daily"), X.feedback(spark, sf)
+    feedback.write_daily(rows, root)
+    feedback.write_daily(rows.where("date >= date '2024-01-20'"), root)
+    return root
+
+
+@query(X.sql("select date, feedback_type, count(*) as n from feedback where date '2024-01-30' - date < 14 group by all", "feedback"))
+def d5_window_stats(spark, sf):
+    return feedback.window_stats(spark, daily(spark, sf), as_of(), 14)
+
+
+@query(X.sql("select keyword, count(*) as clicks from feedback where date '2024-01-30' - date < 14 and feedback_type = 'hot_click' group by all", "feedback"))
+def d6_window_clicks(spark, sf):
+    return feedback.window_clicks(spark, daily(spark, sf), as_of())
+
+
+@query(X.sql("select keyword, count(distinct open_id) as users from feedback where date >= date '2024-01-05' and feedback_type = 'hot_click' group by all", "feedback"))
+def d7_window_users(spark, sf):
+    return feedback.window_users(spark, daily(spark, sf), jan5())
+
+
+@query(X.sql("select keyword, count(distinct open_id) as users from feedback where date >= date '2024-01-05' and feedback_type = 'hot_click' and keyword not in ('es') group by 1 having count(distinct open_id) >= 3", "feedback"))
+def c15_window_queue(spark, sf):
+    reports = X.table(spark, sf, "documents").where("lang = 'es'").select(F.col("lang").alias("topic"))
+    return feedback.window_queue(spark, daily(spark, sf), reports, jan5())
+
+
 @query(X.sql("select date, feedback_type, count(*) as n from feedback where date '2024-01-30' - date < 14 group by all", "feedback"))
 def d5_feedback_stats(spark, sf):
     return feedback.feedback_stats(X.feedback(spark, sf), as_of(), 14)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions import scalars as S
-from ..operators import charts, hot, news, report, scoring, tables, tracks
+from ..operators import charts, hot, news, report, scoring, search, tables, tracks
 from ..sources import ingest, pages
 from . import query
 from .chart_queries import CHANGES, WORDS
@@ -124,6 +124,35 @@ def e15_local_candidates(spark, sf):
     return hot.local_candidates(news_(spark, sf).join(X.scores(spark, sf), "url"), F.col("score"), S.keyword_match(F.col("headline"), ("que",))).select("date", "url", "score", "slot")
 
 
+#: What searches give: for each article two variants of its keyword's query, results of every third article for the first one, all for the second.
+SEARCHES = """sr as (select date, url, headline title, category keyword, v, body, cast(regexp_extract(url, '([0-9]+)$', 1) as bigint) n from news, range(2) t(v) where category is not null),
+an as (select *, cast(n % 12 as int) age from sr where v = 1 or n % 3 = 0)"""
+#: Two runs: a week's results first, an hour later those of three days; a variant counts if any result is left.
+FOUND = lambda most, name: f"{name} as (select * from (select *, min(v) over (partition by date, keyword) first from an where age <= {most}) where v = first)"
+
+
+def _searches(spark, sf):
+    n = news_(spark, sf).where("category is not null").select("date", F.col("category").alias("keyword"), "url", F.col("headline").alias("title"), F.expr("cast(regexp_extract(url, '([0-9]+)$', 1) as long)").alias("n"))
+    requests = n.select("keyword", "date").distinct().withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("query", F.concat_ws(" ", "keyword", F.col("variant").cast("string")))
+    answers = n.withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1)))).where("variant = 1 or n % 3 = 0")
+    key = tables.query_hash(F.concat_ws(" ", "keyword", F.col("variant").cast("string")), F.col("date"))
+    answers = answers.select(key.alias("query_hash"), F.lit("alpha").alias("engine"), "title", "url", F.lit("").alias("snippet"), F.concat(F.col("n") % 12, F.lit("天前")).alias("time_str"))
+    return requests, lambda missed: answers.join(missed.select("query_hash"), "query_hash", "left_semi")
+
+
+@query(X.sql(f"{SEARCHES}, {FOUND(7, 'one')}, {FOUND(3, 'two')} select 1 as run, date, keyword, cast(v as int) as variant, url, false as cached from one union all select 2, t.date, t.keyword, cast(t.v as int), t.url, exists (select 1 from one o where o.date = t.date and o.keyword = t.keyword and o.v = t.v) from two t", "news"))
+def a22_cached_search(spark, sf):
+    """Results of two runs over one cache and whether they came from it; what the cache has of a query but the second run finds too old is asked anew."""
+    path, (requests, answer) = tables.work_dir(spark, "search-cache"), _searches(spark, sf)
+    at, runs = F.expr("timestamp '2024-01-30 12:00:00'"), []
+    for run, (now, most) in enumerate(((at, 7), (at + F.expr("interval 1 hour"), 3)), 1):
+        keep = lambda rows, most=most: hot.filter_by_age(rows, F.col("date"), most)
+        results, rows, _ = search.cached_search(requests, search.read_cache(spark, path), answer, keep, now)
+        search.take_up(rows, path)
+        runs.append(results.select(F.lit(run).alias("run"), "date", "keyword", "variant", "url", "cached"))
+    return runs[0].unionByName(runs[1])
+
+
 C7 = f"""{RES}, {HSF}, se as (select date, url, title, k slot from (select *, row_number() over (partition by date order by score desc, url) k from hs where score >= 4) where k <= 7), po as (select date, url, title, row_number() over (partition by date order by score desc, url) place from hs where score > 0),
 nw as (select date, url, headline from news where source = 'src4'), nt as (select distinct date, unnest({TOKENS}) token from (select date, {_stripped('headline')} c from nw)),
 hit as (select distinct date, url from (select date, url, unnest({TOKENS}) token from (select date, url, {_stripped('title')} c from hs)) join nt using (date, token)),
@@ -390,7 +419,7 @@ def _chart_files(spark, sf) -> str:
         F.concat(F.lit('"'), "category", F.lit('", x')).alias("genre"), bundle.alias("bundle_id"), rank.alias("rank"), F.date_add("date", 100).cast("string").alias("scrape_date"),
     )
     others = first.where(F.col("排名") == "1")
-    for part in (first, later, others.withColumn("name", F.lit("undated")), others.withColumn("name", F.lit("资讯_2024-01-09")), first.where("`应用` = ' '").withColumn("name", F.lit("2024-02-01"))):
+    for part in (first, later, others.withColumn("name", F.lit("undated")), others.withColumn("name", F.lit("资讯_2024-01-09")), others.withColumns({"应用": F.lit(" "), "name": F.lit("2024-02-01")})):
         # one file a name
         part.repartition("name").write.mode("append").option("header", True).option("escape", '"').partitionBy("name").csv(path)
     return path

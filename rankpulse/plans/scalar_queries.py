@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from .. import params as P
 from ..functions import scalars as S
+from ..operators import keywords
 from . import query
 
 CJK = "[\\x{4e00}-\\x{9fff}]"
@@ -213,6 +214,24 @@ def s22_keyword_weight(spark, sf):
     return X.table(spark, sf, "events").select("event_id", S.keyword_weight(F.col("event_id") % 120, F.col("event_id") % 7).cast("decimal(10,2)").alias("weight"))
 
 
+#: Keywords out of tables: all words of names and of benchmark texts, and some that aren't letters alone.
+TABLE_WORDS = """kw as (select distinct lower(trim(w)) w from (select unnest(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) w from part union all select unnest(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+')) from benchmark union all select '#' || p_size from part) where trim(w) <> '')"""
+
+
+def table_words(spark, sf):
+    part, bench = X.table(spark, sf, "part"), X.table(spark, sf, "benchmark")
+    words = part.select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")).alias("word"))
+    words = words.union(bench.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")))).union(part.select(F.concat(F.lit("#"), F.col("p_size").cast("string"))))
+    return words
+
+
+@query(f"with {TABLE_WORDS}, d as (select doc_id, lower(text) t from documents where text <> ''), hit as (select distinct doc_id, w as word from (select doc_id, unnest(regexp_split_to_array(t, '[^a-z0-9_]+')) w from d) join kw using (w) where regexp_full_match(w, '[a-z]+') union select doc_id, w from d join kw on contains(t, w) where not regexp_full_match(w, '[a-z]+')) select doc_id, count(*) as n, string_agg(word, ' ' order by word) as words from hit group by 1")
+def b2_keyword_table(spark, sf):
+    """The words of a table that each article holds."""
+    hits = keywords.keyword_hits(X.table(spark, sf, "documents"), table_words(spark, sf), F.col("text"), "doc_id")
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"))
+
+
 @query(X.sql("select game_name, coalesce(cast(try_cast(nullif(regexp_extract(downloads, '^([0-9.]+)\\s*万', 1), '') as decimal(18,4)) * 10000 as bigint), try_cast(regexp_extract(downloads, '^([0-9]+)', 1) as bigint), 0) as downloads, replace(tags, '|', '、') || '游戏' as summary from games", "games"))
 def s23_downloads(spark, sf):
     return X.games(spark, sf).select("game_name", S.downloads_number(F.col("downloads")).alias("downloads"), S.tag_summary(F.col("tags")).alias("summary"))

@@ -80,8 +80,8 @@ def read_rankings(spark: SparkSession, paths: str | list[str], name=file_name) -
     raw = spark.read.schema(schema).options(recursiveFileLookup=True, multiLine=True, escape='"').csv(paths).withColumn("path", F.col("_metadata.file_path"))
     ours = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     meaning = F.transform("header", lambda c: F.coalesce(ours[c], c))
-    place = {n: F.array_max(F.transform(meaning, lambda c, i, n=n: F.when(c == n, i))) for n in RAW}
-    known = files.select("path", "date", "chart_type", "header", *[place[n].alias(f"_at_{n}") for n in RAW])
+    last = lambda n: F.array_max(F.transform(meaning, lambda c, i: F.when(c == n, i)))
+    known = files.select("path", "date", "chart_type", "header", *[last(n).alias(f"_at_{n}") for n in RAW])
     cells = F.array(*[f"c{i}" for i in range(width)])
     own = F.transform(F.slice(cells, F.lit(1), F.size("header")), _plain)
     rows = raw.join(known, "path").where(own != F.col("header"))

@@ -37,11 +37,24 @@ def ingest_files(
     return told.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
 
 
-def one_vote(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """A stream of (ts, news_url, open_id, feedback_type): one vote a url, user and type within the watermark; blank ids all pass."""
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def state_on_disk(spark: SparkSession) -> None:
+    """Keep the state of streams in RocksDB, which goes beyond memory, unless the session names another store."""
+    if "HDFSBackedStateStoreProvider" in spark.conf.get(_PROVIDER, "HDFSBackedStateStoreProvider"):
+        spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def one_vote(events: DataFrame) -> DataFrame:
+    """A stream of (news_url, open_id, feedback_type, ..): one vote a url, user and type, for ever; blank ids all pass.
+
+    A vote is a key of the stream's state without a horizon, so a repeat is dropped however late it comes, also in a later run from the same checkpoint.
+    The state is keyed and spread like a shuffle; it grows with the distinct votes, on disk.
+    """
+    state_on_disk(events.sparkSession)
     blank = (F.coalesce("news_url", F.lit("")) == "") | (F.coalesce("open_id", F.lit("")) == "")
-    marked = events.withWatermark("ts", delay)
-    return marked.where(~blank).dropDuplicatesWithinWatermark(["news_url", "open_id", "feedback_type"]).unionByName(marked.where(blank))
+    return events.where(~blank).dropDuplicates(["news_url", "open_id", "feedback_type"]).unionByName(events.where(blank))
 
 
 def running_counters(votes: DataFrame, key: str = "news_url") -> DataFrame:
