@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import params as P
+from .operators.tables import stored
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,11 +24,12 @@ def rankings(spark: SparkSession, sf: str) -> DataFrame:
     s = F.sum("v").over(Window.partitionBy("p", "c", "b").orderBy("d").rowsBetween(-6, 0))
     ranked = grid.withColumn("s", s).where("s > 0").withColumn("r", F.row_number().over(Window.partitionBy("d", "p", "c").orderBy(F.desc("s"), "b"))).where("r <= 50")
     part = table(spark, sf, "part").select("p_partkey", "p_type", "p_name", "p_brand")
-    return ranked.join(part, ranked.b == part.p_partkey, "left").select(
+    named = ranked.join(part, ranked.b == part.p_partkey, "left").select(
         F.col("d").alias("date"), F.col("p").alias("platform"), F.col("c").alias("chart_type"), F.coalesce("p_type", F.lit("")).alias("category"),
         F.col("r").cast("int").alias("rank"), F.col("b").cast("string").alias("bundle_id"),
         F.concat(F.coalesce("p_name", F.lit("item")), F.lit(" "), F.col("b").cast("string")).alias("game_name"), F.col("p_brand").alias("developer"),
     )
+    return stored(named, "charts")  # queries read them more than once
 
 
 def _url() -> str:

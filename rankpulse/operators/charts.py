@@ -19,15 +19,19 @@ def prev_date(rankings: DataFrame) -> DataFrame:
 def diff_snapshots(rankings: DataFrame, keep_zero: bool = False) -> DataFrame:
     """Each date's charts against the previous date: one row a game of either day; charts that are missing today give none.
 
-    Ranks below 1 are left out unless keep_zero. The first date gives no rows.
+    Ranks below 1 are left out unless keep_zero. The first date gives no rows. Besides the distinct dates the charts are read and shuffled once: each row goes to its own
+    date and to the next one, and both sides of a game meet there. A game stands once in a chart and day.
     """
     rows = rankings if keep_zero else rankings.where("rank >= 1")
-    dates = prev_date(rows).where("prev_date is not null")
-    today = rows.join(F.broadcast(dates.select("date")), "date", "left_semi").select("date", *KEY, F.col("rank").alias("today_rank"), F.struct("game_name", "developer", "category").alias("t"))
-    charts = today.select("date", "platform", "chart_type").distinct()
-    before = rows.withColumnRenamed("date", "prev_date").join(F.broadcast(dates), "prev_date").select("date", *KEY, F.col("rank").alias("yesterday_rank"), F.struct("game_name", "developer", "category").alias("y"))
-    before = before.join(charts, ["date", "platform", "chart_type"], "left_semi")
-    both = today.join(before, ["date", *KEY], "full_outer")
+    days = prev_date(rows)
+    following = days.select(F.col("prev_date").alias("date"), F.col("date").alias("next_date")).where("date is not null")
+    known = days.join(following, "date", "left").select(F.col("date").alias("_d"), F.when(F.col("prev_date").isNotNull(), F.col("date")).alias("_own"), F.col("next_date").alias("_next"))  # a row a date
+    side = F.struct("rank", "game_name", "developer", "category").alias("side")
+    each = rows.join(F.broadcast(known), rows["date"] == F.col("_d")).select(*KEY, side, F.explode(F.array(F.struct(F.col("_own").alias("date"), F.lit(True).alias("now")), F.struct(F.col("_next").alias("date"), F.lit(False).alias("now")))).alias("x"))
+    dealt = each.select("x.date", "x.now", *KEY, "side").where("date is not null").repartition("date", "platform", "chart_type")
+    both = dealt.groupBy("date", *KEY).agg(F.max(F.when(F.col("now"), F.col("side"))).alias("t"), F.max(F.when(~F.col("now"), F.col("side"))).alias("y"))
+    here = F.max(F.col("t").isNotNull()).over(Window.partitionBy("date", "platform", "chart_type"))
+    both = both.withColumn("_here", here).where("_here").withColumns({"today_rank": F.col("t.rank"), "yesterday_rank": F.col("y.rank")})
     change = F.col("yesterday_rank") - F.col("today_rank")
     kind = (
         F.when(F.col("yesterday_rank").isNull(), "new_entry").when(F.col("today_rank").isNull(), "dropped_out")

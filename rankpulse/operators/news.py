@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import scalars as S
-from .tables import first_by, numbered, stored
+from .tables import discard, first_by, numbered, stored
 from .tracks import track_class
 
 
@@ -126,19 +126,20 @@ def fatigue(news: DataFrame, published: DataFrame, window: int = 3) -> DataFrame
     the article's. Keys meet on the shorter one's first part of three characters, headlines on their rare words, so that no pair is formed without a
     common part.
     """
-    keyed = lambda df: df.withColumn("topic", S.topic_key(F.col("headline")))
-    topics = keyed(published).groupBy("date", "topic").agg(F.countDistinct("headline").alias("n"))
+    short_ = lambda df, *columns: df.select("date", *columns, S.topic_key(F.col("headline")).alias("topic"), headline_words(F.col("headline")).alias("words"))
+    said, out = stored(short_(news, "url"), "fatigue-news"), stored(short_(published, "headline"), "fatigue-published")  # headlines are read once
+    topics = out.groupBy("date", "topic").agg(F.countDistinct("headline").alias("n"))
     days = topics.select(F.explode(F.sequence(F.date_add("date", 1), F.date_add("date", window))).alias("date"), "topic", "n").groupBy("date", "topic").agg(F.sum("n").alias("n"))
     part = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))
     # the shorter key's first part stands in the longer one
-    now = keyed(news).select("date", "url", F.col("topic").alias("key")).where("length(key) >= 3")
+    now = said.select("date", "url", F.col("topic").alias("key")).where("length(key) >= 3")
     told = days.where("length(topic) >= 3")
     short = lambda df, c: df.withColumn("part", F.substring(F.col(c), 1, 3))
     long_ = lambda df, c: df.withColumn("part", F.explode(part(F.col(c))))
     joined = lambda a, b: a.join(b, ["date", "part"]).where("contains(key, topic) or contains(topic, key)").select("date", "url", "topic", "n")
     hits = joined(short(now, "key"), long_(told, "topic")).union(joined(long_(now, "key"), short(told, "topic")))
-    written = keyed(published).withColumn("date", F.explode(F.sequence(F.date_add("date", 1), F.date_add("date", window)))).select("date", "topic", headline_words(F.col("headline")).alias("words")).distinct()
-    alike = word_overlaps(news.select("date", "url", headline_words(F.col("headline")).alias("words")), written.withColumn("_words", F.col("words")), ["date"], ["url"], ["topic", "_words"])
+    written = out.withColumn("date", F.explode(F.sequence(F.date_add("date", 1), F.date_add("date", window)))).select("date", "topic", "words").distinct()
+    alike = word_overlaps(said.select("date", "url", "words"), written.withColumn("_words", F.col("words")), ["date"], ["url"], ["topic", "_words"])
     hits = hits.union(alike.select("date", "url", "topic").distinct().join(days, ["date", "topic"]).select("date", "url", "topic", "n"))
     seen = hits.groupBy("date", "url").agg(F.max("n").alias("seen"))
     return news.join(seen, ["date", "url"], "left").fillna(0, ["seen"])
@@ -208,7 +209,10 @@ def drop_same_day(items: DataFrame, pairs: DataFrame) -> DataFrame:
         lost.append(stored(rest.join(top, ["date", "better"], "left_semi").select("date", F.col("worse").alias("id")).distinct(), "same-day-lost"))
         # all pairs of those that stay are with one that goes
         gone = [lost[-1].withColumnRenamed("id", c) for c in ("better", "worse")]
-        rest = stored(rest.join(gone[0], ["date", "better"], "left_anti").join(gone[1], ["date", "worse"], "left_anti").select("date", "better", "worse"), "same-day-pairs")
+        left = stored(rest.join(gone[0], ["date", "better"], "left_anti").join(gone[1], ["date", "worse"], "left_anti").select("date", "better", "worse"), "same-day-pairs")
+        discard(rest)
+        rest = left
+    discard(rest)
     return items.join(reduce(DataFrame.union, lost), ["date", "id"], "left_anti") if lost else items
 
 

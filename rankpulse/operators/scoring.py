@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import scalars as S
-from .tables import numbered, stored
+from .tables import discard, numbered, stored
 
 
 def check_distribution(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -114,10 +114,14 @@ def select_diverse(
             left = left.join(pairs.join(told, ["date", "url"]).select("date", F.col("other").alias("url")).distinct(), ["date", "url"], "left_anti")
         best = stored(left.groupBy("date").agg(F.min(first).alias("best")), "diverse-best")
         if not best.limit(1).count():
+            discard(best)
             break
         one = F.array(F.struct(*[F.col(f"best.{c}").alias(c) for c in ("url", "source", "outlet", "game", "score", "far", "story")]))
         grown = state.join(best.withColumnRenamed("date", "on"), F.col("date").eqNullSafe(F.col("on")), "left")
-        state = stored(grown.select("date", "any_far", F.when(F.col("best").isNull(), F.col("chosen")).otherwise(F.concat("chosen", one)).alias("chosen")), "diverse-chosen")
+        more = stored(grown.select("date", "any_far", F.when(F.col("best").isNull(), F.col("chosen")).otherwise(F.concat("chosen", one)).alias("chosen")), "diverse-chosen")
+        discard(state, best)
+        state = more
+    discard(rows, *([] if pairs is None else [pairs]))
     out = state.select("date", F.posexplode("chosen").alias("slot", "c"))
     return out.select("date", "c.url", "c.source", "c.score", (F.col("slot") + 1).cast("int").alias("slot"))
 

@@ -4,15 +4,38 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The folder of the workspace that is open, if any.
+_WORKSPACE: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Within it all work folders lie in one, which is deleted at its end, also after an error. Results that are lazy must be written before.
+
+    Outside of a workspace the tables that a lazy result reads stay in the shared folder; what an operator has read for the last time, it deletes.
+    """
+    path = work_dir(spark, "workspace")
+    token = _WORKSPACE.set(path)
+    try:
+        yield path
+    finally:
+        _WORKSPACE.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share. Only a local session may lack that setting: then it
-    gets a temporary folder; a cluster without it is an error, as its executors would not see each other's files."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder in the open workspace, else under spark.checkpoint.dir, which driver and executors share. Only a local session may lack that
+    setting: then it gets a temporary folder; a cluster without it is an error, as its executors would not see each other's files."""
+    base = _WORKSPACE.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
