@@ -51,8 +51,9 @@ class Grams:
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes of all texts' n-grams as three rows, where each text starts, whether it has a letter)."""
         lower = [x.lower() for x in texts]
-        sizes = np.array([len(x) + 2 for x in lower])
-        joined = "  ".join(["", *lower, ""])[1:-1] if lower else ""
+        # a mark before each text and two after it, so that no n-gram that counts reaches into the next one; one more ends the last
+        sizes = np.array([len(x) + 3 for x in lower])
+        joined = "   ".join(["", *lower, ""])[2:] if lower else ""
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         small = np.minimum(points, 0xFFFF)
         letter = self.letter[small]

@@ -196,3 +196,57 @@ def test_base_score_formula(spark):
     rows = spark.createDataFrame([(0, "A b"), (1, "a")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in katz.score_documents(rows, F.lit(False)).collect()}
     assert got[0]["train_tokens"] == 5 and abs(got[1]["base_score"] - 2 * math.log10(3 / 9)) < 1e-9
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_grams(text):
+    """Buckets of the 1-, 2- and 3-grams of a text, by loops over whole numbers."""
+    c = [ord(x) if x.isalpha() else 32 for x in f" {text.lower()}  "] + [32, 32]
+    out = []
+    for i in range(len(c) - 2):
+        if c[i] == 32 and (i == 0 or c[i - 1] == 32):
+            continue
+        one = c[i] * 0x9E3779B97F4A7C15
+        two = one + c[i + 1] * 0xC2B2AE3D27D4EB4F
+        three = two + c[i + 2] * 0x165667B19E3779F9
+        for h in (one, two + 0x27D4EB2F165667C5, three + 0x85EBCA77C2B2AE63):
+            h &= MASK
+            h ^= h >> 29
+            out.append((h * 0xBF58476D1CE4E5B9 & MASK) >> 49)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_language_by_loops(spark, docs, parts):
+    """Counts, bits, trust, margins, losses, score and flag against plain arithmetic, however the rows are dealt to batches."""
+    rows = [r for r in docs.collect() if r["text"]][:120] + [None]
+    rows = [(r["doc_id"], r["text"][:4000], r["lang"]) for r in rows[:-1]] + [(-1, "12 :-)", "en"), (-2, "zz", None), (-3, "\U00010400 Ünï", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+    model = language.train(df)
+    langs = sorted({r[2] for r in rows if r[2]})
+    counts = {x: [0] * language.BUCKETS for x in langs}
+    for _, text, lang in rows:
+        for g in plain_grams(text) if lang else ():
+            counts[lang][g] += 1
+    share = {x: [(n + 0.5) / (sum(c) + 0.5 * language.BUCKETS) for n in c] for x, c in counts.items()}
+    code = [[int(v) for v in row] for row in language.codewords(len(langs))]
+    bits = range(len(code[0]))
+    side = lambda b, s, g: sum(share[x][g] for x, k in zip(langs, code, strict=True) if k[b] == s) / sum(k[b] == s for k in code)
+    odds = {(b, g): math.log(side(b, 1, g)) - math.log(side(b, -1, g)) for b in bits for g in range(language.BUCKETS)}
+    trust = [sum((side(b, 1, g) - side(b, -1, g)) * odds[b, g] for g in range(language.BUCKETS)) for b in bits]
+    trust = [t * len(trust) / sum(trust) for t in trust]
+    got = {r["doc_id"]: r for r in language.identify(df, model).collect()}
+    for doc_id, text, _ in rows:
+        r = got[doc_id]
+        if not any(x.isalpha() for x in text):
+            assert (r["lang_pred"], r["score"], r["ambiguous"]) == ("und", 0.0, True)
+            continue
+        grams = plain_grams(text)
+        margin = [sum(odds[b, g] for g in grams) / math.sqrt(max(3, len(grams))) for b in bits]
+        loss = [sum(t * math.log1p(math.exp(-m * s)) if -m * s < 500 else t * -m * s for t, m, s in zip(trust, margin, k, strict=True)) for k in code]
+        like = [math.exp(min(loss) - x) for x in loss]
+        score = max(like) / sum(like)
+        assert r["lang_pred"] == langs[loss.index(min(loss))] or abs(score - 0.5) < 1e-3
+        assert r["score"] == pytest.approx(score, abs=2e-3) and r["ambiguous"] == (r["score"] < language.AMBIGUOUS)
