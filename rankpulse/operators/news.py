@@ -95,7 +95,7 @@ def filter_breakdown(judged: DataFrame) -> DataFrame:
 
 
 def word_overlaps(left: DataFrame, right: DataFrame, keys: list[str], ids: list[str], of: list[str], least: int = 4) -> DataFrame:
-    """(keys, ids, of): rows of left (keys, ids, words) and right (keys, of, words) that share `least` distinct words or more.
+    """(keys, ids, of): rows of left (keys, ids, words) and right (keys, of, words) that share `least` distinct words or more. ids and of tell the rows of a side apart.
 
     Words are put in one order, rarest first. Two sets that share `least` words share one of the first n - least + 1 of either, so only those are
     joined on; what meets is counted exactly. Rows of fewer words meet nothing.
@@ -104,14 +104,15 @@ def word_overlaps(left: DataFrame, right: DataFrame, keys: list[str], ids: list[
     a, b = sets(left, ids), sets(right, of)
     often = a.select(*keys, F.explode("words").alias("word")).unionByName(b.select(*keys, F.explode("words").alias("word"))).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("often"))
 
-    def rarest(df: DataFrame, own: list[str], words: str) -> DataFrame:
-        told = df.select(*keys, *own, "words", F.explode("words").alias("word")).join(often, [*keys, "word"])
+    def rarest(df: DataFrame, own: list[str]) -> DataFrame:
+        told = df.select(*keys, *own, F.explode("words").alias("word")).join(often, [*keys, "word"])
         # the words of one row, of which there are as many as it has
-        ranked = told.groupBy(*keys, *own).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("r"), F.first("words").alias(words))
-        return ranked.select(*keys, *own, words, F.explode(F.slice(F.col("r.word"), F.lit(1), F.size("r") - least + 1)).alias("word"))
+        ranked = told.groupBy(*keys, *own).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("r"))
+        return ranked.select(*keys, *own, F.explode(F.slice(F.col("r.word"), F.lit(1), F.size("r") - least + 1)).alias("word"))
 
-    met = rarest(a, ids, "_wa").join(rarest(b, of, "_wb"), [*keys, "word"]).where(F.size(F.array_intersect("_wa", "_wb")) >= least)
-    return met.select(*keys, *ids, *of).distinct()
+    near = rarest(a, ids).join(rarest(b, of), [*keys, "word"]).select(*keys, *ids, *of).distinct()  # the sets come to the pairs, not to the words
+    full = near.join(a.withColumnRenamed("words", "_wa"), [*keys, *ids]).join(b.withColumnRenamed("words", "_wb"), [*keys, *of])
+    return full.where(F.size(F.array_intersect("_wa", "_wb")) >= least).select(*keys, *ids, *of)
 
 
 def headline_words(col: Column) -> Column:
@@ -139,7 +140,7 @@ def fatigue(news: DataFrame, published: DataFrame, window: int = 3) -> DataFrame
     joined = lambda a, b: a.join(b, ["date", "part"]).where("contains(key, topic) or contains(topic, key)").select("date", "url", "topic", "n")
     hits = joined(short(now, "key"), long_(told, "topic")).union(joined(long_(now, "key"), short(told, "topic")))
     written = out.withColumn("date", F.explode(F.sequence(F.date_add("date", 1), F.date_add("date", window)))).select("date", "topic", "words").distinct()
-    alike = word_overlaps(said.select("date", "url", "words"), written.withColumn("_words", F.col("words")), ["date"], ["url"], ["topic", "_words"])
+    alike = word_overlaps(said.select("date", "url", "words"), written.withColumn("_id", F.xxhash64("words")), ["date"], ["url"], ["topic", "_id"])
     hits = hits.union(alike.select("date", "url", "topic").distinct().join(days, ["date", "topic"]).select("date", "url", "topic", "n"))
     seen = hits.groupBy("date", "url").agg(F.max("n").alias("seen"))
     return news.join(seen, ["date", "url"], "left").fillna(0, ["seen"])
