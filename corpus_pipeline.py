@@ -10,22 +10,36 @@ from rankpulse.llm.queries import pack_documents
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of undetermined or ambiguous language, by a model of the labelled ones."""
+    """Without documents of undetermined or ambiguous language, by a model of the labelled ones.
+
+    Texts that are null, empty or without a letter are undetermined and go; null ids and repeated rows are judged like any; without labelled rows
+    all documents are undetermined; an empty table gives none. All columns stay, whatever their names.
+    """
     return language.keep_identified(docs, language.train(docs))
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that fail the base rules or that the weighed rules find bad."""
+    """Without documents that fail the base rules or that the weighed rules find bad.
+
+    Texts that are null, empty or of few words fail the base rules; null ids and repeated rows are judged like any; an empty table gives none. All columns stay.
+    """
     return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word shingles and a similarity of 0.8 make."""
+    """One document of each group that links of five-word shingles and a similarity of 0.8 make.
+
+    The least id stays, a null id last; of rows that repeat an id one stays. Texts that are null or without words are linked with nothing and stay; an empty table gives
+    none. All columns stay.
+    """
     return near_dup.keep_one(docs, words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 2048 ids."""
+    """Pieces of all documents in windows of 2048 ids.
+
+    A null or empty text is the end id alone; null ids and repeated rows are documents of their own; an empty table gives no pieces.
+    """
     return pack_documents(docs)
 
 
