@@ -37,8 +37,8 @@ LEADERS = 3
 BROADCAST_ROWS = 1_000_000
 #: About as many members, and bytes of them, of a cluster does a task compare with each other, or with as many others.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
-#: Parts that the classes which meet one leader are dealt to.
-SALT = 16
+#: About as many classes of those that meet one leader go to a task with it.
+MET = 1024
 _NONE = -(2**63)
 
 
@@ -205,9 +205,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union.
 
-    Sets of b go to the task of (a, salt), after a copy of a's own set; a task holds one set of a at a time.
+    Sets of b go to the task of (a, salt), after a copy of a's own set; a task holds one set of a at a time. A leader has as many salts as those
+    that meet it fill tasks.
     """
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)))
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(MET))).cast("long").alias("salts"))
+    dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     own = dealt.select("a", "salt").distinct().join(sets.select(F.col("cid").alias("a"), "shingles"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
     others = dealt.join(sets.select(F.col("cid").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles")
     rows = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())

@@ -61,9 +61,9 @@ def test_components(spark, rows, n):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-@pytest.mark.parametrize("limit, size", [("BLOCK", 3), ("BLOCK_BYTES", 4000)])
+@pytest.mark.parametrize("limit, size", [("BLOCK", 3), ("BLOCK_BYTES", 4000), ("MET", 2)])
 def test_blocks_change_nothing(spark, rows, monkeypatch, limit, size):
-    """Blocks so small, in members or in bytes, that clusters span many of them."""
+    """Blocks so small, in members or in bytes, that clusters span many of them, and leaders of many salts."""
     monkeypatch.setattr(near_dup, limit, size)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     group, sets = brute(rows, 2)
