@@ -47,7 +47,7 @@ def k1_file_ingest(spark, sf):
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
     late = rows.where("date >= date '2024-01-10'").withColumn("rank", F.col("rank") + 1000)
     for part in (rows.where("date <= date '2024-01-15'"), late.unionByName(late.withColumns({"rank": F.lit(-1), "category": F.lit("a")}))):
-        part.write.mode("append").parquet(f"{folder}/in")
+        part.repartition("date").write.mode("append").parquet(f"{folder}/in")  # rows of one key in one file
         jobs.ingest_files(spark, f"{folder}/in", f"{folder}/table", f"{folder}/state", schema, ["date", *charts.KEY], order=["category"]).awaitTermination()
     return spark.read.parquet(f"{folder}/table").select("date", *charts.KEY, "rank")
 

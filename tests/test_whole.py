@@ -13,7 +13,7 @@ from rankpulse.operators import news, scoring
 
 def test_whole_texts(spark, tmp_path):
     """What stands after the first 300 or 400 characters counts, and bodies over 500 characters have their branch."""
-    text = "Plain words stand here. " * 25 + "《深空》 zebra 2024 and 17 and 18"
+    text = "Plain words stand here.\n" + "Plain words stand here. " * 25 + "《深空》 zebra 2024 and 17 and 18"
     spark.createDataFrame([(0, text, "en", "src1")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     at = lambda name: plans.QUERIES[name](spark, str(tmp_path)).where("id = 1000").first()
     assert at("s2_game_names")["names"] == "深空" and "zebra" in at("s3_topic_words")["words"].split("|")
@@ -75,19 +75,16 @@ NAMES = ["原神", "原神 - 新", "新游 - Kingdom Rush", "x（星穹铁道）
 
 
 def matched(name):
-    """(known, way) by brute force."""
-    base = lambda x: re.sub(r"[-—(（\[【:：].*$", "", x).strip()
-    full, found = name.strip().lower(), []
+    """(known, way) by brute force: case counts and known names aren't cut."""
+    base, found = re.split(r"\s*[-—–（(]\s*", name, maxsplit=1)[0].strip(), []
     for known in KNOWN:
-        k = known.strip().lower()
-        b, kb = base(full), base(k)
-        if full == k:
+        if name == known:
             found.append((1, known))
-        elif b and b == kb:
+        elif base != name and base == known:
             found.append((2, known))
-        elif min(len(b), len(kb)) >= 3 and (b in kb or kb in b):
+        elif base != name and min(len(base), len(known)) >= 3 and (base in known or known in base):
             found.append((3, known))
-        elif len(k) >= 3 and (k in full or (len(full) >= 2 and full in k)):
+        elif len(known) >= 3 and (known in name or (len(name) >= 2 and name in known)):
             found.append((4, known))
     return min(found, default=None)
 
