@@ -1,7 +1,7 @@
 """Katz backoff language model over words.
 
 Texts are read once and kept as chunks: some megabytes of texts as word hashes and codes. An n-gram is the 64-bit hash of its words, and
-hashes are dealt to buckets by ranges. For each order a chunk asks the buckets for the counts of its distinct n-grams and tells how often
+hashes are dealt to buckets by ranges, as many as keep what all chunks ask of one within BUCKET_KEYS. For each order a chunk asks the buckets for the counts of its distinct n-grams and tells how often
 they stand in its training texts; a bucket adds up, answers, and writes its part of the table of that order. From the counts come the
 Good-Turing discounts. Each n-gram has one owner among the chunks that asked for it; owners add an n-gram's discounted count and its
 probability one order lower to its history, whose bucket makes of the sums the weight by which the history's distribution sums to one
@@ -34,6 +34,8 @@ from .near_dup import _mix
 CUTOFF = 5
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 12 << 20
+#: Keys that chunks may ask of one bucket: a task sorts them in memory, some 45 bytes each.
+BUCKET_KEYS = 8 << 20
 #: Keys of the end of a text and of what stands before its first word.
 END, BEGIN = np.uint64(0x8F3D91C4A76B25E1), np.uint64(0x5C1E7F20B94DA863)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -87,7 +89,7 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, ids, train, lengths, words, codes of docs (id, train, text): a row for some CHUNK_BYTES of text. Words are listed by frequency."""
+    """chunk, tokens, ids, train, lengths, words, codes of docs (id, train, text): a row for some CHUNK_BYTES of text. Words are listed by frequency."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +102,13 @@ def chunks(docs: DataFrame) -> DataFrame:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             name = (TaskContext.get().partitionId() << 24) + made
-            row = [[name], [ids], [train], [pack(np.concatenate(lengths).astype(np.int64))], [pack(words[order])], [pack(rank[codes])]]
+            row = [[name], [len(codes)], [ids], [train], [pack(np.concatenate(lengths).astype(np.int64))], [pack(words[order])], [pack(rank[codes])]]
             ids, train, tokens, lengths, size, made = [], [], [], [], 0, made + 1
             return pa.record_batch([pa.array(x, t) for x, t in zip(row, schema.types, strict=True)], schema.names)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("train", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("words", pa.binary()), ("codes", pa.binary())])
+            schema = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("ids", pa.list_(id_type)), ("train", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("words", pa.binary()), ("codes", pa.binary())])
             for t, n in word_hashes(batch.column(2)):
                 tokens.append(t)
                 lengths.append(n)
@@ -118,7 +120,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush()
 
-    return in_arrow(docs.select("id", "train", "text"), run, f"chunk long, ids array<{kind}>, train array<boolean>, lengths binary, words binary, codes binary")
+    return in_arrow(docs.select("id", "train", "text"), run, f"chunk long, tokens long, ids array<{kind}>, train array<boolean>, lengths binary, words binary, codes binary")
 
 
 class Text:
@@ -213,7 +215,6 @@ class Model:
 
     path: str
     order: int
-    buckets: int
     tokens: int = 0
     types: int = 0
     unseen: float = 1.0
@@ -300,10 +301,25 @@ def _ask_counts(held: DataFrame, order: int, buckets: int) -> DataFrame:
     return in_arrow(held.select("chunk", "train", "lengths", "words", "codes"), run, _ASK)
 
 
-def _answered(asked: DataFrame, path: str, answer, tasks: int) -> DataFrame:
+def _given(table: DataFrame, buckets: int) -> DataFrame:
+    """A model's rows (order, keys, a, b) as blocks without a chunk, cut anew: a run has the buckets that its own texts call for."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, dtype = unpack(row["keys"], np.uint64, True), np.int64 if row["b"] is None else np.float64
+                values = [None if row[n] is None else unpack(row[n], dtype) for n in ("a", "b")]
+                for b, part in cut(keys, buckets):
+                    yield _rows([(row["order"], b, None, pack(keys[part], True), *(None if x is None else pack(x[part]) for x in values), None)], _ASK)
+
+    return in_arrow(table.select("order", "keys", "a", "b"), run, _ASK)
+
+
+def _answered(asked: DataFrame, path: str, answer, orders: range, buckets: int) -> DataFrame:
     """The answers of all buckets, written under path: kinds reply (to chunks) and table (the model's part). answer(blocks) gives rows of _TELL
-    for the blocks of one order and bucket, those of a given model (without chunk) first."""
-    dealt = asked.repartition(tasks, "order", "bucket").sortWithinPartitions("order", "bucket", F.col("chunk").asc_nulls_first())
+    for the blocks of one order and bucket, those of a given model (without chunk) first. Each bucket of each order is a task of its own."""
+    task = ((F.col("order") - orders.start) * buckets + F.col("bucket")).cast("int")
+    dealt = asked.repartitionById(len(orders) * buckets, task).sortWithinPartitions("order", "bucket", F.col("chunk").asc_nulls_first())
 
     def run(batches):
         current, blocks = None, []
@@ -374,9 +390,8 @@ def _weigh(blocks: list[dict]) -> list[tuple]:
     return [*out, ("table", k, bucket, None, pack(keys[by[first]][seen], True), pack(scale[seen]), pack(weight[seen]), None)]
 
 
-def _ask_weights(known: DataFrame, model: Model, k: int, fitting: bool) -> DataFrame:
+def _ask_weights(known: DataFrame, model: Model, k: int, buckets: int, fitting: bool) -> DataFrame:
     """Each chunk's distinct histories of order k; in fitting with the sums over the n-grams it owns."""
-    buckets = model.buckets
 
     def run(batches):
         for row, text in _texts(batches):
@@ -428,24 +443,27 @@ def _scored(known: DataFrame, model: Model) -> DataFrame:
 def _run(docs: DataFrame, order: int, path: str, given: Model | None, score_: bool) -> tuple[Model, DataFrame | None]:
     """The rounds over docs (id, train, text): counts, then weights of orders 2 .. order, then scores. A given model answers instead of the texts."""
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = given or Model(path, order, tasks)
+    model = given or Model(path, order)
     held = _by_chunk(chunks(docs))
-    asked = _ask_counts(held, order, model.buckets)
-    if given:
-        asked = asked.unionByName(given.counts(spark).select("order", "bucket", F.lit(None).cast("long").alias("chunk"), "keys", "a", *[F.lit(None).cast("binary").alias(n) for n in ("b", "c")]))
-    replies = [("count", _answered(asked, f"{path}/counts", _count, tasks))]
-    if not given:
-        tallies = replies[0][1].where("kind = 'table'").groupBy("order").agg(*[F.sum(F.col("tally")[i]).alias(f"t{i}") for i in range(CUTOFF + 3)]).collect()
-        model.take({r["order"]: list(r)[1:] for r in tallies})
-    for k in range(2, order + 1):
-        asked = _ask_weights(_known(held, replies), model, k, not given)
+    try:
+        # no chunk asks for more keys of an order than it has tokens
+        tokens = held.agg(F.sum("tokens")).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_KEYS))
+        asked = _ask_counts(held, order, buckets)
         if given:
-            asked = asked.unionByName(given.weights(spark, k).select("order", "bucket", F.lit(None).cast("long").alias("chunk"), "keys", "a", "b", F.lit(None).cast("binary").alias("c")))
-        replies.append(("weight", _answered(asked, f"{path}/weights={k}", _weigh, tasks)))
-    scores = stored(_scored(_known(held, replies), model), "katz-scores") if score_ else None
-    _drop(held)
-    return model, scores
+            asked = asked.unionByName(_given(given.counts(spark), buckets))
+        replies = [("count", _answered(asked, f"{path}/counts", _count, range(1, order + 1), buckets))]
+        if not given:
+            tallies = replies[0][1].where("kind = 'table'").groupBy("order").agg(*[F.sum(F.col("tally")[i]).alias(f"t{i}") for i in range(CUTOFF + 3)]).collect()
+            model.take({r["order"]: list(r)[1:] for r in tallies})
+        for k in range(2, order + 1):
+            asked = _ask_weights(_known(held, replies), model, k, buckets, not given)
+            if given:
+                asked = asked.unionByName(_given(given.weights(spark, k), buckets))
+            replies.append(("weight", _answered(asked, f"{path}/weights={k}", _weigh, range(k, k + 1), buckets)))
+        return model, stored(_scored(_known(held, replies), model), "katz-scores") if score_ else None
+    finally:
+        _drop(held)
 
 
 def fit(docs: DataFrame, order: int = 2, path: str | None = None) -> Model:

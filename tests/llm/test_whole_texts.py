@@ -63,10 +63,27 @@ def katz_scores(train, texts, order):
     return [sum(math.log10(chance(g)) for g in grams(t, order)) for t in texts]
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_katz_scores(spark, order):
+@pytest.mark.parametrize("order, fitted, asked", [(2, 8 << 20, 8 << 20), (3, 8 << 20, 8 << 20), (2, 20, 8 << 20), (3, 8 << 20, 20), (3, 20, 12)])
+def test_katz_scores(spark, monkeypatch, order, fitted, asked):
+    """Fitting and scoring give the same, however many buckets each has; the catalog is left as it was."""
     random = np.random.default_rng(9)
     texts = [" ".join(f"w{int(x)}" for x in random.zipf(1.6, 12) if x < 30) for _ in range(60)] + ["", "unseen words", "w1 unseen w1"]
     rows = lambda xs: spark.createDataFrame(list(enumerate(xs)), "row long, text string")
-    got = {r["row"]: r["score"] for r in katz.score(rows(texts), katz.fit(rows(texts[:40]), order)).collect()}
+    monkeypatch.setattr(katz, "BUCKET_KEYS", fitted)
+    model = katz.fit(rows(texts[:40]), order)
+    monkeypatch.setattr(katz, "BUCKET_KEYS", asked)
+    got = {r["row"]: r["score"] for r in katz.score(rows(texts), model).collect()}
     assert [got[i] for i in range(len(texts))] == pytest.approx(katz_scores(texts[:40], texts, order), abs=1e-9)
+    buckets = {r[0] for r in model.counts(spark).select("bucket").collect()}
+    assert (len(buckets) > 8) == (fitted == 20) and (max(buckets) > 7) == (fitted == 20)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("katz_chunks_")]
+
+
+def test_a_failed_katz_run_leaves_no_table(spark, monkeypatch):
+    def broken(*_):
+        raise ValueError("no answers")
+
+    monkeypatch.setattr(katz, "_answered", broken)
+    with pytest.raises(ValueError, match="no answers"):
+        katz.fit(spark.createDataFrame([(0, "a b")], "row long, text string"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("katz_chunks_")]
