@@ -14,6 +14,7 @@ of links leaves a task, so a large group of near copies costs rows in proportion
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import encoders
@@ -291,18 +292,31 @@ class _Linked:
         return others[100 * c >= self.percent * (self.sizes[i] + self.sizes[others] - c)]
 
 
-def _compared(members: DataFrame, make, of_labels: bool = False) -> DataFrame:
+def _size_class(threshold: float):
+    """A class of n_shingles: sets that may be linked are of one class or of neighbouring ones. A class is wider by a millionth than that takes, so rounding does no harm."""
+    return F.floor(F.log("n_shingles") / max(-math.log(threshold) * (1 + 1e-6), 0.01)).cast("long")
+
+
+def _compared(members: DataFrame, make, threshold: float, of_labels: bool = False) -> DataFrame:
     """(a, b) that join labels of members (cluster, cid, label, n_shingles, data) of one cluster: a spanning forest of hits.
 
-    A cluster is cut into blocks of about BLOCK members and BLOCK_BYTES of data, dealt by a hash of cid, so that it is never counted
-    through in one task; a task compares the members of one block, or those of one with those of another, in memory, and no pair becomes
-    a row but the forest's: fewer than the labels that meet there. What the forest joins already isn't compared again. A cluster of b
-    blocks is copied b times. make(data, sizes, split) gives hits(i, others). a and b are cids, or labels if of_labels.
+    A cluster of more than about BLOCK members or BLOCK_BYTES of data is cut by size, as sets whose sizes differ much aren't linked, and each
+    size class into blocks, dealt by a hash of cid, so that a cluster is never counted through in one task. A task compares the members of one block,
+    or those of one with those of another of the same or the next size, in memory, and no pair becomes a row but the forest's: fewer than the labels
+    that meet there. What the forest joins already isn't compared again. A block is copied once for each block of its own and the neighbouring sizes.
+    make(data, sizes, split) gives hits(i, others). a and b are cids, or labels if of_labels.
     """
-    rows = F.count(F.lit(1)) / F.lit(float(BLOCK))
-    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(rows, F.sum(F.length("data")) / F.lit(float(BLOCK_BYTES)))).cast("long").alias("blocks"))
-    cut = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    blocks = lambda n, size: F.ceil(F.greatest(n / F.lit(float(BLOCK)), size / F.lit(float(BLOCK_BYTES)))).cast("long")
+    classed, cluster = members.withColumn("size", _size_class(threshold)), Window.partitionBy("cluster")
+    sizes = classed.groupBy("cluster", "size").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data")).alias("bytes"))
+    sizes = sizes.select("cluster", "size", blocks(F.col("n"), F.col("bytes")).alias("blocks"), (blocks(F.sum("n").over(cluster), F.sum("bytes").over(cluster)) == 1).alias("one"))
+    near = F.filter(F.collect_list(F.struct("size", "blocks")).over(cluster), lambda x: F.abs(x["size"] - F.col("size")) <= 1)
+    name = lambda size, block: size * (1 << 40) + block
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["blocks"] - 1), lambda b: name(x["size"], b))))
+    told = sizes.select("cluster", "size", "blocks", "one", F.when(F.col("one"), F.array(F.lit(0).cast("long"))).otherwise(others).alias("others"))
+    block = F.when(F.col("one"), F.lit(0).cast("long")).otherwise(name(F.col("size"), F.pmod(F.xxhash64("cid"), F.col("blocks"))))
+    cut = classed.join(told, ["cluster", "size"]).withColumn("block", block)
+    each = cut.withColumn("other", F.explode("others"))
     dealt = each.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label", "n_shingles", "data")
     rows = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "cid")
     names = ("cluster", "i", "j", "block", "cid", "label", "n_shingles", "data")
@@ -390,7 +404,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "near-dup-classes")
 
     # what is known of a bucket comes from aggregates and joins, so that one of very many classes is never in one task
-    keys = stored(_exploded(classes), "near-dup-keys")
+    # a set of n shingles and another one have at most n in common and at least n + 1 in all: below that size only equal sets are linked
+    keys = stored(_exploded(classes.where(f"100 * n_shingles >= {percent} * (n_shingles + 1)")), "near-dup-keys")
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(keys.join(several, "key"), "near-dup-shared")
     discard(keys)
@@ -414,13 +429,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     discard(shared, labels)
     split = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     mixed = stored(apart.join(split, "key", "left_semi"), "near-dup-apart")
-    near = stored(_compared(mixed.join(active, "cid").select(F.col("key").alias("cluster"), "cid", "label", "n_shingles", F.col("regs").alias("data")), partial(_Near, threshold), of_labels=True).distinct(), "near-dup-near")
+    near = stored(_compared(mixed.join(active, "cid").select(F.col("key").alias("cluster"), "cid", "label", "n_shingles", F.col("regs").alias("data")), partial(_Near, threshold), threshold, of_labels=True).distinct(), "near-dup-near")
     discard(apart, active)
     roots = components(near)
     clusters = roots.select(F.col("node").alias("label"), F.col("label").alias("cluster"))
     told = stored(clusters.join(mixed.select("cid", "label").distinct(), "label"), "near-dup-clusters")
     sets = _sets_of(told.select("cid"), classes, docs, words, id_col, text_col)
-    more = stored(_compared(told.join(sets, "cid").select("cluster", "cid", "label", F.lit(0).cast("long").alias("n_shingles"), F.col("shingles").alias("data")), partial(_Linked, percent)), "near-dup-links")
+    more = stored(_compared(told.join(sets, "cid").select("cluster", "cid", "label", (F.length("shingles") / 8).cast("long").alias("n_shingles"), F.col("shingles").alias("data")), partial(_Linked, percent), threshold), "near-dup-links")
     discard(near, roots, mixed, told, sets)
     labels = components(links.union(more))
 

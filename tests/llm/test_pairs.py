@@ -1,4 +1,5 @@
 import re
+from functools import partial
 
 import numpy as np
 import pytest
@@ -74,6 +75,53 @@ def test_blocks_change_nothing(spark, rows, monkeypatch, limit, size):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, least[g] if s else i) for (i, _), g, s in zip(rows, group, sets, strict=True))
 
 
+@pytest.mark.parametrize("percent", [60, 80, 95, 100])
+def test_size_classes_lose_no_link(spark, monkeypatch, percent):
+    """One cluster of sets whose sizes are in every relation, the exact bound included: links as all pairs give them, with fewer copies than all blocks would take."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    random = np.random.default_rng(4)
+    sets = []
+    for n in [4, 7, 8, 11, 12, 16, 19, 57, 76, 95, 96, 399, 400]:
+        own = np.unique(random.integers(1, 2**62, 2 * n).astype(np.uint64))
+        sets += [np.sort(own[:m]) for m in {n, n + 1, n * 100 // percent, n * 100 // percent + 1, min(2 * n, n * 5 // 3)}]
+    sets = [x for i, x in enumerate(sets) if not any(np.array_equal(x, y) for y in sets[:i])]
+    members = spark.createDataFrame([(0, i, i, len(x), x.tobytes()) for i, x in enumerate(sets)], "cluster long, cid long, label long, n_shingles long, data binary")
+    copies, in_arrow = [], near_dup.in_arrow
+
+    def seen(df, run, schema):
+        copies.append(df.count())
+        return in_arrow(df, run, schema)
+
+    monkeypatch.setattr(near_dup, "in_arrow", seen)
+    found = [tuple(r) for r in near_dup._compared(members, partial(near_dup._Linked, percent), percent / 100).collect()]
+    alike = lambda x, y: 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))
+    assert all(alike(sets[a], sets[b]) for a, b in found)
+
+    def groups(pairs):
+        of = list(range(len(sets)))
+        for a, b in pairs:
+            of = [of[a] if g == of[b] else g for g in of]
+        return [of.index(g) for g in of]
+
+    assert groups(found) == groups([(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
+    assert copies[0] < len(sets) * (len(sets) / 4) * 0.7
+
+
+def test_tiny_sets(spark, monkeypatch):
+    """Sets too small to be linked with another one share no bucket; those of four and five shingles do."""
+    rows = [(i, f"common phrase w{i}") for i in range(40)] + [(50, "a b c d e"), (51, "a b c d e f"), (52, "a b c d"), (53, "Common phrase w3"), (54, "common phrase")]
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    group, sets = brute(rows, 2)
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        least[g] = min(least.get(g, i), i)
+    made, exploded = [], near_dup._exploded
+    monkeypatch.setattr(near_dup, "_exploded", lambda classes: made.append(classes.count()) or exploded(classes))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, least[g]) for (i, _), g in zip(rows, group, strict=True))
+    assert made == [2] and {r["component_id"] for r in got if r["doc_id"] in (51, 53)} == {50, 3}
+
+
 def test_null_ids_and_nothing(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, "z z z"), (None, None)], "doc_id long, text string")
     got = sorted(near_dup.near_duplicates(df, 2).collect(), key=str)
