@@ -17,10 +17,18 @@ def merge_new_games(ports: DataFrame, games: DataFrame) -> DataFrame:
 
 
 def fresh_games(games: DataFrame, reported: DataFrame, days: int = 7) -> DataFrame:
-    """Games (date, game_name, is_port) neither reported (game_name, date) before, nor in the table: within `days` before, ports ever."""
-    earlier = games.select("game_name", F.col("date").alias("other"), F.lit(False).alias("told")).union(reported.select("game_name", "date", F.lit(True)))
-    seen = games.join(earlier, "game_name").where((F.col("other") < F.col("date")) & (F.col("told") | F.col("is_port") | (F.datediff("date", "other") <= days)))
-    return games.join(seen.select("date", "game_name").distinct(), ["date", "game_name"], "left_anti")
+    """Games (date, game_name, is_port) neither reported (game_name, date) before, nor in the table: within `days` before, ports ever.
+
+    Of a name only its distinct dates matter: the first one, the first reported one and the one before each, so no row meets another.
+    """
+    told = reported.select("game_name", "date", F.lit(False).alias("in_table"), F.lit(True).alias("told"), F.lit(False).alias("is_port"))
+    rows = games.select("game_name", "date", F.lit(True).alias("in_table"), F.lit(False).alias("told"), "is_port").union(told).where("game_name is not null and date is not null")
+    each = rows.groupBy("game_name", "date").agg(*[F.max(c).alias(c) for c in ("in_table", "told", "is_port")])
+    before = Window.partitionBy("game_name").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("in_table"), F.col("date"))).over(before)
+    each = each.withColumns({"told": F.coalesce(F.max("told").over(before), F.lit(False)), "last": last})
+    seen = each.where("in_table").where(F.col("told") | (F.col("is_port") & F.col("last").isNotNull()) | (F.datediff("date", "last") <= days))
+    return games.join(seen.select("date", "game_name"), ["date", "game_name"], "left_anti")
 
 
 def choose_new_games(games: DataFrame, top: int = 5) -> DataFrame:
