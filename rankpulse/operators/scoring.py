@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import scalars as S
-from .tables import discard, numbered, stored
+from .tables import discard, numbered, once, stored
 
 
 def check_distribution(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -132,13 +132,15 @@ def judged_news(candidates: DataFrame, scores: DataFrame, year: int, weak: int =
     Weak signals go; an article without a score has 0; scores fuse with signals, topic boosts move them, and the scores of a date out of
     shape are capped. given says whether the article's date has any score. Texts are read once, what follows works on short rows.
     """
-    asked = candidates.withColumn("signal", S.signal_score(F.col("body"), year)).where(F.col("signal") >= weak).select("date", "url", "headline", "source", "signal")
+    asked = once(candidates.select("date", "url", "headline", "source", "body"), "signal", S.signal_score(F.col("body"), year))
+    asked = asked.where(F.col("signal") >= weak).select("date", "url", "headline", "source", "signal")
     told = scores.select("url", F.col("score").alias("told"), "pos_label", "neg_label", "summary")
-    rows = stored(asked.join(told, "url", "left"), "judged-news")
-    dates = rows.groupBy(F.col("date").alias("on")).agg((F.count("told") > 0).alias("given"))
+    rows = asked.join(told, "url", "left")
     score = S.fuse(F.col("signal"), F.coalesce("told", F.lit(0)))
     rows = rows.withColumn("score", topic_boost(F.col("headline"), boosts, topics, score) if boosts else score)
     rows = rows.withColumn("pos_label", F.coalesce(S.valid_label(F.col("pos_label"), P.POS_LABELS), F.lit(""))).withColumn("neg_label", F.coalesce(S.valid_label(F.col("neg_label"), P.NEG_LABELS), F.lit("")))
+    rows = stored(rows, "judged-news")  # with the scores, as what follows reads them again and again
+    dates = rows.groupBy(F.col("date").alias("on")).agg((F.count("told") > 0).alias("given"))
     shape = check_distribution(rows, ["date"]).select(F.col("date").alias("of"), "ok")
     capped = apply_score_fallback(rows, ["date"]).join(shape, F.col("date").eqNullSafe(F.col("of"))).join(dates, F.col("date").eqNullSafe(F.col("on")))
     fitted = F.when(F.col("ok"), F.col("raw_score")).otherwise(F.col("score"))
