@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import scalars as S
-from .tables import best_of, falling, first_by, numbered, stored
+from .tables import best_of, falling, first_by, numbered, once, stored
 
 
 def hot_list_rows(raw: DataFrame, top: int = 30, relevant=P.RELEVANT_WORDS, discussions: tuple[str, ...] = ("zhihu",)) -> DataFrame:
@@ -82,7 +82,7 @@ def filter_by_age(results: DataFrame, as_of: Column, most: int = 7) -> DataFrame
 
 def rule_hot_topics(results: DataFrame, score: Column, least: int = 4, top: int = 7) -> DataFrame:
     """Distinct URLs of score `least` or more, the `top` of each date."""
-    rows = first_by(results.withColumn("score", score).where(F.col("score") >= least), ["date", "url"], F.desc("score"), "title")
+    rows = first_by(once(results, "score", score).where(F.col("score") >= least), ["date", "url"], F.desc("score"), "title")
     return rows.withColumn("slot", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "url")).cast("int")).where(F.col("slot") <= top)
 
 
@@ -122,7 +122,7 @@ def apply_selection(candidates: DataFrame, picks: DataFrame, as_of: Column, top:
 
 def intel(results: DataFrame, score: Column) -> DataFrame:
     """Results with a score that isn't below nought."""
-    return results.withColumn("score", score.cast("int")).where("score >= 0")
+    return once(results, "score", score.cast("int")).where("score >= 0")
 
 
 def hot_topics(
