@@ -162,11 +162,10 @@ fr as (select * from al where (date, url) not in (select date, url from hit) and
 
 @query(X.sql(f"{C7} select date, url, title, cast(k as int) as slot from (select *, row_number() over (partition by date order by late, place, url) k from fr) join nn using (date) where k <= n", "news"))
 def c7_dedup_against(spark, sf):
-    from pyspark.sql import Window
-
     rows, score = hot_scored(spark, sf)
-    chosen = hot.rule_hot_topics(rows, score.cast("int"))
-    pool = rows.withColumn("score", score).where("score > 0").withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "url")).cast("int"))
+    # texts are read and scored once, for the choice and for the pool
+    rows = tables.stored(tables.once(rows, "score", score.cast("int")).where("score > 0").select("date", "url", "title", "score"), "hot-scored")
+    chosen, pool = hot.rule_hot_topics(rows, F.col("score")), tables.numbered(rows, ["date"], [F.desc("score"), "url"])
     return hot.dedup_against(chosen, pool, news_(spark, sf).where("source = 'src4'").select("date", "url", "headline"))
 
 
