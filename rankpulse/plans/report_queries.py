@@ -229,8 +229,8 @@ def c9_fresh_games(spark, sf):
 FORCE = "sh as (select distinct date + 1 date, game_name from (select *, row_number() over (partition by date order by attention_score desc, platform, chart_type, bundle_id) k from changes) where k <= 3), fo as (select c.*, sh.date is not null forced from changes c left join sh on sh.date = c.date and sh.game_name = c.game_name), fp as (select *, row_number() over (partition by date order by forced desc, attention_score desc, platform, chart_type, bundle_id) place from fo)"
 
 
-def forced(spark, sf):
-    c = charts.diff(X.rankings(spark, sf), WORDS)
+def forced(spark, sf, changes=None):
+    c = charts.diff(X.rankings(spark, sf), WORDS) if changes is None else changes
     shown = scoring.top_n(c, ["date"], [F.desc("attention_score"), "platform", "chart_type", "bundle_id"], 3)
     return report.force_include(c, shown)
 
@@ -275,8 +275,8 @@ rep as (select date, coalesce(market,'') market, coalesce(ranking,'') ranking, c
 REP = CHANGES + f", {FORCE}, {LEAD}, {CHOOSE}, {REPORT}"
 
 
-def report_(spark, sf):
-    return report.daily_report(lead(spark, sf), forced(spark, sf), chosen_games(spark, sf))
+def report_(spark, sf, changes=None):
+    return report.daily_report(lead(spark, sf), forced(spark, sf, changes), chosen_games(spark, sf))
 
 
 @query(X.sql(f"{REP} select * from rep", "rankings", "news", "scores", "games"))
@@ -343,8 +343,11 @@ au as (select date, 'rows' as counter, nm as name, n from tb union all select da
 @query(X.sql(f"{REP}, {AUDIT.replace('{0}', _b('headline', COMMON))} select date, counter, name, cast(n as bigint) as n from au", "rankings", "news", "scores", "games"))
 def d16_audit_report(spark, sf):
     n = news_(spark, sf).withColumn("track_relevant", S.keyword_match(F.col("headline"), COMMON))
-    tables_ = {"news": n, "rankings": X.rankings(spark, sf), "games": X.games(spark, sf)}
-    return report.audit_report(tables_, report_(spark, sf), n, charts.diff(X.rankings(spark, sf), WORDS), ("erble", "ouwhea"), ("src3",))
+    n = tables.stored(n.select("date", "source", "track_relevant"), "audit-news")  # texts are read once for all counters, and charts made once
+    ranks = X.rankings(spark, sf)
+    changes = tables.stored(charts.diff(ranks, WORDS), "audit-changes")
+    tables_ = {"news": n, "rankings": ranks, "games": X.games(spark, sf)}
+    return report.audit_report(tables_, report_(spark, sf, changes), n, changes, ("erble", "ouwhea"), ("src3",))
 
 
 @query(X.sql("select run_id, tool_name, count(*) as calls, cast(sum(latency_ms) as bigint) as total_ms, cast(floor(avg(latency_ms)) as bigint) as avg_ms, count(*) filter (cache_hit) as cache_hits from audit_log group by grouping sets ((run_id, tool_name), (run_id))", "audit_log"))
